@@ -110,7 +110,7 @@ def combination_table(options: DataFrame, by: Sequence[str], owner: str, into: s
     counts = options.groupBy(*by, owner).agg(F.count(F.lit(1)).alias("__size"))
     radix = Window.partitionBy(*by).orderBy(F.col(owner).desc()).rowsBetween(Window.unboundedPreceding, -1)
     sized = counts.withColumn(
-        "__stride", F.coalesce(F.round(F.exp(F.sum(F.log("__size")).over(radix))), F.lit(1.0)).cast("bigint")
+        "__stride", F.coalesce(F.product("__size").over(radix), F.lit(1.0)).cast("bigint")
     )
     whole = Window.partitionBy(*by)
     sized = sized.withColumn("__plans", F.max(F.col("__stride") * F.col("__size")).over(whole))

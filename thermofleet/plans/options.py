@@ -180,9 +180,7 @@ def expand_plans(options: DataFrame, dependents: DataFrame | None = None) -> Dat
         .filter(F.col("n_on") == F.col("n_parents"))
         .select("site_id", "base_id", "kid")
     )
-    plans = base.filter(F.col("option_no") == 0).select("site_id", "base_id").unionByName(
-        base.select("site_id", "base_id")
-    ).distinct()
+    plans = base.select("site_id", "base_id").distinct()
     idle_kids = plans.join(kids.select("site_id", "kid"), ["site_id"]).join(ready, ["site_id", "base_id", "kid"], "left_anti")
     off = idle_kids.select("site_id", "base_id", F.col("kid").alias("effector"), F.lit("off").alias("mode"))
     on = ready.join(kids, ["site_id", "kid"]).select(
@@ -265,6 +263,17 @@ def cross_advisory(plan_counts: DataFrame, options: DataFrame, max_total: int =
     return combination_table(kept, ["site_id"], "device", "combo_id")
 
 
-def plan_pairs(plans: DataFrame, combos: DataFrame, by: Sequence[str] = ("site_id",)) -> DataFrame:
-    """Every plan with every device combination of its site (sizes were checked by `cross_advisory`)."""
-    return plans.select(*by, "plan_id").distinct().join(combos.select(*by, "combo_id").distinct(), list(by))
+def plan_pairs(counts: DataFrame, by: Sequence[str] = ("site_id",), page: int = 10_000) -> DataFrame:
+    """Numbers of every plan with every device combination, from `(…, n_plans, n_combos)` alone.
+
+    The sizes were checked by `cross_advisory`; pairs are read off a running number, so no tables are joined.
+    """
+    total = F.col("n_plans") * F.col("n_combos")
+    pages = counts.withColumn("__page", F.explode(F.sequence(F.lit(0), F.floor((total - 1) / page))))
+    numbers = F.sequence(F.col("__page") * page, F.least((F.col("__page") + 1) * page, total) - 1)
+    return pages.withColumn("pair_id", F.explode(numbers)).select(
+        *by,
+        "pair_id",
+        F.floor(F.col("pair_id") / F.col("n_combos")).alias("plan_id"),
+        (F.col("pair_id") % F.col("n_combos")).alias("combo_id"),
+    )

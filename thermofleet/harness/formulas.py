@@ -86,7 +86,7 @@ def outdoor_at_lead(spark, sf):
     return v.states(spark, sf).select("event_id", v.r6(th.outdoor_at(F.col("value"), F.array(k, k + 1, k + 2), hours)).alias("outdoor"))
 
 
-@query("band_status", S + "SELECT event_id, CASE WHEN k % 10 = 0 THEN '' WHEN value < 20 THEN 'COLD' WHEN value > 80 THEN 'HOT' WHEN value < 40 THEN 'below pref' WHEN value > 60 THEN 'above pref' ELSE 'in band' END AS status, array_to_string(list_filter([CASE WHEN value > 80 AND k > 50 THEN 'heats_hot_sensor' END, CASE WHEN value < 20 AND k < 50 THEN 'cools_cold_sensor' END, CASE WHEN name = 'error' THEN 'outdoor_target' END, CASE WHEN abs((k - 50) / 25.0) > 1.0 THEN 'implausible_magnitude' END], x -> x IS NOT NULL), ',') AS flags FROM states_v")
+@query("band_status", S + "SELECT event_id, CASE WHEN k % 10 = 0 THEN '' WHEN value < 20 THEN 'COLD' WHEN value > 80 THEN 'HOT' WHEN value < 40 THEN 'below pref' WHEN value > 60 THEN 'above pref' ELSE 'in band' END AS status, array_to_string([x FOR x IN [CASE WHEN value > 80 AND k > 50 THEN 'heats_hot_sensor' END, CASE WHEN value < 20 AND k < 50 THEN 'cools_cold_sensor' END, CASE WHEN name = 'error' THEN 'outdoor_target' END, CASE WHEN abs((k - 50) / 25.0) > 1.0 THEN 'implausible_magnitude' END] IF x IS NOT NULL], ',') AS flags FROM states_v")
 def band_status(spark, sf):
     temp = F.when(F.col("k") % 10 != 0, F.col("value"))
     gain = (F.col("k") - 50) / 25.0

@@ -205,7 +205,7 @@ def effectors(spark: SparkSession, sf: str) -> DataFrame:
 EFFECTORS_SQL = (
     SUPPLY_SITES
     + f", effectors_v AS (SELECT s.site_id, e.* FROM supply_sites s CROSS JOIN (VALUES {values_sql(EFFECTORS)}) "
-    "e(name, control_type, band, temp_sensor, flat_cost, low_cost, high_cost))"
+    "e(name, control_type, proportional_band, temp_sensor, flat_cost, low_cost, high_cost))"
 )
 
 STEPS = {1: 12, 2: 24, 3: 48, 4: 72, 5: 12, 6: 24, 7: 48}
@@ -215,13 +215,13 @@ def plan_predictions(spark: SparkSession, sf: str) -> DataFrame:
     l = table(spark, sf, "lineitem")
     step = F.element_at(F.create_map(*[F.lit(x) for kv in STEPS.items() for x in kv]), F.col("l_linenumber"))
     return l.groupBy(
-        (F.col("l_partkey") % 16).alias("site_id"), F.col("l_partkey").alias("plan_id"),
+        (F.col("l_partkey") % 16).alias("site_id"), F.floor(F.col("l_partkey") / 16).alias("plan_id"),
         F.concat(F.lit("s"), (F.col("l_suppkey") % 8).cast("string")).alias("sensor"), step.alias("step"),
     ).agg((F.max("l_quantity") * 0.9 + 15.0).alias("temp"))
 
 
 PLAN_PREDICTIONS = (
-    "plan_predictions_v AS (SELECT l_partkey % 16 AS site_id, l_partkey AS plan_id, 's' || (l_suppkey % 8) AS sensor, "
+    "plan_predictions_v AS (SELECT l_partkey % 16 AS site_id, l_partkey // 16 AS plan_id, 's' || (l_suppkey % 8) AS sensor, "
     "CASE l_linenumber WHEN 1 THEN 12 WHEN 2 THEN 24 WHEN 3 THEN 48 WHEN 4 THEN 72 WHEN 5 THEN 12 WHEN 6 THEN 24 ELSE 48 END AS step, "
     "max(l_quantity) * CAST(0.9 AS DOUBLE) + 15.0 AS temp FROM lineitem GROUP BY 1, 2, 3, 4)"
 )
@@ -232,6 +232,69 @@ def plan_schedules(spark: SparkSession, sf: str) -> DataFrame:
     return schedules(spark, sf, PLAN_SENSORS)
 
 
+def plan_options(spark: SparkSession, sf: str) -> DataFrame:
+    """One option per plan and effector."""
+    l = table(spark, sf, "lineitem")
+    i = F.col("l_suppkey") % 12
+    rows = l.groupBy(
+        (F.col("l_partkey") % 16).alias("site_id"), F.floor(F.col("l_partkey") / 16).alias("plan_id"), i.alias("i")
+    ).agg(F.max("l_linenumber").alias("ln"), F.max("l_quantity").alias("q"))
+    third = F.col("ln") % 3
+    mode = (
+        F.when(third == 0, "off")
+        .when(F.col("i") < 4, "heating")
+        .when(F.col("i") < 8, F.when(third == 1, "heat").otherwise("cool"))
+        .otherwise(F.when(third == 1, "low").otherwise("high"))
+    )
+    return rows.select(
+        "site_id", "plan_id", F.concat(F.lit("e"), F.col("i").cast("string")).alias("effector"), mode.alias("mode"),
+        F.when((F.col("i") >= 4) & (F.col("i") < 8) & (third != 0), F.col("q") + 40.0).alias("target"),
+        (third * 12).alias("delay_steps"), F.when(F.col("ln") % 4 != 0, F.col("ln") * 6).alias("duration_steps"),
+        F.col("ln").cast("bigint").alias("option_no"),
+    )
+
+
+PLAN_OPTIONS = (
+    "po AS (SELECT l_partkey % 16 AS site_id, l_partkey // 16 AS plan_id, l_suppkey % 12 AS i, max(l_linenumber) AS ln, max(l_quantity) AS q "
+    "FROM lineitem GROUP BY 1, 2, 3), plan_options_v AS (SELECT site_id, plan_id, 'e' || i AS effector, "
+    "CASE WHEN ln % 3 = 0 THEN 'off' WHEN i < 4 THEN 'heating' WHEN i < 8 THEN CASE WHEN ln % 3 = 1 THEN 'heat' ELSE 'cool' END "
+    "ELSE CASE WHEN ln % 3 = 1 THEN 'low' ELSE 'high' END END AS mode, "
+    "CASE WHEN i >= 4 AND i < 8 AND ln % 3 <> 0 THEN q + 40.0 END AS target, ln % 3 * 12 AS delay_steps, "
+    "CASE WHEN ln % 4 <> 0 THEN ln * 6 END AS duration_steps, CAST(ln AS BIGINT) AS option_no FROM po)"
+)
+
+
+def current(spark: SparkSession, sf: str) -> DataFrame:
+    """Temperature now per site and sensor s1..s7."""
+    l = table(spark, sf, "lineitem")
+    cells = l.groupBy((F.col("l_suppkey") % 16).alias("site_id"), F.concat(F.lit("s"), F.col("l_linenumber").cast("string")).alias("sensor"))
+    return cells.agg((F.sum("l_quantity").cast("bigint") % 40 + 45.0).alias("temp"))
+
+
+CURRENT = (
+    "current_v AS (SELECT l_suppkey % 16 AS site_id, 's' || l_linenumber AS sensor, CAST(sum(l_quantity) AS BIGINT) % 40 + CAST(45.0 AS DOUBLE) AS temp "
+    "FROM lineitem GROUP BY 1, 2)"
+)
+
+
+def bounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Bounds in force now per site and sensor s1..s7."""
+    l = table(spark, sf, "lineitem")
+    cells = l.groupBy((F.col("l_suppkey") % 16).alias("site_id"), F.concat(F.lit("s"), F.col("l_linenumber").cast("string")).alias("sensor"))
+    q = cells.agg(F.sum("l_quantity").cast("bigint").alias("q"))
+    return q.select(
+        "site_id", "sensor", (F.col("q") % 30 / 10.0 + 60.0).alias("pref_lo"), (F.col("q") % 37 / 10.0 + 66.0).alias("pref_hi"),
+        (F.col("q") % 9 + 54.0).alias("acc_lo"), (F.col("q") % 7 + 72.0).alias("acc_hi"),
+    )
+
+
+BOUNDS = (
+    "bounds_q AS (SELECT l_suppkey % 16 AS site_id, 's' || l_linenumber AS sensor, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY 1, 2), "
+    "bounds_v AS (SELECT site_id, sensor, q % 30 / CAST(10.0 AS DOUBLE) + 60.0 AS pref_lo, q % 37 / CAST(10.0 AS DOUBLE) + 66.0 AS pref_hi, "
+    "q % 9 + CAST(54.0 AS DOUBLE) AS acc_lo, q % 7 + CAST(72.0 AS DOUBLE) AS acc_hi FROM bounds_q)"
+)
+
+
 def runs(spark: SparkSession, sf: str) -> DataFrame:
     """Run metrics out of `orders`: mode = priority, experiment = status, one run per month, target = quarter."""
     o = table(spark, sf, "orders")

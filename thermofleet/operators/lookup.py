@@ -119,6 +119,9 @@ def combination_table(options: DataFrame, by: Sequence[str], owner: str, into: s
     page = 10_000
     pages = sized.withColumn("__page", F.explode(F.sequence(F.lit(0), F.floor((F.col("__plans") - 1) / page))))
     numbers = F.sequence(F.col("__page") * page, F.least((F.col("__page") + 1) * page, F.col("__plans")) - 1)
+    # Pages are few and small but unfold a lot: spread them over all cores before unfolding.
+    cores = options.sparkSession.sparkContext.defaultParallelism
+    pages = pages.repartition(cores, *by, "__page")
     slots = pages.withColumn(into, F.explode(numbers)).withColumn(
         "option_no", F.floor(F.col(into) / F.col("__stride")) % F.col("__size")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thermofleet.functions.timekeys import hour_in_window
@@ -164,43 +164,48 @@ def expand_plans(options: DataFrame, dependents: DataFrame | None = None) -> Dat
     """All plans as long rows `(site_id, plan_id, effector, option_no, mode, …)`; plan 0 is all off.
 
     `dependents` are effectors `(site_id, name, supported_modes, depends_on)` that vary only where all their
-    parents run from the start; elsewhere they are off. Plans of independent effectors are numbered first and
-    each is then widened by its own dependents, so combinations that cannot occur are never generated.
+    parents run from the start; elsewhere they are off. Plans of independent effectors are numbered first; each
+    is gathered into one row (a handful of choices) and widened in place by its own dependents, so combinations
+    that cannot occur are never generated and nothing is joined per plan.
     """
     base = combination_table(option_numbers(options), ["site_id"], "effector", "base_id")
     if dependents is None:
         return base.withColumnRenamed("base_id", "plan_id")
-    kids = dependents.select("site_id", F.col("name").alias("kid"), "supported_modes", "depends_on")
-    links = kids.select("site_id", "kid", F.size("depends_on").alias("n_parents"), F.explode("depends_on").alias("effector"))
-    running = base.filter((F.col("mode") != "off") & (F.col("delay_steps") == 0)).select("site_id", "base_id", "effector")
-    ready = (
-        running.join(links, ["site_id", "effector"])
-        .groupBy("site_id", "base_id", "kid", "n_parents")
-        .agg(F.count(F.lit(1)).alias("n_on"))
-        .filter(F.col("n_on") == F.col("n_parents"))
-        .select("site_id", "base_id", "kid")
-    )
-    plans = base.select("site_id", "base_id").distinct()
-    idle_kids = plans.join(kids.select("site_id", "kid"), ["site_id"]).join(ready, ["site_id", "base_id", "kid"], "left_anti")
-    off = idle_kids.select("site_id", "base_id", F.col("kid").alias("effector"), F.lit("off").alias("mode"))
-    on = ready.join(kids, ["site_id", "kid"]).select(
-        "site_id", "base_id", F.col("kid").alias("effector"), F.explode("supported_modes").alias("mode")
+    choice = ["effector", "option_no", *OPTION]
+    gathered = base.groupBy("site_id", "base_id").agg(F.collect_list(F.struct(*choice)).alias("choices"))
+
+    off_first = F.concat(
+        F.filter("supported_modes", lambda m: m == "off"), F.filter("supported_modes", lambda m: m != "off")
     )
-    kid_options = off.unionByName(on).withColumns(
-        {
-            "target": F.lit(None).cast("double"),
-            "delay_steps": F.lit(0),
-            "duration_steps": F.lit(None).cast("int"),
-        }
+    kid = F.struct(F.col("name").alias("kid"), off_first.alias("modes"), F.col("depends_on").alias("parents"))
+    kids = dependents.groupBy("site_id").agg(F.sort_array(F.collect_list(kid)).alias("kids"))
+    joined = gathered.join(kids, ["site_id"], "left").withColumn(
+        "kids", F.coalesce("kids", F.array().cast("array<struct<kid:string,modes:array<string>,parents:array<string>>>"))
     )
-    numbered = option_numbers(kid_options, ["site_id", "base_id"])
-    widened = combination_table(numbered, ["site_id", "base_id"], "effector", "kid_id")
-    spread = kids.groupBy("site_id").agg(F.product(F.size("supported_modes")).cast("bigint").alias("__kid_plans"))
-    ids = widened.select("site_id", "base_id", "kid_id").distinct()
-    full = base.join(ids, ["site_id", "base_id"]).unionByName(widened).join(spread, ["site_id"])
-    return full.withColumn("plan_id", F.col("base_id") * F.col("__kid_plans") + F.col("kid_id")).drop(
-        "base_id", "kid_id", "__kid_plans"
+    started = F.transform(
+        F.filter("choices", lambda c: (c["mode"] != "off") & (c["delay_steps"] == 0)), lambda c: c["effector"]
     )
+    joined = joined.withColumn("started", started)
+    row = "array<struct<effector:string,option_no:bigint,mode:string,target:double,delay_steps:int,duration_steps:int>>"
+
+    def widen(combos: Column, k: Column) -> Column:
+        ready = F.size(F.array_except(k["parents"], F.col("started"))) == 0
+        modes = F.when(ready, k["modes"]).otherwise(F.array(F.lit("off")))
+        return F.flatten(
+            F.transform(combos, lambda done: F.transform(modes, lambda m: F.array_append(done, F.struct(
+                k["kid"].alias("effector"), (F.array_position(k["modes"], m) - 1).alias("option_no"), m.alias("mode"),
+                F.lit(None).cast("double").alias("target"), F.lit(0).alias("delay_steps"),
+                F.lit(None).cast("int").alias("duration_steps"),
+            ))))
+        )
+
+    combos = F.aggregate("kids", F.array(F.array().cast(row)), widen)
+    per_base = F.aggregate("kids", F.lit(1).cast("bigint"), lambda n, k: n * F.size(k["modes"]))
+    spread = joined.select("site_id", "base_id", "choices", per_base.alias("per_base"), F.posexplode(combos).alias("kid_id", "extra"))
+    whole = F.concat(F.col("choices").cast(row), F.col("extra"))
+    return spread.select(
+        "site_id", (F.col("base_id") * F.col("per_base") + F.col("kid_id")).alias("plan_id"), F.explode(whole).alias("c")
+    ).select("site_id", "plan_id", "c.*")
 
 
 def advisory_options(devices: DataFrame, effects: Sequence[DataFrame]) -> DataFrame:
@@ -222,15 +227,19 @@ def advisory_options(devices: DataFrame, effects: Sequence[DataFrame]) -> DataFr
     )
 
 
+def _coarse_mark(options: DataFrame) -> DataFrame:
+    """Mark hold and the one best action of each device (a device has five options at most)."""
+    acting = F.col("action") != "hold"
+    late = (F.col("transition_step") != 0) | F.col("return_step").isNotNull()
+    order = F.struct(late, F.coalesce("return_step", F.lit(2**30)), F.col("option_no"))
+    window = Window.partitionBy("site_id", "device")
+    ranked = options.withColumn("__best", F.min(F.when(acting, order)).over(window))
+    return ranked.withColumn("__coarse", ~acting | (order == F.col("__best"))).drop("__best")
+
+
 def coarse_advisory(options: DataFrame) -> DataFrame:
     """Hold plus one action per device: return at once if active, else the shortest use."""
-    acting = options.filter(F.col("action") != "hold")
-    instant = (F.col("transition_step") != 0) | F.col("return_step").isNotNull()
-    order = F.struct(instant, F.coalesce("return_step", F.lit(2**30)), F.col("option_no"))
-    best = acting.groupBy("site_id", "device").agg(F.min_by("option_no", order).alias("option_no"))
-    kept = options.filter(F.col("action") == "hold").unionByName(
-        acting.join(best, ["site_id", "device", "option_no"], "left_semi")
-    )
+    kept = _coarse_mark(options).filter("__coarse").drop("__coarse")
     return numbered_choices(kept.drop("option_no"), ["site_id"], "device", [F.col("action") != "hold"])
 
 
@@ -240,27 +249,22 @@ def cross_advisory(plan_counts: DataFrame, options: DataFrame, max_total: int =
     `plan_counts` has `(site_id, n_plans)`. Sizes are computed from option counts before anything is expanded,
     so a site never generates more than `max_total` rows. Returns long rows with `combo_id` and the grid used.
     """
-    coarse = coarse_advisory(options)
-
-    def size(table: DataFrame, name: str) -> DataFrame:
-        per = table.groupBy("site_id", "device").agg(F.count(F.lit(1)).alias("n"))
-        return per.groupBy("site_id").agg(F.product("n").alias(name))
-
-    sized = plan_counts.join(size(options, "full"), ["site_id"]).join(size(coarse, "coarse"), ["site_id"])
-    choice = (
+    per_device = options.groupBy("site_id", "device").agg(F.count(F.lit(1)).alias("n"))
+    sizes = per_device.groupBy("site_id").agg(
+        F.product("n").alias("full"), F.product(F.least("n", F.lit(2))).alias("coarse")
+    )
+    grid = (
         F.when(F.col("n_plans") * F.col("full") <= max_total, "full")
         .when(F.col("n_plans") * F.col("coarse") <= max_total, "coarse")
         .otherwise("hold")
     )
-    chosen = sized.select("site_id", choice.alias("grid"))
-    kept = (
-        options.join(chosen.filter(F.col("grid") == "full"), ["site_id"])
-        .unionByName(coarse.join(chosen.filter(F.col("grid") == "coarse"), ["site_id"]))
-        .unionByName(
-            options.filter(F.col("action") == "hold").join(chosen.filter(F.col("grid") == "hold"), ["site_id"])
-        )
-    )
-    return combination_table(kept, ["site_id"], "device", "combo_id")
+    chosen = plan_counts.join(sizes, ["site_id"]).select("site_id", grid.alias("grid"))
+    marked = _coarse_mark(options).join(chosen, ["site_id"])
+    kept = marked.filter(
+        (F.col("grid") == "full") | ((F.col("grid") == "coarse") & F.col("__coarse")) | (F.col("action") == "hold")
+    ).withColumnRenamed("option_no", "__no")
+    numbered = numbered_choices(kept, ["site_id"], "device", [F.col("__no")]).drop("__no", "__coarse")
+    return combination_table(numbered, ["site_id"], "device", "combo_id")
 
 
 def plan_pairs(counts: DataFrame, by: Sequence[str] = ("site_id",), page: int = 10_000) -> DataFrame:

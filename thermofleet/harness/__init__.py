@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-PARTS = ["series", "tables", "formulas", "planning"]
+PARTS = ["series", "tables", "formulas", "planning", "decided", "alerts"]
 
 
 def load():

@@ -184,14 +184,17 @@ def nearest_candidate(candidates: DataFrame) -> DataFrame:
     return picked.withColumn("error", F.round(F.col("predicted") - F.col("actual"), 3))
 
 
-def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
-    """Process what has landed so far into parquet and stop."""
+def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "append", single_batch: bool = False) -> None:
+    """Process what has landed so far into parquet and stop.
+
+    A job with a processing-time timeout never runs out of batches, so it takes `single_batch`.
+    """
     query = (
         stream.writeStream.format("parquet")
         .option("path", out)
         .option("checkpointLocation", checkpoint)
         .outputMode(mode)
-        .trigger(availableNow=True)
+        .trigger(**({"once": True} if single_batch else {"availableNow": True}))
         .start()
     )
     query.awaitTermination()

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from thermofleet.functions.timekeys import seconds_between
 from thermofleet.operators.aggregates import weighted_median
+from thermofleet.session import cut_lineage
 
 LOWEST, HIGHEST = 1.0, 500.0
 POINTS = 24
@@ -55,7 +56,8 @@ def _best_of(rows: DataFrame, keys: Sequence[str], candidates: Sequence[Column])
 def fit_segments(rows: DataFrame, keys: Sequence[str], temp: str = "temp", outdoor: str = "outdoor_best",
                  ts: str = "ts", rounds: int = 2, points: int = POINTS) -> DataFrame:
     """`(keys, n_rows, tau, sse)` per segment; segments that start within a degree of outdoors are left out."""
-    normal = normalised(rows, keys, temp, outdoor, ts)
+    # Three rounds read these narrow rows, so they are written once instead of being derived three times.
+    normal = cut_lineage(normalised(rows, keys, temp, outdoor, ts))
     grid = first_grid(points)
     best = _best_of(normal, keys, [F.lit(c) for c in grid])
     factor = grid[1] / grid[0]
@@ -76,6 +78,7 @@ def sensor_taus(segments: DataFrame, sensors: DataFrame) -> DataFrame:
     `sensors` has `(site_id, sensor, default_tau)`.
     """
     keys = ["site_id", "sensor"]
+    segments = cut_lineage(segments)
     middle = weighted_median(segments, keys, "tau", "n_rows", 1, "__tau")
     counts = segments.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     return sensors.join(middle, keys, "left").join(counts, keys, "left").select(

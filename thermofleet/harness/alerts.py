@@ -136,10 +136,10 @@ def notification_gate(spark, sf):
     return _announce(spark, sf)[1].select("site_id", "device", v.r6("cost_delta").alias("cost_delta"))
 
 
-@query("rollup_notice", GATE + ", x AS (SELECT site_id % 500 AS site_id, count(*) AS n FROM g GROUP BY 1) SELECT site_id, 'notify' AS event, n AS n_items FROM x UNION ALL SELECT DISTINCT site_id % 500, 'dismiss', CAST(0 AS BIGINT) FROM f WHERE NOT EXISTS (SELECT 1 FROM f f2 WHERE f2.site_id % 500 = f.site_id % 500 AND f2.cost_delta < -4)")
+@query("rollup_notice", GATE + ", x AS (SELECT site_id // 8 AS site_id, count(*) AS n FROM g GROUP BY 1) SELECT site_id, 'notify' AS event, n AS n_items FROM x UNION ALL SELECT DISTINCT site_id // 8, 'dismiss', CAST(0 AS BIGINT) FROM f WHERE NOT EXISTS (SELECT 1 FROM f f2 WHERE f2.site_id // 8 = f.site_id // 8 AND f2.cost_delta < -4)")
 def rollup_notice(spark, sf):
     f, announce = _announce(spark, sf)
-    by = (F.col("site_id") % 500).alias("site_id")
+    by = F.floor(F.col("site_id") / 8).alias("site_id")
     out = cd.rollup(announce.select(by, "device", "action", "cost_delta"), f.select(by), f.filter(F.col("cost_delta") < -4).select(by))
     return out.select("site_id", "event", "n_items")
 

@@ -269,11 +269,13 @@ def health_grade(spark, sf):
     return out.select(F.col("sensor").cast("bigint").alias("event_id"), "grade", F.array_join("notes", ",").alias("notes"))
 
 
-@query("grade_rollup", HEALTH + " SELECT site_id, grade, count(*) AS n_sensors, count(*) FILTER (WHERE grade IN ('C', 'F')) AS n_weak, max(CASE WHEN grade IN ('C', 'F') THEN event_id END) AS last_weak FROM gr GROUP BY 1, 2")
+@query("grade_rollup", HEALTH + ", la AS (SELECT s.site_id, s.name, g.grade FROM states_v s JOIN gr g ON g.event_id = s.event_id QUALIFY row_number() OVER (PARTITION BY s.site_id, s.name ORDER BY s.event_id DESC) = 1) SELECT site_id, grade, count(*) AS n_sensors, count(*) FILTER (WHERE grade IN ('C', 'F')) AS n_weak, max(CASE WHEN grade IN ('C', 'F') THEN name END) AS last_weak FROM la GROUP BY 1, 2")
 def grade_rollup(spark, sf):
-    out = agg.grade_rollup(g.health_grade(_health(spark, sf)))
-    weak = F.transform("weak_sensors", lambda x: x.cast("bigint"))
-    return out.select("site_id", "grade", "n_sensors", F.size("weak_sensors").cast("bigint").alias("n_weak"), F.array_max(weak).alias("last_weak"))
+    """The newest diagnostics of every sensor (name) per site."""
+    names = v.states(spark, sf).select(F.col("event_id").cast("string").alias("sensor"), "event_id", "name")
+    newest = g.health_grade(_health(spark, sf)).join(names, ["sensor"]).groupBy("site_id", "name").agg(F.max_by("grade", "event_id").alias("grade"))
+    out = agg.grade_rollup(newest.withColumnRenamed("name", "sensor"))
+    return out.select("site_id", "grade", "n_sensors", F.size("weak_sensors").cast("bigint").alias("n_weak"), F.array_max("weak_sensors").alias("last_weak"))
 
 
 PAIR = v.GAINS + ", o AS (SELECT * FROM gains_v WHERE best_lag_minutes < 60), nw AS (SELECT site_id, effector, sensor, gain_f_per_hour * CASE WHEN t_statistic > 0 THEN 1.2 ELSE 1.8 END AS gain_f_per_hour, negligible FROM gains_v WHERE best_lag_minutes > 0)"

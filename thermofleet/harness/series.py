@@ -218,7 +218,7 @@ def lag_bins(spark, sf):
 @query("future_targets", f"""WITH {v.FILLED} SELECT site_id, epoch_us(ts) AS ts_us, lead(view, 1) OVER w AS view_1, lead(view, 6) OVER w AS view_6
 FROM filled_v WINDOW w AS (PARTITION BY site_id ORDER BY ts)""")
 def future_targets(spark, sf):
-    out = g.horizon_value(v.filled(spark, sf), ["site_id"], "view", [1, 6], v.HOUR)
+    out = g.horizon_value(v.filled(spark, sf), ["site_id"], ["view"], [1, 6], v.HOUR)
     return out.select("site_id", v.us("ts").alias("ts_us"), F.col("view_t+1").alias("view_1"), F.col("view_t+6").alias("view_6"))
 
 

@@ -204,7 +204,7 @@ def forecast_json(spark, sf):
         F.when(k % 9 == 0, "n/a").otherwise(F.col("value").cast("string")).alias("temperature"),
         F.when(k % 2 == 0, "sunny").alias("condition"), k.cast("string").alias("wind_speed"),
     )
-    replies = s.groupBy("site_id", F.date_trunc("hour", "ts").alias("issued_at")).agg(F.collect_list(point).alias("forecast"))
+    replies = s.select("site_id", F.col("ts").alias("issued_at"), F.array(point).alias("forecast"))
     body = F.to_json(F.struct(F.create_map(F.lit("weather.home"), F.struct("forecast")).alias("service_response")))
     out = forecast_rows(replies.select("site_id", "issued_at", body.alias("body")), "weather.home")
     return out.select("site_id", v.us("target_ts").alias("target_us"), "temperature", "condition", "wind_speed")

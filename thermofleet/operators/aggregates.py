@@ -58,18 +58,48 @@ def best_gain(gains: DataFrame, effectors: DataFrame, by: Sequence[str] = ("site
     )
 
 
+def middle_values(df: DataFrame, by: Sequence[str], value: str, weight: str | None = None, cuts: int = 128) -> DataFrame:
+    """`lower` and `upper` per key: the smallest values whose cumulative weight reaches, and exceeds, half.
+
+    Exact without holding or sorting a key's values in one place. Weights are summed per distinct value; a
+    quantile sketch cuts each key's values into ranges; range totals tell which range holds the half; only that
+    range (and one it borders on exactly) is ranked.
+    """
+    keys = list(by)
+    amount = F.sum(weight) if weight else F.count(F.lit(1))
+    mass = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(amount.alias("__w"))
+    points = F.percentile_approx("__v", F.array(*[F.lit(i / cuts) for i in range(1, cuts)]), F.lit(1_000))
+    edges = mass.groupBy(*keys).agg(F.array_sort(F.array_distinct(points)).alias("__edges"))
+    placed = mass.join(edges, keys).withColumn(
+        "__range", F.size(F.filter("__edges", lambda e: e < F.col("__v")))
+    ).drop("__edges")
+
+    run = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)
+    totals = placed.groupBy(*keys, "__range").agg(F.sum("__w").alias("__rw"))
+    totals = totals.withColumns(
+        {"__cum": F.sum("__rw").over(run), "__half": F.sum("__rw").over(Window.partitionBy(*keys)) / 2.0}
+    ).withColumn("__before", F.col("__cum") - F.col("__rw"))
+    holding = totals.filter((F.col("__before") <= F.col("__half")) & (F.col("__cum") >= F.col("__half")))
+    inside = placed.join(holding.select(*keys, "__range", "__before", "__half"), [*keys, "__range"])
+    rank = Window.partitionBy(*keys, "__range").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = inside.withColumn("__at", F.col("__before") + F.sum("__w").over(rank))
+    return ranked.groupBy(*keys).agg(
+        F.min(F.when(F.col("__at") >= F.col("__half"), F.col("__v"))).alias("lower"),
+        F.min(F.when(F.col("__at") > F.col("__half"), F.col("__v"))).alias("upper"),
+    )
+
+
 def weighted_median(df: DataFrame, by: Sequence[str], value: str, weight: str, decimals: int | None = 1,
                     into: str = "weighted_median") -> DataFrame:
-    """Smallest value whose cumulative weight reaches half the total.
+    """Smallest value whose cumulative weight reaches half the total."""
+    found = middle_values(df, by, value, weight).select(*by, F.col("lower").alias(into))
+    return found if decimals is None else found.withColumn(into, F.round(into, decimals))
 
-    Weights are summed per distinct value first, so the window sees distinct values only.
-    """
-    mass = df.groupBy(*by, value).agg(F.sum(weight).alias("__w"))
-    run = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    cumulative = mass.withColumns({"__cum": F.sum("__w").over(run), "__all": F.sum("__w").over(whole)})
-    half = cumulative.filter(F.col("__cum") >= F.col("__all") / 2.0).groupBy(*by).agg(F.min(value).alias(into))
-    return half if decimals is None else half.withColumn(into, F.round(into, decimals))
+
+def median(df: DataFrame, by: Sequence[str], value: str, into: str = "median") -> DataFrame:
+    """Exact median: the mean of the two middle values for an even count."""
+    found = middle_values(df, by, value)
+    return found.select(*by, ((F.col("lower") + F.coalesce("upper", "lower")) / 2.0).alias(into))
 
 
 def accuracy_by_horizon(outcomes: DataFrame, by: Sequence[str] = ("site_id", "horizon"),

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from thermofleet.functions.timekeys import add_seconds, floor_to
+from thermofleet.functions.timekeys import floor_to
 from thermofleet.operators.asof import asof
-from thermofleet.operators.track import Track, carry, numbered
+from thermofleet.operators.track import Track, carry, numbered, over_rows
 
 STEP = 300
 
@@ -83,11 +83,11 @@ def interpolate(df: DataFrame, track: Track, column: str, limit: int = 24, posit
     return seen.withColumn(into, value).drop(at, "__lo", "__hi")
 
 
-def horizon_value(df: DataFrame, by: Sequence[str], column: str, steps: Sequence[int], step_seconds: int = STEP,
+def horizon_value(df: DataFrame, by: Sequence[str], columns: Sequence[str], steps: Sequence[int], step_seconds: int = STEP,
                   ts: str = "ts") -> DataFrame:
-    """Value `h` steps ahead on a complete grid, by a keyed self-join (any horizon, no window needed)."""
-    out = df
-    for h in steps:
-        ahead = df.select(*by, add_seconds(F.col(ts), -h * step_seconds).alias(ts), F.col(column).alias(f"{column}_t+{h}"))
-        out = out.join(ahead, [*by, ts], "left")
-    return out
+    """Values `h` steps ahead on a complete grid as `{column}_t+{h}`, all horizons on one partitioning."""
+
+    def ahead(window: WindowSpec) -> dict[str, Column]:
+        return {f"{c}_t+{h}": F.lead(c, h).over(window) for c in columns for h in steps}
+
+    return over_rows(df, Track(tuple(by), ts), 0, max(steps), [ahead], tick(ts, step_seconds))

@@ -9,7 +9,7 @@ chunk. All windows of one call share one shuffle.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -36,6 +36,17 @@ class Track:
             return df
         return df.withColumn(CHUNK, F.floor(F.unix_seconds(F.col(self.ts)) / self.chunk_seconds))
 
+    def fitted(self, df: DataFrame, rows: int = 2_000_000, shortest: int = 300) -> Track:
+        """The same track with chunks short enough that the fullest one holds about `rows` rows.
+
+        One aggregation counts rows per key and hour; use it where a key may be far denser than a reading every
+        few seconds. Rows of one key at one instant cannot be told apart in time: reduce them first (`keep_first`).
+        """
+        hour = F.floor(F.unix_seconds(F.col(self.ts)) / 3_600)
+        fullest = df.groupBy(*self.by, hour.alias("__h")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        seconds = int(3_600 * rows / max(fullest or 1, 1))
+        return replace(self, chunk_seconds=max(shortest, min(self.chunk_seconds, seconds)))
+
     def order(self) -> list[Column]:
         return [F.col(c) for c in (self.ts, *self.tie)]
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thermofleet.functions.labels import step_label
+from thermofleet.operators.aggregates import median
 from thermofleet.operators.spans import top_k
 from thermofleet.plans.comfort import PLANNING_WEIGHTS, comfort_cost, row_cost, weight_of
 from thermofleet.plans.options import HORIZON
@@ -235,11 +236,14 @@ def prediction_envelope(predictions: DataFrame, current: DataFrame, by: Sequence
     """
     keys = [*by, "sensor", "step"]
     stats = predictions.filter(F.col("temp").isNotNull()).groupBy(*keys).agg(
-        F.min("temp").alias("pred_min"), F.max("temp").alias("pred_max"), F.median("temp").alias("pred_median"),
+        F.min("temp").alias("pred_min"), F.max("temp").alias("pred_max"),
         F.count_if(F.col("temp") > highest).alias("n_high"), F.count_if(F.col("temp") < lowest).alias("n_low"),
         F.count(F.lit(1)).alias("n_plans"),
     )
-    joined = stats.join(current.select(*by, "sensor", F.col("temp").alias("current")), [*by, "sensor"])
+    middles = median(predictions, keys, "temp", "pred_median")
+    joined = stats.join(middles, keys).join(
+        current.select(*by, "sensor", F.col("temp").alias("current")), [*by, "sensor"]
+    )
     hours = F.col("step") / 12.0
 
     def finding(when: Column, check: str, severity: str, value: Column) -> Column:

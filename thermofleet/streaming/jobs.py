@@ -1,7 +1,8 @@
 """Structured Streaming jobs.
 
 Late rows are dropped 15 minutes behind the watermark unless the caller says otherwise. Every job keeps its
-state keyed by site and name, so state size follows the number of series and not the number of rows.
+state keyed by site and name, so state size follows the number of series and not the number of rows. What one
+series can bring into one micro-batch is bounded by the files per trigger (16 unless the caller says otherwise).
 """
 
 from __future__ import annotations
@@ -21,13 +22,13 @@ from thermofleet.sources.states import states_to_readings
 LATE = "15 minutes"
 
 
-def read_states(spark: SparkSession, folder: str, max_files: int = 1_000) -> DataFrame:
+def read_states(spark: SparkSession, folder: str, max_files: int = 16) -> DataFrame:
     """Landed state JSON as a stream."""
     return spark.readStream.schema(schemas.ENTITY_STATES).option("maxFilesPerTrigger", max_files).json(folder)
 
 
 def read_readings(spark: SparkSession, folder: str, schema: str = schemas.READINGS, glob: str | None = None,
-                  max_files: int = 1_000) -> DataFrame:
+                  max_files: int = 16) -> DataFrame:
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
     if glob:
         reader = reader.option("pathGlobFilter", glob)

@@ -19,10 +19,7 @@ from thermofleet.operators.track import Track, numbered
 
 def training_set(grid: DataFrame, targets: Sequence[str], steps: Sequence[int], step_seconds: int = 300) -> DataFrame:
     """Wide grid with the value of every target `h` steps ahead as `{target}_t+{h}`."""
-    out = grid
-    for target in targets:
-        out = horizon_value(out, ["site_id"], target, steps, step_seconds)
-    return out
+    return horizon_value(grid, ["site_id"], targets, steps, step_seconds)
 
 
 def kept_targets(df: DataFrame, columns: Sequence[str], minimum: float = 0.5) -> DataFrame:

@@ -12,7 +12,12 @@ from thermofleet.rules import health as h
 from thermofleet.rules import overrides as ov
 
 AS_OF = "2024-01-20 12:00:00"
-NOW = F.lit(AS_OF).cast("timestamp")
+
+
+def now():
+    return F.lit(AS_OF).cast("timestamp")
+
+
 NOW_US = f"epoch_us(TIMESTAMP '{AS_OF}')"
 
 CHECK_NAMES = ["name", "entity_id", "min_value", "max_value", "expected_state", "severity", "message", "when_entity", "when_state", "when_for_minutes", "sustain_minutes", "sustain_samples"]
@@ -36,7 +41,7 @@ def _checks(spark, sf):
 
 def _now_states(spark, sf):
     """Latest state of every entity before the moment; `view` and `purchase` also serve as on/off switches."""
-    s = v.states(spark, sf).filter(F.col("ts") <= NOW)
+    s = v.states(spark, sf).filter(F.col("ts") <= now())
     last = s.groupBy("site_id", F.col("name").alias("entity_id")).agg(F.max_by(F.struct("value", "k", "ts"), F.struct("ts", "event_id")).alias("x"))
     state = F.when(F.col("x.k") % 9 == 0, "unavailable").when(F.col("entity_id") == "error", F.when(F.col("x.k") % 2 == 0, "ok").otherwise("bad")).otherwise(F.col("x.value").cast("string"))
     numbers = last.select("site_id", "entity_id", state.alias("state"), F.col("x.ts").alias("last_changed"))
@@ -53,7 +58,7 @@ n AS (SELECT site_id, name, count(*) FILTER (WHERE coalesce(value <= min_value,
 
 @query("sustained_violation", ALERTS + " SELECT site_id, name, n_violating FROM n")
 def sustained_violation(spark, sf):
-    return h.sustained_counts(_checks(spark, sf), _history(spark, sf), NOW)
+    return h.sustained_counts(_checks(spark, sf), _history(spark, sf), now())
 
 
 def _history(spark, sf):
@@ -67,13 +72,13 @@ k2 AS (SELECT *, CASE WHEN state = 'unavailable' THEN 'unavailable' WHEN expecte
 SELECT site_id, name, name || '_' || kind AS "key", kind, CASE WHEN kind = 'unavailable' THEN 'warning' ELSE severity END AS severity FROM k2 WHERE kind IS NOT NULL""")
 def health_alerts(spark, sf):
     numbers, switches = _now_states(spark, sf)
-    checks = h.precondition_met(_checks(spark, sf), switches, NOW).withColumns({"when_entity": F.lit(None).cast("string")})
-    return h.health_alerts(checks, numbers, NOW, _history(spark, sf)).select("site_id", "name", "key", "kind", "severity")
+    checks = h.precondition_met(_checks(spark, sf), switches, now()).withColumns({"when_entity": F.lit(None).cast("string")})
+    return h.health_alerts(checks, numbers, now(), _history(spark, sf)).select("site_id", "name", "key", "kind", "severity")
 
 
 @query("precondition_dwell", ALERTS + " SELECT site_id, name FROM ac")
 def precondition_dwell(spark, sf):
-    return h.precondition_met(_checks(spark, sf), _now_states(spark, sf)[1], NOW).select("site_id", "name")
+    return h.precondition_met(_checks(spark, sf), _now_states(spark, sf)[1], now()).select("site_id", "name")
 
 
 @query("heat_wanted_but_off", f"WITH {v.PLAN_OPTIONS}, {v.EFFECTORS_SQL} SELECT DISTINCT p.site_id, p.plan_id, p.effector, p.effector || '_off' AS \"key\" FROM plan_options_v p JOIN effectors_v e ON e.site_id = p.site_id AND e.name = p.effector WHERE e.control_type = 'trajectory' AND p.mode <> 'off' AND p.plan_id % 3 = 0")
@@ -127,8 +132,8 @@ def _found(spark, sf):
 
 def _announce(spark, sf):
     f = _found(spark, sf)
-    sent = f.filter(F.col("k") % 3 == 0).select("site_id", "device", F.timestamp_micros(F.unix_micros(NOW) - F.col("k").cast("bigint") * 600 * 1_000_000).alias("sent_at"))
-    return f, cd.notification_gate(f, F.col("k") % 24, sent, NOW)
+    sent = f.filter(F.col("k") % 3 == 0).select("site_id", "device", F.timestamp_micros(F.unix_micros(now()) - F.col("k").cast("bigint") * 600 * 1_000_000).alias("sent_at"))
+    return f, cd.notification_gate(f, F.col("k") % 24, sent, now())
 
 
 @query("notification_gate", GATE + " SELECT site_id, device, round(cost_delta, 6) AS cost_delta FROM g")
@@ -158,5 +163,5 @@ def override_class(spark, sf):
     desired = base.select("site_id", "device", "control_type", F.when(k % 13 != 0, F.element_at(modes, k % 3 + 1)).alias("mode"), F.when(k % 17 != 0, F.round(x)).alias("target"))
     observed = base.select("site_id", "device", F.element_at(modes, k % 2 + 1).alias("mode"), x.alias("target"))
     age = F.when(k % 5 == 0, 3600).otherwise(600).cast("bigint")
-    applied = base.select("site_id", "device", F.element_at(modes, k % 4 % 3 + 1).alias("mode"), (x + k % 3 - 1).alias("target"), F.timestamp_micros(F.unix_micros(NOW) - age * 1_000_000).alias("at"))
-    return ov.classify_devices(desired, observed, applied, NOW).select(F.col("site_id").alias("event_id"), "result")
+    applied = base.select("site_id", "device", F.element_at(modes, k % 4 % 3 + 1).alias("mode"), (x + k % 3 - 1).alias("target"), F.timestamp_micros(F.unix_micros(now()) - age * 1_000_000).alias("at"))
+    return ov.classify_devices(desired, observed, applied, now()).select(F.col("site_id").alias("event_id"), "result")

@@ -15,7 +15,12 @@ from thermofleet.plans.comfort import realised_cost
 from thermofleet.sources import decisions as ds
 
 AS_OF = "2024-01-25 00:00:00"
-NOW = F.lit(AS_OF).cast("timestamp")
+
+
+def now():
+    return F.lit(AS_OF).cast("timestamp")
+
+
 R = f"WITH {v.READINGS}"
 H4 = "(VALUES ('1h', 60), ('2h', 120), ('4h', 240), ('6h', 360)) h(horizon, minutes)"
 
@@ -59,7 +64,7 @@ outc AS (SELECT m.site_id, m.decision_ts, m.event_id, 'view' AS sensor, m.horizo
 
 
 def _outcomes(spark, sf):
-    return b.match_outcomes(b.prediction_rows(b.open_decisions(_decisions(spark, sf))), _snapshots(spark, sf), NOW)
+    return b.match_outcomes(b.prediction_rows(b.open_decisions(_decisions(spark, sf))), _snapshots(spark, sf), now())
 
 
 @query("outcome_backfill", f"WITH {OUTCOMES} SELECT site_id, epoch_us(decision_ts) AS decision_us, sensor, horizon, predicted, actual, error FROM outc")
@@ -70,7 +75,7 @@ def outcome_backfill(spark, sf):
 @query("backfill_status", f"""WITH {OUTCOMES}, f AS (SELECT site_id, decision_ts, count(*) AS n FROM outc GROUP BY 1, 2), a AS (SELECT d.site_id, d.ts, coalesce(f.n, 0) AS n_found, (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(d.ts)) / 60000000.0 AS age FROM d LEFT JOIN f ON f.site_id = d.site_id AND f.decision_ts = d.ts)
 SELECT site_id, epoch_us(ts) AS decision_us, n_found, (age >= 365 AND n_found > 0) OR age > 425 AS settled, n_found > 0 OR age > 425 AS touched FROM a""")
 def backfill_status(spark, sf):
-    out = b.backfill_status(_decisions(spark, sf), _outcomes(spark, sf), NOW)
+    out = b.backfill_status(_decisions(spark, sf), _outcomes(spark, sf), now())
     return out.select("site_id", v.us("decision_ts").alias("decision_us"), "n_found", "settled", "touched")
 
 
@@ -194,7 +199,7 @@ def status_board(spark, sf):
     sites = v.sites(spark, sf)
     weather = rd.groupBy("site_id").agg((F.max(F.when(F.col("name") == "error", F.col("value"))) % 60).alias("outdoor")).withColumns({"sun": F.lit(0.5), "fraction": F.lit(0.5)})
     solar = latest.select("site_id", F.col("name").alias("sensor"), F.lit(10.0).alias("gain"))
-    zones = sites.select("site_id", F.lit("America/Phoenix").alias("zone"), NOW.alias("now_ts"))
+    zones = sites.select("site_id", F.lit("America/Phoenix").alias("zone"), now().alias("now_ts"))
     kind = F.col("site_id") % 4 == 1
     profile = sites.filter(kind).select("site_id", *[F.lit(x).alias(n) for n, x in (("preferred_offset", 0.0), ("preferred_widen", 0.0), ("min_offset", 0.0), ("max_offset", 2.0), ("penalty_scale", 1.0))])
     out = r.status_board(latest, v.schedules(spark, sf), profile, weather, solar, zones)

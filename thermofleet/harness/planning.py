@@ -27,18 +27,21 @@ BOUNDED = (
     f"WITH {HOURS}, {v.PLAN_PREDICTIONS}, b AS (SELECT p.*, h.pref_lo, h.pref_hi, h.acc_lo, h.acc_hi, h.backup_lo, h.backup_hi, h.cold_penalty, h.hot_penalty "
     "FROM plan_predictions_v p JOIN hours_v h ON h.site_id = p.site_id AND h.sensor = p.sensor AND h.hour = (19 + p.step // 12) % 24)"
 )
-HOUR = F.lit(19)
+
+
+def hour():
+    return F.lit(19)
 
 
 @query("comfort_cost", BOUNDED + f" SELECT site_id, plan_id, round(sum({cost_sql('temp')}), 4) AS comfort_cost FROM b GROUP BY 1, 2")
 def comfort_cost(spark, sf):
-    out = c.comfort_cost(v.plan_predictions(spark, sf), v.plan_schedules(spark, sf), HOUR)
+    out = c.comfort_cost(v.plan_predictions(spark, sf), v.plan_schedules(spark, sf), hour())
     return out.select("site_id", "plan_id", F.round("comfort_cost", 4).alias("comfort_cost"))
 
 
 @query("comfort_cost_by_sensor", BOUNDED + f" SELECT site_id, plan_id, sensor, round(sum({cost_sql('temp')}), 4) AS comfort_cost FROM b GROUP BY 1, 2, 3")
 def comfort_cost_by_sensor(spark, sf):
-    out = c.comfort_cost(v.plan_predictions(spark, sf), v.plan_schedules(spark, sf), HOUR, ("site_id", "plan_id", "sensor"))
+    out = c.comfort_cost(v.plan_predictions(spark, sf), v.plan_schedules(spark, sf), hour(), ("site_id", "plan_id", "sensor"))
     return out.withColumn("comfort_cost", F.round("comfort_cost", 4))
 
 
@@ -257,7 +260,7 @@ k AS (SELECT t.site_id, t.plan_id, sum(coalesce({cost_sql('t.temp', WEIGHT.repla
 
 @query("additive_score", f"WITH {SCORES} SELECT k.site_id, k.plan_id, round(comfort, 8) AS comfort_cost, round(energy, 6) AS energy_cost, round(comfort + energy, 6) AS total_cost FROM k JOIN e ON e.site_id = k.site_id AND e.plan_id = k.plan_id")
 def additive_score(spark, sf):
-    out = s.plan_scores(_temps(spark, sf), _plan_energy(spark, sf), v.plan_schedules(spark, sf), HOUR)
+    out = s.plan_scores(_temps(spark, sf), _plan_energy(spark, sf), v.plan_schedules(spark, sf), hour())
     return out.select("site_id", "plan_id", *[F.round(x, d).alias(x) for x, d in (("comfort_cost", 8), ("energy_cost", 6), ("total_cost", 6))])
 
 
@@ -338,7 +341,7 @@ def _cool(spark, sf):
 
 @query("backup_breaches", BOUNDED.replace("SELECT p.*, h.pref_lo", "SELECT p.site_id, p.plan_id, p.sensor, p.step, p.temp * 2 - 15 AS temp, h.pref_lo") + BREACH)
 def backup_breaches(spark, sf):
-    out = c.backup_breaches(_cool(spark, sf), v.plan_schedules(spark, sf), HOUR)
+    out = c.backup_breaches(_cool(spark, sf), v.plan_schedules(spark, sf), hour())
     return out.select("site_id", "plan_id", "sensor", "step", "side", "bound")
 
 
@@ -360,7 +363,7 @@ def attribution(spark, sf):
     p = v.plan_predictions(spark, sf)
     chosen = p.filter(F.col("plan_id") == 0).drop("plan_id")
     without = p.filter(F.col("plan_id") > 0).withColumn("device", F.concat(F.lit("p"), F.col("plan_id").cast("string"))).drop("plan_id")
-    out = s.attribution(chosen, without, v.plan_schedules(spark, sf), HOUR)
+    out = s.attribution(chosen, without, v.plan_schedules(spark, sf), hour())
     n = without.join(chosen.select("site_id", "sensor", "step"), ["site_id", "sensor", "step"], "left_semi").groupBy("site_id", "device").agg(F.countDistinct("sensor").alias("n_sensors"))
     return out.join(n, ["site_id", "device"]).select("site_id", "device", F.round("total_saving", 4).alias("total_saving"), F.round(F.abs("sensor_saving"), 4).alias("top_saving"), "n_sensors")
 

@@ -18,7 +18,10 @@ from thermofleet.sources.readings import new_rows, slice_time, upsert_by_key
 SERIES = Track(("site_id", "name"), "ts", ("event_id",))
 SITE = Track(("site_id",))
 ROUND5 = "make_timestamp(CAST(floor((floor(epoch_us(ts) / 60000000) + 2) / 5) AS BIGINT) * 300000000)"
-TICK = g.tick("ts", v.HOUR)
+
+
+def tick():
+    return g.tick("ts", v.HOUR)
 
 
 @query("round5_dedup", f"""WITH {v.READINGS}, k AS (SELECT *, {ROUND5} AS ts5 FROM readings_v)
@@ -177,7 +180,7 @@ WINDOW w AS (PARTITION BY site_id ORDER BY ts ROWS UNBOUNDED PRECEDING), f AS (P
 SELECT site_id, epoch_us(ts) AS ts_us, round(CASE WHEN view IS NOT NULL THEN view WHEN pos - p0 <= 4 THEN CASE WHEN p1 IS NULL THEN v0
 ELSE v0 + (v1 - v0) / (p1 - p0) * (pos - p0) END END, 6) AS view FROM k""")
 def interp_limit(spark, sf):
-    out = g.interpolate(v.hourly(spark, sf), SITE, "view", 4, TICK)
+    out = g.interpolate(v.hourly(spark, sf), SITE, "view", 4, tick())
     return out.select("site_id", v.us("ts").alias("ts_us"), v.r6("view").alias("view"))
 
 
@@ -185,7 +188,7 @@ def interp_limit(spark, sf):
 row_number() OVER w AS i, count(*) OVER (PARTITION BY site_id) AS c FROM filled_v WINDOW w AS (PARTITION BY site_id ORDER BY ts))
 SELECT site_id, epoch_us(ts) AS ts_us, round(CASE WHEN i > 1 AND i < c THEN (n - p) / 2.0 WHEN i < c THEN n - view WHEN i > 1 THEN view - p END, 6) AS rate FROM d""")
 def central_diff(spark, sf):
-    out = over_rows(v.filled(spark, sf), SITE, 1, 1, [lambda w: {"rate": sm.central_difference(w, "view", 1.0)}], TICK)
+    out = over_rows(v.filled(spark, sf), SITE, 1, 1, [lambda w: {"rate": sm.central_difference(w, "view", 1.0)}], tick())
     return out.select("site_id", v.us("ts").alias("ts_us"), v.r6("rate").alias("rate"))
 
 
@@ -195,7 +198,7 @@ SELECT site_id, epoch_us(ts) AS ts_us, round(smooth, 6) AS smooth,
 round((lead(smooth, 3) OVER o - lag(smooth, 3) OVER o) / 6.0, 6) AS rate FROM s WINDOW o AS (PARTITION BY site_id ORDER BY ts)""")
 def rolling_smooth(spark, sf):
     steps = [lambda w: {"smooth": sm.rolling_mean(w, "click", 3, 2)}, lambda w: {"rate": sm.wide_difference(w, "smooth", 3, 1.0)}]
-    out = over_rows(v.hourly(spark, sf), SITE, 6, 6, steps, TICK)
+    out = over_rows(v.hourly(spark, sf), SITE, 6, 6, steps, tick())
     return out.select("site_id", v.us("ts").alias("ts_us"), v.r6("smooth").alias("smooth"), v.r6("rate").alias("rate"))
 
 
@@ -211,7 +214,7 @@ def _lag_sql() -> str:
 def lag_bins(spark, sf):
     bins = sm.lag_bins(90)
     step = lambda w: {f"lag_{sm.bin_label(s, e)}": sm.lag_bin_mean(w, "error", s, e) for s, e in bins}
-    out = over_rows(v.hourly(spark, sf), SITE, 18, 0, [step], TICK)
+    out = over_rows(v.hourly(spark, sf), SITE, 18, 0, [step], tick())
     return out.select("site_id", v.us("ts").alias("ts_us"), *[v.r6(f"lag_{sm.bin_label(s, e)}").alias(f"lag_{sm.bin_label(s, e)}") for s, e in bins])
 
 
@@ -225,7 +228,7 @@ def future_targets(spark, sf):
 @query("rate_features", f"""WITH {v.FILLED} SELECT site_id, epoch_us(ts) AS ts_us, round(view - lag(view, 3) OVER w, 6) AS d3, round(view - lag(view, 12) OVER w, 6) AS d12,
 round(view - 2 * lag(view, 1) OVER w + lag(view, 2) OVER w, 6) AS dd FROM filled_v WINDOW w AS (PARTITION BY site_id ORDER BY ts)""")
 def rate_features(spark, sf):
-    out = sm.difference_features(v.filled(spark, sf), SITE, "view", (3, 12), TICK)
+    out = sm.difference_features(v.filled(spark, sf), SITE, "view", (3, 12), tick())
     return out.select("site_id", v.us("ts").alias("ts_us"), v.r6("view_d3").alias("d3"), v.r6("view_d12").alias("d12"), v.r6("view_dd").alias("dd"))
 
 

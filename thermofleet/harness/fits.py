@@ -148,7 +148,7 @@ def gram_sums(spark, sf):
     return out.select("site_id", "sensor", at(0).alias("aa"), at(1).alias("ab"), at(5).alias("bb"), F.round(at(3), 4).alias("ay"), F.round(at(15), 4).alias("yy"), at(10).alias("n"))
 
 
-RIDGE = f"""WITH {SUMS}, q AS (SELECT *, sqrt(bb / n - (sb / n) * (sb / n)) AS sd, 0.01 * n AS lam FROM m), q2 AS (SELECT *, ab / sd AS "B", bb / sd / sd AS "C", "by" / sd AS w FROM q),
+RIDGE = f"""WITH {SUMS}, q AS (SELECT *, sqrt(bb / n - (sb / n) * (sb / n)) AS sd, 0.01 * n AS lam FROM m WHERE n >= 20), q2 AS (SELECT *, ab / sd AS "B", bb / sd / sd AS "C", "by" / sd AS w FROM q),
 d AS (SELECT *, (aa + lam) * ("C" + lam) - "B" * "B" AS det FROM q2), f AS (SELECT *, (("C" + lam) * ay - "B" * w) / det AS ba, ((aa + lam) * w - "B" * ay) / det / sd AS bbeta FROM d),
 e AS (SELECT *, yy - 2 * (ba * ay + bbeta * "by") + ba * ba * aa + 2 * ba * bbeta * ab + bbeta * bbeta * bb AS sse FROM f),
 va AS (SELECT *, "B" / ("C" + 0.001 * n) AS g1, "B" / (aa + 0.001 * n) AS g2, sse / (n - 2) AS s2 FROM e)

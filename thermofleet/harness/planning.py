@@ -25,7 +25,7 @@ def cost_sql(t: str, weight: str = WEIGHT, rail: float = 3.0) -> str:
 
 BOUNDED = (
     f"WITH {HOURS}, {v.PLAN_PREDICTIONS}, b AS (SELECT p.*, h.pref_lo, h.pref_hi, h.acc_lo, h.acc_hi, h.backup_lo, h.backup_hi, h.cold_penalty, h.hot_penalty "
-    "FROM plan_predictions_v p JOIN hours_v h ON h.site_id = p.site_id AND h.sensor = p.sensor AND h.hour = (19 + p.step // 12) % 24)"
+    "FROM plan_predictions_v p LEFT JOIN hours_v h ON h.site_id = p.site_id AND h.sensor = p.sensor AND h.hour = (19 + p.step // 12) % 24)"
 )
 
 

@@ -13,6 +13,7 @@ from thermofleet.operators import grid as g
 from thermofleet.operators import smoothing as sm
 from thermofleet.operators import spans as sp
 from thermofleet.operators.track import Track, over_rows
+from thermofleet.session import cut_lineage
 from thermofleet.sources.readings import new_rows, slice_time, upsert_by_key
 
 SERIES = Track(("site_id", "name"), "ts", ("event_id",))
@@ -292,7 +293,8 @@ SELECT hours || 'h' AS horizon, round(avg(abs(error)), 3) AS mae, round(avg(erro
 def fill_accuracy(spark, sf):
     """Readings -> five-minute keys -> first write wins -> hourly fill -> value near each horizon -> error report."""
     keyed = v.readings(spark, sf).withColumn("ts", round5(F.col("ts")))
-    stored = sp.keep_first(keyed, ["site_id", "ts", "name"], "event_id")
+    # The stored table feeds the grid, the fill and the match, so it is written once.
+    stored = cut_lineage(sp.keep_first(keyed, ["site_id", "ts", "name"], "event_id"))
     series = ["site_id", "name"]
     fill = g.resample_ffill(stored, series, step_seconds=v.HOUR).filter(F.col("value").isNotNull())
     found = a.forecast_at_horizons(

@@ -218,11 +218,11 @@ def previous_state(spark, sf):
                       F.try_element_at("setpoints", F.lit("fan_view")).alias("fan_setpoint"))
 
 
-@query("site_bundle", f"""WITH {v.READINGS}, d AS (SELECT * FROM readings_v WHERE name = 'purchase' AND site_id = 3),
-a AS (SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY ts DESC) AS n FROM d WHERE ts <= {POINT}) WHERE n <= 5 UNION ALL SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY ts) AS n FROM d WHERE ts > {POINT}) WHERE n <= 2)
-SELECT 'readings' AS part, event_id FROM readings_v WHERE site_id = 3 AND ts >= {POINT} - INTERVAL 14 HOUR AND ts <= {POINT} UNION ALL SELECT 'around', event_id FROM a UNION ALL SELECT 'decision', arg_max(event_id, ts) FROM d WHERE ts <= {POINT}""")
+@query("site_bundle", f"""WITH {v.READINGS}, d AS (SELECT * FROM readings_v WHERE name = 'purchase'),
+a AS (SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY site_id ORDER BY ts DESC) AS n FROM d WHERE ts <= {POINT}) WHERE n <= 5 UNION ALL SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY site_id ORDER BY ts) AS n FROM d WHERE ts > {POINT}) WHERE n <= 2)
+SELECT 'readings' AS part, event_id FROM readings_v WHERE ts >= {POINT} - INTERVAL 14 HOUR AND ts <= {POINT} UNION ALL SELECT 'around', event_id FROM a UNION ALL SELECT 'decision', arg_max(event_id, ts) FROM d WHERE ts <= {POINT} GROUP BY site_id""")
 def site_bundle(spark, sf):
-    parts = bu.bundle(v.readings(spark, sf), _decisions(spark, sf), 3, F.lit("2024-01-20 06:00:00").cast("timestamp"))
+    parts = bu.bundle(v.readings(spark, sf), _decisions(spark, sf), F.lit("2024-01-20 06:00:00").cast("timestamp"))
     rows = [parts[p].select(F.lit(p).alias("part"), "event_id") for p in ("readings", "around", "decision")]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 

@@ -299,15 +299,15 @@ def cold_rescue(spark, sf):
     return s.cold_rescue(_costs(spark, sf), options, now, b, best_gain(v.gains(spark, sf), e), o.blocked_effectors(e, now, b))
 
 
-ADVISED = COSTS + """, adv AS (SELECT l_partkey % 16 AS site_id, l_partkey // 16 AS plan_id, 'd' || (l_suppkey % 3) AS device, max(l_linenumber) AS ln FROM lineitem WHERE l_suppkey % 7 = 0 GROUP BY 1, 2, 3),
+ADVISED = COSTS + """, adv AS (SELECT l_partkey % 16 AS site_id, l_partkey // 16 AS plan_id, 'd' || (l_suppkey % 3) AS device, CAST(sum(l_linenumber) % 7 + 1 AS INTEGER) AS ln FROM lineitem GROUP BY 1, 2, 3),
 advised AS (SELECT c.site_id, c.plan_id, c.total_cost, a.device, CASE WHEN a.ln < 5 THEN 'hold' WHEN a.ln = 5 THEN 'close' WHEN a.ln > 5 THEN 'open' END AS action, CASE WHEN a.ln = 5 THEN 12 ELSE 0 END AS transition_step, CASE WHEN a.ln > 5 THEN a.ln * 6 END AS return_step FROM costs_v c LEFT JOIN adv a ON a.site_id = c.site_id AND a.plan_id = c.plan_id),
 bp AS (SELECT site_id, plan_id, total_cost FROM advised GROUP BY 1, 2, 3 HAVING bool_and(coalesce(action, 'hold') = 'hold')), bs AS (SELECT site_id, arg_min(plan_id, (total_cost, plan_id)) AS baseline_plan, min(total_cost) AS baseline_cost FROM bp GROUP BY 1)"""
 
 
 def _advised(spark, sf):
-    l = v.table(spark, sf, "lineitem").filter(F.col("l_suppkey") % 7 == 0)
+    l = v.table(spark, sf, "lineitem")
     p = F.col("l_partkey")
-    a = l.groupBy((p % 16).alias("site_id"), F.floor(p / 16).alias("plan_id"), F.concat(F.lit("d"), (F.col("l_suppkey") % 3).cast("string")).alias("device")).agg(F.max("l_linenumber").alias("ln"))
+    a = l.groupBy((p % 16).alias("site_id"), F.floor(p / 16).alias("plan_id"), F.concat(F.lit("d"), (F.col("l_suppkey") % 3).cast("string")).alias("device")).agg((F.sum("l_linenumber") % 7 + 1).cast("int").alias("ln"))
     j = _costs(spark, sf).join(a, ["site_id", "plan_id"], "left")
     ln = F.col("ln")
     return j.select("site_id", "plan_id", "total_cost", "device", F.when(ln < 5, "hold").when(ln == 5, "close").when(ln > 5, "open").alias("action"),

@@ -38,13 +38,10 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The folder named by `spark.checkpoint.dir`; a local one only where the setting is absent."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    current = sc.getCheckpointDir()
     if named is None:
-        current = sc._jsc.sc().getCheckpointDir()
-        named = current.get() if current.isDefined() else None
-        if named is not None:
-            return named
-        named = tempfile.mkdtemp(prefix="thermofleet-checkpoints-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        named = current or tempfile.mkdtemp(prefix="thermofleet-checkpoints-")
+    if current is None:
         sc.setCheckpointDir(named)
     return named
 

@@ -27,6 +27,19 @@ def test_queries_are_listed_without_a_session():
     assert set(QUERIES) - set(SQL) == {"holdout_rmse", "bootstrap_cv", "fit_health", "gbt_errors"}
 
 
+def test_workers_import_the_package_from_anywhere(tmp_path, sf):
+    code = (
+        f"import sys; sys.path.insert(0, {ROOT!r})\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()\n"
+        "import __spark_entry__ as e\n"
+        f"print('rows', e.queries()['ridge_two'](spark, {sf!r}).count())\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
+    assert "rows 5" in out.stdout, out.stderr[-2_000:]
+
+
 def test_entry_has_rows(spark):
     df = entry.entry(spark)
     assert df.columns == ["horizon", "mae", "bias", "n"] and df.count() == 4

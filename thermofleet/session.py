@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,7 +26,9 @@ def build_session(master: str | None = None, app: str = "thermofleet", **extra:
         builder = builder.master(master)
     for key, value in {**JOB_SETTINGS, **{k.replace("__", "."): v for k, v in extra.items()}}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def apply_settings(spark: SparkSession) -> SparkSession:
@@ -34,6 +38,27 @@ def apply_settings(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package: their Python workers import it for the numpy steps and keyed state.
+
+    The archive goes out through Spark's own file distribution, once per application; jobs submitted with
+    `--py-files` do not need it.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="thermofleet-package-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    _SHIPPED.add(sc.applicationId)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder named by `spark.checkpoint.dir`; a local one only where the setting is absent."""
     sc = spark.sparkContext

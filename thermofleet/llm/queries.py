@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from thermofleet.llm import lines, mixing, packing, quality, shards, simhash
+from thermofleet.llm import lines, mixing, nearest, packing, quality, scoring, shards, simhash, substrings, suffixes
 from thermofleet.llm.tables import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,11 +36,27 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.select(F.col("_row_key.doc_id").alias("doc_id"), "source", "block", "tokens", F.round("mix_at", 9).alias("mix_at"), F.round("weight", 9).alias("weight"))
 
 
+def _span_digest(found: DataFrame) -> list:
+    length = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return [length.alias("n_removed"), F.size("spans").cast("long").alias("n_spans")]
+
+
+@query("op2_suffix_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.without_repeats(documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", *_span_digest(found), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op3_best_fit_packing")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(documents(spark, sf_dir), tokenizer_path(), with_ids=False)
 
 
+@query("op4_backoff_scores")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.scored(documents(spark, sf_dir))
+
+
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 OP5 = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
@@ -97,7 +113,43 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+OP8 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS ws FROM documents),
+tok AS (SELECT r, doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS p FROM d),
+win AS (SELECT r, doc_id, p, {" || ' ' || ".join(f"lead(x, {k}) OVER o" for k in range(13))} AS k
+  FROM tok WINDOW o AS (PARTITION BY r ORDER BY p)),
+low AS (SELECT r, doc_id, p, min(doc_id) OVER (PARTITION BY k) AS least FROM win WHERE k IS NOT NULL),
+cov AS (SELECT DISTINCT r, unnest(range(p, p + 13)) AS p FROM low WHERE least < doc_id),
+m AS (SELECT tok.r, tok.x, tok.p, cov.p IS NOT NULL AS lost FROM tok LEFT JOIN cov ON cov.r = tok.r AND cov.p = tok.p),
+a AS (SELECT r, count(*) FILTER (lost) AS n, string_agg(x, ' ' ORDER BY p) FILTER (NOT lost) AS t FROM m GROUP BY r)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(a.n, 0)::BIGINT AS n_removed, sha256(coalesce(a.t, '')) AS kept_sha256
+FROM d LEFT JOIN a ON a.r = d.r
+"""
+
+
+@query("op8_substring_dedup", OP8)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.without_repeats(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", _span_digest(found)[0], F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query("op9_virtual_slot_shards")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shards.sharded(documents(spark, sf_dir))
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+
+
+OP10 = """
+WITH v AS (SELECT vec_id, [floor(1024 * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum([z[1] * z[2] for z in list_zip(q.v, c.v)])::BIGINT AS score
+  FROM v AS q JOIN v AS c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+@query("op10_mtree_top_k", OP10)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return nearest.top_k(rows, rows.where("vec_id % 100 = 0"))

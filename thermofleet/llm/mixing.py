@@ -26,8 +26,8 @@ MAX_REPEATS = 1.5
 
 
 def _shares(sources: DataFrame) -> DataFrame:
-    total = sources.agg(F.sum("tokens").alias("all_tokens"))
-    return sources.where("tokens > 0").crossJoin(F.broadcast(total)).select("tokens", (F.col("tokens") / F.col("all_tokens")).alias("p"))
+    total = sources.agg(F.sum("tokens")).first()[0] or 1
+    return sources.where("tokens > 0").select("tokens", (F.col("tokens") / F.lit(total)).alias("p"))
 
 
 def _measure(shares: DataFrame, exponents: list[float], kind: str) -> list[float]:
@@ -68,13 +68,12 @@ def budgets(sources: DataFrame, alpha: float, total: float | None = None) -> Dat
 
     Without `total` the budget is the least that shows every document once; then a source is shown (p/p_max)^(alpha-1) times.
     """
-    stats = sources.agg(F.sum(F.pow("tokens", F.lit(alpha))).alias("z"), F.max("tokens").alias("most"))
-    both = sources.crossJoin(F.broadcast(stats))  # one row of totals
-    weight = F.when(F.col("tokens") > 0, F.pow("tokens", F.lit(alpha)) / F.col("z")).otherwise(0.0)
-    budget = F.col("z") * F.pow("most", F.lit(1 - alpha)) if total is None else F.lit(float(total))
+    z, most = (float(x or 0) for x in sources.where("tokens > 0").agg(F.sum(F.pow("tokens", F.lit(alpha))), F.max("tokens")).first())
+    weight = F.when(F.col("tokens") > 0, F.pow("tokens", F.lit(alpha)) / F.lit(z or 1.0)).otherwise(0.0)
+    budget = z * most ** (1 - alpha) if total is None else float(total)
     blocks = F.when(F.col("tokens") > 0, weight * budget / F.col("tokens")).otherwise(1.0)
     blocks = F.round(blocks, 9)
-    return both.select("source", "tokens", "n_rows", weight.alias("weight"), blocks.alias("blocks"))
+    return sources.select("source", "tokens", "n_rows", weight.alias("weight"), blocks.alias("blocks"))
 
 
 def _uniform(*parts: Column) -> Column:

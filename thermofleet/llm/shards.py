@@ -44,7 +44,7 @@ def _deal(slots: DataFrame, loads: Column) -> DataFrame:
         lambda s: F.struct((-s["b"]).alias("bytes"), s["v"].alias("virtual_slot")),
     )
     start = F.struct(
-        loads.cast("array<bigint>").alias("loads"), F.lit(0).alias("at"),
+        F.col("l").alias("loads"), F.lit(0).alias("at"),
         F.expr("CAST(array() AS array<struct<virtual_slot:int,shard:int>>)").alias("map"),
     )
 
@@ -55,7 +55,7 @@ def _deal(slots: DataFrame, loads: Column) -> DataFrame:
             F.concat(acc["map"], F.array(F.struct(s["virtual_slot"].alias("virtual_slot"), at.alias("shard")))).alias("map"),
         )
 
-    return slots.agg(order.alias("o")).select(F.inline(F.aggregate("o", start, give, lambda acc: acc["map"])))
+    return slots.agg(order.alias("o"), F.first(loads.cast("array<bigint>")).alias("l")).select(F.inline(F.aggregate("o", start, give, lambda acc: acc["map"])))
 
 
 def first_map(sizes: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
@@ -84,16 +84,8 @@ def rebalanced(slot_map: DataFrame, sizes: DataFrame, shards: int) -> DataFrame:
     """The next version after sizes have changed: full shards hand slots to the emptiest ones, others stay."""
     free = _surplus(slot_map, sizes, F.col("total") / shards)
     stay = slot_map.join(free.select("virtual_slot"), "virtual_slot", "left_anti").join(sizes, "virtual_slot", "left")
-    loads = slot_map.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard")).join(
-        stay.groupBy("shard").agg(F.sum("bytes").alias("bytes")), "shard", "left"
-    ).agg(F.transform(F.array_sort(F.collect_list(F.struct("shard", F.coalesce("bytes", F.lit(0)).alias("b")))), lambda s: s["b"]).alias("loads"))
-    dealt = _deal_from(free, loads)
-    return _edited(slot_map, dealt)
-
-
-def _deal_from(free: DataFrame, loads: DataFrame) -> DataFrame:
-    both = free.select("virtual_slot", "bytes").crossJoin(F.broadcast(loads))  # one row of loads beside the slot table
-    return _deal(both, F.first("loads"))
+    held = {r["shard"]: r["b"] for r in stay.groupBy("shard").agg(F.sum("bytes").alias("b")).collect()}  # one row per shard
+    return _edited(slot_map, _deal(free.select("virtual_slot", "bytes"), F.array(*[F.lit(held.get(k) or 0) for k in range(shards)])))
 
 
 def grown(slot_map: DataFrame, sizes: DataFrame, shards: int) -> DataFrame:

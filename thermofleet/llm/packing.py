@@ -23,19 +23,24 @@ from pyspark.sql import DataFrame, Window, functions as F
 from thermofleet.llm.tables import stored
 
 SEQUENCE = 2_048
-CACHE_WORDS = 400_000  # words a worker remembers; beyond that it starts anew
-BUCKET_ROWS = 4_096  # pieces of one length that are numbered in one group, about
+CACHE_WORDS = 1_000_000  # words a worker remembers; beyond that it starts anew
+BUCKET_ROWS = 1_024  # pieces of one length that are numbered in one group, about
+
+BLOCK_WORDS = 512  # words that are encoded as one text
 
 _TOKENIZERS: dict[str, tuple] = {}
 
 
 def _tokenizer(path: str) -> tuple:
-    """The tokenizer and its word cache, once per Python worker."""
+    """The tokenizer, which of its ids end a word, and its word cache, once per Python worker."""
     if path not in _TOKENIZERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = (Tokenizer.from_file(path), {})
+        tokenizer = Tokenizer.from_file(path)
+        ends = np.zeros(tokenizer.get_vocab_size(), bool)
+        ends[[k for token, k in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        _TOKENIZERS[path] = (tokenizer, ends, {})
     return _TOKENIZERS[path]
 
 
@@ -43,26 +48,43 @@ def _parts(word: bytes) -> list[bytes]:
     """A word as parts that the tokenizer treats apart and that recur more often: letters, then full stops or commas."""
     if word.isascii() and b"<" not in word:
         word = word.lower()
-        core = word.rstrip(b".,")
-        if core and core != word and core.isalpha():
-            return [core, word[len(core):]]
+    core = word.rstrip(b".,")
+    if core and core != word and core.decode().isalpha():
+        return [core, word[len(core):]]
     return [word]
 
 
+def _encoded(words: list[bytes], tokenizer, ends: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
+    """Each word with its ids as bytes. Words of letters are encoded many at a time and parted where an id ends a word."""
+    alone = [w for w in words if not w.decode().isalpha()]
+    letters = [w for w in words if w.decode().isalpha()]
+    blocks = [letters[k:k + BLOCK_WORDS] for k in range(0, len(letters), BLOCK_WORDS)]
+    for block, e in zip(blocks, tokenizer.encode_batch_fast([b" ".join(b).decode() for b in blocks], add_special_tokens=False), strict=True):
+        ids = np.array(e.ids, "<u4")
+        cuts = 4 * (np.flatnonzero(ends[ids]) + 1)
+        if len(cuts) != len(block):  # a letter that becomes several characters in lower case
+            alone += block
+            continue
+        data, at = ids.tobytes(), 0
+        for word, cut in zip(block, cuts.tolist(), strict=True):
+            yield word, data[at:cut]
+            at = cut
+    for k in range(0, len(alone), 20_000):
+        some = alone[k:k + 20_000]
+        for word, e in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
+            yield word, np.array(e.ids, "<u4").tobytes()
+
+
 def token_bytes(texts: list[bytes], path: str) -> list[bytes]:
     """Ids of each text as little-endian 32-bit integers. The tokenizer drops white space, so words are independent."""
-    tokenizer, known = _tokenizer(path)
+    tokenizer, ends, known = _tokenizer(path)
     split = [t.split() for t in texts]
     if len(known) > CACHE_WORDS:
         known.clear()
-    parts = {w: _parts(w) for ws in split for w in ws if w not in known}
-    new = list({p for ps in parts.values() for p in ps} - known.keys())
-    for k in range(0, len(new), 20_000):
-        some = new[k:k + 20_000]
-        for w, e in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
+    parts = {w: _parts(w) for w in {w for ws in split for w in ws} - known.keys()}
+    known.update(_encoded(list({p for ps in parts.values() for p in ps} - known.keys()), tokenizer, ends))
     for w, ps in parts.items():
-        known[w] = b"".join(known[p] for p in ps)
+        known[w] = known[ps[0]] if len(ps) == 1 else known[ps[0]] + known[ps[1]]
     return [b"".join(map(known.__getitem__, ws)) for ws in split]
 
 
@@ -74,8 +96,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE, with_ids:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 1_024):
+                some = batch.slice(at, 1_024)
                 texts = [(t or "").encode() for t in some.column(1).to_pylist()]
                 out: list[list] = [[] for _ in schema]
                 for doc, ids in zip(some.column(0).to_pylist(), token_bytes(texts, tokenizer_path), strict=True):

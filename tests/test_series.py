@@ -1,6 +1,7 @@
 """Chunked operators against brute force on random rows."""
 
 import random
+from datetime import timedelta
 
 import numpy as np
 import pandas as pd
@@ -40,7 +41,7 @@ def test_carry_equals_plain_scan(spark, chunk):
 
 def test_over_rows_crosses_blocks(spark):
     data, df = series(spark, 2, nulls=0)
-    track = Track(("k",), "ts", ("id",), 3_600, block_rows=7)
+    track = Track(("k",), "ts", ("id",), block_rows=7)
     out = over_rows(df, track, 5, 4, [lambda w: {"p": F.lag("v", 5).over(w), "n": F.lead("v", 4).over(w)}])
     got = {r.id: (r.p, r.n) for r in out.collect()}
     assert len(got) == len(data)
@@ -50,15 +51,15 @@ def test_over_rows_crosses_blocks(spark):
             assert got[d[2]] == (o[i - 5][3] if i >= 5 else None, o[i + 4][3] if i + 4 < len(o) else None)
 
 
-def test_over_rows_rejects_a_reach_beyond_the_block(spark):
-    _, df = series(spark, 2, n=5)
-    with pytest.raises(ValueError):
-        over_rows(df, Track(("k",), block_rows=4), 5, 0, [])
+def test_over_rows_reaches_beyond_the_block(spark):
+    df = spark.createDataFrame([(1, at(i), i) for i in range(40)], "k bigint, ts timestamp, v bigint")
+    out = over_rows(df, Track(("k",), block_rows=4), 9, 0, [lambda w: {"p": F.lag("v", 9).over(w)}])
+    assert {r.v: r.p for r in out.collect()} == {i: i - 9 if i >= 9 else None for i in range(40)}
 
 
 def test_numbered(spark):
     data, df = series(spark, 3)
-    got = {r.id: r.n for r in numbered(df, Track(("k",), "ts", ("id",), 900), "n").collect()}
+    got = {r.id: r.n for r in numbered(df, Track(("k",), "ts", ("id",)), "n").collect()}
     for k in (0, 1):
         for i, d in enumerate(sorted([d for d in data if d[0] == k], key=lambda d: (d[1], d[2]))):
             assert got[d[2]] == i + 1
@@ -71,10 +72,10 @@ def test_asof_and_nearest_equal_brute_force(spark, seed):
     unique = {(r[0], r[1]): r for r in right}
     right = list(unique.values())
     rdf = spark.createDataFrame(right, "k bigint, ts timestamp, rid bigint, rv double")
-    back = {r.id: r.right_rid for r in a.asof(ldf, rdf, ["k"], ["rid"], chunk_seconds=1_800).collect()}
-    strict = {r.id: r.right_rid for r in a.asof(ldf, rdf, ["k"], ["rid"], allow_exact=False, chunk_seconds=1_800).collect()}
-    ahead = {r.id: r.right_rid for r in a.asof(ldf, rdf, ["k"], ["rid"], direction="forward", chunk_seconds=1_800).collect()}
-    near = {r.id: r.right_rid for r in a.nearest(ldf, rdf, ["k"], ["rid"], tolerance_seconds=600, chunk_seconds=1_800).collect()}
+    back = {r.id: r.right_rid for r in a.asof(ldf, rdf, ["k"], ["rid"]).collect()}
+    strict = {r.id: r.right_rid for r in a.asof(ldf, rdf, ["k"], ["rid"], allow_exact=False).collect()}
+    ahead = {r.id: r.right_rid for r in a.asof(ldf, rdf, ["k"], ["rid"], direction="forward").collect()}
+    near = {r.id: r.right_rid for r in a.nearest(ldf, rdf, ["k"], ["rid"], tolerance_seconds=600).collect()}
     for k, ts, i, _ in left:
         mine = sorted([r for r in right if r[0] == k], key=lambda r: r[1])
         b = [r for r in mine if r[1] <= ts]
@@ -115,7 +116,7 @@ def test_interpolation_equals_pandas(spark, seed):
     df = spark.createDataFrame(data, "k bigint, ts timestamp, v double")
     want = pd.Series(values, dtype=float).interpolate(method="linear", limit=3)
     for position in (None, g.tick("ts")):
-        out = g.interpolate(df, Track(("k",), chunk_seconds=3_600), "v", 3, position)
+        out = g.interpolate(df, Track(("k",)), "v", 3, position)
         got = [r.v for r in out.orderBy("ts").collect()]
         assert [x if x is not None else np.nan for x in got] == pytest.approx(want.tolist(), nan_ok=True)
 
@@ -159,10 +160,43 @@ def test_weighted_median_and_median(spark):
         assert got[k] == pytest.approx(float(np.median([v for x, v in data if x == k])))
 
 
-def test_fitted_track_shortens_chunks_for_dense_keys(spark):
-    df = spark.createDataFrame([(1, at(i / 60)) for i in range(3_600)], "k bigint, ts timestamp")
-    assert Track(("k",)).fitted(df, rows=1_000).chunk_seconds == 1_000
-    assert Track(("k",)).fitted(df, rows=10_000_000).chunk_seconds == 86_400
+@pytest.fixture
+def small_ranges(spark):
+    """Ranges of a few hundred rows, so that small data is cut many times."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    for k, v in kept.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("spread", [3_600, 0])
+def test_dense_stretches_are_cut_by_rows(spark, small_ranges, spread):
+    """90 % of the rows lie in one hour, or at one instant, of one key; no range holds much more than its share."""
+    rnd = random.Random(11)
+    data = [(1, at(600) + timedelta(seconds=rnd.uniform(0, spread)), i, rnd.choice([None, float(i)])) for i in range(3_600)]
+    data += [(k, at(rnd.uniform(0, 20_000)), 10_000 + i, float(i)) for i, k in enumerate([1, 2] * 200)]
+    df = spark.createDataFrame(data, "k bigint, ts timestamp, id bigint, v double")
+    track = Track(("k",), "ts", ("id",))
+    fullest = track.chunked(df).groupBy("k", "__chunk").count().agg(F.max("count")).first()[0]
+    assert fullest <= len(data) / 6
+    got = {r.id: (r.seen, r.n, r.ahead) for r in carry(df, track, last={"seen": F.col("v")}, total={"n": F.lit(1)}, after={"ahead": F.col("v")}).collect()}
+    for k in (1, 2):
+        seen, mine = None, sorted([d for d in data if d[0] == k], key=lambda d: (d[1], d[2]))
+        ahead = [None] * len(mine)
+        for i in range(len(mine) - 2, -1, -1):
+            ahead[i] = mine[i + 1][3] if mine[i + 1][3] is not None else ahead[i + 1]
+        for i, d in enumerate(mine):
+            seen = d[3] if d[3] is not None else seen
+            assert got[d[2]] == (seen, i + 1, ahead[i])
+
+
+def test_ticks_of_one_key_lie_in_many_partitions(spark):
+    s = spark.createDataFrame([(1, at(0)), (1, at(2_000))], "k bigint, ts timestamp")
+    ticks = g.grid(s, ["k"], 1)
+    parts = [r.n for r in ticks.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(parts) == 120_001 and len(parts) >= 5
 
 
 def test_durbin_watson_white_and_correlated(spark):

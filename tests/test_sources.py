@@ -118,7 +118,7 @@ def test_run_documents_skip_malformed(spark, tmp_path):
     (tmp_path / "b.json").write_text("{not json")
     df = runs.read_runs(spark, str(tmp_path))
     assert rows(runs.run_targets(df), "room", "horizon", "rmse") == [("bed", "12h", 1.0), ("odd", "", 3.0)]
-    assert rows(runs.run_history(df), "label", "git_hash", "mean_rmse") == [("full", "abcdefg", 2.0)]
+    assert rows(runs.run_history(df), "label", "git_hash", "mean_rmse") == [("full", "abcdefghij", 2.0)]
     assert runs.find_run(df, "a").count() == 1 and runs.find_run(df, "zz").count() == 0
 
 
@@ -140,7 +140,6 @@ def test_combinations_are_complete_and_start_with_first_options(spark):
     plans = lk.combination_table(o, ["site_id"], "effector").groupBy("plan_id").agg(F.sort_array(F.collect_list(F.struct("effector", "option_no"))).alias("c"))
     got = {r.plan_id: tuple(x.option_no for x in r.c) for r in plans.collect()}
     assert got[0] == (0, 0, 0) and len(got) == 24 == len(set(got.values()))
-    assert lk.combination_table(o, ["site_id"], "effector", max_plans=23).count() == 3
 
 
 def test_long_and_wide_round_trip(spark):

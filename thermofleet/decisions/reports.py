@@ -31,12 +31,10 @@ def bounds_rows(decisions: DataFrame) -> DataFrame:
     )
 
 
-def historic_band(temps: DataFrame, bounds: DataFrame, schedules: DataFrame, zone: Column | str = "UTC",
-                  chunk_seconds: int = 86_400) -> DataFrame:
+def historic_band(temps: DataFrame, bounds: DataFrame, schedules: DataFrame, zone: Column | str = "UTC") -> DataFrame:
     """Band that applied at each reading: of the last decision naming the label, before the first one the
     schedule at the local hour. `temps` has `(site_id, label, ts, temp)`."""
-    found = asof(temps, bounds, ["site_id", "label"], ["lo", "hi", "pref_lo", "pref_hi"], prefix="d_",
-                 chunk_seconds=chunk_seconds)
+    found = asof(temps, bounds, ["site_id", "label"], ["lo", "hi", "pref_lo", "pref_hi"], prefix="d_")
     plan = hourly_schedule(schedules, ("site_id", "label")).select(
         "site_id", "label", "hour", F.col("acc_lo").alias("s_lo"), F.col("acc_hi").alias("s_hi"),
         F.col("pref_lo").alias("s_pref_lo"), F.col("pref_hi").alias("s_pref_hi"),
@@ -108,11 +106,9 @@ def authority_rows(decisions: DataFrame, dedicated: DataFrame) -> DataFrame:
     return joined.select("site_id", "label", "ts", level.alias("authority"))
 
 
-def control_authority(temps: DataFrame, authority: DataFrame, stale_seconds: int = 1_200,
-                      chunk_seconds: int = 86_400) -> DataFrame:
+def control_authority(temps: DataFrame, authority: DataFrame, stale_seconds: int = 1_200) -> DataFrame:
     """Authority at each reading, valid for 20 minutes after its decision; NULL when there is none."""
-    out = asof(temps, authority, ["site_id", "label"], ["authority"], tolerance_seconds=stale_seconds, prefix="d_",
-               chunk_seconds=chunk_seconds)
+    out = asof(temps, authority, ["site_id", "label"], ["authority"], tolerance_seconds=stale_seconds, prefix="d_")
     return out.withColumnRenamed("d_authority", "authority").drop("d_ts")
 
 

@@ -132,7 +132,7 @@ c AS (SELECT DISTINCT site_id, sensor, 'e' || (CAST(substr(sensor, 2) AS INTEGER
 UNION SELECT e.site_id, e.name, e.name FROM effectors_v e WHERE e.control_type IN ('regulating', 'binary') AND EXISTS (SELECT 1 FROM c WHERE c.site_id = e.site_id AND c.label = e.name)""")
 def dedicated_effectors(spark, sf):
     g = v.gains(spark, sf)
-    label = F.concat(F.lit("e"), (F.substring("sensor", 2, 9).cast("int") + 3).cast("string"))
+    label = F.concat(F.lit("e"), (F.substring(F.col("sensor"), F.lit(2), F.length("sensor")).cast("int") + 3).cast("string"))
     constraints = g.select("site_id", "sensor", label.alias("label")).distinct()
     return r.dedicated_effectors(g, v.effectors(spark, sf), constraints)
 

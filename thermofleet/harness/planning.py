@@ -216,13 +216,20 @@ def coarse_advisory(spark, sf):
     return o.coarse_advisory(_advice(spark, sf)).select("site_id", "device", "action", "return_step")
 
 
-@query("advisory_cross", f"""WITH {ADVICE}, f AS (SELECT site_id, device, count(*) AS n FROM adv GROUP BY 1, 2), z AS (SELECT site_id, count(*) AS n_devices, round(exp(sum(ln(n)))) AS full_size, pow(2, count(*)) AS coarse_size FROM f GROUP BY 1),
-p AS (SELECT o_custkey AS site_id, count(*) * 10 AS n_plans FROM orders GROUP BY 1), c AS (SELECT z.*, p.n_plans, CASE WHEN n_plans * full_size <= 1000 THEN 'full' WHEN n_plans * coarse_size <= 1000 THEN 'coarse' ELSE 'hold' END AS grid FROM z JOIN p USING (site_id))
-SELECT site_id, grid, CAST(CASE grid WHEN 'full' THEN full_size WHEN 'coarse' THEN coarse_size ELSE 1 END AS BIGINT) AS n_combos, CAST(CASE grid WHEN 'full' THEN full_size WHEN 'coarse' THEN coarse_size ELSE 1 END AS BIGINT) * n_devices AS n_rows FROM c""")
+# the caller's choice of grid per site: all combinations, the coarse ones, or hold alone
+GRID = "CASE WHEN site_id % 64 = 0 THEN 'full' WHEN site_id % 8 = 1 THEN 'coarse' ELSE 'hold' END"
+
+
+@query("advisory_cross", f"""WITH {ADVICE}, g AS (SELECT *, {GRID} AS grid FROM adv),
+k AS (SELECT * FROM g WHERE action = 'hold' OR grid = 'full' OR (grid = 'coarse' AND ((is_active AND transition_step = 0) OR (NOT is_active AND return_step = 12)))),
+n AS (SELECT *, row_number() OVER (PARTITION BY site_id, device ORDER BY action <> 'hold', transition_step, return_step) - 1 AS option_no, count(*) OVER (PARTITION BY site_id, device) AS size FROM k),
+d AS (SELECT DISTINCT site_id, device, size FROM n),
+z AS (SELECT site_id, device, size, CAST(round(exp(coalesce(sum(ln(size)) OVER (PARTITION BY site_id ORDER BY device DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS stride, CAST(round(exp(sum(ln(size)) OVER (PARTITION BY site_id))) AS BIGINT) AS total FROM d),
+c AS (SELECT site_id, device, size, stride, unnest(range(total)) AS combo_id FROM z)
+SELECT n.site_id, grid, combo_id, n.device, action, transition_step, return_step FROM c JOIN n ON n.site_id = c.site_id AND n.device = c.device AND n.option_no = (c.combo_id // c.stride) % c.size""")
 def advisory_cross(spark, sf):
-    counts = v.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("site_id")).agg((F.count(F.lit(1)) * 10).alias("n_plans"))
-    combos = o.cross_advisory(counts, _advice(spark, sf), 1000)
-    return combos.groupBy("site_id", "grid").agg((F.max("combo_id") + 1).alias("n_combos"), F.count(F.lit(1)).alias("n_rows"))
+    combos = o.cross_advisory(_advice(spark, sf), F.expr(GRID))
+    return combos.select("site_id", "grid", "combo_id", "device", "action", "transition_step", "return_step")
 
 
 @query("plan_pairs", "WITH c AS (SELECT o_custkey AS site_id, count(*) AS n_plans, count(*) % 4 + 1 AS n_combos FROM orders GROUP BY 1) SELECT site_id, p.p AS plan_id, q.q AS combo_id FROM c, LATERAL (SELECT unnest(range(n_plans)) AS p) p, LATERAL (SELECT unnest(range(n_combos)) AS q) q")

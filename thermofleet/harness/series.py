@@ -45,13 +45,16 @@ def insert_or_ignore(spark, sf):
     return new_rows(stored, keyed, arrival="event_id").select("site_id", "name", v.us("ts").alias("ts_us"), "value")
 
 
-@query("upsert_rows", f"""WITH {v.READINGS}, u AS (SELECT site_id, event_id, value * 2 AS value FROM readings_v WHERE value > 50)
+@query("upsert_rows", f"""WITH {v.READINGS}, u AS (SELECT site_id, event_id, value * 2 AS value FROM readings_v WHERE value > 50),
+w AS (SELECT site_id, event_id, CASE WHEN event_id % 3 = 0 THEN value + 1 ELSE value END AS value FROM u)
 SELECT site_id, event_id, value FROM readings_v r WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.site_id = r.site_id AND u.event_id = r.event_id)
-UNION ALL SELECT site_id, event_id, value FROM u""")
+UNION ALL SELECT site_id, event_id, value FROM w""")
 def upsert_rows(spark, sf):
+    """A third of the keys are updated twice; the later update counts."""
     base = v.readings(spark, sf).select("site_id", "event_id", "value")
-    updates = base.filter(F.col("value") > 50).withColumn("value", F.col("value") * 2)
-    return upsert_by_key(base, updates, ["site_id", "event_id"])
+    updates = base.filter(F.col("value") > 50).withColumns({"value": F.col("value") * 2, "arrival": F.lit(1)})
+    again = updates.filter(F.col("event_id") % 3 == 0).withColumns({"value": F.col("value") + 1, "arrival": F.lit(2)})
+    return upsert_by_key(base, updates.unionByName(again), ["site_id", "event_id"], "arrival")
 
 
 @query("time_slice", f"""WITH {v.READINGS} SELECT site_id, name, count(*) AS n, epoch_us(min(ts)) AS first_us FROM readings_v

@@ -41,8 +41,8 @@ def _merge(
     return lefts.unionByName(rights, allowMissingColumns=True)
 
 
-def _track(by: Sequence[str], tie: Sequence[str], chunk_seconds: int) -> Track:
-    return Track(tuple(by), AT, (SIDE, *[f"__tie_{t}" for t in tie]), chunk_seconds)
+def _track(by: Sequence[str], tie: Sequence[str]) -> Track:
+    return Track(tuple(by), AT, (SIDE, *[f"__tie_{t}" for t in tie]))
 
 
 def asof(
@@ -58,7 +58,6 @@ def asof(
     tolerance_seconds: int | None = None,
     tie: Sequence[str] = (),
     prefix: str = "right_",
-    chunk_seconds: int = 86_400,
 ) -> DataFrame:
     """Every left row with the latest right row at or before it (`backward`) or the first at or after (`forward`).
 
@@ -70,7 +69,7 @@ def asof(
     for t in tie:
         merged = merged.withColumn(f"__tie_{t}", F.col(f"{MATCH}.__tie_{t}"))
     look = {"__found": F.col(MATCH)}
-    track = _track(by, tie, chunk_seconds)
+    track = _track(by, tie)
     found = carry(merged, track, last=look) if backward else carry(merged, track, following=look)
     found = found.filter(F.col("__left").isNotNull())
     if tolerance_seconds is not None:
@@ -98,13 +97,12 @@ def nearest(
     tolerance_seconds: float | None = None,
     inclusive: bool = True,
     prefix: str = "right_",
-    chunk_seconds: int = 86_400,
 ) -> DataFrame:
     """The right row closest in time; a tie goes to the earlier one. Right holds one row per key and time."""
     merged = _merge(left, right, by, left_ts, right_ts, values, (), right_first=True)
     found = carry(
         merged,
-        _track(by, (), chunk_seconds),
+        _track(by, ()),
         last={"__back": F.col(MATCH)},
         following={"__ahead": F.col(MATCH)},
     ).filter(F.col("__left").isNotNull())
@@ -122,7 +120,7 @@ def nearest(
 def forecast_at_horizons(
     refs: DataFrame, forecast: DataFrame, hours: Sequence[int], *, by: Sequence[str] = ("site_id",),
     values: Sequence[str] = ("temperature", "condition", "wind_speed", "cloud_coverage"),
-    tolerance_seconds: int = 5_400, chunk_seconds: int = 86_400,
+    tolerance_seconds: int = 5_400,
 ) -> DataFrame:
     """One row per reference time and whole-hour horizon with the closest forecast entry within 90 minutes."""
     asked = refs.withColumn("horizon_hours", F.explode(F.array(*[F.lit(int(h)) for h in hours]))).withColumn(
@@ -130,14 +128,14 @@ def forecast_at_horizons(
     )
     out = nearest(
         asked, forecast, by, values, left_ts="wanted_ts", right_ts="target_ts",
-        tolerance_seconds=tolerance_seconds, prefix="forecast_", chunk_seconds=chunk_seconds,
+        tolerance_seconds=tolerance_seconds, prefix="forecast_",
     )
     return out.withColumn("horizon", F.concat(F.col("horizon_hours").cast("string"), F.lit("h"))).drop("wanted_ts")
 
 
 def lookup_actual(
     predicted: DataFrame, observed: DataFrame, by: Sequence[str], value: str, *, at: str = "target_ts",
-    observed_ts: str = "ts", within_seconds: int = 180, chunk_seconds: int = 86_400,
+    observed_ts: str = "ts", within_seconds: int = 180,
 ) -> DataFrame:
     """Exact-time value, else the first observation less than `within_seconds` away.
 
@@ -146,12 +144,11 @@ def lookup_actual(
     """
     exact = asof(
         predicted, observed, by, [value], left_ts=at, right_ts=observed_ts, tolerance_seconds=0, prefix="exact_",
-        chunk_seconds=chunk_seconds,
     )
     probe = exact.withColumn("__from", add_seconds(F.col(at), -within_seconds))
     near = asof(
         probe, observed, by, [value], left_ts="__from", right_ts=observed_ts, direction="forward",
-        allow_exact=False, prefix="near_", chunk_seconds=chunk_seconds,
+        allow_exact=False, prefix="near_",
     )
     close = seconds_between(F.col("near_ts"), F.col(at)) < within_seconds
     picked = F.when(F.col("exact_ts").isNotNull(), F.col(f"exact_{value}")).otherwise(

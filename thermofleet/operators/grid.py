@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from thermofleet.functions.timekeys import floor_to
 from thermofleet.operators.asof import asof
+from thermofleet.operators.lookup import PAGE, spread_pages
 from thermofleet.operators.track import Track, carry, numbered, over_rows
 
 STEP = 300
@@ -23,36 +24,31 @@ def grid(series: DataFrame, by: Sequence[str], step_seconds: int = STEP, start:
          end: Column | None = None, ts: str = "ts") -> DataFrame:
     """Every step from the first to the last observation of a key (or between the given bounds).
 
-    Days are expanded first and ticks second, so a long span is spread over tasks rather than built in one row.
+    Spans become pages of ticks that are dealt over partitions before they unfold, so a long span is not built in one task.
     """
     span = series.groupBy(*by).agg(F.min(ts).alias("__lo"), F.max(ts).alias("__hi"))
     lo = floor_to(start if start is not None else F.col("__lo"), step_seconds)
     hi = end if end is not None else F.col("__hi")
-    per_day = 86_400 // step_seconds * step_seconds
-    pieces = span.select(
-        *by,
-        F.explode(F.sequence(F.unix_seconds(lo), F.unix_seconds(hi), F.lit(per_day))).alias("__piece"),
-        F.unix_seconds(hi).alias("__stop"),
-    )
-    seconds = F.sequence(
-        F.col("__piece"), F.least(F.col("__piece") + per_day - step_seconds, F.col("__stop")), F.lit(step_seconds)
-    )
-    return pieces.select(*by, F.explode(seconds).alias("__s")).select(
+    reach = PAGE * step_seconds
+    span = span.select(*by, F.unix_seconds(lo).alias("__first"), F.unix_seconds(hi).alias("__stop")).filter("__stop >= __first")
+    pages = F.floor((F.col("__stop") - F.col("__first")) / reach) + 1
+    begin = F.col("__first") + F.col("__page") * reach
+    seconds = F.sequence(begin, F.least(begin + reach - step_seconds, F.col("__stop")), F.lit(step_seconds).cast("bigint"))
+    return spread_pages(span, pages, "__page").select(*by, F.explode(seconds).alias("__s")).select(
         *by, F.timestamp_seconds(F.col("__s")).alias(ts)
     )
 
 
 def resample_ffill(series: DataFrame, by: Sequence[str], value: str = "value", step_seconds: int = STEP,
                    start: Column | None = None, end: Column | None = None, ts: str = "ts",
-                   tie: Sequence[str] = (), missing: Column | None = None,
-                   chunk_seconds: int = 86_400) -> DataFrame:
+                   tie: Sequence[str] = (), missing: Column | None = None) -> DataFrame:
     """Last known value at or before every tick. Among equal timestamps the last by `tie` counts.
 
     `missing` fills ticks before the first observation (boolean series use false).
     """
     ticks = grid(series, by, step_seconds, start, end, ts)
     known = series.filter(F.col(value).isNotNull())
-    out = asof(ticks, known, by, [value], left_ts=ts, right_ts=ts, tie=tie, chunk_seconds=chunk_seconds)
+    out = asof(ticks, known, by, [value], left_ts=ts, right_ts=ts, tie=tie)
     filled = F.col(f"right_{value}") if missing is None else F.coalesce(F.col(f"right_{value}"), missing)
     return out.withColumn(value, filled).drop(f"right_{value}", "right_ts")
 

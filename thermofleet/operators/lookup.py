@@ -99,30 +99,39 @@ def numbered_choices(options: DataFrame, by: Sequence[str], owner: str, order: S
     return options.withColumn(into, (F.row_number().over(window) - 1).cast("bigint"))
 
 
-def combination_table(options: DataFrame, by: Sequence[str], owner: str, into: str = "plan_id",
-                      max_plans: int | None = None) -> DataFrame:
+PAGE = 10_000  # rows that one page unfolds into, at most
+
+
+def spread_pages(rows: DataFrame, pages: Column, into: str) -> DataFrame:
+    """Each row once per page, numbered from 0, dealt over as many partitions as there are pages.
+
+    Rows with pages are few and small but unfold a lot. One sum tells the number of pages beforehand; a given number of
+    partitions is not merged again at run time, so the unfolding stays spread.
+    """
+    total = rows.agg(F.sum(pages)).first()[0] or 0
+    paged = rows.withColumn(into, F.explode(F.sequence(F.lit(0).cast("bigint"), pages.cast("bigint") - 1)))
+    return paged.repartition(int(min(max(total, 1), MAX_PARTITIONS)), *rows.columns, into)
+
+
+MAX_PARTITIONS = 20_000  # partitions hold more than one page beyond that
+
+
+def combination_table(options: DataFrame, by: Sequence[str], owner: str, into: str = "plan_id") -> DataFrame:
     """Every combination that takes one option per owner, as long rows `(by, plan_id, owner, option_no, ...)`.
 
     Combinations are numbered `0 .. product-1` and each owner's option is read off the number (mixed radix,
     first owner slowest), so the plan space is generated by `sequence` and an equi-join, never by crossing
-    tables. Plan 0 takes option 0 everywhere. Above `max_plans` a key keeps plan 0 only; callers coarsen first.
+    tables. Plan 0 takes option 0 everywhere. Sizes are whole numbers; a key with more combinations
+    than a long can number is an error.
     """
     counts = options.groupBy(*by, owner).agg(F.count(F.lit(1)).alias("__size"))
     radix = Window.partitionBy(*by).orderBy(F.col(owner).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    sized = counts.withColumn(
-        "__stride", F.coalesce(F.product("__size").over(radix), F.lit(1.0)).cast("bigint")
-    )
+    later = F.collect_list("__size").over(radix)
+    sized = counts.withColumn("__stride", F.aggregate(later, F.lit(1).cast("bigint"), lambda n, size: n * size))
     whole = Window.partitionBy(*by)
     sized = sized.withColumn("__plans", F.max(F.col("__stride") * F.col("__size")).over(whole))
-    if max_plans is not None:
-        sized = sized.withColumn("__plans", F.when(F.col("__plans") <= max_plans, F.col("__plans")).otherwise(1))
-    page = 10_000
-    pages = sized.withColumn("__page", F.explode(F.sequence(F.lit(0), F.floor((F.col("__plans") - 1) / page))))
-    numbers = F.sequence(F.col("__page") * page, F.least((F.col("__page") + 1) * page, F.col("__plans")) - 1)
-    # Pages are few and small but unfold a lot: spread them over all cores before unfolding.
-    cores = options.sparkSession.sparkContext.defaultParallelism
-    pages = pages.repartition(cores, *by, "__page")
-    slots = pages.withColumn(into, F.explode(numbers)).withColumn(
+    numbers = F.sequence(F.col("__page") * PAGE, F.least((F.col("__page") + 1) * PAGE, F.col("__plans")) - 1)
+    slots = spread_pages(sized, F.ceil(F.col("__plans") / PAGE), "__page").withColumn(into, F.explode(numbers)).withColumn(
         "option_no", F.floor(F.col(into) / F.col("__stride")) % F.col("__size")
     )
     return slots.drop("__size", "__stride", "__plans", "__page").join(options, [*by, owner, "option_no"], "inner")

@@ -36,10 +36,15 @@ def wide_difference(window: WindowSpec, column: str, half: int = 3, step_hours:
     return (F.lead(x, half).over(window) - F.lag(x, half).over(window)) / (2 * half * step_hours)
 
 
+# Lag-bin edges in 5-minute steps by the largest number of steps they serve; the last edge is that number.
+LAG_EDGES = [(1, [0]), (3, [0, 1]), (6, [0, 3])]
+LONG_LAG_EDGES = [0, 3, 6, 12]
+
+
 def lag_bins(max_lag_minutes: int) -> list[tuple[int, int]]:
     """Step ranges `[start, end)` that cover a lag: finer near zero, coarser for slow devices."""
     steps = max(1, max_lag_minutes // 5)
-    edges = [0, 1] if steps == 1 else [0, 1, steps] if steps <= 3 else [0, 3, steps] if steps <= 6 else [0, 3, 6, 12, steps]
+    edges = [*next((e for most, e in LAG_EDGES if steps <= most), LONG_LAG_EDGES), steps]
     return list(zip(edges, edges[1:]))
 
 

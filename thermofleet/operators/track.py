@@ -1,19 +1,22 @@
-"""Ordered series that are cut in time, so that no task ever holds one key's whole history.
+"""Ordered series that are cut by rows, so that no task ever holds one key's whole history.
 
-A plain window `partitionBy(site)` puts a site's entire history in one task. The functions here split each
-series into chunks of fixed length, run ordinary windows inside `(key, chunk)`, and carry what crosses a chunk
-border through a table with one row per chunk. The answer equals the unsplit window; the largest task is one
-chunk. All windows of one call share one shuffle.
+A plain window `partitionBy(site)` puts a site's entire history in one task. The functions here deal the rows into ranges
+of the full order `(key, time, tie)` whose borders Spark samples from the rows themselves, so a dense hour, or many rows
+at one instant, is cut like any other stretch. Ordinary windows run inside `(key, range)`, and what crosses a border is
+carried through a table with one row per range. The answer equals the unsplit window; the largest task is one range. The
+cut is a reliable checkpoint: every later look at the rows, and every retry, sees the same ranges.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from thermofleet.session import cut_lineage
+
 CHUNK = "__chunk"
 BLOCK = "__block"
 HOME = "__home"
@@ -27,25 +30,17 @@ class Track:
     by: tuple[str, ...]
     ts: str = "ts"
     tie: tuple[str, ...] = ()
-    chunk_seconds: int = 86_400
     block_rows: int = 4_096
 
     def chunked(self, df: DataFrame) -> DataFrame:
-        """Add the chunk number, or keep the one an earlier step left (it keeps the partitioning too)."""
-        if CHUNK in df.columns:
-            return df
-        return df.withColumn(CHUNK, F.floor(F.unix_seconds(F.col(self.ts)) / self.chunk_seconds))
+        """Add the number of the row's range, or keep the one an earlier step left.
 
-    def fitted(self, df: DataFrame, rows: int = 2_000_000, shortest: int = 300) -> Track:
-        """The same track with chunks short enough that the fullest one holds about `rows` rows.
-
-        One aggregation counts rows per key and hour; use it where a key may be far denser than a reading every
-        few seconds. Rows of one key at one instant cannot be told apart in time: reduce them first (`keep_first`).
+        Ranges hold about as many rows as Spark puts in a shuffle partition; rows of one key in one range are one chunk.
         """
-        hour = F.floor(F.unix_seconds(F.col(self.ts)) / 3_600)
-        fullest = df.groupBy(*self.by, hour.alias("__h")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-        seconds = int(3_600 * rows / max(fullest or 1, 1))
-        return replace(self, chunk_seconds=max(shortest, min(self.chunk_seconds, seconds)))
+        if CHUNK in df.columns:
+            return df
+        dealt = df.repartitionByRange(*self.by, *self.order()).withColumn(CHUNK, F.spark_partition_id().cast("bigint"))
+        return cut_lineage(dealt)
 
     def order(self) -> list[Column]:
         return [F.col(c) for c in (self.ts, *self.tie)]
@@ -177,9 +172,7 @@ def over_rows(
     frame never lacks a row it should see. `steps` run one after the other on the same partitioning, each
     receiving the block window. Give `position` on a complete grid (tick number); otherwise rows are counted.
     """
-    size = track.block_rows
-    if max(reach_back, reach_ahead) > size:
-        raise ValueError(f"reach {max(reach_back, reach_ahead)} exceeds the block of {size} rows")
+    size = max(track.block_rows, reach_back, reach_ahead)
     placed = numbered(df, track) if position is None else df.withColumn(POSITION, position.cast("bigint"))
     home = F.floor(F.col(POSITION) / size)
     copies = [home]

@@ -8,14 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thermofleet.functions.timekeys import hour_in_window
-from thermofleet.operators.lookup import combination_table, drop_keys, numbered_choices, with_effect
+from thermofleet.operators.lookup import PAGE, combination_table, drop_keys, numbered_choices, spread_pages, with_effect
 
 # Start delays, run lengths and return times in 5-minute steps; the horizon is six hours.
 DELAYS = (0, 12, 24)
 DURATIONS = (12, 24, 72)
 RETURN_STEPS = (0, 12, 24, 36)
 HORIZON = 72
-MAX_PLANS = 100_000
 
 OPTION = ["mode", "target", "delay_steps", "duration_steps"]
 
@@ -243,23 +242,13 @@ def coarse_advisory(options: DataFrame) -> DataFrame:
     return numbered_choices(kept.drop("option_no"), ["site_id"], "device", [F.col("action") != "hold"])
 
 
-def cross_advisory(plan_counts: DataFrame, options: DataFrame, max_total: int = MAX_PLANS) -> DataFrame:
-    """Device combinations to put beside each plan: the full grid, the coarse grid, or hold only.
+def cross_advisory(options: DataFrame, grid: Column) -> DataFrame:
+    """Device combinations to put beside each plan.
 
-    `plan_counts` has `(site_id, n_plans)`. Sizes are computed from option counts before anything is expanded,
-    so a site never generates more than `max_total` rows. Returns long rows with `combo_id` and the grid used.
+    `grid` says per site what to build: `full` (every option), `coarse` (hold and the best action of each device) or
+    `hold`. The caller chooses; nothing is left out because of its size. Long rows with `combo_id` and the grid.
     """
-    per_device = options.groupBy("site_id", "device").agg(F.count(F.lit(1)).alias("n"))
-    sizes = per_device.groupBy("site_id").agg(
-        F.product("n").alias("full"), F.product(F.least("n", F.lit(2))).alias("coarse")
-    )
-    grid = (
-        F.when(F.col("n_plans") * F.col("full") <= max_total, "full")
-        .when(F.col("n_plans") * F.col("coarse") <= max_total, "coarse")
-        .otherwise("hold")
-    )
-    chosen = plan_counts.join(sizes, ["site_id"]).select("site_id", grid.alias("grid"))
-    marked = _coarse_mark(options).join(chosen, ["site_id"])
+    marked = _coarse_mark(options).withColumn("grid", grid)
     kept = marked.filter(
         (F.col("grid") == "full") | ((F.col("grid") == "coarse") & F.col("__coarse")) | (F.col("action") == "hold")
     ).withColumnRenamed("option_no", "__no")
@@ -267,14 +256,14 @@ def cross_advisory(plan_counts: DataFrame, options: DataFrame, max_total: int =
     return combination_table(numbered, ["site_id"], "device", "combo_id")
 
 
-def plan_pairs(counts: DataFrame, by: Sequence[str] = ("site_id",), page: int = 10_000) -> DataFrame:
+def plan_pairs(counts: DataFrame, by: Sequence[str] = ("site_id",)) -> DataFrame:
     """Numbers of every plan with every device combination, from `(…, n_plans, n_combos)` alone.
 
-    The sizes were checked by `cross_advisory`; pairs are read off a running number, so no tables are joined.
+    Pairs are read off a running number, page by page over many partitions, so no tables are joined.
     """
     total = F.col("n_plans") * F.col("n_combos")
-    pages = counts.withColumn("__page", F.explode(F.sequence(F.lit(0), F.floor((total - 1) / page))))
-    numbers = F.sequence(F.col("__page") * page, F.least((F.col("__page") + 1) * page, total) - 1)
+    numbers = F.sequence(F.col("__page") * PAGE, F.least((F.col("__page") + 1) * PAGE, total) - 1)
+    pages = spread_pages(counts.filter(total > 0), F.ceil(total / PAGE), "__page")
     return pages.withColumn("pair_id", F.explode(numbers)).select(
         *by,
         "pair_id",

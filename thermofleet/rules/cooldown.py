@@ -12,8 +12,7 @@ from thermofleet.operators.asof import asof
 from thermofleet.session import cut_lineage
 
 
-def sent_times(alerts: DataFrame, by: Sequence[str], cooldown_seconds: Column | int, at: str = "raised_at",
-               chunk_seconds: int = 86_400) -> DataFrame:
+def sent_times(alerts: DataFrame, by: Sequence[str], cooldown_seconds: Column | int, at: str = "raised_at") -> DataFrame:
     """Send times per key: the first alert, then always the first one at least a cooldown after the last send.
 
     The rule looks sequential, but the alert that would follow a send depends only on its time, so every alert
@@ -23,8 +22,7 @@ def sent_times(alerts: DataFrame, by: Sequence[str], cooldown_seconds: Column |
     wait = F.lit(cooldown_seconds) if isinstance(cooldown_seconds, int) else cooldown_seconds
     times = alerts.groupBy(*by, at).agg(F.max(wait).alias("__wait"))
     probes = times.withColumn("__from", add_seconds(F.col(at), F.col("__wait")))
-    linked = asof(probes, times, by, [], left_ts="__from", right_ts=at, direction="forward", prefix="next_",
-                  chunk_seconds=chunk_seconds)
+    linked = asof(probes, times, by, [], left_ts="__from", right_ts=at, direction="forward", prefix="next_")
     hop = cut_lineage(linked.filter(F.col("next_ts").isNotNull()).select(*by, at, "next_ts"))
     reached = cut_lineage(times.groupBy(*by).agg(F.min(at).alias(at)))
     while True:
@@ -40,9 +38,9 @@ def sent_times(alerts: DataFrame, by: Sequence[str], cooldown_seconds: Column |
 
 
 def cooldown_scan(alerts: DataFrame, by: Sequence[str], cooldown_seconds: Column | int, at: str = "raised_at",
-                  tie: Sequence[str] = (), chunk_seconds: int = 86_400) -> DataFrame:
+                  tie: Sequence[str] = ()) -> DataFrame:
     """Alerts with `sent`: of several at a send time only the first by `tie` goes out."""
-    sent = sent_times(alerts, by, cooldown_seconds, at, chunk_seconds)
+    sent = sent_times(alerts, by, cooldown_seconds, at)
     if not tie:
         return alerts.join(sent.withColumn("sent", F.lit(True)), [*by, at], "left").withColumn(
             "sent", F.coalesce("sent", F.lit(False))

@@ -32,7 +32,7 @@ def precondition_met(checks: DataFrame, states: DataFrame, now: Column) -> DataF
     return joined.filter(met).select(*checks.columns)
 
 
-def sustained_counts(checks: DataFrame, history: DataFrame, now: Column, chunk_seconds: int = 86_400) -> DataFrame:
+def sustained_counts(checks: DataFrame, history: DataFrame, now: Column) -> DataFrame:
     """Violating one-minute samples (at :30) in each check's window, the state being held between changes."""
     started = checks.filter(F.col("sustain_minutes") > 0).withColumn(
         "__start", add_seconds(now, -F.col("sustain_minutes") * 60)
@@ -45,7 +45,7 @@ def sustained_counts(checks: DataFrame, history: DataFrame, now: Column, chunk_s
         "site_id", "entity_id", "changed_at", F.col("state").try_cast("double").alias("number")
     ).filter(F.col("number").isNotNull())
     seen = asof(samples, values, ["site_id", "entity_id"], ["number"], left_ts="sample_ts", right_ts="changed_at",
-                prefix="s_", chunk_seconds=chunk_seconds)
+                prefix="s_")
     return seen.groupBy("site_id", "name").agg(
         F.count_if(outside(F.col("s_number"), F.col("min_value"), F.col("max_value"))).alias("n_violating")
     )

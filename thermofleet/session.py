@@ -17,6 +17,8 @@ JOB_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+# Set when a session is built: files of a checkpoint go as soon as nothing refers to it.
+BUILD_SETTINGS = {**JOB_SETTINGS, "spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
 
 
 def build_session(master: str | None = None, app: str = "thermofleet", **extra: str) -> SparkSession:
@@ -24,7 +26,7 @@ def build_session(master: str | None = None, app: str = "thermofleet", **extra:
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**JOB_SETTINGS, **{k.replace("__", "."): v for k, v in extra.items()}}.items():
+    for key, value in {**BUILD_SETTINGS, **{k.replace("__", "."): v for k, v in extra.items()}}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     ship_package(spark)
@@ -60,10 +62,12 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder named by `spark.checkpoint.dir`; a local one only where the setting is absent."""
+    """The folder named by `spark.checkpoint.dir`. Without the setting only a local master may use a folder of its machine."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
+    if named is None and current is None and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if named is None:
         named = current or tempfile.mkdtemp(prefix="thermofleet-checkpoints-")
     if current is None:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thermofleet.functions.timekeys import as_timestamp
-from thermofleet.operators.spans import keep_first
+from thermofleet.operators.spans import keep_first, keep_last
 
 READING_KEY = ("site_id", "ts", "name")
 
@@ -50,12 +50,24 @@ def new_rows(existing: DataFrame, incoming: DataFrame, keys: Sequence[str] = REA
 
 def append_new(existing: DataFrame, incoming: DataFrame, path: str, keys: Sequence[str] = READING_KEY,
                arrival: str = "arrival") -> None:
-    rows = new_rows(existing, incoming, keys, arrival).drop(arrival).withColumn("dt", F.to_date("ts"))
+    """Append to a table that is partitioned by day. Only days that the incoming rows touch are compared.
+
+    Equal keys have equal days, so the day joins too; Spark prunes the stored partitions to those days at run time.
+    """
+    dated = incoming.withColumn("dt", F.to_date("ts"))
+    stored = existing if "dt" in existing.columns else existing.withColumn("dt", F.to_date("ts"))
+    touched = stored.join(dated.select("dt").distinct(), "dt", "left_semi")
+    rows = new_rows(touched, dated, [*keys, "dt"], arrival).drop(arrival)
     rows.write.mode("append").partitionBy("dt").parquet(path)
 
 
-def upsert_by_key(base: DataFrame, updates: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Updated rows replace stored rows of the same key; columns a side lacks read NULL."""
+def upsert_by_key(base: DataFrame, updates: DataFrame, keys: Sequence[str], arrival: str | None = None) -> DataFrame:
+    """Updated rows replace stored rows of the same key; columns a side lacks read NULL.
+
+    Of several updates of a key the last by `arrival` counts; without it updates hold one row per key.
+    """
+    if arrival is not None:
+        updates = keep_last(updates, keys, arrival).drop(arrival)
     return base.join(updates.select(*keys), list(keys), "left_anti").unionByName(updates, allowMissingColumns=True)
 
 

@@ -48,7 +48,7 @@ def run_history(runs: DataFrame) -> DataFrame:
         return F.when(F.size("targets") > 0, total / F.size("targets")).otherwise(0.0)
 
     return runs.select(
-        label.alias("label"), "timestamp", "file", F.substring(F.coalesce("git_hash", F.lit("?")), 1, 7).alias("git_hash"),
+        label.alias("label"), "timestamp", "file", F.coalesce("git_hash", F.lit("?")).alias("git_hash"),
         F.coalesce(F.col("data.rows_raw"), F.lit(0)).alias("rows_raw"),
         F.coalesce(F.col("data.n_features"), F.lit(0)).alias("n_features"),
         mean("rmse").alias("mean_rmse"), mean("mae").alias("mean_mae"),

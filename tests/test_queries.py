@@ -19,7 +19,7 @@ QUERIES = {n: q for n, q in entry.queries().items() if n in OWN}
 SQL = {n: q for n, q in entry.oracle_sql().items() if n in OWN}
 # These start jobs while they are built (checkpoints, streams), so their plans are not inspected here.
 EAGER = {n for n in QUERIES if n.startswith("stream_")} | {
-    "fit_health", "gbt_errors", "cooldown_scan", "tau_grid_fit", "sensor_taus", "sealed_ventilated"
+    "fit_health", "gbt_errors", "cooldown_scan", "params_taus", "params_betas", "params_gains", "run_files", "tau_grid_fit", "sensor_taus", "sealed_ventilated"
 }
 
 

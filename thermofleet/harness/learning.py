@@ -42,7 +42,7 @@ def override_scenarios(spark, sf):
     return out.select("site_id", v.us("ts").alias("ts_us"), "scenario", "error", "signup")
 
 
-@query("scenario_deltas", f"WITH {v.FILLED}, s AS (SELECT f.site_id, f.ts, u.n AS scenario, coalesce(CAST(u.e AS DOUBLE), f.error) * 2 + coalesce(CAST(u.s AS DOUBLE), f.signup) AS p FROM filled_v f CROSS JOIN (VALUES ('all_off', 0.0, NULL), ('heat', 1.0, NULL), ('both', 1.0, 5.0)) u(n, e, s)) SELECT a.site_id, epoch_us(a.ts) AS ts_us, a.scenario, round(a.p - b.p, 6) AS delta FROM s a JOIN s b ON b.site_id = a.site_id AND b.ts = a.ts AND b.scenario = 'all_off'")
+@query("scenario_deltas", f"WITH {v.FILLED}, s AS (SELECT f.site_id, f.ts, u.n AS scenario, coalesce(CAST(u.e AS DOUBLE), f.error) * 2 + coalesce(CAST(u.s AS DOUBLE), f.signup) AS p FROM filled_v f CROSS JOIN (VALUES ('all_off', 0.0, NULL), ('heat', 1.0, NULL), ('both', 1.0, 5.0)) u(n, e, s)) SELECT site_id, epoch_us(ts) AS ts_us, scenario, round(p - max(CASE WHEN scenario = 'all_off' THEN p END) OVER (PARTITION BY site_id, ts), 6) AS delta FROM s")
 def scenario_deltas(spark, sf):
     scored = t.override_scenarios(v.filled(spark, sf), SCENARIOS).withColumn("p", F.col("error") * 2 + F.col("signup"))
     return t.scenario_deltas(scored, "p", ["site_id", "ts"]).select("site_id", v.us("ts").alias("ts_us"), "scenario", v.r6("delta").alias("delta"))

@@ -14,11 +14,10 @@ from thermofleet.streaming import jobs as j
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 R = f"WITH {v.READINGS}"
-MARK = "(SELECT max(epoch_us(ts)) - 900000000 FROM readings_v)"
 
 
 def _stream(spark, sf):
-    raw = j.read_readings(spark, sf, EVENTS, "events.parquet")
+    raw = j.read_readings(spark, f"{sf}/events.parquet", EVENTS)
     return raw.select((F.col("user_id") % 16).alias("site_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("name"), "value", "event_id")
 
 
@@ -42,9 +41,10 @@ def stream_insert_ignore(spark, sf):
     return spark.read.parquet(out).select("site_id", "name", v.us("ts").alias("ts_us"), "value")
 
 
-@query("stream_rollup", R + f", w AS (SELECT site_id, name, {ROUND5} AS ts5, value FROM readings_v), g AS (SELECT site_id, name, ts5, count(*) AS n_rows, max(value) AS max_value FROM w GROUP BY 1, 2, 3) SELECT site_id, name, epoch_us(ts5) AS ts_us, n_rows, max_value FROM g WHERE epoch_us(ts5) + 300000000 <= (SELECT max(epoch_us(date_trunc('minute', ts))) + 120000000 - 900000000 FROM readings_v)")
+@query("stream_rollup", R + f" SELECT site_id, name, epoch_us({ROUND5}) AS ts_us, count(*) AS n_rows, max(value) AS max_value FROM readings_v GROUP BY site_id, name, {ROUND5}")
 def stream_rollup(spark, sf):
-    return _run(spark, j.rollup(_stream(spark, sf)), "rollup").select("site_id", "name", v.us("ts").alias("ts_us"), "n_rows", "max_value")
+    out = j.with_open_windows(_run(spark, j.rollup(_stream(spark, sf)), "rollup"), v.readings(spark, sf))
+    return out.select("site_id", "name", v.us("ts").alias("ts_us"), "n_rows", "max_value")
 
 
 @query("stream_change_only", SQL["change_only"])
@@ -68,9 +68,10 @@ def stream_heartbeat(spark, sf):
 
 
 @query("stream_sessions", R + f""", l AS (SELECT *, lag(ts) OVER (PARTITION BY site_id ORDER BY ts) AS prev FROM readings_v), s AS (SELECT *, sum(CASE WHEN epoch_us(ts) - epoch_us(prev) >= 7200000000 THEN 1 ELSE 0 END) OVER (PARTITION BY site_id ORDER BY ts) AS sid FROM l)
-SELECT site_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS end_us, count(*) AS n_rows FROM s GROUP BY site_id, sid HAVING epoch_us(max(ts)) + 7200000000 <= {MARK}""")
+SELECT site_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS end_us, count(*) AS n_rows FROM s GROUP BY site_id, sid""")
 def stream_sessions(spark, sf):
     out = _run(spark, j.gap_sessions(_stream(spark, sf), ["site_id"], "2 hours"), "sessions")
+    out = j.with_open_sessions(out, v.readings(spark, sf).select("site_id", "ts"), ["site_id"], "2 hours")
     return out.select("site_id", v.us("start_ts").alias("start_us"), v.us("end_ts").alias("end_us"), "n_rows")
 
 

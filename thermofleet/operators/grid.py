@@ -31,10 +31,10 @@ def grid(series: DataFrame, by: Sequence[str], step_seconds: int = STEP, start:
     hi = end if end is not None else F.col("__hi")
     reach = PAGE * step_seconds
     span = span.select(*by, F.unix_seconds(lo).alias("__first"), F.unix_seconds(hi).alias("__stop")).filter("__stop >= __first")
-    pages = F.floor((F.col("__stop") - F.col("__first")) / reach) + 1
+    ticks = F.floor((F.col("__stop") - F.col("__first")) / step_seconds) + 1
     begin = F.col("__first") + F.col("__page") * reach
     seconds = F.sequence(begin, F.least(begin + reach - step_seconds, F.col("__stop")), F.lit(step_seconds).cast("bigint"))
-    return spread_pages(span, pages, "__page").select(*by, F.explode(seconds).alias("__s")).select(
+    return spread_pages(span, ticks, "__page").select(*by, F.explode(seconds).alias("__s")).select(
         *by, F.timestamp_seconds(F.col("__s")).alias(ts)
     )
 

@@ -5,7 +5,7 @@ No join carries a broadcast hint: dimensions grow with the fleet, so Spark decid
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -102,15 +102,16 @@ def numbered_choices(options: DataFrame, by: Sequence[str], owner: str, order: S
 PAGE = 10_000  # rows that one page unfolds into, at most
 
 
-def spread_pages(rows: DataFrame, pages: Column, into: str) -> DataFrame:
-    """Each row once per page, numbered from 0, dealt over as many partitions as there are pages.
+def spread_pages(rows: DataFrame, size: Column, into: str) -> DataFrame:
+    """Each row once per page of the `size` rows it will unfold into, dealt over as many partitions as those rows fill.
 
-    Rows with pages are few and small but unfold a lot. One sum tells the number of pages beforehand; a given number of
-    partitions is not merged again at run time, so the unfolding stays spread.
+    Rows with pages are few and small but unfold a lot. One sum tells how much beforehand; a given number of partitions is
+    not merged again at run time, so the unfolding stays spread.
     """
-    total = rows.agg(F.sum(pages)).first()[0] or 0
-    paged = rows.withColumn(into, F.explode(F.sequence(F.lit(0).cast("bigint"), pages.cast("bigint") - 1)))
-    return paged.repartition(int(min(max(total, 1), MAX_PARTITIONS)), *rows.columns, into)
+    total = rows.agg(F.sum(size)).first()[0] or 0
+    last = F.greatest(F.ceil(size / PAGE).cast("bigint") - 1, F.lit(0))
+    paged = rows.withColumn(into, F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    return paged.repartition(int(min(total // PAGE + 1, MAX_PARTITIONS)), *rows.columns, into)
 
 
 MAX_PARTITIONS = 20_000  # partitions hold more than one page beyond that
@@ -131,7 +132,7 @@ def combination_table(options: DataFrame, by: Sequence[str], owner: str, into: s
     whole = Window.partitionBy(*by)
     sized = sized.withColumn("__plans", F.max(F.col("__stride") * F.col("__size")).over(whole))
     numbers = F.sequence(F.col("__page") * PAGE, F.least((F.col("__page") + 1) * PAGE, F.col("__plans")) - 1)
-    slots = spread_pages(sized, F.ceil(F.col("__plans") / PAGE), "__page").withColumn(into, F.explode(numbers)).withColumn(
+    slots = spread_pages(sized, F.col("__plans"), "__page").withColumn(into, F.explode(numbers)).withColumn(
         "option_no", F.floor(F.col(into) / F.col("__stride")) % F.col("__size")
     )
     return slots.drop("__size", "__stride", "__plans", "__page").join(options, [*by, owner, "option_no"], "inner")
@@ -145,9 +146,3 @@ def keep_keys(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
 def drop_keys(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     """Set difference by key."""
     return df.join(keys.select(*on).distinct(), list(on), "left_anti")
-
-
-def lookup_map(table: Mapping, key: Column) -> Column:
-    """A short fixed table as a literal map."""
-    items = [F.lit(x) for pair in table.items() for x in pair]
-    return F.element_at(F.create_map(*items), key)

@@ -263,7 +263,7 @@ def plan_pairs(counts: DataFrame, by: Sequence[str] = ("site_id",)) -> DataFrame
     """
     total = F.col("n_plans") * F.col("n_combos")
     numbers = F.sequence(F.col("__page") * PAGE, F.least((F.col("__page") + 1) * PAGE, total) - 1)
-    pages = spread_pages(counts.filter(total > 0), F.ceil(total / PAGE), "__page")
+    pages = spread_pages(counts.filter(total > 0), total, "__page")
     return pages.withColumn("pair_id", F.explode(numbers)).select(
         *by,
         "pair_id",

@@ -50,13 +50,15 @@ def new_rows(existing: DataFrame, incoming: DataFrame, keys: Sequence[str] = REA
 
 def append_new(existing: DataFrame, incoming: DataFrame, path: str, keys: Sequence[str] = READING_KEY,
                arrival: str = "arrival") -> None:
-    """Append to a table that is partitioned by day. Only days that the incoming rows touch are compared.
+    """Append to a table that is partitioned by day. Only the days that the incoming rows touch are read.
 
-    Equal keys have equal days, so the day joins too; Spark prunes the stored partitions to those days at run time.
+    Equal keys have equal days. The days of a batch are few values; they become a partition filter of the scan.
     """
     dated = incoming.withColumn("dt", F.to_date("ts"))
     stored = existing if "dt" in existing.columns else existing.withColumn("dt", F.to_date("ts"))
-    touched = stored.join(dated.select("dt").distinct(), "dt", "left_semi")
+    first, last = dated.agg(F.min("dt"), F.max("dt")).first()
+    days = F.lit(False) if first is None else F.col("dt").between(F.lit(first), F.lit(last))
+    touched = stored.filter(days).join(dated.select("dt").distinct(), "dt", "left_semi")
     rows = new_rows(touched, dated, [*keys, "dt"], arrival).drop(arrival)
     rows.write.mode("append").partitionBy("dt").parquet(path)
 

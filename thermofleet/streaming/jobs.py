@@ -27,12 +27,21 @@ def read_states(spark: SparkSession, folder: str, max_files: int = 16) -> DataFr
     return spark.readStream.schema(schemas.ENTITY_STATES).option("maxFilesPerTrigger", max_files).json(folder)
 
 
-def read_readings(spark: SparkSession, folder: str, schema: str = schemas.READINGS, glob: str | None = None,
-                  max_files: int = 16) -> DataFrame:
+def _status(spark: SparkSession, path: str):
+    """The Hadoop file status of a path, or None where nothing is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.getFileStatus(where) if files.exists(where) else None
+
+
+def read_readings(spark: SparkSession, path: str, schema: str = schemas.READINGS, max_files: int = 16) -> DataFrame:
+    """A parquet table as a stream: a folder of part files, or one file."""
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.parquet(folder)
+    status = _status(spark, path)
+    if status is not None and status.isFile():
+        folder, _, name = path.rstrip("/").rpartition("/")
+        return reader.option("pathGlobFilter", name).parquet(folder)
+    return reader.parquet(path)
 
 
 def ingest(states: DataFrame, dims: DataFrame, late: str = LATE, zero_fill: bool = False) -> DataFrame:
@@ -64,6 +73,20 @@ def gap_sessions(readings: DataFrame, by: Sequence[str] = ("site_id", "name"), g
     ).drop("w")
 
 
+def with_open_windows(closed: DataFrame, readings: DataFrame) -> DataFrame:
+    """Rollup windows a stream has closed, and those still open at its end, computed from the same rows in batch."""
+    newest = closed.agg(F.max("ts")).first()[0]
+    every = rollup(readings)
+    return closed.unionByName(every if newest is None else every.filter(F.col("ts") > F.lit(newest)))
+
+
+def with_open_sessions(closed: DataFrame, readings: DataFrame, by: Sequence[str], gap: str) -> DataFrame:
+    """Sessions a stream has closed, and each key's rows after its last closed session as sessions still open."""
+    last = closed.groupBy(*by).agg(F.max("end_ts").alias("__closed"))
+    rest = readings.join(last, list(by), "left").filter(F.col("__closed").isNull() | (F.col("ts") > F.col("__closed")))
+    return closed.unionByName(gap_sessions(rest.drop("__closed"), by, gap))
+
+
 def _key_schema(df: DataFrame, by: Sequence[str]) -> str:
     types = dict(df.dtypes)
     return ", ".join(f"{k} {types[k]}" for k in by)
@@ -202,19 +225,19 @@ def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "app
 
 
 def append_new_batches(stream: DataFrame, out: str, checkpoint: str, keys: Sequence[str] = READING_KEY, arrival: Column | None = None):
-    """Insert-or-ignore sink: each micro-batch appends only keys the table does not hold yet."""
-    from thermofleet.sources.readings import new_rows
+    """Insert-or-ignore sink: each micro-batch appends only keys the table does not hold yet.
+
+    The table is partitioned by day and a batch reads only the days it touches, all of their keys: a batch that is run
+    again after its append finds its own rows there and adds nothing.
+    """
+    from thermofleet.sources.readings import append_new
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         incoming = batch.withColumn("arrival", arrival if arrival is not None else F.monotonically_increasing_id())
-        try:
-            stored = spark.read.parquet(out).select(*keys)
-        except Exception as problem:  # the table is created by the first batch
-            if "PATH_NOT_FOUND" not in str(problem) and "UNABLE_TO_INFER_SCHEMA" not in str(problem):
-                raise
-            stored = batch.select(*keys).limit(0)
-        new_rows(stored, incoming, keys).drop("arrival").write.mode("append").parquet(out)
+        schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in batch.schema.fields)}, dt date"
+        stored = spark.read.schema(schema).parquet(out) if _status(spark, out) else spark.createDataFrame([], schema)
+        append_new(stored, incoming, out, keys)
 
     return (
         stream.writeStream.foreachBatch(write)

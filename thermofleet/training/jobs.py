@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thermofleet.functions.timekeys import add_seconds
@@ -101,8 +101,8 @@ def override_scenarios(df: DataFrame, scenarios: Mapping[str, Mapping[str, float
 
 def scenario_deltas(scored: DataFrame, prediction: str, keys: Sequence[str], base: str = "all_off") -> DataFrame:
     """Prediction of each scenario minus the all-off one of the same row."""
-    rest = scored.filter(F.col("scenario") == base).select(*keys, F.col(prediction).alias("__base"))
-    return scored.join(rest, list(keys)).withColumn("delta", F.col(prediction) - F.col("__base")).drop("__base")
+    of_base = F.max(F.when(F.col("scenario") == base, F.col(prediction))).over(Window.partitionBy(*keys))
+    return scored.withColumn("delta", F.col(prediction) - of_base)
 
 
 def every_nth(df: DataFrame, n: int = 3, ts: str = "ts", tie: Sequence[str] = ()) -> DataFrame:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from thermofleet.llm import exchange as X
-from thermofleet.llm.hashing import anchors, concatenated, covered, joined, ranges, spans, window_hashes, word_hashes, word_spans
+from thermofleet.llm.hashing import anchors, concatenated, covered, joined, mixed, ranges, spans, window_hashes, word_hashes, word_spans
 
 WINDOW = 13
 LAST_ID = np.iinfo(np.int64).max  # stands for a null doc_id
@@ -44,7 +44,8 @@ class _Words:
 
     def short_keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct short windows, whether two documents of the chunk hold each, and each run's number among them."""
-        keys, inverse = np.unique(self.short[self.anchor], return_inverse=True)
+        # the least of several hashes are small; mixed once more they spread evenly over the key ranges
+        keys, inverse = np.unique(mixed(self.short[self.anchor]), return_inverse=True)
         doc = self.doc[self.anchor]
         low, high = np.full(len(keys), LAST_ID), np.full(len(keys), np.iinfo(np.int64).min)
         np.minimum.at(low, inverse, doc)

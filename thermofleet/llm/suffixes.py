@@ -44,7 +44,8 @@ class _Suffixes:
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct (q-gram, block) pairs in order: both names, how often, first run of each, and each run's pair."""
-        gram, b, e = self.grams[self.anchor], self.begin, self.end
+        # the least of many hashes are small; mixed once more they spread evenly over the key ranges
+        gram, b, e = mixed(self.grams[self.anchor]), self.begin, self.end
         size = e - b + self.length
         block = mixed(size.astype(U))
         step = 0

@@ -11,7 +11,7 @@ from thermofleet.functions.bands import band_status
 from thermofleet.functions.labels import effector_suffix, sensor_label
 from thermofleet.functions.timekeys import local_hour
 from thermofleet.operators.aggregates import best_gain, capacity_stats, comfort_stats
-from thermofleet.operators.asof import asof, nearest
+from thermofleet.operators.asof import asof, forecast_at_horizons, nearest
 from thermofleet.operators.lookup import hourly_schedule
 from thermofleet.operators.reshape import flatten_map2
 from thermofleet.plans.comfort import apply_profile, radiant_offset, shift_bounds
@@ -163,6 +163,24 @@ def logged_vs_recomputed(logged: DataFrame, recomputed: DataFrame, tolerance_sec
     return out.withColumn("difference", F.col("comfort_cost") - F.col("logged_comfort_cost"))
 
 
+def board_sections(latest: DataFrame, environment: DataFrame, refs: DataFrame, forecast: DataFrame,
+                   hours: tuple[int, ...] = (1, 2, 4, 6, 12)) -> DataFrame:
+    """The board beside its temperatures: rows `(site_id, section, name, value, state)`.
+
+    `environment` lists `(site_id, name)` of openings and shades: their latest value and whether they are active.
+    `refs` is `(site_id, ts)`, the time of the board: the closest forecast entry at each horizon and its condition.
+    """
+    states = latest.join(environment.select("site_id", "name"), ["site_id", "name"], "left_semi").select(
+        "site_id", F.lit("environment").alias("section"), "name", F.col("value").try_cast("double").alias("value"),
+        F.when(F.col("active"), "active").otherwise("default").alias("state"),
+    )
+    ahead = forecast_at_horizons(refs, forecast, hours, values=("temperature", "condition")).select(
+        "site_id", F.lit("forecast").alias("section"), F.col("horizon").alias("name"),
+        F.col("forecast_temperature").alias("value"), F.col("forecast_condition").alias("state"),
+    )
+    return states.unionByName(ahead)
+
+
 def status_board(latest: DataFrame, schedules: DataFrame, profile: DataFrame, weather: DataFrame, solar_gains: DataFrame,
                  zones: DataFrame, alpha: float = 0.05, reference: float = 50.0, max_offset: float = 2.0,
                  solar_response: float = 1.0) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from thermofleet.decisions import backfill as b
 from thermofleet.decisions import bundle as bu
 from thermofleet.decisions import reports as r
+from thermofleet.functions.timekeys import add_seconds
 from thermofleet.harness import views as v
 from thermofleet.harness.planning import cost_sql
 from thermofleet.harness.registry import query
@@ -190,9 +191,9 @@ def logged_vs_recomputed(spark, sf):
 
 
 @query("status_board", f"""WITH {v.STATES}, {v.schedules_sql()}, lt AS (SELECT site_id, name, arg_max(value, (ts, event_id)) AS temp FROM states_v GROUP BY 1, 2), w AS (SELECT site_id, max(value) FILTER (WHERE name = 'error') % 60 AS outdoor FROM states_v GROUP BY 1),
-b AS (SELECT lt.site_id, lt.name, lt.temp, h.acc_lo, h.acc_hi + CASE WHEN lt.site_id % 4 = 1 THEN 2.0 ELSE 0.0 END AS acc_hi, h.pref_lo, greatest(-2.0, least(2.0, 0.05 * (50 - (w.outdoor + 10.0 * 0.5 * 0.5)))) AS sh, greatest(-2.0, least(2.0, 0.05 * (50 - w.outdoor))) AS bs FROM lt JOIN hours_v h ON h.site_id = lt.site_id AND h.sensor = lt.name AND h.hour = 17 JOIN w ON w.site_id = lt.site_id),
+b AS (SELECT lt.site_id, lt.name, lt.temp, h.acc_lo, h.acc_hi + CASE WHEN lt.site_id % 4 = 1 THEN 2.0 ELSE 0.0 END AS acc_hi, h.pref_lo, h.pref_hi, greatest(-2.0, least(2.0, 0.05 * (50 - (w.outdoor + 10.0 * 0.5 * 0.5)))) AS sh, greatest(-2.0, least(2.0, 0.05 * (50 - w.outdoor))) AS bs FROM lt JOIN hours_v h ON h.site_id = lt.site_id AND h.sensor = lt.name AND h.hour = 17 JOIN w ON w.site_id = lt.site_id),
 f AS (SELECT *, CASE WHEN abs(sh) < 0.05 THEN 0.0 ELSE sh END AS shift FROM b)
-SELECT site_id, name AS sensor, temp, round(acc_hi + shift, 6) AS acc_hi, round(acc_lo + shift, 6) AS acc_lo, temp < acc_lo + shift AS is_cold, temp > acc_hi + shift AS is_hot FROM f""")
+SELECT site_id, name AS sensor, temp, round(acc_hi + shift, 6) AS acc_hi, round(acc_lo + shift, 6) AS acc_lo, round(pref_lo + shift, 6) AS pref_lo, round(pref_hi + shift, 6) AS pref_hi, CASE WHEN temp < acc_lo + shift THEN 'COLD' WHEN temp > acc_hi + shift THEN 'HOT' WHEN temp < pref_lo + shift THEN 'below pref' WHEN temp > pref_hi + shift THEN 'above pref' ELSE 'in band' END AS status FROM f""")
 def status_board(spark, sf):
     rd = v.readings(spark, sf)
     latest = agg.latest_per_name(rd, order=F.struct("ts", "event_id"))
@@ -203,7 +204,21 @@ def status_board(spark, sf):
     kind = F.col("site_id") % 4 == 1
     profile = sites.filter(kind).select("site_id", *[F.lit(x).alias(n) for n, x in (("preferred_offset", 0.0), ("preferred_widen", 0.0), ("min_offset", 0.0), ("max_offset", 2.0), ("penalty_scale", 1.0))])
     out = r.status_board(latest, v.schedules(spark, sf), profile, weather, solar, zones)
-    return out.select("site_id", "sensor", "temp", v.r6("acc_hi").alias("acc_hi"), v.r6("acc_lo").alias("acc_lo"), (F.col("status") == "COLD").alias("is_cold"), (F.col("status") == "HOT").alias("is_hot"))
+    return out.select("site_id", "sensor", "temp", v.r6("acc_hi").alias("acc_hi"), v.r6("acc_lo").alias("acc_lo"), v.r6("pref_lo").alias("pref_lo"), v.r6("pref_hi").alias("pref_hi"), "status")
+
+
+@query("board_sections", f"""WITH {v.STATES}, lt AS (SELECT site_id, name, arg_max(value, (ts, event_id)) AS value FROM states_v WHERE name <> 'purchase' GROUP BY 1, 2),
+r AS (SELECT site_id, h.h, max(ts) - INTERVAL 20 HOUR + to_hours(h.h) AS wanted FROM states_v CROSS JOIN (VALUES (1), (2), (4), (6), (12)) h(h) GROUP BY 1, 2),
+c AS (SELECT r.site_id, r.h, s.value, s.k, row_number() OVER (PARTITION BY r.site_id, r.h ORDER BY abs(epoch_us(s.ts) - epoch_us(r.wanted)), s.ts) AS n FROM r JOIN states_v s ON s.site_id = r.site_id AND abs(epoch_us(s.ts) - epoch_us(r.wanted)) <= 5400000000)
+SELECT site_id, 'environment' AS section, name, value, CASE WHEN value > 0.5 THEN 'active' ELSE 'default' END AS state FROM lt
+UNION ALL SELECT r.site_id, 'forecast', r.h || 'h', c.value, CASE WHEN c.k IS NULL THEN NULL WHEN c.k % 2 = 0 THEN 'sunny' ELSE 'rainy' END FROM r LEFT JOIN c ON c.site_id = r.site_id AND c.h = r.h AND c.n = 1""")
+def board_sections(spark, sf):
+    s = v.states(spark, sf)
+    latest = agg.latest_per_name(s, order=F.struct("ts", "event_id"))
+    environment = s.filter(F.col("name") != "purchase").select("site_id", "name").distinct()
+    refs = s.groupBy("site_id").agg(add_seconds(F.max("ts"), -20 * 3600).alias("ts"))
+    forecast = s.select("site_id", F.col("ts").alias("target_ts"), F.col("value").alias("temperature"), F.when(F.col("k") % 2 == 0, "sunny").otherwise("rainy").alias("condition"))
+    return r.board_sections(latest, environment, refs, forecast)
 
 
 POINT = "TIMESTAMP '2024-01-20 06:00:00'"

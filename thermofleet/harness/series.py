@@ -81,14 +81,14 @@ def keep_last(spark, sf):
 
 def _sides(spark, sf):
     r = v.readings(spark, sf)
-    left = r.filter(F.col("name") == "purchase").select("site_id", "ts", "event_id")
-    right = r.filter(F.col("name") == "view").select("site_id", "ts", "value", F.col("event_id").alias("view_id"))
+    left = r.select("site_id", add_seconds(F.col("ts"), 1_800).alias("ts"), "event_id")
+    right = r.select("site_id", "ts", "value", F.col("event_id").alias("view_id"))
     return left, right
 
 
 SIDES = (
-    f"WITH {v.READINGS}, l AS (SELECT site_id, ts, event_id FROM readings_v WHERE name = 'purchase'), "
-    "r AS (SELECT site_id, ts, value, event_id AS view_id FROM readings_v WHERE name = 'view')"
+    f"WITH {v.READINGS}, l AS (SELECT site_id, ts + INTERVAL 30 MINUTE AS ts, event_id FROM readings_v), "
+    "r AS (SELECT site_id, ts, value, event_id AS view_id FROM readings_v)"
 )
 
 
@@ -130,8 +130,7 @@ def nearest_tol(spark, sf):
     return a.nearest(left, right, ["site_id"], ["view_id"], tolerance_seconds=7200).select("site_id", "event_id", "right_view_id")
 
 
-@query("forecast_horizons", SIDES.replace("l AS (SELECT site_id, ts, event_id", "l AS (SELECT site_id, ts + to_hours(h.hours) AS ts, event_id, h.hours").replace(
-    "FROM readings_v WHERE name = 'purchase'", "FROM readings_v CROSS JOIN (VALUES (1), (2), (4), (6), (12)) h(hours) WHERE name = 'purchase'")
+@query("forecast_horizons", SIDES.replace("l AS (SELECT site_id, ts + INTERVAL 30 MINUTE AS ts, event_id FROM readings_v", "l AS (SELECT site_id, ts + INTERVAL 30 MINUTE + to_hours(h.hours) AS ts, event_id, h.hours FROM readings_v CROSS JOIN (VALUES (1), (2), (4), (6), (12)) h(hours)")
     + NEAREST.replace("SELECT l.site_id, l.event_id,", "SELECT l.site_id, l.event_id, l.hours,")
     + """ SELECT site_id, event_id, hours || 'h' AS horizon, CASE WHEN fid IS NULL OR bg <= fg THEN CASE WHEN bg <= 5400000000 THEN bid END
 ELSE CASE WHEN fg <= 5400000000 THEN fid END END AS forecast_view_id FROM c""")
@@ -145,14 +144,14 @@ MINUTE = "date_trunc('minute', ts)"
 
 
 @query("lookup_actual", f"""WITH {v.READINGS}, o AS (SELECT site_id, {MINUTE} AS ts, max(value) AS value FROM readings_v GROUP BY 1, 2),
-p AS (SELECT site_id, event_id, {MINUTE} + INTERVAL 1 HOUR AS target FROM readings_v WHERE name = 'purchase'),
+p AS (SELECT site_id, event_id, {MINUTE} + INTERVAL 1 HOUR AS target FROM readings_v),
 m AS (SELECT p.site_id, p.event_id, o.value, row_number() OVER (PARTITION BY p.event_id ORDER BY CASE WHEN o.ts = p.target THEN 0 ELSE 1 END, o.ts) AS rn
 FROM p JOIN o ON o.site_id = p.site_id AND abs(epoch_us(o.ts) - epoch_us(p.target)) < 180000000)
 SELECT p.site_id, p.event_id, m.value AS actual FROM p LEFT JOIN m ON m.event_id = p.event_id AND m.rn = 1""")
 def lookup_actual(spark, sf):
     r = v.readings(spark, sf).withColumn("ts", F.date_trunc("minute", "ts"))
     observed = r.groupBy("site_id", "ts").agg(F.max("value").alias("value"))
-    asked = r.filter(F.col("name") == "purchase").select("site_id", "event_id", add_seconds(F.col("ts"), 3600).alias("target_ts"))
+    asked = r.select("site_id", "event_id", add_seconds(F.col("ts"), 3600).alias("target_ts"))
     return a.lookup_actual(asked, observed, ["site_id"], "value").select("site_id", "event_id", "actual")
 
 

@@ -75,11 +75,10 @@ def stream_sessions(spark, sf):
     return out.select("site_id", v.us("start_ts").alias("start_us"), v.us("end_ts").alias("end_us"), "n_rows")
 
 
-@query("stream_outcomes", R + """, p AS (SELECT site_id, ts AS dts, ts + INTERVAL 1 HOUR AS wanted, value FROM readings_v WHERE name = 'purchase'), c AS (SELECT p.*, r.value AS actual, row_number() OVER (PARTITION BY p.site_id, p.dts ORDER BY abs(epoch_us(r.ts) - epoch_us(p.wanted)), r.ts) AS n FROM p JOIN readings_v r ON r.site_id = p.site_id AND r.name = 'view' AND abs(epoch_us(r.ts) - epoch_us(p.wanted)) <= 3600000000)
-SELECT site_id, epoch_us(dts) AS decision_us, actual, round(value - actual, 3) AS error FROM c WHERE n = 1""")
+@query("stream_outcomes", R + """, p AS (SELECT site_id, name, ts AS dts, ts + INTERVAL 1 HOUR AS wanted, value FROM readings_v), c AS (SELECT p.*, r.value AS actual, row_number() OVER (PARTITION BY p.site_id, p.name, p.dts ORDER BY abs(epoch_us(r.ts) - epoch_us(p.wanted)), r.ts) AS n FROM p JOIN readings_v r ON r.site_id = p.site_id AND r.name = p.name AND abs(epoch_us(r.ts) - epoch_us(p.wanted)) <= 3600000000)
+SELECT site_id, name AS sensor, epoch_us(dts) AS decision_us, actual, round(value - actual, 3) AS error FROM c WHERE n = 1""")
 def stream_outcomes(spark, sf):
-    r = _stream(spark, sf)
-    p = r.filter(F.col("name") == "purchase").select("site_id", F.col("ts").alias("decision_ts"), F.lit("view").alias("sensor"), F.lit("1h").alias("horizon"),
-                                                     add_seconds(F.col("ts"), 3600).alias("wanted_ts"), F.col("value").alias("predicted"))
+    p = _stream(spark, sf).select("site_id", F.col("ts").alias("decision_ts"), F.col("name").alias("sensor"), F.lit("1h").alias("horizon"),
+                                  add_seconds(F.col("ts"), 3600).alias("wanted_ts"), F.col("value").alias("predicted"))
     pairs = _run(spark, j.outcome_candidates(p, _stream(spark, sf), 3600), "outcomes")
-    return j.nearest_candidate(pairs).select("site_id", v.us("decision_ts").alias("decision_us"), "actual", "error")
+    return j.nearest_candidate(pairs).select("site_id", "sensor", v.us("decision_ts").alias("decision_us"), "actual", "error")

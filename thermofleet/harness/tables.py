@@ -170,6 +170,17 @@ def states_to_readings(spark, sf):
     return out.select("site_id", v.us("ts").alias("ts_us"), "name", number.alias("number"), F.when(number.isNull(), F.col("value")).alias("word"))
 
 
+@query("states_complete", f"""WITH {v.STATES}, polls AS (SELECT DISTINCT site_id, ts FROM states_v), names AS (SELECT * FROM (VALUES ('view', 'view', '0.0'), ('click', 'click', '0'), ('purchase', 'purchase_temp', '0.0'), ('purchase', 'purchase_target', '0.0'), ('purchase', 'purchase_action', 'idle'), ('error', 'error', '1.0'), ('signup', 'signup_mode', 'off')) t(name, column_name, fallback)),
+a AS (SELECT p.site_id, p.ts, n.name, n.column_name, n.fallback FROM polls p CROSS JOIN names n WHERE NOT EXISTS (SELECT 1 FROM states_v s WHERE s.site_id = p.site_id AND s.ts = p.ts AND s.name = n.name))
+SELECT site_id, column_name AS name, fallback AS value, count(*) AS n FROM a GROUP BY 1, 2, 3""")
+def states_complete(spark, sf):
+    """Defaults of the entities that a poll did not report."""
+    states = _entity_states(spark, sf).withColumn("ts", F.col("last_updated"))
+    absent = st.with_absent(states, _dims(spark, sf)).filter(F.col("state").isNull())
+    out = st.states_to_readings(absent, _dims(spark, sf), F.col("ts"), zero_fill=True)
+    return out.groupBy("site_id", "name", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("history_series", f"""WITH {v.STATES} SELECT site_id, epoch_us(ts) AS ts_us, CASE WHEN k % 5 <> 0 THEN value END AS number, k % 2 = 0 AS flag,
 CASE WHEN k % 2 = 0 THEN 'off' ELSE 'low' END AS fan, 'idle' AS action, CAST(k AS DOUBLE) AS target FROM states_v WHERE k % 13 <> 0 AND k % 11 <> 0""")
 def history_series(spark, sf):
@@ -210,9 +221,9 @@ def forecast_json(spark, sf):
     return out.select("site_id", v.us("target_ts").alias("target_us"), "temperature", "condition", "wind_speed")
 
 
-@query("decisions_scan", R + "SELECT site_id, event_id, value AS predicted, event_id % 7 = 0 AS blocked, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value / 2 END AS lo FROM readings_v WHERE name = 'purchase'")
+@query("decisions_scan", R + "SELECT site_id, event_id, value AS predicted, event_id % 7 = 0 AS blocked, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value / 2 END AS lo FROM readings_v")
 def decisions_scan(spark, sf):
-    r = v.readings(spark, sf).filter(F.col("name") == "purchase")
+    r = v.readings(spark, sf)
     landed = r.select(
         "site_id", "ts", F.col("event_id").cast("double").alias("comfort_cost"),
         F.to_json(F.create_map(F.lit("view"), F.create_map(F.lit("1h"), F.col("value")))).alias("predictions"),
@@ -316,10 +327,10 @@ def compare_common(spark, sf):
     return lk.compare_common(a, b, ["site_id", "name"], ["value"])
 
 
-@query("prefer_source", R + ", a AS (SELECT site_id, date_trunc('hour', ts) AS ts, max(value) AS value FROM readings_v WHERE name = 'view' GROUP BY 1, 2), b AS (SELECT site_id, date_trunc('hour', ts) AS ts, max(value) AS value FROM readings_v WHERE name = 'click' GROUP BY 1, 2) SELECT site_id, epoch_us(ts) AS ts_us, value FROM a UNION ALL SELECT site_id, epoch_us(ts), value FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.site_id = b.site_id AND a.ts = b.ts)")
+@query("prefer_source", R + ", a AS (SELECT site_id, date_trunc('hour', ts) AS ts, max(value) AS value FROM readings_v WHERE name = 'view' GROUP BY 1, 2), b AS (SELECT site_id, date_trunc('hour', ts) AS ts, max(value) AS value FROM readings_v WHERE name <> 'view' GROUP BY 1, 2) SELECT site_id, epoch_us(ts) AS ts_us, value FROM a UNION ALL SELECT site_id, epoch_us(ts), value FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.site_id = b.site_id AND a.ts = b.ts)")
 def prefer_source(spark, sf):
     r = v.readings(spark, sf).withColumn("ts", F.date_trunc("hour", "ts"))
-    first, second = [r.filter(F.col("name") == n).groupBy("site_id", "ts").agg(F.max("value").alias("value")) for n in ("view", "click")]
+    first, second = [r.filter(own).groupBy("site_id", "ts").agg(F.max("value").alias("value")) for own in (F.col("name") == "view", F.col("name") != "view")]
     return lk.prefer(first, second, ["site_id", "ts"]).select("site_id", v.us("ts").alias("ts_us"), "value")
 
 

@@ -25,7 +25,7 @@ def _number(value: Column, zero_fill: bool) -> Column:
 
 def fan_mode(state: Column) -> Column:
     preset = _attr("preset_mode")
-    return F.when(state == "off", "off").otherwise(F.when(preset != "", preset).otherwise("low"))
+    return F.when(F.coalesce(state, F.lit("off")) == "off", "off").otherwise(F.when(preset != "", preset).otherwise("low"))
 
 
 def open_fraction(active_state: Column) -> Column:
@@ -35,10 +35,24 @@ def open_fraction(active_state: Column) -> Column:
     return F.round(F.when(active_state == "open", openness).otherwise(1.0 - openness), 2)
 
 
-def states_to_readings(states: DataFrame, dims: DataFrame, ts: Column | None = None, zero_fill: bool = False) -> DataFrame:
-    """One row per derived column. Missing or unparsable numbers are NULL rows, or `0` with `zero_fill`."""
+def with_absent(states: DataFrame, dims: DataFrame) -> DataFrame:
+    """States with a row, without state and attributes, for every entity that a site's poll (`ts`) did not report."""
+    polls = states.select("site_id", "ts").distinct()
+    absent = polls.join(dims.select("site_id", "entity_id").distinct(), "site_id").join(
+        states.select("site_id", "ts", "entity_id"), ["site_id", "ts", "entity_id"], "left_anti"
+    )
+    return states.unionByName(absent, allowMissingColumns=True)
+
+
+def states_to_readings(states: DataFrame, dims: DataFrame, ts: Column | None = None, zero_fill: bool = False,
+                       complete: bool = False) -> DataFrame:
+    """One row per derived column. Missing or unparsable numbers are NULL rows, or `0` with `zero_fill`.
+
+    `complete` gives every configured entity a row at every poll; one that did not report has its default.
+    """
     ts = ts if ts is not None else F.coalesce("last_updated", "last_changed")
-    joined = states.withColumn("ts", ts).join(dims, ["site_id", "entity_id"], "inner")
+    timed = states.withColumn("ts", ts)
+    joined = (with_absent(timed, dims) if complete else timed).join(dims, ["site_id", "entity_id"], "inner")
     state = F.col("state")
     name = F.col("name")
     manual = F.col("mode_control") == "manual"
@@ -65,7 +79,7 @@ def states_to_readings(states: DataFrame, dims: DataFrame, ts: Column | None = N
         )
         .when(F.col("kind") == "fan", F.array(row("_mode", fan_mode(F.coalesce(state, F.lit("off"))))))
         .when(F.col("kind") == "numeric", F.array(row("", _number(state, zero_fill))))
-        .when(F.col("kind") == "state", F.array(row("", state)))
+        .when(F.col("kind") == "state", F.array(row("", F.coalesce(state, F.lit("")))))
         .when(
             F.col("kind") == "binary",
             F.array(row("", F.when(state == F.col("active_state"), "1").otherwise("0"))),

@@ -35,7 +35,10 @@ class Effector:
 
 @dataclass(frozen=True)
 class Layout:
-    """Which columns mean what. The catalog is shared by a group of sites with the same equipment."""
+    """Which columns mean what. The catalog is shared by a group of sites with the same equipment.
+
+    Place and zone here are those of sites that have no row of their own in the table given to `prepare`.
+    """
 
     sensors: Sequence[str]
     effectors: Sequence[Effector] = ()
@@ -94,14 +97,32 @@ def best_outdoor(wide: DataFrame, layout: Layout, minimum: int = 100, limit: int
     return joined.drop("__met", *[f"{c}_usable" for c in sources])
 
 
-def prepare(wide: DataFrame, layout: Layout, min_outdoor: int = 100) -> DataFrame:
-    """All features that look at neighbouring rows, on one partitioning, plus the sun."""
-    ready = effector_activity(best_outdoor(wide, layout, min_outdoor), layout)
-    condition = F.col("weather_condition") if "weather_condition" in wide.columns else F.lit("unknown")
-    elevation = solar_elevation(F.lit(layout.latitude), F.lit(layout.longitude), F.col("ts"))
-    ready = ready.withColumns({"solar_elev_deg": elevation, "local_hour": local_hour(F.col("ts"), layout.zone)}).withColumn(
+def with_place(df: DataFrame, layout: Layout, places: DataFrame | None) -> DataFrame:
+    """Add each site's latitude, longitude and zone."""
+    defaults = {"latitude": F.lit(layout.latitude), "longitude": F.lit(layout.longitude), "zone": F.lit(layout.zone)}
+    if places is None:
+        return df.withColumns(defaults)
+    own = places.select("site_id", *[F.col(c).alias(f"__{c}") for c in defaults])
+    joined = df.join(own, ["site_id"], "left")
+    return joined.withColumns({c: F.coalesce(F.col(f"__{c}"), d) for c, d in defaults.items()}).drop(*[f"__{c}" for c in defaults])
+
+
+def with_sun(df: DataFrame) -> DataFrame:
+    """Solar elevation, local hour and sun on a surface, from the row's place."""
+    condition = F.col("weather_condition") if "weather_condition" in df.columns else F.lit("unknown")
+    elevation = solar_elevation(F.col("latitude"), F.col("longitude"), F.col("ts"))
+    return df.withColumns({"solar_elev_deg": elevation, "local_hour": local_hour(F.col("ts"), F.col("zone"))}).withColumn(
         "solar", positive_sine(F.col("solar_elev_deg")) * solar_fraction(condition)
     )
+
+
+def prepare(wide: DataFrame, layout: Layout, min_outdoor: int = 100, places: DataFrame | None = None) -> DataFrame:
+    """All features that look at neighbouring rows, on one partitioning, plus the sun.
+
+    `places` has `(site_id, latitude, longitude, zone)`, one row per site.
+    """
+    ready = effector_activity(best_outdoor(wide, layout, min_outdoor), layout)
+    ready = with_sun(with_place(ready, layout, places))
     hours = layout.step_hours
     longest = max([e.max_lag_minutes // 5 for e in layout.effectors], default=1)
 
@@ -181,7 +202,7 @@ def design(rows: DataFrame, taus: DataFrame, layout: Layout, min_active: float =
             name = f"lag_{e.name}_{bin_label(start, end)}"
             features[name] = F.col(name)
     features.update(weather_controls(F.col("outdoor_best"), F.col("temp"), wind, F.col("outdoor_rate")))
-    features.update(day_harmonics(F.col("ts"), layout.zone))
+    features.update(day_harmonics(F.col("ts"), F.col("zone") if "zone" in rows.columns else layout.zone))
 
     def state(c: str) -> Column:
         return F.when(F.col(f"__n_{c}") >= min_active, F.coalesce(F.col(c).cast("double"), F.lit(0.0))).otherwise(0.0)

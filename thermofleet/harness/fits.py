@@ -8,7 +8,7 @@ from thermofleet.fitting import gains as g
 from thermofleet.fitting import ridge as rg
 from thermofleet.fitting.gram import gram
 from thermofleet.fitting.pipeline import fit_sites
-from thermofleet.fitting.prepare import Effector, Layout, prepare, uncontrolled_segments
+from thermofleet.fitting.prepare import Effector, Layout, prepare, uncontrolled_segments, with_place, with_sun
 from thermofleet.fitting.tau import POINTS, first_grid, fit_segments, sealed_and_ventilated, sensor_taus
 from thermofleet.harness import views as v
 from thermofleet.harness.registry import query
@@ -49,6 +49,19 @@ SELECT site_id, epoch_us(ts) AS ts_us, round(ob, 6) AS outdoor_best, round(CASE
 round((lead(smooth, 3) OVER t - lag(smooth, 3) OVER t) / 6.0, 6) AS rate_view, {bins} FROM o WINDOW t AS (PARTITION BY site_id ORDER BY ts)"""
 
 
+@query("site_sun", f"""WITH {v.READINGS}, p AS (SELECT *, CASE site_id % 3 WHEN 0 THEN 35.7 WHEN 1 THEN 33.4 ELSE 47.6 END AS lat, CASE site_id % 3 WHEN 0 THEN 139.7 WHEN 1 THEN -112.0 ELSE -122.3 END AS lon, CASE site_id % 3 WHEN 0 THEN 9 WHEN 1 THEN -7 ELSE 0 END AS off FROM readings_v),
+e AS (SELECT *, radians(23.45 * sin(radians(360.0 / 365.0 * (dayofyear(ts) - 81)))) AS d, radians(15.0 * (date_part('hour', ts) + date_part('minute', ts) / 60.0 + floor(date_part('second', ts)) / 3600.0 + lon / 15.0 - 12.0)) AS h FROM p)
+SELECT event_id, CAST(date_part('hour', ts + to_hours(off)) AS INTEGER) AS local_hour, round(degrees(asin(greatest(-1.0, least(1.0, sin(radians(lat)) * sin(d) + cos(radians(lat)) * cos(d) * cos(h))))), 6) AS solar_elev_deg FROM e""")
+def site_sun(spark, sf):
+    """Two thirds of the sites have a place of their own, the others the layout's."""
+    kind = F.col("site_id") % 3
+    places = v.sites(spark, sf).filter(kind < 2).select(
+        "site_id", F.when(kind == 0, 35.7).otherwise(33.4).alias("latitude"), F.when(kind == 0, 139.7).otherwise(-112.0).alias("longitude"),
+        F.when(kind == 0, "Asia/Tokyo").otherwise("America/Phoenix").alias("zone"))
+    out = with_sun(with_place(v.readings(spark, sf), LAYOUT, places))
+    return out.select("event_id", "local_hour", v.r6("solar_elev_deg").alias("solar_elev_deg"))
+
+
 @query("prepared_features", _prepare_sql())
 def prepared_features(spark, sf):
     out = prepare(_wide(spark, sf), LAYOUT)

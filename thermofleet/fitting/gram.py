@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HELD = 512  # matrices a task keeps before handing them on
@@ -38,6 +38,18 @@ def _poisson_one(u: np.ndarray) -> np.ndarray:
     return np.searchsorted(np.cumsum(terms), u).astype(float)
 
 
+def _whole(half: Column) -> Column:
+    """The full matrix, row by row, from its upper triangle; only the triangle goes through the shuffle."""
+    d = ((F.sqrt(8.0 * F.size(half) + 1.0) - 1.0) / 2.0).cast("int")
+
+    def cell(q: Column) -> Column:
+        row, column = F.floor(q / d).cast("int"), (q % d).cast("int")
+        a, b = F.least(row, column), F.greatest(row, column)
+        return F.element_at(half, (a * d - F.floor(a * (a - 1) / 2).cast("int") + b - a + 1).cast("int"))
+
+    return F.transform(F.sequence(F.lit(0), d * d - 1), cell)
+
+
 def gram(rows: DataFrame, by: Sequence[str], replicates: int = 0, seed: int = 42) -> DataFrame:
     """`(by, [replicate,] g array<double>)` from rows `(by, x array<double>, y[, row_hash])`.
 
@@ -53,7 +65,7 @@ def gram(rows: DataFrame, by: Sequence[str], replicates: int = 0, seed: int = 42
         held: dict[tuple, np.ndarray] = {}
 
         def emit() -> pd.DataFrame:
-            data = [(*k, m.ravel()) for k, m in held.items()]
+            data = [(*k, m[np.triu_indices(len(m))]) for k, m in held.items()]
             held.clear()
             return pd.DataFrame(data, columns=out_names)
 
@@ -79,4 +91,4 @@ def gram(rows: DataFrame, by: Sequence[str], replicates: int = 0, seed: int = 42
     cells = narrow.mapInPandas(partial, out_schema).select(*groups, F.posexplode("g").alias("cell", "v"))
     summed = cells.groupBy(*groups, "cell").agg(F.sum("v").alias("v"))
     ordered = F.sort_array(F.collect_list(F.struct("cell", "v")))
-    return summed.groupBy(*groups).agg(F.transform(ordered, lambda c: c["v"]).alias("g"))
+    return summed.groupBy(*groups).agg(F.transform(ordered, lambda c: c["v"]).alias("g")).withColumn("g", _whole(F.col("g")))

@@ -130,14 +130,15 @@ def with_residuals(design: DataFrame, fits: DataFrame, by: Sequence[str] = ("sit
 
 
 def holdout(design: DataFrame, fits: DataFrame, by: Sequence[str] = ("site_id", "sensor"), min_rows: int = 1_000,
-            share: int = 5) -> DataFrame:
+            share: int = 5, held: Column | None = None) -> DataFrame:
     """Error on a fifth of the rows when fitted on the rest, with the full fit's penalty and scale.
 
-    Rows are dealt by a hash of their key, two matrices per group are summed, and both errors follow from them:
-    no second pass over the rows.
+    `held` marks the rows held out; without it they are dealt by a hash of their key. Two matrices per group are
+    summed, and both errors follow from them: no second pass over the rows.
     """
     keys = list(by)
-    dealt = design.withColumn("fold", (F.pmod(F.xxhash64(*keys, "ts"), F.lit(share)) == 0).cast("int"))
+    held = held if held is not None else F.pmod(F.xxhash64(*keys, "ts"), F.lit(share)) == 0
+    dealt = design.withColumn("fold", held.cast("int"))
     grams = gram(dealt, [*keys, "fold"])
     sides = grams.groupBy(*keys).agg(
         F.max(F.when(F.col("fold") == 0, F.col("g"))).alias("train"), F.max(F.when(F.col("fold") == 1, F.col("g"))).alias("test")

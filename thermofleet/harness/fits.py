@@ -186,11 +186,21 @@ def ridge_residuals(spark, sf):
     return out.withColumn("durbin_watson", v.r6("durbin_watson"))
 
 
-@query("holdout_rmse")
+HOLDOUT = f"""WITH {SUMS.replace("value AS y FROM states_v)", "value AS y, event_id % 5 = 0 AS held FROM states_v)")}, q AS (SELECT site_id, sensor, sqrt(bb / n - (sb / n) * (sb / n)) AS sd, 0.01 * n AS lam FROM m WHERE n >= 50),
+s AS (SELECT site_id, sensor, held, CAST(count(*) AS DOUBLE) AS n, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * y) AS ay, sum(b * y) AS "by", sum(y * y) AS yy FROM z GROUP BY 1, 2, 3),
+t AS (SELECT s.*, q.sd, q.lam, ab / sd AS "B", bb / sd / sd AS "C", "by" / sd AS w FROM s JOIN q USING (site_id, sensor) WHERE NOT held),
+f AS (SELECT *, (("C" + lam) * ay - "B" * w) / ((aa + lam) * ("C" + lam) - "B" * "B") AS p, ((aa + lam) * w - "B" * ay) / ((aa + lam) * ("C" + lam) - "B" * "B") / sd AS r FROM t),
+e AS (SELECT f.site_id, f.sensor, sqrt((f.yy - 2 * (p * f.ay + r * f."by") + p * p * f.aa + 2 * p * r * f.ab + r * r * f.bb) / f.n) AS i, sqrt((v.yy - 2 * (p * v.ay + r * v."by") + p * p * v.aa + 2 * p * r * v.ab + r * r * v.bb) / v.n) AS o FROM f JOIN s v ON v.site_id = f.site_id AND v.sensor = f.sensor AND v.held)
+SELECT site_id, sensor, round(i, 6) AS in_rmse, round(o, 6) AS out_rmse, round((o - i) / i, 6) AS degradation FROM e"""
+
+
+@query("holdout_rmse", HOLDOUT)
 def holdout_rmse(spark, sf):
-    design = _two(spark, sf)
+    s = v.states(spark, sf)
+    design = s.select("site_id", F.col("name").alias("sensor"), "ts", F.array(F.col("k").cast("double"), F.hour("ts").cast("double")).alias("x"), F.col("value").alias("y"), "event_id")
     fits = rg.ridge(design, ["lag_a", "solar_b"], min_rows=20)
-    return rg.holdout(design, fits, min_rows=50)
+    out = rg.holdout(design, fits, min_rows=50, held=F.col("event_id") % 5 == 0)
+    return out.select("site_id", "sensor", *[v.r6(c).alias(c) for c in ("in_rmse", "out_rmse", "degradation")])
 
 
 @query("bootstrap_cv")

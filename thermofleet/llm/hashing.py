@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 U = np.uint64
@@ -15,11 +17,14 @@ _SYMBOLS = np.arange(1, 257, dtype=U)
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spread every bit of each value over all bits."""
-    x = x ^ (x >> U(32))
+    shifted = x >> U(32)
+    x = x ^ shifted
     x *= _A
-    x ^= x >> U(29)
+    np.right_shift(x, U(29), out=shifted)
+    x ^= shifted
     x *= _B
-    x ^= x >> U(32)
+    np.right_shift(x, U(32), out=shifted)
+    x ^= shifted
     return x
 
 
@@ -31,8 +36,29 @@ def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mixed(a * _B + (b ^ _C) * _A + (b >> U(31)))
 
 
-def byte_hashes(data: np.ndarray) -> np.ndarray:
-    return _SYMBOLS[data]
+BLOCK = 1 << 16  # positions worked on at a time, so that they stay in a core's cache
+
+
+def blocked(fn: Callable[[np.ndarray], np.ndarray], values: np.ndarray, reach: int) -> np.ndarray:
+    """`fn` over windows of `reach` values, block by block: fn(v) has len(v) - reach + 1 results."""
+    n = max(len(values) - reach + 1, 0)
+    parts = [fn(values[a:min(a + BLOCK, n) + reach - 1]) for a in range(0, n, BLOCK)]
+    return np.concatenate(parts) if parts else np.zeros(0, U)
+
+
+def byte_grams(data: np.ndarray, size: int) -> np.ndarray:
+    """Hash of `size` (a power of two) neighbouring bytes at each start: a polynomial over random symbols, by doubling."""
+
+    def run(part: np.ndarray) -> np.ndarray:
+        at, width, power = _SYMBOLS[part], 1, _C
+        while width < size:
+            high = at[:-width] * power
+            high += at[width:]
+            at, width, power = high, 2 * width, power * power
+        return mixed(at)
+
+    with np.errstate(over="ignore"):
+        return blocked(run, data, size)
 
 
 def window_hashes(units: np.ndarray, size: int) -> np.ndarray:
@@ -66,7 +92,7 @@ def anchors(hashes: np.ndarray, width: int, valid: np.ndarray) -> tuple[np.ndarr
     and one anchor serves a run of windows. `valid` marks the window starts that lie in one document.
     """
     packed = (hashes & ~POSITION_MASK) | np.arange(len(hashes), dtype=U)
-    least = sliding_min(packed, width)
+    least = blocked(lambda part: sliding_min(part, width), packed, width)
     starts = np.flatnonzero(valid[: len(least)])
     if not len(starts):
         return starts, starts, starts
@@ -93,12 +119,16 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """Hash of each word's bytes: a polynomial over its symbols, mixed with its length."""
     if not len(starts):
         return np.zeros(0, U)
-    sizes = ends - starts
-    powers = np.cumprod(np.concatenate(([U(1)], np.full(int(sizes.max()), _C))), dtype=U)
-    first = np.cumsum(sizes) - sizes
-    place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
-    terms = _SYMBOLS[data[place + np.repeat(starts, sizes)]] * powers[place]
-    return mixed(np.add.reduceat(terms, first) + sizes.astype(U) * _A)
+    powers = np.cumprod(np.concatenate(([U(1)], np.full(int((ends - starts).max()), _C))), dtype=U)
+    out = np.empty(len(starts), U)
+    for k in range(0, len(starts), BLOCK // 8):
+        begin = starts[k:k + BLOCK // 8]
+        sizes = ends[k:k + BLOCK // 8] - begin
+        first = np.cumsum(sizes) - sizes
+        place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+        terms = _SYMBOLS[data[place + np.repeat(begin, sizes)]] * powers[place]
+        out[k:k + BLOCK // 8] = mixed(np.add.reduceat(terms, first) + sizes.astype(U) * _A)
+    return out
 
 
 def ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from thermofleet.llm import exchange as X
-from thermofleet.llm.hashing import U, anchors, byte_hashes, concatenated, covered, joined, mixed, ranges, spans, window_hashes
+from thermofleet.llm.hashing import U, anchors, byte_grams, concatenated, covered, joined, mixed, ranges, spans
 
 LENGTH = 200
 Q = 64
@@ -37,7 +37,7 @@ class _Suffixes:
     def __init__(self, texts: list[bytes], length: int):
         self.length = length
         data, self.at = concatenated(texts)
-        self.grams = window_hashes(byte_hashes(data), Q)
+        self.grams = byte_grams(data, Q)
         left = np.repeat(self.at[1:] - 1, np.diff(self.at)) - np.arange(len(data))  # bytes from here to the document's end
         valid = left[: max(len(data) - length + 1, 0)] >= length
         self.anchor, self.begin, self.end = anchors(self.grams, length - Q + 1, valid) if len(valid) else (np.zeros(0, np.int64),) * 3

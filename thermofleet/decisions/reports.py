@@ -15,6 +15,7 @@ from thermofleet.operators.asof import asof, forecast_at_horizons, nearest
 from thermofleet.operators.lookup import hourly_schedule
 from thermofleet.operators.reshape import flatten_map2
 from thermofleet.plans.comfort import apply_profile, radiant_offset, shift_bounds
+from thermofleet.session import cut_lineage
 
 
 def bounds_rows(decisions: DataFrame) -> DataFrame:
@@ -118,11 +119,12 @@ def comfort_report(readings: DataFrame, decisions: DataFrame, schedules: DataFra
 
     `count_unknown` also divides by readings without a recent decision.
     """
+    decisions = cut_lineage(decisions)  # bounds, authority and capacity all come from these rows
     temps = readings.join(constraints, (readings.site_id == constraints.site_id) & (readings.name == constraints.sensor)).select(
         readings.site_id, "label", "ts", F.when(F.col("value").try_cast("double") >= 40.0, F.col("value").try_cast("double")).alias("temp")
     )
     banded = historic_band(temps, bounds_rows(decisions), schedules, zone)
-    judged = control_authority(banded, authority_rows(decisions, dedicated))
+    judged = cut_lineage(control_authority(banded, authority_rows(decisions, dedicated)))
     stats = comfort_stats(judged, ["site_id", "label"])
     known = F.col("authority").isNotNull()
     full = F.when(F.col("authority") == 1.0, 100.0).otherwise(0.0)

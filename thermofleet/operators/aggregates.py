@@ -58,31 +58,39 @@ def best_gain(gains: DataFrame, effectors: DataFrame, by: Sequence[str] = ("site
     )
 
 
+def _narrowed(mass: DataFrame, keys: list[str], cuts: int) -> DataFrame:
+    """Only the values of the range that holds each key's half (and one it borders on exactly).
+
+    `mass` has `__v`, `__w`, the weight `__base` that lies before its first value, and `__half` once it is known.
+    """
+    points = F.percentile_approx("__v", F.array(*[F.lit(i / cuts) for i in range(1, cuts)]), F.lit(1_000))
+    edges = mass.groupBy(*keys).agg(F.array_sort(F.array_distinct(points)).alias("__edges"))
+    placed = mass.join(edges, keys).withColumn("__range", F.size(F.filter("__edges", lambda e: e < F.col("__v")))).drop("__edges")
+    run = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*keys)
+    totals = placed.groupBy(*keys, "__range").agg(F.sum("__w").alias("__rw"), F.max("__base").alias("__base"), F.max("__half").alias("__half"))
+    totals = totals.withColumns({
+        "__cum": F.col("__base") + F.sum("__rw").over(run), "__half": F.coalesce("__half", F.sum("__rw").over(whole) / 2.0)
+    }).withColumn("__before", F.col("__cum") - F.col("__rw"))
+    holding = totals.filter((F.col("__before") <= F.col("__half")) & (F.col("__cum") >= F.col("__half")))
+    holding = holding.select(*keys, "__range", F.min("__before").over(whole).alias("__base"), "__half")
+    return placed.drop("__base", "__half").join(holding, [*keys, "__range"]).drop("__range")
+
+
 def middle_values(df: DataFrame, by: Sequence[str], value: str, weight: str | None = None, cuts: int = 128) -> DataFrame:
     """`lower` and `upper` per key: the smallest values whose cumulative weight reaches, and exceeds, half.
 
     Exact without holding or sorting a key's values in one place. Weights are summed per distinct value; a
-    quantile sketch cuts each key's values into ranges; range totals tell which range holds the half; only that
-    range (and one it borders on exactly) is ranked.
+    quantile sketch cuts each key's values into ranges; range totals tell which range holds the half. That range is
+    cut again, so that about one of `cuts`² parts of a key's distinct values is left to be ranked.
     """
     keys = list(by)
     amount = F.sum(weight) if weight else F.count(F.lit(1))
     mass = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(amount.alias("__w"))
-    points = F.percentile_approx("__v", F.array(*[F.lit(i / cuts) for i in range(1, cuts)]), F.lit(1_000))
-    edges = mass.groupBy(*keys).agg(F.array_sort(F.array_distinct(points)).alias("__edges"))
-    placed = mass.join(edges, keys).withColumn(
-        "__range", F.size(F.filter("__edges", lambda e: e < F.col("__v")))
-    ).drop("__edges")
-
-    run = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)
-    totals = placed.groupBy(*keys, "__range").agg(F.sum("__w").alias("__rw"))
-    totals = totals.withColumns(
-        {"__cum": F.sum("__rw").over(run), "__half": F.sum("__rw").over(Window.partitionBy(*keys)) / 2.0}
-    ).withColumn("__before", F.col("__cum") - F.col("__rw"))
-    holding = totals.filter((F.col("__before") <= F.col("__half")) & (F.col("__cum") >= F.col("__half")))
-    inside = placed.join(holding.select(*keys, "__range", "__before", "__half"), [*keys, "__range"])
-    rank = Window.partitionBy(*keys, "__range").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = inside.withColumn("__at", F.col("__before") + F.sum("__w").over(rank))
+    mass = mass.withColumns({"__base": F.lit(0).cast(mass.schema["__w"].dataType), "__half": F.lit(None).cast("double")})
+    inside = _narrowed(_narrowed(mass, keys, cuts), keys, cuts)
+    rank = Window.partitionBy(*keys).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = inside.withColumn("__at", F.col("__base") + F.sum("__w").over(rank))
     return ranked.groupBy(*keys).agg(
         F.min(F.when(F.col("__at") >= F.col("__half"), F.col("__v"))).alias("lower"),
         F.min(F.when(F.col("__at") > F.col("__half"), F.col("__v"))).alias("upper"),

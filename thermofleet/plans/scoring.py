@@ -64,11 +64,15 @@ def additive_predictions(plan_options: DataFrame, baseline: DataFrame, marginals
 
     `marginals` has `(site_id, effector, option_no, sensor, step, delta)` and may leave out zero effects.
     """
+    none = F.lit(None).cast("double")
     effects = plan_options.select(*by, "effector", "option_no").join(marginals, ["site_id", "effector", "option_no"])
-    summed = effects.groupBy(*by, "sensor", "step").agg(F.sum("delta").alias("delta"))
-    plans = plan_options.select(*by).distinct()
-    full = plans.join(baseline.select("site_id", "sensor", "step", "base_temp"), ["site_id"])
-    return full.join(summed, [*by, "sensor", "step"], "left").select(
+    effects = effects.select(*by, "sensor", "step", none.alias("base_temp"), "delta")
+    # one array per site (its sensors and steps), so the join carries a row per plan and unfolds in place
+    start = baseline.groupBy("site_id").agg(F.collect_list(F.struct("sensor", "step", "base_temp")).alias("__base"))
+    plans = plan_options.select(*by).distinct().join(start, ["site_id"]).select(*by, F.explode("__base").alias("b"))
+    both = plans.select(*by, "b.sensor", "b.step", "b.base_temp", none.alias("delta")).unionByName(effects)
+    summed = both.groupBy(*by, "sensor", "step").agg(F.max("base_temp").alias("base_temp"), F.sum("delta").alias("delta"))
+    return summed.filter(F.col("base_temp").isNotNull()).select(
         *by, "sensor", "step", (F.col("base_temp") + F.coalesce("delta", F.lit(0.0))).alias("temp")
     )
 

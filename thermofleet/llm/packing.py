@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ BUCKET_ROWS = 1_024  # pieces of one length that are numbered in one group, abou
 
 BLOCK_WORDS = 512  # words that are encoded as one text
 
+PUNCTUATION = b"!\"#$%&'()*+,-./:;=>?@[\\]^_`{|}~"
+
 _TOKENIZERS: dict[str, tuple] = {}
 
 
@@ -45,10 +48,15 @@ def _tokenizer(path: str) -> tuple:
 
 
 def _parts(word: bytes) -> list[bytes]:
-    """A word as parts that the tokenizer treats apart and that recur more often: letters, then full stops or commas."""
-    if word.isascii() and b"<" not in word:
+    """A word as parts that the tokenizer treats apart and that recur more often: letters, then a run of punctuation.
+
+    Words with `<` may hold a special token and stay whole.
+    """
+    if b"<" in word:
+        return [word]
+    if word.isascii():
         word = word.lower()
-    core = word.rstrip(b".,")
+    core = word.rstrip(PUNCTUATION)
     if core and core != word and core.decode().isalpha():
         return [core, word[len(core):]]
     return [word]
@@ -56,8 +64,9 @@ def _parts(word: bytes) -> list[bytes]:
 
 def _encoded(words: list[bytes], tokenizer, ends: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
     """Each word with its ids as bytes. Words of letters are encoded many at a time and parted where an id ends a word."""
-    alone = [w for w in words if not w.decode().isalpha()]
-    letters = [w for w in words if w.decode().isalpha()]
+    alone, letters = [], []
+    for w in words:
+        (letters if w.decode().isalpha() else alone).append(w)
     blocks = [letters[k:k + BLOCK_WORDS] for k in range(0, len(letters), BLOCK_WORDS)]
     for block, e in zip(blocks, tokenizer.encode_batch_fast([b" ".join(b).decode() for b in blocks], add_special_tokens=False), strict=True):
         ids = np.array(e.ids, "<u4")
@@ -81,7 +90,7 @@ def token_bytes(texts: list[bytes], path: str) -> list[bytes]:
     split = [t.split() for t in texts]
     if len(known) > CACHE_WORDS:
         known.clear()
-    parts = {w: _parts(w) for w in {w for ws in split for w in ws} - known.keys()}
+    parts = {w: _parts(w) for w in set(chain.from_iterable(split)) - known.keys()}
     known.update(_encoded(list({p for ps in parts.values() for p in ps} - known.keys()), tokenizer, ends))
     for w, ps in parts.items():
         known[w] = known[ps[0]] if len(ps) == 1 else known[ps[0]] + known[ps[1]]
@@ -98,7 +107,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE, with_ids:
         for batch in batches:
             for at in range(0, batch.num_rows, 1_024):
                 some = batch.slice(at, 1_024)
-                texts = [(t or "").encode() for t in some.column(1).to_pylist()]
+                texts = [t or b"" for t in some.column(1).cast(pa.binary()).to_pylist()]
                 out: list[list] = [[] for _ in schema]
                 for doc, ids in zip(some.column(0).to_pylist(), token_bytes(texts, tokenizer_path), strict=True):
                     ids += b"\0\0\0\0"

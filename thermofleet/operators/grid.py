@@ -34,7 +34,7 @@ def grid(series: DataFrame, by: Sequence[str], step_seconds: int = STEP, start:
     ticks = F.floor((F.col("__stop") - F.col("__first")) / step_seconds) + 1
     begin = F.col("__first") + F.col("__page") * reach
     seconds = F.sequence(begin, F.least(begin + reach - step_seconds, F.col("__stop")), F.lit(step_seconds).cast("bigint"))
-    return spread_pages(span, ticks, "__page").select(*by, F.explode(seconds).alias("__s")).select(
+    return spread_pages(span, ticks, "__page", by).select(*by, F.explode(seconds).alias("__s")).select(
         *by, F.timestamp_seconds(F.col("__s")).alias(ts)
     )
 

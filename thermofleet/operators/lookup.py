@@ -102,7 +102,7 @@ def numbered_choices(options: DataFrame, by: Sequence[str], owner: str, order: S
 PAGE = 10_000  # rows that one page unfolds into, at most
 
 
-def spread_pages(rows: DataFrame, size: Column, into: str) -> DataFrame:
+def spread_pages(rows: DataFrame, size: Column, into: str, by: Sequence[str]) -> DataFrame:
     """Each row once per page of the `size` rows it will unfold into, dealt over as many partitions as those rows fill.
 
     Rows with pages are few and small but unfold a lot. One sum tells how much beforehand; a given number of partitions is
@@ -111,31 +111,49 @@ def spread_pages(rows: DataFrame, size: Column, into: str) -> DataFrame:
     total = rows.agg(F.sum(size)).first()[0] or 0
     last = F.greatest(F.ceil(size / PAGE).cast("bigint") - 1, F.lit(0))
     paged = rows.withColumn(into, F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-    return paged.repartition(int(min(total // PAGE + 1, MAX_PARTITIONS)), *rows.columns, into)
+    return paged.repartition(int(min(total // PAGE + 1, MAX_PARTITIONS)), *by, into)
 
 
 MAX_PARTITIONS = 20_000  # partitions hold more than one page beyond that
 
 
-def combination_table(options: DataFrame, by: Sequence[str], owner: str, into: str = "plan_id") -> DataFrame:
-    """Every combination that takes one option per owner, as long rows `(by, plan_id, owner, option_no, ...)`.
+def _ordered(items: Column, field: str) -> Column:
+    return F.array_sort(items, lambda a, b: F.when(a[field] < b[field], -1).when(a[field] > b[field], 1).otherwise(0))
+
+
+def combination_rows(options: DataFrame, by: Sequence[str], owner: str, into: str = "plan_id", beside: DataFrame | None = None) -> DataFrame:
+    """Every combination that takes one option per owner: `(by, plan_id, choices)`, plus the columns of `beside` (per key).
 
-    Combinations are numbered `0 .. product-1` and each owner's option is read off the number (mixed radix,
-    first owner slowest), so the plan space is generated by `sequence` and an equi-join, never by crossing
-    tables. Plan 0 takes option 0 everywhere. Sizes are whole numbers; a key with more combinations
-    than a long can number is an error.
+    A key's options become one row (its owners and their option lists come from configuration). Combinations are numbered
+    `0 .. product-1` and each owner's option is read off the number in place (mixed radix, first owner slowest): nothing
+    is crossed, joined or gathered per combination. Number 0 takes option 0 everywhere. Sizes are whole numbers; a key with
+    more combinations than a long can number is an error.
     """
-    counts = options.groupBy(*by, owner).agg(F.count(F.lit(1)).alias("__size"))
-    radix = Window.partitionBy(*by).orderBy(F.col(owner).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    later = F.collect_list("__size").over(radix)
-    sized = counts.withColumn("__stride", F.aggregate(later, F.lit(1).cast("bigint"), lambda n, size: n * size))
-    whole = Window.partitionBy(*by)
-    sized = sized.withColumn("__plans", F.max(F.col("__stride") * F.col("__size")).over(whole))
+    rest = [c for c in options.columns if c not in (*by, owner, "option_no")]
+    lists = options.groupBy(*by, owner).agg(_ordered(F.collect_list(F.struct("option_no", *rest)), "option_no").alias("__list"))
+    keys = lists.groupBy(*by).agg(_ordered(F.collect_list(F.struct(F.col(owner).alias("__owner"), "__list")), "__owner").alias("__owners"))
+    sizes = F.transform("__owners", lambda o: F.size(o["__list"]).cast("bigint"))
+    one = F.lit(1).cast("bigint")
+    keys = keys.withColumn("__sizes", sizes).withColumn("__plans", F.aggregate("__sizes", one, lambda n, size: n * size))
+    later = lambda i: F.slice("__sizes", i + 2, F.size("__sizes"))
+    keys = keys.withColumn("__strides", F.transform("__sizes", lambda _, i: F.aggregate(later(i), one, lambda n, size: n * size)))
+    if beside is not None:
+        keys = keys.join(beside, list(by), "left")
     numbers = F.sequence(F.col("__page") * PAGE, F.least((F.col("__page") + 1) * PAGE, F.col("__plans")) - 1)
-    slots = spread_pages(sized, F.col("__plans"), "__page").withColumn(into, F.explode(numbers)).withColumn(
-        "option_no", F.floor(F.col(into) / F.col("__stride")) % F.col("__size")
-    )
-    return slots.drop("__size", "__stride", "__plans", "__page").join(options, [*by, owner, "option_no"], "inner")
+    numbered = spread_pages(keys, F.col("__plans"), "__page", by).withColumn(into, F.explode(numbers))
+
+    def choice(o: Column, i: Column) -> Column:
+        digit = F.floor(F.col(into) / F.get("__strides", i)) % F.get("__sizes", i)
+        taken = F.get(o["__list"], digit.cast("int"))
+        return F.struct(o["__owner"].alias(owner), *[taken[c].alias(c) for c in ("option_no", *rest)])
+
+    own = [] if beside is None else [c for c in beside.columns if c not in by]
+    return numbered.select(*by, into, F.transform("__owners", choice).alias("choices"), *own)
+
+
+def combination_table(options: DataFrame, by: Sequence[str], owner: str, into: str = "plan_id") -> DataFrame:
+    """The combinations as long rows `(by, plan_id, owner, option_no, ...)`."""
+    return combination_rows(options, by, owner, into).select(*by, into, F.explode("choices").alias("__c")).select(*by, into, "__c.*")
 
 
 def keep_keys(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:

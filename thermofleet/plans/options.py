@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thermofleet.functions.timekeys import hour_in_window
-from thermofleet.operators.lookup import PAGE, combination_table, drop_keys, numbered_choices, spread_pages, with_effect
+from thermofleet.operators.lookup import PAGE, combination_rows, combination_table, drop_keys, numbered_choices, spread_pages, with_effect
 
 # Start delays, run lengths and return times in 5-minute steps; the horizon is six hours.
 DELAYS = (0, 12, 24)
@@ -164,21 +164,20 @@ def expand_plans(options: DataFrame, dependents: DataFrame | None = None) -> Dat
 
     `dependents` are effectors `(site_id, name, supported_modes, depends_on)` that vary only where all their
     parents run from the start; elsewhere they are off. Plans of independent effectors are numbered first; each
-    is gathered into one row (a handful of choices) and widened in place by its own dependents, so combinations
-    that cannot occur are never generated and nothing is joined per plan.
+    is one row (a handful of choices) that its dependents widen in place, so combinations that cannot occur are never
+    generated and nothing is joined or gathered per plan.
     """
-    base = combination_table(option_numbers(options), ["site_id"], "effector", "base_id")
+    numbered = option_numbers(options)
     if dependents is None:
-        return base.withColumnRenamed("base_id", "plan_id")
-    choice = ["effector", "option_no", *OPTION]
-    gathered = base.groupBy("site_id", "base_id").agg(F.collect_list(F.struct(*choice)).alias("choices"))
+        return combination_table(numbered, ["site_id"], "effector")
+    numbered = numbered.select("site_id", "effector", "option_no", *OPTION)
 
     off_first = F.concat(
         F.filter("supported_modes", lambda m: m == "off"), F.filter("supported_modes", lambda m: m != "off")
     )
     kid = F.struct(F.col("name").alias("kid"), off_first.alias("modes"), F.col("depends_on").alias("parents"))
     kids = dependents.groupBy("site_id").agg(F.sort_array(F.collect_list(kid)).alias("kids"))
-    joined = gathered.join(kids, ["site_id"], "left").withColumn(
+    joined = combination_rows(numbered, ["site_id"], "effector", "base_id", kids).withColumn(
         "kids", F.coalesce("kids", F.array().cast("array<struct<kid:string,modes:array<string>,parents:array<string>>>"))
     )
     started = F.transform(
@@ -263,7 +262,7 @@ def plan_pairs(counts: DataFrame, by: Sequence[str] = ("site_id",)) -> DataFrame
     """
     total = F.col("n_plans") * F.col("n_combos")
     numbers = F.sequence(F.col("__page") * PAGE, F.least((F.col("__page") + 1) * PAGE, total) - 1)
-    pages = spread_pages(counts.filter(total > 0), total, "__page")
+    pages = spread_pages(counts.filter(total > 0), total, "__page", by)
     return pages.withColumn("pair_id", F.explode(numbers)).select(
         *by,
         "pair_id",

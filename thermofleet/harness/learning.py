@@ -61,6 +61,25 @@ def backtest(spark, sf):
     return out.select("room", "horizon_steps", v.r6("rmse").alias("rmse"), v.r6("bias").alias("bias"), "n")
 
 
+@query("persistence_errors", f"""WITH {v.FILLED}, f AS (SELECT site_id, ts, view, click, lead(view, 2) OVER w AS view_2h, lead(click, 2) OVER w AS click_2h, row_number() OVER w AS i, count(*) OVER (PARTITION BY site_id) AS c FROM filled_v WINDOW w AS (PARTITION BY site_id ORDER BY ts)),
+h AS (SELECT * FROM f WHERE i > floor(c * 0.8)), e AS (SELECT site_id, 'view_2h' AS target, view - view_2h AS d FROM h WHERE view_2h IS NOT NULL UNION ALL SELECT site_id, 'click_2h', click - click_2h FROM h WHERE click_2h IS NOT NULL)
+SELECT site_id, target, round(sqrt(avg(d * d)), 6) AS rmse, round(avg(abs(d)), 6) AS mae, count(*) AS n_val FROM e GROUP BY 1, 2""")
+def persistence_errors(spark, sf):
+    """The error report of a predictor that SQL can state: nothing changes in two hours."""
+    rows = t.training_set(v.filled(spark, sf), ["view", "click"], [2], v.HOUR)
+    rows = t.chronological_split(rows).withColumnsRenamed({"view_t+2": "view_2h", "click_t+2": "click_2h"})
+    scored = rows.withColumns({"pred_view_2h": F.col("view"), "pred_click_2h": F.col("click")})
+    out = t.errors(scored, ["view_2h", "click_2h"])
+    return out.select("site_id", "target", v.r6("rmse").alias("rmse"), v.r6("mae").alias("mae"), "n_val")
+
+
+@query("missing_features", f"WITH {v.HOURLY} SELECT site_id, CAST(count(*) FILTER (WHERE view IS NULL) AS DOUBLE) AS view, CAST(count(*) FILTER (WHERE error IS NULL) AS DOUBLE) AS error, CAST(count(*) AS DOUBLE) AS humidity FROM hourly_v GROUP BY 1")
+def missing_features(spark, sf):
+    """Scoring rows that lack a feature column altogether: it reads NULL and is marked missing everywhere."""
+    marked = t.with_marks(v.hourly(spark, sf), ["view", "error", "humidity"])
+    return marked.groupBy("site_id").agg(*[F.sum(f"{c}__missing").alias(c) for c in ("view", "error", "humidity")])
+
+
 @query("gbt_errors")
 def gbt_errors(spark, sf):
     """One boosted-tree model per target over every site, judged on the last fifth of each site's rows."""

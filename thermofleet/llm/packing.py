@@ -15,7 +15,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -90,7 +90,7 @@ def token_bytes(texts: list[bytes], path: str) -> list[bytes]:
     split = [t.split() for t in texts]
     if len(known) > CACHE_WORDS:
         known.clear()
-    parts = {w: _parts(w) for w in set(chain.from_iterable(split)) - known.keys()}
+    parts = {w: _parts(w) for w in set(filterfalse(known.__contains__, chain.from_iterable(split)))}
     known.update(_encoded(list({p for ps in parts.values() for p in ps} - known.keys()), tokenizer, ends))
     for w, ps in parts.items():
         known[w] = known[ps[0]] if len(ps) == 1 else known[ps[0]] + known[ps[1]]

@@ -23,10 +23,23 @@ def series(spark, seed, n=300, keys=2, span=4000, nulls=0.3):
     return data, spark.createDataFrame(data, "k bigint, ts timestamp, id bigint, v double")
 
 
-@pytest.mark.parametrize("chunk", [600, 86_400])
-def test_carry_equals_plain_scan(spark, chunk):
+@pytest.fixture
+def small_ranges(spark):
+    """Ranges of a few hundred rows, so that small data is cut many times."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    for k, v in kept.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("cut", [True, False])
+def test_carry_equals_plain_scan(spark, request, cut):
+    if cut:
+        request.getfixturevalue("small_ranges")
     data, df = series(spark, 1)
-    track = Track(("k",), "ts", ("id",), chunk)
+    track = Track(("k",), "ts", ("id",))
     got = {r.id: tuple(r)[4:] for r in carry(df, track, last={"l": F.col("v")}, before={"b": F.col("v")}, following={"f": F.col("v")}, after={"a": F.col("v")}, total={"t": F.coalesce("v", F.lit(0.0))}).collect()}
     for k in (0, 1):
         ordered = sorted([d for d in data if d[0] == k], key=lambda d: (d[1], d[2]))
@@ -160,17 +173,6 @@ def test_weighted_median_and_median(spark):
         assert got[k] == pytest.approx(float(np.median([v for x, v in data if x == k])))
 
 
-@pytest.fixture
-def small_ranges(spark):
-    """Ranges of a few hundred rows, so that small data is cut many times."""
-    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
-    spark.conf.set("spark.sql.shuffle.partitions", "16")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    yield
-    for k, v in kept.items():
-        spark.conf.set(k, v)
-
-
 @pytest.mark.parametrize("spread", [3_600, 0])
 def test_dense_stretches_are_cut_by_rows(spark, small_ranges, spread):
     """90 % of the rows lie in one hour, or at one instant, of one key; no range holds much more than its share."""

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from thermofleet.llm.tables import stored
 
 SEQUENCE = 2_048
-CACHE_WORDS = 1_000_000  # words a worker remembers; beyond that it starts anew
+CACHE_WORDS = 400_000  # words a worker remembers: the first it meets, among which the frequent ones are
 BUCKET_ROWS = 1_024  # pieces of one length that are numbered in one group, about
 
 BLOCK_WORDS = 512  # words that are encoded as one text
@@ -35,7 +35,7 @@ _TOKENIZERS: dict[str, tuple] = {}
 
 
 def _tokenizer(path: str) -> tuple:
-    """The tokenizer, which of its ids end a word, and its word cache, once per Python worker."""
+    """The tokenizer, which of its ids end a word, its word cache and the type it keeps ids in, once per Python worker."""
     if path not in _TOKENIZERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -43,7 +43,7 @@ def _tokenizer(path: str) -> tuple:
         tokenizer = Tokenizer.from_file(path)
         ends = np.zeros(tokenizer.get_vocab_size(), bool)
         ends[[k for token, k in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-        _TOKENIZERS[path] = (tokenizer, ends, {})
+        _TOKENIZERS[path] = (tokenizer, ends, {}, np.dtype("<u2" if len(ends) <= 1 << 16 else "<u4"))
     return _TOKENIZERS[path]
 
 
@@ -62,15 +62,15 @@ def _parts(word: bytes) -> list[bytes]:
     return [word]
 
 
-def _encoded(words: list[bytes], tokenizer, ends: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
+def _encoded(words: list[bytes], tokenizer, ends: np.ndarray, kind: np.dtype) -> Iterator[tuple[bytes, bytes]]:
     """Each word with its ids as bytes. Words of letters are encoded many at a time and parted where an id ends a word."""
     alone, letters = [], []
     for w in words:
         (letters if w.decode().isalpha() else alone).append(w)
     blocks = [letters[k:k + BLOCK_WORDS] for k in range(0, len(letters), BLOCK_WORDS)]
     for block, e in zip(blocks, tokenizer.encode_batch_fast([b" ".join(b).decode() for b in blocks], add_special_tokens=False), strict=True):
-        ids = np.array(e.ids, "<u4")
-        cuts = 4 * (np.flatnonzero(ends[ids]) + 1)
+        ids = np.array(e.ids, kind)
+        cuts = kind.itemsize * (np.flatnonzero(ends[ids]) + 1)
         if len(cuts) != len(block):  # a letter that becomes several characters in lower case
             alone += block
             continue
@@ -78,23 +78,28 @@ def _encoded(words: list[bytes], tokenizer, ends: np.ndarray) -> Iterator[tuple[
         for word, cut in zip(block, cuts.tolist(), strict=True):
             yield word, data[at:cut]
             at = cut
-    for k in range(0, len(alone), 20_000):
-        some = alone[k:k + 20_000]
+    for k in range(0, len(alone), 5_000):
+        some = alone[k:k + 5_000]
         for word, e in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-            yield word, np.array(e.ids, "<u4").tobytes()
+            yield word, np.array(e.ids, kind).tobytes()
 
 
 def token_bytes(texts: list[bytes], path: str) -> list[bytes]:
     """Ids of each text as little-endian 32-bit integers. The tokenizer drops white space, so words are independent."""
-    tokenizer, ends, known = _tokenizer(path)
+    tokenizer, ends, known, kind = _tokenizer(path)
     split = [t.split() for t in texts]
-    if len(known) > CACHE_WORDS:
-        known.clear()
     parts = {w: _parts(w) for w in set(filterfalse(known.__contains__, chain.from_iterable(split)))}
-    known.update(_encoded(list({p for ps in parts.values() for p in ps} - known.keys()), tokenizer, ends))
+    fresh = dict(_encoded(list({p for ps in parts.values() for p in ps} - known.keys()), tokenizer, ends, kind))
+    full = len(known) > CACHE_WORDS
+    known.update(fresh)
     for w, ps in parts.items():
-        known[w] = known[ps[0]] if len(ps) == 1 else known[ps[0]] + known[ps[1]]
-    return [b"".join(map(known.__getitem__, ws)) for ws in split]
+        fresh[w] = known[ps[0]] if len(ps) == 1 else known[ps[0]] + known[ps[1]]
+    known.update(fresh)
+    out = [np.frombuffer(b"".join(map(known.__getitem__, ws)), kind).astype("<u4").tobytes() for ws in split]
+    if full:
+        for w in fresh:
+            del known[w]
+    return out
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE, with_ids: bool = True) -> DataFrame:
@@ -105,8 +110,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE, with_ids:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1_024):
-                some = batch.slice(at, 1_024)
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
                 texts = [t or b"" for t in some.column(1).cast(pa.binary()).to_pylist()]
                 out: list[list] = [[] for _ in schema]
                 for doc, ids in zip(some.column(0).to_pylist(), token_bytes(texts, tokenizer_path), strict=True):

@@ -194,6 +194,42 @@ def test_model_beats_single_words_on_held_out_texts(spark, sf):
     assert got[0] > got[1]
 
 
+def test_scores_know_the_order_of_words(spark):
+    """Two words of one class: only their pairs with the next word tell them apart."""
+    trains = [k for k in range(400) if not scoring.held_out(k)][:200]
+    held = [k for k in range(400) if scoring.held_out(k)][:2]
+    rows = [(k, "the redxyz catxyz . the bluxyz dogxyz .") for k in trains]
+    rows += [(held[0], "the redxyz catxyz ."), (held[1], "the redxyz dogxyz ."), (held[0], ""), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["n_tokens"]): r for r in scoring.scored(df).collect()}
+    right, crossed = got[held[0], 5], got[held[1], 5]
+    assert abs(right["base_score"] - crossed["base_score"]) < 1e-9
+    assert right["score"] > crossed["score"] + 1
+
+    # the same by hand: pair counts over the class automaton
+    tokens = {k: (t or "").split() for k, (_, t) in enumerate(rows)}
+    train = [tokens[k] for k, (d, _) in enumerate(rows) if not scoring.held_out(d)]
+    ones, pairs = Counter(w for t in train for w in t), Counter(p for t in train for p in zip(["<", *t], [*t, ">"], strict=True))
+    kinds = {w: int(scoring._Tokens([1], [w.encode()]).classes[0]) for w in ones}
+    counts = np.zeros((64, 64, 64))
+    for t in train:
+        seq = [scoring.BEGIN, scoring.BEGIN, *[kinds[w] for w in t], scoring.END]
+        for a, b, c in zip(seq, seq[1:], seq[2:], strict=False):
+            counts[a, b, c] += 1
+    model, size = scoring.BackoffAutomaton(counts), Counter(kinds[w] for w in ones)
+    tokens_of = Counter(kinds[w] for t in train for w in t)
+    ones["<"] = len(train)
+    for (d, n), r in got.items():
+        words = next(tokens[k] for k, (e, _) in enumerate(rows) if e == d and len(tokens[k]) + 1 == n)
+        state, total = model.start() // 64, 0.0
+        for a, b in zip(["<", *words], [*words, ">"], strict=True):
+            kind = kinds.get(b, scoring.END)
+            state, log = model.step(state, kind)
+            share = 1.0 if b == ">" else (ones[b] + 0.5) / (tokens_of[kind] + 0.5 * (size[kind] + 1))
+            total += np.log10((pairs[a, b] + scoring.PRIOR * 10 ** log * share) / (ones[a] + scoring.PRIOR))
+        assert abs(total - r["score"]) < 1e-6
+
+
 def test_shards(docs, pairs, none):
     got = shards.sharded(docs, 5).collect()
     assert Counter((r["doc_id"], r["size"]) for r in got) == Counter((d, len((t or "").encode()) + 8) for d, t in pairs)

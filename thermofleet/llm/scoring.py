@@ -1,13 +1,16 @@
 """Language-model scores by a weighted backoff automaton.
 
-The model's n-grams are of word classes: a word's class comes from its last bytes, so the automaton has a fixed alphabet and
-at most 64 * 64 states, whatever the corpus, while its counts are those of all training tokens. States are the class
-histories seen in training; each has arcs with discounted log-probabilities and a failure arc, with a backoff weight, to the
-shorter history. A word's own probability is its share of the training tokens of its class. One pass over a text, left to
-right, carries the state and adds up the arcs' and words' log-probabilities.
+The upper states are words: every training word, and the begin of a text, has an arc for each word (or end) that follows it in
+training, and a failure arc of weight PRIOR / (count + PRIOR) to the class states below. An arc's probability is
+(count of the pair + PRIOR * probability below) / (count of the first word + PRIOR), so a state's probabilities sum to one.
 
-Word counts are gathered by the chunk exchange: every chunk asks for the counts of its distinct words, tells its own training
-counts with the question, and gets the sums back.
+The states below are histories of word classes, which answer for pairs that training lacks: a word's class comes from its
+last bytes, so there are at most 64 * 64 of them, each with discounted arcs and a failure arc to the shorter history. There a
+word's own probability is its share of the training tokens of its class. One pass over a text, left to right, carries both
+states and adds up log-probabilities.
+
+Counts of words and of word pairs are gathered by the chunk exchange: every chunk asks for those of its distinct words and
+pairs, tells its own training counts with the question, and gets the sums back.
 
 A null or empty text is only the end token. A row without doc_id is a training row. Repeated rows count as often as they
 occur. An empty table gives an empty result. Other columns are ignored.
@@ -24,13 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from thermofleet.llm import exchange as X
-from thermofleet.llm.hashing import U, concatenated, mixed, word_hashes, word_spans
+from thermofleet.llm.hashing import U, concatenated, joined, mixed, word_hashes, word_spans
 from thermofleet.llm.tables import stored
 
 CLASSES = 64  # 62 of words, one of the end, one that only begins histories
 END, BEGIN = CLASSES - 2, CLASSES - 1
 DISCOUNT = 0.75
 SUFFIX = 3  # bytes of a word that choose its class
+PRIOR = 20.0  # weight of the class states in a word's state, in tokens
+PAIR = 255  # in place of a class: the key is of a word pair
+_BEGIN_KEY, _END_KEY = U(0x5BD1E9955BD1E995), U(0x27D4EB2F27D4EB2F)  # stand for a word's hash
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -40,7 +46,7 @@ def held_out(doc_id: int | None) -> bool:
 
 
 class _Tokens:
-    """The words of a chunk: hash and class of each, their distinct hashes, and who trains."""
+    """The words of a chunk: hash and class of each, their distinct hashes, those of word pairs, and who trains."""
 
     def __init__(self, ids: list, texts: list[bytes]):
         data, at = concatenated(texts)
@@ -55,8 +61,29 @@ class _Tokens:
             place = ends - k
             suffix = suffix * U(257) + np.where(place >= starts, data[place].astype(U) + U(1), U(0))
         self.classes = (mixed(suffix + U(1)) % U(END)).astype(np.uint8)
-        self.keys, where, self.inverse = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        self.key_class = self.classes[where]
+        self.hashes, self.starts = word_hashes(data, starts, ends), self.first[:-1]
+        self.stops = self.first[1:]
+
+    def asked(self) -> None:
+        """Distinct keys of words and of pairs, and their common order in the exchange."""
+        self.keys, where, self.inverse = np.unique(self.hashes, return_index=True, return_inverse=True)
+        pairs = joined(np.insert(self.hashes, self.starts, _BEGIN_KEY), np.insert(self.hashes, self.stops, _END_KEY))
+        self.pairs, self.pair_inverse = np.unique(pairs, return_inverse=True)
+        both = np.concatenate((self.keys, self.pairs))
+        self.order = np.argsort(both)
+        self.all_keys = both[self.order]
+        self.kinds = np.concatenate((self.classes[where], np.full(len(self.pairs), PAIR, np.uint8)))[self.order]
+
+    def training(self) -> np.ndarray:
+        """Training count of each of `all_keys` in this chunk."""
+        pairs = np.bincount(self.pair_inverse, np.repeat(self.trains, self.sizes + 1), len(self.pairs))
+        return np.concatenate((np.bincount(self.inverse, self.train_words, len(self.keys)), pairs))[self.order].astype("<u4")
+
+    def placed(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of `all_keys` as one per word and one per pair of the texts."""
+        own = np.empty(len(counts), counts.dtype)
+        own[self.order] = counts
+        return own[: len(self.keys)][self.inverse], own[len(self.keys):][self.pair_inverse]
 
     def sequences(self) -> tuple[np.ndarray, np.ndarray]:
         """Classes of all texts, each as begin, begin, its words, end; and where each text's words begin."""
@@ -157,43 +184,74 @@ class BackoffAutomaton:
         return self.number[history] * CLASSES
 
 
-def _totals(payloads: list[bytes]) -> list[bytes]:
-    """Training count of each asked word over all chunks."""
-    each = [X.unpacked(p, "<u8", "<u4", "u1") for p in payloads]
-    found, inverse = np.unique(np.concatenate([e[0] for e in each]), return_inverse=True)
+_ASKED, _ANSWER = ("<u8", "<u4", "u1"), ("<i8",)
+_HEAD = np.dtype("<u4")
+
+
+def _squeezed(*arrays: np.ndarray) -> bytes:
+    """Arrays of equal length, byte by byte of their values, compressed: sorted keys as differences, small counts as bytes."""
+    planes = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays)
+    body = pa.Codec("zstd", 1).compress(planes, asbytes=True)
+    return np.array([len(arrays[0]), len(body)], _HEAD).tobytes() + body
+
+
+def _spread(payload: bytes, types: tuple[str, ...]) -> list[np.ndarray]:
+    """The arrays of one or more squeezed payloads that follow each other."""
+    width, at, found = sum(np.dtype(t).itemsize for t in types), 0, [[np.zeros(0, t)] for t in types]
+    while at < len(payload):
+        n, size = np.frombuffer(payload, _HEAD, 2, at).tolist()
+        at += 2 * _HEAD.itemsize
+        planes = np.frombuffer(pa.Codec("zstd").decompress(payload[at:at + size], n * width, asbytes=True), np.uint8).reshape(width, n)
+        at, row = at + size, 0
+        for t, out in zip(types, found, strict=True):
+            k = np.dtype(t).itemsize
+            out.append(np.ascontiguousarray(planes[row:row + k].T).reshape(-1).view(t))
+            row += k
+    return [np.concatenate(out) for out in found]
+
+
+def _questions(chunk: int, parts: int, t: _Tokens) -> Iterator[tuple[int, int, bytes]]:
+    n, at = t.training(), X.cuts(t.all_keys, parts)
+    for part in np.flatnonzero(at[1:] > at[:-1]).tolist():
+        here = slice(at[part], at[part + 1])
+        yield part, chunk, _squeezed(np.diff(t.all_keys[here], prepend=U(0)), n[here], t.kinds[here])
+
+
+def _totals(frame: pd.DataFrame) -> pd.DataFrame:
+    """Training count of each asked key over all chunks; and, in a row of chunk -1, distinct training words by class."""
+    frame = frame.sort_values("chunk", kind="stable")
+    each = [_spread(p, _ASKED) for p in frame["payload"]]
+    found, where, inverse = np.unique(np.concatenate([np.cumsum(e[0], dtype=U) for e in each]), return_index=True, return_inverse=True)
     n = np.bincount(inverse, np.concatenate([e[1] for e in each]), len(found)).astype("<i8")
-    return [part.tobytes() for part in np.split(n[inverse], np.cumsum([len(e[0]) for e in each])[:-1])]
+    kinds = np.concatenate([e[2] for e in each])[where]
+    answers = [_squeezed(part) for part in np.split(n[inverse], np.cumsum([len(e[0]) for e in each])[:-1])]
+    distinct = np.bincount(kinds[(n > 0) & (kinds != PAIR)], minlength=CLASSES).tolist()
+    part = int(frame["part"].iloc[0])
+    return pd.DataFrame({"part": part, "chunk": [*frame["chunk"], -1], "payload": [*answers, None], "distinct": [*[None] * len(answers), distinct]})
 
 
 def scored(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     spark = docs.sparkSession
     chunks = X.chunked(docs)
-    parts = X.parts_for(chunks, 0.15)
-    automaton = BackoffAutomaton(_class_counts(chunks))
+    parts = X.parts_for(chunks, 0.5)
+    class_counts = _class_counts(chunks)
+    automaton = BackoffAutomaton(class_counts)
     after, logs = automaton.closed()
 
-    def ask_words(chunk: int, ids: list, texts: list[bytes]) -> Iterator:
+    def ask_counts(chunk: int, ids: list, texts: list[bytes]) -> Iterator:
         t = _Tokens(ids, texts)
-        n = np.bincount(t.inverse, t.train_words, len(t.keys)).astype("<u4")
-        yield from X.by_range(chunk, parts, t.keys, n, t.key_class)
-
-    asked = stored(X.ask(chunks, ask_words), "words-asked")
-    counts = X.answer(asked, _totals)
-
-    def vocabulary(frame: pd.DataFrame) -> pd.DataFrame:
-        """Per class of one range: training tokens and distinct training words."""
-        each = [X.unpacked(p, "<u8", "<u4", "u1") for p in frame["payload"]]
-        keys, n, kind = (np.concatenate([e[k] for e in each]) for k in range(3))
-        use = n > 0
-        first = np.unique(keys[use], return_index=True)[1]
-        tokens, distinct = np.bincount(kind[use], n[use], CLASSES), np.bincount(kind[use][first], minlength=CLASSES)
-        return pd.DataFrame({"class": np.arange(CLASSES), "tokens": tokens.astype(np.int64), "distinct": distinct})
-
-    per_class = asked.groupBy("part").applyInPandas(vocabulary, "class int, tokens long, distinct long")
-    sums = {r["class"]: r for r in per_class.groupBy("class").agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct")).collect()}  # one row per class
-    class_tokens = np.array([sums[c]["tokens"] if c in sums else 0 for c in range(CLASSES)], float)
-    class_words = np.array([sums[c]["distinct"] if c in sums else 0 for c in range(CLASSES)], float)
+        t.asked()
+        yield from _questions(chunk, parts, t)
+
+    answers = X.ask(chunks, ask_counts).groupBy("part").applyInPandas(_totals, f"{X.ASKED}, distinct array<long>")
+    answers = stored(answers, "answers")
+    counts = answers.where("chunk >= 0").select("part", "chunk", "payload")
+    per_class = answers.where("chunk < 0").select(F.posexplode("distinct").alias("class", "distinct")).groupBy("class").agg(F.sum("distinct").alias("distinct"))
+    words = {r["class"]: r["distinct"] for r in per_class.collect()}  # one row per class
+    class_tokens = class_counts.sum(axis=(0, 1)).astype(float)
+    class_tokens[END:] = 0.0
+    class_words = np.array([words.get(c, 0) for c in range(CLASSES)], float)
     ends = automaton.ends
     n_all, v_all = int(class_tokens.sum()) + ends, int(class_words.sum()) + (ends > 0)
     in_class = np.log10(class_tokens + 0.5 * (class_words + 1))
@@ -202,24 +260,27 @@ def scored(docs: DataFrame) -> DataFrame:
 
     def score(chunk: int, ids: list, texts: list[bytes], one: bytes, _: bytes) -> pd.DataFrame:
         t = _Tokens(ids, texts)
-        n = np.frombuffer(one, "<i8")[t.inverse] if len(t.keys) else np.zeros(0)
+        t.asked()
+        n, n_pair = t.placed(_spread(one, _ANSWER)[0])
         own = np.log10(n + 0.5)
-        sums = [np.concatenate(([0.0], np.cumsum(x))) for x in (own, own - in_class[t.classes], n > 0)]
-        base, word, known = (s[t.first[1:]] - s[t.first[:-1]] for s in sums)
         to, weight, start = shared.value
         seq, begin = t.sequences()
-        seq, path = seq.tolist(), []
+        seq, below = seq.tolist(), []
         for a, size in zip(begin.tolist(), t.sizes.tolist(), strict=True):
-            at, total = start, 0.0
+            at = start
             for symbol in seq[a:a + size + 1]:
                 at += symbol
-                total += weight[at]
+                below.append(weight[at])
                 at = to[at]
-            path.append(total)
+        below = np.array(below) + np.insert(own - in_class[t.classes], t.stops, 0.0)  # an end has no share in a class
+        before = np.insert(n, t.starts, ends)  # every training word is followed by a word or an end
+        path = np.log10(n_pair + PRIOR * 10.0 ** below) - np.log10(before + PRIOR)
+        base, known = (s[t.stops] - s[t.starts] for s in (np.concatenate(([0.0], np.cumsum(x))) for x in (own, n > 0)))
+        steps = np.concatenate(([0.0], np.cumsum(path)))[t.first + np.arange(len(t.first))]
         return pd.DataFrame({
             "doc_id": pd.array(ids, "Int64"), "held_out": ~t.trains, "n_tokens": t.sizes + 1,
             "n_known": known.astype(np.int64) + int(ends > 0), "train_tokens": n_all,
-            "base_score": base + np.log10(ends + 0.5) - (t.sizes + 1) * base_of, "score": np.array(path) + word,
+            "base_score": base + np.log10(ends + 0.5) - (t.sizes + 1) * base_of, "score": np.diff(steps),
         })
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

@@ -85,6 +85,19 @@ def test_simhash_groups(docs, pairs, none):
     assert simhash.groups(none).count() == 0 and simhash.one_of_each(none).count() == 0
 
 
+def test_one_of_each_group_whatever_the_ids(spark):
+    """Texts without id, and several texts under one id, each have a row of their own group that stays."""
+    texts = [" ".join(f"{w}{k}" for w in "a b c d e f g h i j k l m n o p".split()) for k in range(12)]
+    rows = [(None, t) for t in texts[:5]] * 3 + [(None, None), (None, "")]  # groups without any id
+    rows += [(7, texts[5]), (7, texts[6]), (7, texts[6])]  # one id, two groups
+    rows += [(8, texts[7]), (9, texts[7]), (None, texts[7])]  # the smallest id stays
+    rows += [(3, texts[8]), (9, texts[8]), (9, texts[9])]  # id 9 is another group's, and the only one of its own
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = Counter((r["doc_id"], r["text"] or "") for r in simhash.one_of_each(df).collect())
+    expected = [(None, ""), *[(None, t) for t in texts[:5]], (7, texts[5]), (7, texts[6]), (8, texts[7]), (3, texts[8]), (9, texts[9])]
+    assert got == Counter(expected)
+
+
 def test_links_of_close_fingerprints_are_whole(spark):
     """Chains of fingerprints four bits apart, and a ball of many: the components are those of all pairs."""
     rng = np.random.default_rng(3)

@@ -51,16 +51,21 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
 
+def _text_key() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """doc_id, text_key (a hash of the text) and fp, the fingerprint as a signed long."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint((t or "").encode(), size) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(np.array(found, np.uint64).view(np.int64))], schema=schema)
+            found = [fingerprint((t or "").encode(), size) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(np.array(found, np.uint64).view(np.int64))], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("text_key"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
 def _segment(fp: Column, k: int) -> Column:
@@ -123,20 +128,29 @@ def links(fps: DataFrame) -> DataFrame:
     return first.unionByName(pairs.select("u", "v").distinct())
 
 
-def groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id reachable by links) for every row."""
-    own = stored(fingerprints(docs, size), "fingerprints")
-    fps = stored(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+def _rooted(own: DataFrame, least: Column) -> DataFrame:
+    """fp, least (an aggregate of its rows) and root (a fingerprint that names its group) of every distinct fingerprint."""
+    fps = stored(own.groupBy("fp").agg(least.alias("least")), "distinct-fingerprints")
     roots = connected(links(fps.select("fp")))
     rooted = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = stored(rooted, "rooted")
+    return stored(rooted, "rooted")
+
+
+def groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """doc_id, fp and component_id (the smallest doc_id reachable by links) for every row."""
+    own = stored(fingerprints(docs, size).select("doc_id", "fp"), "fingerprints")
+    rooted = _rooted(own, F.min("doc_id"))
     least = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
     named = stored(rooted.join(least, "root").select("fp", "component_id"), "named-fingerprints")
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """The documents whose id is the smallest of their group, with their own columns. Of repeated rows of that id one stays."""
-    stay = groups(docs, size).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.struct("*").alias("_doc"))
-    return rows.join(stay, F.col("_id").eqNullSafe(F.col("_stay"))).dropDuplicates(["_id"]).select("_doc.*")
+    """One row of each group, with its own columns: that of the smallest id (of rows without id, if no row has one), then of the
+    smallest text hash. Neither null ids nor one id with several texts tie groups to each other."""
+    own = stored(fingerprints(docs, size), "fingerprints")
+    rooted = _rooted(own, F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")))
+    stay = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("_stay"), F.col("least.text_key").alias("_stay_key"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), _text_key().alias("_key"), F.struct("*").alias("_doc"))
+    kept = rows.join(stay, (F.col("_key") == F.col("_stay_key")) & F.col("_id").eqNullSafe(F.col("_stay")))
+    return kept.dropDuplicates(["_id", "_key"]).select("_doc.*")

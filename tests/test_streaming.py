@@ -91,6 +91,49 @@ def test_sessions_close_after_the_watermark(spark, tmp_path):
     assert rows(got, "start_ts", "end_ts", "n_rows") == [(at(0), at(14), 3), (at(40), at(45), 2)]
 
 
+def shuffled(spark, tmp_path, n=40):
+    """One row a file, in an order far from that of time, more files than a trigger takes; with nulls and ties."""
+    import os
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    minutes = [(k * 17 % n) * 9.0 for k in range(n)]
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for k, m in enumerate(minutes):
+        rows = [(k % 2, at(m), "a", str(k)), (k % 2, at(m + 1), None, None), (1, at(m), "b", "1")]
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.timestamp("us", "UTC"), pa.string(), pa.string()), strict=True)]
+        pq.write_table(pa.table(columns, ["site_id", "ts", "name", "value"]), str(folder / f"p{k:03d}.parquet"))
+        os.utime(folder / f"p{k:03d}.parquet", (1_700_000_000 + 10 * k,) * 2)
+    return str(folder)
+
+
+def test_late_rows_are_merged_into_windows_and_sessions(spark, tmp_path):
+    folder = shuffled(spark, tmp_path)
+    every, stream = spark.read.schema(schemas.READINGS).parquet(folder), j.read_readings(spark, folder, max_files=16)
+    key = lambda r: tuple(map(str, r))
+    collected = lambda df: sorted(map(tuple, df.collect()), key=key)
+
+    closed = run(spark, j.rollup(stream), tmp_path, "rollup").cache()
+    newest = closed.agg(F.max("ts")).first()[0]
+    want = j.rollup(every)
+    assert collected(j.with_open_windows(closed, every)) == collected(want)
+    lost = want.filter(F.col("ts") <= F.lit(newest)).agg(F.sum("n_rows")).first()[0] - closed.agg(F.sum("n_rows")).first()[0]
+    assert lost > 0 and j.late_windows(closed, every).agg(F.sum("n_late")).first()[0] == lost
+
+    by = ["site_id", "name"]
+    sessions = run(spark, j.gap_sessions(stream), tmp_path, "sessions")
+    whole = j.gap_sessions(every)
+    got = j.with_open_sessions(sessions, every, by, "10 minutes").select(whole.columns)
+    assert sessions.count() > 0 and collected(got) == collected(whole)
+
+    written = run(spark, j.first_write_wins(stream), tmp_path, "first")
+    keys = every.select("site_id", "ts", "name").distinct()
+    assert written.count() < keys.count()
+    assert collected(j.with_late_keys(written, every).select("site_id", "ts", "name")) == collected(keys)
+
+
 def test_outcomes_take_the_nearest_reading(spark, tmp_path):
     readings = landed(spark, tmp_path, [(1, at(m), "a", str(v)) for m, v in ((52, 60), (58, 61), (62, 62), (75, 63))], schemas.READINGS, 2)
     folder = str(tmp_path / "p")

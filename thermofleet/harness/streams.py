@@ -30,7 +30,9 @@ def _run(spark, stream, label, single_batch=False):
 @query("stream_first_write", R + f" SELECT DISTINCT site_id, name, epoch_us({ROUND5}) AS ts_us FROM readings_v")
 def stream_first_write(spark, sf):
     keyed = _stream(spark, sf).withColumn("ts", round5(F.col("ts")))
-    return _run(spark, j.first_write_wins(keyed).select("site_id", "ts", "name"), "first-write").select("site_id", "name", v.us("ts").alias("ts_us"))
+    written = _run(spark, j.first_write_wins(keyed).select("site_id", "ts", "name"), "first-write")
+    every = v.readings(spark, sf).withColumn("ts", round5(F.col("ts")))
+    return j.with_late_keys(written, every, ["site_id", "name", "ts"]).select("site_id", "name", v.us("ts").alias("ts_us"))
 
 
 @query("stream_insert_ignore", R + f" SELECT site_id, name, epoch_us({ROUND5}) AS ts_us, arg_min(value, event_id) AS value FROM readings_v GROUP BY site_id, name, {ROUND5}")

@@ -1,6 +1,7 @@
 """Structured Streaming jobs.
 
-Late rows are dropped 15 minutes behind the watermark unless the caller says otherwise. Every job keeps its
+Late rows are dropped 15 minutes behind the watermark unless the caller says otherwise; `with_open_windows`,
+`with_open_sessions` and `with_late_keys` merge what was dropped, and `late_windows` counts it. Every job keeps its
 state keyed by site and name, so state size follows the number of series and not the number of rows. What one
 series can bring into one micro-batch is bounded by the files per trigger (16 unless the caller says otherwise).
 """
@@ -74,17 +75,43 @@ def gap_sessions(readings: DataFrame, by: Sequence[str] = ("site_id", "name"), g
 
 
 def with_open_windows(closed: DataFrame, readings: DataFrame) -> DataFrame:
-    """Rollup windows a stream has closed, and those still open at its end, computed from the same rows in batch."""
-    newest = closed.agg(F.max("ts")).first()[0]
-    every = rollup(readings)
-    return closed.unionByName(every if newest is None else every.filter(F.col("ts") > F.lit(newest)))
+    """Rollup windows a stream has closed, and in batch from the same rows those still open at its end and those that
+    lost late rows. What a stream counts of a window is part of its rows, so an equal number means all of them."""
+    return _mended(closed, rollup(readings), ["site_id", "name", "ts", "n_rows"])
+
+
+def late_windows(closed: DataFrame, readings: DataFrame) -> DataFrame:
+    """The rows a stream's closed time has lost, as `n_late` per window: of windows up to the newest closed one, short or missing."""
+    newest = closed.agg(F.max("ts").alias("__newest"))
+    seen = closed.select("site_id", "name", "ts", (-F.col("n_rows")).alias("n_late"))
+    every = rollup(readings).select("site_id", "name", "ts", F.col("n_rows").alias("n_late"))
+    sums = every.unionByName(seen).groupBy("site_id", "name", "ts").agg(F.sum("n_late").alias("n_late")).filter("n_late > 0")
+    return sums.join(newest, F.col("ts") <= F.col("__newest")).drop("__newest")
 
 
 def with_open_sessions(closed: DataFrame, readings: DataFrame, by: Sequence[str], gap: str) -> DataFrame:
-    """Sessions a stream has closed, and each key's rows after its last closed session as sessions still open."""
-    last = closed.groupBy(*by).agg(F.max("end_ts").alias("__closed"))
-    rest = readings.join(last, list(by), "left").filter(F.col("__closed").isNull() | (F.col("ts") > F.col("__closed")))
-    return closed.unionByName(gap_sessions(rest.drop("__closed"), by, gap))
+    """Sessions a stream has closed, and in batch from the same rows those still open and those that late rows lengthen,
+    join or begin."""
+    return _mended(closed, gap_sessions(readings, by, gap), [*by, "start_ts", "end_ts", "n_rows"])
+
+
+def with_late_keys(written: DataFrame, readings: DataFrame, keys: Sequence[str] = READING_KEY) -> DataFrame:
+    """First writes of a stream, and the keys whose rows were all late (their rows are told apart by nothing: any one)."""
+    late = _without(readings.select(*written.columns), written, keys)
+    return written.unionByName(late.dropDuplicates(list(keys)))
+
+
+def _without(rows: DataFrame, others: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows that have no equal, nulls too, in `others`."""
+    other = others.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return rows.join(other, same, "left_anti")
+
+
+def _mended(closed: DataFrame, every: DataFrame, same: Sequence[str]) -> DataFrame:
+    """`closed` where it equals `every` in the columns `same`, and the rest of `every`."""
+    wrong = _without(closed, every, same)
+    return _without(closed, wrong, same).unionByName(_without(every, closed, same))
 
 
 def _key_schema(df: DataFrame, by: Sequence[str]) -> str:

@@ -111,6 +111,28 @@ def test_advisory_counts(spark):
         assert {r.grid for r in out.collect()} == {grid} and out.select("combo_id").distinct().count() == combos
 
 
+def test_every_site_gets_all_combinations(spark, tmp_path):
+    """The registered grids leave out no site and no combination, whatever the site's number."""
+    import itertools
+
+    import __spark_entry__ as entry
+
+    data = [(k * 5 + d, site, "P" if d < 2 else "O") for k, site in enumerate((1, 2, 7, 9, 64)) for d in range(1, 4)]
+    spark.createDataFrame(data, "o_orderkey bigint, o_custkey bigint, o_orderstatus string").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    hold = ("hold", 0, None)
+    full = {"P": [hold, *[("close", x, None) for x in (0, 12, 24, 36)]], "O": [hold, *[("open", 0, x) for x in (12, 24, 36)]]}
+    coarse = {"P": [hold, ("close", 0, None)], "O": [hold, ("open", 0, 12)]}
+    for name, options in (("advisory_cross_full", full), ("advisory_cross_coarse", coarse)):
+        found = {}
+        for r in entry.queries()[name](spark, str(tmp_path)).collect():
+            found.setdefault(r.site_id, {}).setdefault(r.combo_id, {})[r.device] = (r.action, r.transition_step, r.return_step)
+        assert sorted(found) == sorted({site for _, site, _ in data})
+        for site, combos in found.items():
+            devices = sorted((f"d{key % 5}", status) for key, owner, status in data if owner == site)
+            want = {tuple(zip([d for d, _ in devices], c, strict=True)) for c in itertools.product(*[options[status] for _, status in devices])}
+            assert len(combos) == len(want) and {tuple(sorted(c.items())) for c in combos.values()} == want
+
+
 def test_envelope_rules(spark):
     p = spark.createDataFrame([(1, "a", 12, x) for x in (70.0, 71.0, 120.0)] + [(1, "b", 12, x) for x in (70.0, 70.5)], "site_id bigint, sensor string, step int, temp double")
     current = spark.createDataFrame([(1, "a", 70.0), (1, "b", 60.0)], "site_id bigint, sensor string, temp double")

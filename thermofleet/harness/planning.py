@@ -232,6 +232,30 @@ def advisory_cross(spark, sf):
     return combos.select("site_id", "grid", "combo_id", "device", "action", "transition_step", "return_step")
 
 
+def cross_sql(kept: str) -> str:
+    """All combinations of the kept options of every site."""
+    return f"""WITH {ADVICE}, k AS (SELECT * FROM adv WHERE {kept}),
+n AS (SELECT *, row_number() OVER (PARTITION BY site_id, device ORDER BY action <> 'hold', transition_step, return_step) - 1 AS option_no, count(*) OVER (PARTITION BY site_id, device) AS size FROM k),
+d AS (SELECT DISTINCT site_id, device, size FROM n),
+z AS (SELECT site_id, device, size, CAST(round(exp(coalesce(sum(ln(size)) OVER (PARTITION BY site_id ORDER BY device DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS stride, CAST(round(exp(sum(ln(size)) OVER (PARTITION BY site_id))) AS BIGINT) AS total FROM d),
+c AS (SELECT site_id, device, size, stride, unnest(range(total)) AS combo_id FROM z)
+SELECT n.site_id, combo_id, n.device, action, transition_step, return_step FROM c JOIN n ON n.site_id = c.site_id AND n.device = c.device AND n.option_no = (c.combo_id // c.stride) % c.size"""
+
+
+def _crossed(spark, sf, grid):
+    return o.cross_advisory(_advice(spark, sf), F.lit(grid)).select("site_id", "combo_id", "device", "action", "transition_step", "return_step")
+
+
+@query("advisory_cross_full", cross_sql("true"))
+def advisory_cross_full(spark, sf):
+    return _crossed(spark, sf, "full")
+
+
+@query("advisory_cross_coarse", cross_sql("action = 'hold' OR (is_active AND transition_step = 0) OR (NOT is_active AND return_step = 12)"))
+def advisory_cross_coarse(spark, sf):
+    return _crossed(spark, sf, "coarse")
+
+
 @query("plan_pairs", "WITH c AS (SELECT o_custkey AS site_id, count(*) AS n_plans, count(*) % 4 + 1 AS n_combos FROM orders GROUP BY 1) SELECT site_id, p.p AS plan_id, q.q AS combo_id FROM c, LATERAL (SELECT unnest(range(n_plans)) AS p) p, LATERAL (SELECT unnest(range(n_combos)) AS q) q")
 def plan_pairs(spark, sf):
     n = F.count(F.lit(1))

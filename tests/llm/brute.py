@@ -150,3 +150,40 @@ def top_k(rows, k=10):
         found = sorted(((-sum(a * b for a, b in zip(qv, v, strict=False)), i) for i, v in whole if i != q))[:k]
         out += [(q, n, i, -s) for n, (s, i) in enumerate(found, 1)]
     return out
+
+
+def merkle(rows, touched, fan_out=3):
+    """rows: (doc_id, source, lang, n_chars, text); per row doc_id, leaf, subroot, root, proof, folded root, verified."""
+
+    def digest(*parts):
+        return sha("".join(parts).encode())
+
+    def leaf(row):
+        return digest(*["-" if v is None else f"{len(str(v).encode())}:{v}" for v in row])
+
+    def rolled(level):
+        paths, at = [[] for _ in level], list(range(len(level)))
+        while len(level) > 1:
+            for path, p in zip(paths, at, strict=True):
+                a = p - p % fan_out
+                path.append(("".join(level[a:p]), "".join(level[p + 1:a + fan_out])))
+            level, at = [digest(*level[a:a + fan_out]) for a in range(0, len(level), fan_out)], [p // fan_out for p in at]
+        return level[0], paths
+
+    groups = defaultdict(list)
+    for row in rows:
+        groups[row[1]].append((row[0] is not None, row[0] or 0, leaf(row), row))
+    names = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
+    members = [sorted(groups[s], key=lambda m: m[:3]) for s in names]
+    own = [rolled([m[2] for m in ms]) for ms in members]
+    root, tops = rolled([subroot for subroot, _ in own]) if own else (None, [])
+    out = []
+    for ms, (subroot, paths), top in zip(members, own, tops, strict=True):
+        for (_, _, h, row), below in zip(ms, paths, strict=True):
+            at = h
+            if touched(row[0]):
+                at = leaf((*row[:4], None if row[4] is None else row[4].replace("\n", "")))
+            for left, right in below + top:
+                at = digest(left, at, right)
+            out.append((row[0], h, subroot, root, digest(*[a + b for a, b in below + top]), at, at == root))
+    return out

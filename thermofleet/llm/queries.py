@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from thermofleet.llm import lines, mixing, nearest, packing, quality, scoring, shards, simhash, substrings, suffixes
+from thermofleet.llm import lines, merkle, mixing, nearest, packing, quality, scoring, shards, simhash, substrings, suffixes
 from thermofleet.llm.tables import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,41 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return nearest.top_k(rows, rows.where("vec_id % 100 = 0"))
+
+
+def _leaf(text: str) -> str:
+    fields = ("doc_id", "source", "lang", "n_chars", text)
+    return "sha256(" + " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END" for c in fields) + ")"
+
+
+OP12 = f"""
+WITH RECURSIVE
+crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)),
+  lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM (SELECT unnest(range(256)) AS i))),
+d AS (SELECT row_number() OVER () AS r, *, coalesce(list_reduce(list_prepend(4294967295::BIGINT,
+  list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])) & 1 = 1, false) AS touched
+  FROM documents, crc),
+leaf AS (SELECT r, doc_id, source, {_leaf("text")} AS leaf, CASE WHEN touched THEN {_leaf("replace(text, chr(10), '')")} END AS bad FROM d),
+place AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n FROM leaf),
+tree(src, lvl, idx, h, n) AS (SELECT source, 0, idx, leaf, n FROM place
+  UNION ALL SELECT src, lvl + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (n + 2) // 3 FROM tree WHERE n > 1 GROUP BY src, lvl, idx // 3, n),
+sub AS (SELECT src, h, row_number() OVER (ORDER BY src NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM tree WHERE n = 1),
+top(lvl, idx, h, n) AS (SELECT 0, idx, h, n FROM sub
+  UNION ALL SELECT lvl + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (n + 2) // 3 FROM top WHERE n > 1 GROUP BY lvl, idx // 3, n),
+near AS (SELECT r, t.lvl, t.h, t.idx, place.idx // (3 ** t.lvl)::BIGINT AS own FROM place JOIN tree AS t
+    ON t.src IS NOT DISTINCT FROM place.source AND t.n > 1 AND t.idx // 3 = place.idx // (3 ** (t.lvl + 1))::BIGINT
+  UNION ALL SELECT r, 1000 + t.lvl, t.h, t.idx, sub.idx // (3 ** t.lvl)::BIGINT FROM place JOIN sub ON sub.src IS NOT DISTINCT FROM place.source
+    JOIN top AS t ON t.n > 1 AND t.idx // 3 = sub.idx // (3 ** (t.lvl + 1))::BIGINT),
+step AS (SELECT r, lvl, coalesce(string_agg(h, '' ORDER BY idx) FILTER (idx < own), '') AS a, coalesce(string_agg(h, '' ORDER BY idx) FILTER (idx > own), '') AS b
+  FROM near GROUP BY r, lvl),
+path AS (SELECT r, string_agg(a || b, '' ORDER BY lvl) AS s, list(a || '|' || b ORDER BY lvl) AS steps FROM step GROUP BY r),
+f AS (SELECT doc_id, leaf, sub.h AS subroot, (SELECT h FROM top WHERE n = 1) AS root, sha256(coalesce(s, '')) AS proof_sha256,
+  list_reduce(list_prepend(coalesce(bad, leaf), coalesce(steps, [])), lambda h, x: sha256(string_split(x, '|')[1] || h || string_split(x, '|')[2])) AS folded_root
+  FROM place JOIN sub ON sub.src IS NOT DISTINCT FROM place.source LEFT JOIN path ON path.r = place.r)
+SELECT *, folded_root = root AS verified FROM f
+"""
+
+
+@query("op12_merkle_manifest", OP12)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(documents(spark, sf_dir)).drop("source")

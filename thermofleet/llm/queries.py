@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from thermofleet.llm import lines, merkle, mixing, nearest, packing, quality, scoring, shards, simhash, substrings, suffixes
+from thermofleet.llm import bytebpe, lines, merkle, mixing, nearest, packing, quality, scoring, shards, simhash, substrings, suffixes
 from thermofleet.llm.tables import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,3 +191,14 @@ SELECT *, folded_root = root AS verified FROM f
 @query("op12_merkle_manifest", OP12)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(documents(spark, sf_dir)).drop("source")
+
+
+@query("op13_byte_bpe")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(tokenizer_path("byte_bpe_multi_50k.tiktoken"), "rb") as file:
+        ranks = file.read()
+    ids = bytebpe.encoded(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
+    back = bytebpe.decoded(ids, ranks)
+    return back.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -187,3 +187,30 @@ def merkle(rows, touched, fan_out=3):
                 at = digest(left, at, right)
             out.append((row[0], h, subroot, root, digest(*[a + b for a, b in below + top]), at, at == root))
     return out
+
+
+def phrases(rows, most=3, least=10, percent=50, limit=2000):
+    """rows: (lang, text); the ranked rows lang, rank, phrase, a, l, r, n, score."""
+    counts, totals = defaultdict(Counter), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER)):
+            own = re.findall(r"[^\x20\x09]+", piece)
+            totals[lang] += len(own)
+            for n in range(1, most + 1):
+                counts[lang].update(tuple(own[i:i + n]) for i in range(len(own) - n + 1))
+    out = []
+    for lang, f in counts.items():
+        found = {p: n for p, n in f.items() if len(p) > 1 and n >= least}
+        gone = set()
+        for p, n in found.items():
+            for size in range(2, len(p)):
+                gone |= {q for i in range(len(p) - size + 1) if 100 * n >= percent * f[q := p[i:i + size]]}
+        scored = []
+        for p, a in found.items():
+            if p not in gone:
+                score, k = min((10**6 * a * a // (f[p[:k]] * f[p[k:]]), k) for k in range(1, len(p)))
+                scored.append((" ".join(p), a, f[p[:k]], f[p[k:]], score))
+        scored.sort(key=lambda s: (-s[4], -s[1], s[0].encode()))
+        out += [(lang, at, *s[:4], totals[lang], s[4]) for at, s in enumerate(scored[:limit], 1)]
+    return out

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from thermofleet.llm import bytebpe, lines, merkle, mixing, nearest, packing, quality, scoring, shards, simhash, substrings, suffixes
+from thermofleet.llm import bytebpe, lines, merkle, mixing, nearest, packing, phrases, quality, scoring, shards, simhash, substrings, suffixes
 from thermofleet.llm.tables import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -202,3 +202,31 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = bytebpe.encoded(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
     back = bytebpe.decoded(ids, ranks)
     return back.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+OP11 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pc AS (SELECT r, lang, unnest(ps) AS piece, generate_subscripts(ps, 1) AS p FROM (SELECT r, lang, regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]') AS ps FROM d)),
+tok AS (SELECT r, lang, p, unnest(ws) AS x, generate_subscripts(ws, 1) AS k FROM (SELECT r, lang, p, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pc)),
+g AS (SELECT lang, x AS w1, lead(x, 1) OVER o AS w2, lead(x, 2) OVER o AS w3 FROM tok WINDOW o AS (PARTITION BY r, p ORDER BY k)),
+f AS (SELECT lang, w1 AS phrase, 1 AS words, count(*) AS n FROM g GROUP BY lang, w1
+  UNION ALL SELECT lang, w1 || ' ' || w2, 2, count(*) FROM g WHERE w2 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3, 3, count(*) FROM g WHERE w3 IS NOT NULL GROUP BY ALL),
+c AS (SELECT lang, phrase, words, n AS a, string_split(phrase, ' ') AS ws FROM f WHERE words > 1 AND n >= 10),
+cut AS (SELECT lang, phrase, a, k, array_to_string(ws[:k], ' ') AS x, array_to_string(ws[k + 1:], ' ') AS y
+  FROM (SELECT *, unnest(range(1, words)) AS k FROM c)),
+s AS (SELECT cut.lang, cut.phrase, a, k, f.n AS l, h.n AS r, (1000000::HUGEINT * a * a) // (f.n::HUGEINT * h.n) AS score
+  FROM cut JOIN f ON f.lang = cut.lang AND f.phrase = x JOIN f AS h ON h.lang = cut.lang AND h.phrase = y),
+low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+over AS (SELECT lang, phrase, max(a) AS a FROM (SELECT lang, a, unnest([ws[1] || ' ' || ws[2], ws[2] || ' ' || ws[3]]) AS phrase FROM c WHERE words = 3) GROUP BY ALL),
+kept AS (SELECT low.* FROM low LEFT JOIN over ON over.lang = low.lang AND over.phrase = low.phrase WHERE over.a IS NULL OR 100 * over.a < 50 * low.a),
+n AS (SELECT lang, count(*) AS n FROM tok GROUP BY lang)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n.n AS n, score::BIGINT AS score
+FROM kept JOIN n ON n.lang = kept.lang QUALIFY rank <= 2000
+"""
+
+
+@query("op11_phrase_collocations", OP11)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from thermofleet.llm.hashing import ranges
 from thermofleet.session import scratch_path
 
-CHUNK_BYTES = 32 << 20  # text of a chunk, about
+CHUNK_BYTES = 12 << 20  # text of a chunk, about
 PART_BYTES = 8 << 20  # distinct words of a part over all chunks, about
 WORD_SHARE = 0.2  # bytes of the chunks' distinct words per byte of text, for the number of parts
 LEAST_PARTS, LEAST_BUCKETS, MOST_BUCKETS = 64, 32, 1 << 16  # Spark takes no more than 100,000 buckets; one holds any number of chunks

@@ -46,8 +46,8 @@ def test_odd_texts_in_many_chunks(spark, ranks, plain, chunk_bytes, monkeypatch)
     monkeypatch.setattr(bytebpe, "LONG_TEXT", 1_000)
     rows = [(k, t) for k, t in enumerate(ODD * 2)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = bytebpe.encoded(df, ranks, PATTERN, chunk_bytes).collect()
-    assert {r["doc_id"]: bytes(r["ids"]) for r in got} == {k: plain(t) for k, t in rows}
+    got = bytebpe.encoded(df, ranks, PATTERN, chunk_bytes, decode=True).collect()
+    assert {r["doc_id"]: (bytes(r["ids"]), bytes(r["decoded"])) for r in got} == {k: (plain(t), t.encode()) for k, t in rows}
 
 
 def test_decoding_by_itself(spark, ranks, plain, monkeypatch):

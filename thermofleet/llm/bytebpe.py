@@ -32,10 +32,10 @@ from pyspark.sql import DataFrame, functions as F
 from thermofleet.llm.hashing import ranges
 from thermofleet.session import scratch_path
 
-CHUNK_BYTES = 12 << 20  # text of a chunk, about
+CHUNK_BYTES = 16 << 20  # text of a chunk, about
 PART_BYTES = 8 << 20  # distinct words of a part over all chunks, about
 WORD_SHARE = 0.2  # bytes of the chunks' distinct words per byte of text, for the number of parts
-LEAST_PARTS, LEAST_BUCKETS, MOST_BUCKETS = 64, 32, 1 << 16  # Spark takes no more than 100,000 buckets; one holds any number of chunks
+LEAST_PARTS, LEAST_BUCKETS, MOST_BUCKETS = 32, 32, 1 << 16  # Spark takes no more than 100,000 buckets; one holds any number of chunks
 LONG_TEXT = 4 << 20  # characters from which a text is not split at once
 BLOCK = 1 << 20  # ids decoded at once
 
@@ -160,8 +160,18 @@ def _bucketed(rows: DataFrame, key: str, buckets: int) -> DataFrame:
     return spark.table(name)
 
 
-def encoded(docs: DataFrame, ranks: bytes, pattern: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Per row: doc_id and ids, a binary of little-endian unsigned 32-bit ids. `ranks` is the content of a rank file."""
+def _bytes_of(ids: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> bytes:
+    """The ids joined with the token-byte table, block by block."""
+    (blob, first, size), text = table, []
+    for at in range(0, len(ids), BLOCK):
+        some = ids[at:at + BLOCK]
+        text.append(blob[ranges(first[some], first[some] + size[some] - 1)].tobytes())
+    return b"".join(text)
+
+
+def encoded(docs: DataFrame, ranks: bytes, pattern: str, chunk_bytes: int = CHUNK_BYTES, decode: bool = False) -> DataFrame:
+    """Per row: doc_id and ids, a binary of little-endian unsigned 32-bit ids; with `decode` also decoded, the bytes that the ids
+    stand for, joined where the ids are put together. `ranks` is the content of a rank file."""
     spark = docs.sparkSession
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = 1 << max(LEAST_PARTS - 1, int(total * WORD_SHARE / PART_BYTES)).bit_length()
@@ -185,7 +195,8 @@ def encoded(docs: DataFrame, ranks: bytes, pattern: str, chunk_bytes: int = CHUN
     answers = words.groupBy("part").applyInArrow(encode, "chunk long, part int, ids binary")
 
     def reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        out_ids, out_docs = [], []
+        out_ids, out_docs, out_bytes = [], [], []
+        tokens = _token_bytes(vocabulary.value) if decode else None
         found = dict(zip(right.column("part").to_pylist(), right.column("ids"), strict=True))
         each = {p: tuple(_spread(ids.as_py())) for p, ids in found.items()}
         most = max((len(n) for n, _ in each.values()), default=0)
@@ -203,13 +214,17 @@ def encoded(docs: DataFrame, ranks: bytes, pattern: str, chunk_bytes: int = CHUN
             at = 0
             for doc, n in zip(docs_of.as_py(), counts.as_py(), strict=True):
                 begin, sizes = first[own := places[at:at + n]], size[own]
-                out_ids.append(flat[ranges(begin, begin + sizes - 1)].tobytes())
+                ids = flat[ranges(begin, begin + sizes - 1)]
+                out_ids.append(ids.tobytes())
                 out_docs.append(doc)
+                if decode:
+                    out_bytes.append(_bytes_of(ids, tokens))
                 at += n
-        return pa.table({"doc_id": pa.array(out_docs, pa.int64()), "ids": pa.array(out_ids, pa.large_binary()).cast(pa.binary())})
+        made = {"doc_id": pa.array(out_docs, pa.int64()), "ids": pa.array(out_ids, pa.binary())}
+        return pa.table(made | ({"decoded": pa.array(out_bytes, pa.binary())} if decode else {}))
 
     kept = chunks.select("chunk", "doc_ids", "counts", "places")
-    return kept.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(reassemble, "doc_id long, ids binary")
+    return kept.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(reassemble, "doc_id long, ids binary" + ", decoded binary" * decode)
 
 
 def decoded(rows: DataFrame, ranks: bytes, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -220,15 +235,9 @@ def decoded(rows: DataFrame, ranks: bytes, ids: str = "ids", out: str = "decoded
     plain = [f"c{k}" for k in range(len(kept))]  # names without dots on the way through Python
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blob, first, size = _token_bytes(vocabulary.value)
+        tokens = _token_bytes(vocabulary.value)
         for batch in batches:
-            made = []
-            for value in batch.column(at_ids):
-                own, text = np.frombuffer(value.as_py() or b"", "<u4"), []
-                for at in range(0, len(own), BLOCK):
-                    some = own[at:at + BLOCK]
-                    text.append(blob[ranges(first[some], first[some] + size[some] - 1)].tobytes())
-                made.append(b"".join(text))
+            made = [_bytes_of(np.frombuffer(value.as_py() or b"", "<u4"), tokens) for value in batch.column(at_ids)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], [*plain, "made"])
 
     schema = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(plain, kept, strict=True)) + ", made binary"

@@ -199,8 +199,7 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     with open(tokenizer_path("byte_bpe_multi_50k.tiktoken"), "rb") as file:
         ranks = file.read()
-    ids = bytebpe.encoded(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
-    back = bytebpe.decoded(ids, ranks)
+    back = bytebpe.encoded(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN, decode=True)
     return back.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

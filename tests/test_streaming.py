@@ -2,6 +2,8 @@
 
 import random
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import at, rows
@@ -11,6 +13,12 @@ from thermofleet.operators.track import Track
 from thermofleet.rules.cooldown import cooldown_scan
 from thermofleet.sources.states import states_to_readings
 from thermofleet.streaming import jobs as j
+from thermofleet.streaming import ordered as o
+
+
+@pytest.fixture(autouse=True)
+def state_store(spark):
+    o.use_rocksdb(spark)
 
 
 def landed(spark, tmp_path, data, schema, parts=3):
@@ -32,22 +40,6 @@ def values(seed, n=90):
     return [(rnd.randrange(2), at(i * 3 + rnd.random()), rnd.choice("ab"), str(rnd.randrange(2))) for i in range(n)]
 
 
-def test_change_only_equals_batch(spark, tmp_path):
-    folder = landed(spark, tmp_path, values(1), schemas.READINGS)
-    got = run(spark, j.change_only(j.read_readings(spark, folder, max_files=1)), tmp_path)
-    want = sp.change_only(spark.read.parquet(folder), Track(("site_id", "name")))
-    assert rows(got, "site_id", "name", "ts", "value") == rows(want, "site_id", "name", "ts", "value")
-
-
-def test_cooldown_equals_batch(spark, tmp_path):
-    data = [(s, ts, n) for s, ts, n, _ in values(2)]
-    folder = landed(spark, tmp_path, data, "site_id bigint, raised_at timestamp, name string")
-    stream = j.read_readings(spark, folder, "site_id bigint, raised_at timestamp, name string", max_files=1)
-    got = run(spark, j.cooldown(stream, ["site_id", "name"], 1_800), tmp_path)
-    want = cooldown_scan(spark.read.parquet(folder), ["site_id", "name"], 1_800).filter("sent")
-    assert rows(got, "site_id", "name", "raised_at") == rows(want, "site_id", "name", "raised_at")
-
-
 def test_first_write_wins_across_batches(spark, tmp_path):
     data = [(1, at(0), "a", "1"), (1, at(0), "a", "2"), (1, at(5), "a", "3"), (1, at(0), "a", "4"), (1, at(10), "a", "5"), (1, at(5), "a", "6")]
     folder = landed(spark, tmp_path, data, schemas.READINGS)
@@ -91,8 +83,8 @@ def test_sessions_close_after_the_watermark(spark, tmp_path):
     assert rows(got, "start_ts", "end_ts", "n_rows") == [(at(0), at(14), 3), (at(40), at(45), 2)]
 
 
-def shuffled(spark, tmp_path, n=40):
-    """One row a file, in an order far from that of time, more files than a trigger takes; with nulls and ties."""
+def shuffled(tmp_path, n=40, per_file=1):
+    """Rows in an order far from that of time, `per_file` moments a file; with nulls and ties, and a tick that lands last."""
     import os
 
     import pyarrow as pa
@@ -101,68 +93,145 @@ def shuffled(spark, tmp_path, n=40):
     minutes = [(k * 17 % n) * 9.0 for k in range(n)]
     folder = tmp_path / "in"
     folder.mkdir()
-    for k, m in enumerate(minutes):
-        rows = [(k % 2, at(m), "a", str(k)), (k % 2, at(m + 1), None, None), (1, at(m), "b", "1")]
+    every = []
+    for k in range(0, n, per_file):
+        rows = [r for i, m in enumerate(minutes[k:k + per_file], k) for r in ((i % 2, at(m), "a", str(i % 3)), (i % 2, at(m + 1), None, None), (1, at(m), "b", "1"))]
+        rows += [(-1, at(n * 9 + 10_000), "tick", None)] * (k + per_file >= n)
+        every += rows
         columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.timestamp("us", "UTC"), pa.string(), pa.string()), strict=True)]
         pq.write_table(pa.table(columns, ["site_id", "ts", "name", "value"]), str(folder / f"p{k:03d}.parquet"))
         os.utime(folder / f"p{k:03d}.parquet", (1_700_000_000 + 10 * k,) * 2)
-    return str(folder)
-
-
-def test_late_rows_are_merged_into_windows_and_sessions(spark, tmp_path):
-    folder = shuffled(spark, tmp_path)
-    every, stream = spark.read.schema(schemas.READINGS).parquet(folder), j.read_readings(spark, folder, max_files=16)
-    key = lambda r: tuple(map(str, r))
-    collected = lambda df: sorted(map(tuple, df.collect()), key=key)
-
-    closed = run(spark, j.rollup(stream), tmp_path, "rollup").cache()
-    newest = closed.agg(F.max("ts")).first()[0]
-    want = j.rollup(every)
-    assert collected(j.with_open_windows(closed, every)) == collected(want)
-    lost = want.filter(F.col("ts") <= F.lit(newest)).agg(F.sum("n_rows")).first()[0] - closed.agg(F.sum("n_rows")).first()[0]
-    assert lost > 0 and j.late_windows(closed, every).agg(F.sum("n_late")).first()[0] == lost
+    return str(folder), [r for r in every if r[0] >= 0]
+
+
+def judged(data, slot_minutes, per_batch, late_minutes=15):
+    """`data` in order of landing, in micro-batches of so many rows: (row, late)."""
+    out, newest = [], None
+    for k in range(0, len(data), per_batch):
+        part = data[k:k + per_batch]
+        mark = None if newest is None else newest - pd.Timedelta(minutes=late_minutes)
+        out += [(r, mark is not None and pd.Timestamp(r[1]).floor(f"{slot_minutes}min") + pd.Timedelta(minutes=slot_minutes) <= mark) for r in part]
+        newest = max([pd.Timestamp(r[1]) for r in part] + [newest] * (newest is not None))
+    return out
+
+
+def series_of(rows):
+    out = {}
+    for (site, ts, name, value), _ in sorted(rows, key=lambda x: (str(x[0][0]), str(x[0][2]), x[0][1], x[0][3] is not None, x[0][3] or "")):
+        out.setdefault((site, name), []).append((ts, value))
+    return out
+
+
+def told(df):
+    return sorted((tuple(r) for r in df.collect()), key=lambda r: tuple(map(str, r)))
+
+
+def test_rows_leave_in_order_and_late_ones_apart(spark, tmp_path):
+    """Micro-batches of five files in shuffled order: what is on time equals the plain rule in order of time, the rest is late."""
+    folder, data = shuffled(tmp_path)
+    stream = lambda: j.read_readings(spark, folder, max_files=5)
+    rows = judged(data, 5, 15)
+    ontime, late = [x for x in rows if not x[1]], [x[0] for x in rows if x[1]]
+    assert len(late) > 20 and len(ontime) > 20
+
+    changes = run(spark, o.change_only(stream()), tmp_path, "changes").filter("site_id >= 0")
+    want = []
+    for (site, name), own in series_of(ontime).items():
+        want += [(site, name, ts, value, False) for k, (ts, value) in enumerate(own) if not k or own[k - 1][1] != value]
+    want += [(r[0], r[2], r[1], r[3], True) for r in late]
+    assert told(changes) == sorted(want, key=lambda r: tuple(map(str, r)))
+
+    sent = run(spark, o.cooldown(stream().withColumnRenamed("ts", "raised_at"), ["site_id", "name"], 1_800), tmp_path, "sent").filter("site_id >= 0")
+    want = [(r[0], r[2], r[1], True) for r in late]
+    for (site, name), own in series_of(ontime).items():
+        last = None
+        for ts, _ in own:
+            if last is None or (ts - last).total_seconds() >= 1_800:
+                want.append((site, name, ts, False))
+                last = ts
+    assert told(sent) == sorted(want, key=lambda r: tuple(map(str, r)))
+
+
+def test_frames_are_bounded_for_a_hot_key(monkeypatch):
+    """One key with nearly all rows: blocks and frames stay small, and rows of several blocks leave merged in order."""
+    monkeypatch.setattr(o, "FRAME_ROWS", 10)
+
+    class State:
+        def __init__(self):
+            self.value, self.timers = [], []
+
+        def __getattr__(self, name):
+            return {"appendValue": self.value.append, "get": lambda: list(self.value), "exists": lambda: False, "clear": self.value.clear,
+                    "put": lambda v: self.value.__setitem__(slice(None), v), "update": lambda v: None, "registerTimer": self.timers.append}[name]
+
+    class Time:
+        def __init__(self, minutes):
+            self.ms = minutes * 60_000
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    job = o._Changes(["k", "at", "value", "late"], 5 * o.MINUTE)
+    job.handle = job.blocks = State()
+    job.carried = State()
+    stamps = [(i * 37 % 500) * o.MINUTE // 10 for i in range(500)]
+    for k in range(0, 500, 100):
+        list(job.handleInputRows(("a",), iter([pd.DataFrame({"at": stamps[k:k + 100], "value": [str(s) for s in stamps[k:k + 100]], "more": None})]), Time(0)))
+    assert max(len(block[0]) for block in job.blocks.value) <= 10
+    frames = [f for f in job.handleExpiredTimer(("a",), Time(33), None) if len(f)]
+    assert max(map(len, frames)) <= 10
+    out = pd.concat(frames)["at"].tolist()
+    assert out == sorted(s for s in stamps if s < 30 * o.MINUTE) and sum(len(b[0]) for b in job.blocks.value) == 500 - len(out)
+
+
+def test_late_rows_are_merged_and_the_stream_decides(spark, tmp_path):
+    """Merged, the streams equal the batch result; an emptied or changed output of the stream shows."""
+    folder, data = shuffled(tmp_path)
+    stream = lambda: j.read_readings(spark, folder, max_files=8)
+    every = spark.read.schema(schemas.READINGS).parquet(folder).filter("site_id >= 0")
+
+    shifted = stream().withColumn("ts", F.timestamp_seconds(F.floor(F.unix_seconds("ts") / 300) * 300))
+    out = run(spark, o.rollup(shifted), tmp_path, "rollup").filter("site_id >= 0").cache()
+    window = F.timestamp_seconds(F.floor(F.unix_seconds("ts") / 300) * 300)
+    number = F.col("value").try_cast("double")
+    want = told(every.groupBy("site_id", "name", window.alias("ts")).agg(F.count(F.lit(1)), F.avg(number), F.min(number), F.max(number)))
+    assert told(o.merged_rollup(out)) == want
+    assert out.filter("late").count() > 0 and out.filter("not late").count() > 0
+    assert told(o.merged_rollup(out.filter("late"))) != want
+    assert told(o.merged_rollup(out.withColumn("n_rows", F.col("n_rows") + 1))) != want
 
     by = ["site_id", "name"]
-    sessions = run(spark, j.gap_sessions(stream), tmp_path, "sessions")
-    whole = j.gap_sessions(every)
-    got = j.with_open_sessions(sessions, every, by, "10 minutes").select(whole.columns)
-    assert sessions.count() > 0 and collected(got) == collected(whole)
+    sessions = run(spark, o.sessions(stream(), by, 600), tmp_path, "sessions").filter("site_id >= 0").cache()
+    whole = told(j.gap_sessions(every).select(*by, "start_ts", "end_ts", "n_rows"))
+    assert told(o.merged_sessions(sessions, by, 600).select(*by, "start_ts", "end_ts", "n_rows")) == whole
+    assert sessions.filter("late").count() > 0 and told(o.merged_sessions(sessions.filter("late"), by, 600)) != whole
 
-    written = run(spark, j.first_write_wins(stream), tmp_path, "first")
-    keys = every.select("site_id", "ts", "name").distinct()
-    assert written.count() < keys.count()
-    assert collected(j.with_late_keys(written, every).select("site_id", "ts", "name")) == collected(keys)
+    keyed = stream().withColumn("arrival", F.unix_seconds("ts"))
+    written = run(spark, o.first_writes(keyed, F.col("arrival")), tmp_path, "first").filter("site_id >= 0").cache()
+    keys = told(every.select("site_id", "name", "ts").distinct())
+    assert told(o.merged_first_writes(written).select("site_id", "name", "ts")) == keys
+    assert told(o.merged_first_writes(written.filter("late")).select("site_id", "name", "ts")) != keys
 
 
 def test_outcomes_take_the_nearest_reading(spark, tmp_path):
-    readings = landed(spark, tmp_path, [(1, at(m), "a", str(v)) for m, v in ((52, 60), (58, 61), (62, 62), (75, 63))], schemas.READINGS, 2)
-    folder = str(tmp_path / "p")
     schema = "site_id bigint, decision_ts timestamp, sensor string, horizon string, wanted_ts timestamp, predicted double"
-    spark.createDataFrame([(1, at(0), "a", "1h", at(60), 65.0)], schema).coalesce(1).write.parquet(folder)
-    pairs = run(spark, j.outcome_candidates(j.read_readings(spark, folder, schema), j.read_readings(spark, readings)), tmp_path)
-    assert pairs.count() == 3
-    assert rows(j.nearest_candidate(pairs), "actual", "error") == [(61.0, 4.0)]
-
-
-def test_heartbeat_goes_stale(spark, tmp_path):
-    import time
-
-    folder = landed(spark, tmp_path, [(1, at(0), "a", "1"), (2, at(1), "a", "1")], schemas.READINGS, 1)
-    out = str(tmp_path / "beats")
-    query = (
-        j.heartbeat(j.read_readings(spark, folder), silent_ms=500).writeStream.format("parquet").option("path", out)
-        .option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="300 milliseconds").start()
-    )
-    try:
-        stop = time.time() + 40
-        while time.time() < stop:
-            time.sleep(1)
-            try:
-                seen = rows(spark.read.parquet(out), "site_id", "status")
-            except Exception:  # nothing written yet
-                continue
-            if len(seen) >= 4:
-                break
-    finally:
-        query.stop()
-    assert seen == [(1, "alive"), (1, "stale"), (2, "alive"), (2, "stale")]
+    readings = [(1, at(m), "a", str(v)) for m, v in ((52, 60), (58, 61), (62, 62), (75, 63), (90, 64), (400, 1), (61, 70), (500, 1), (210, 5))]
+    predictions = [(1, at(0), "a", "1h", at(60), 65.0), (1, at(25), "a", "1h", at(85), 65.0), (1, at(140), "a", "1h", at(200), 6.0), (1, at(30), "a", "1h", at(90), 66.0)]
+    folder, asked = landed(spark, tmp_path, readings, schemas.READINGS, 9), str(tmp_path / "p")
+    for p in predictions:
+        spark.createDataFrame([p], schema).coalesce(1).write.mode("append").parquet(asked)
+    stream = o.outcomes(j.read_readings(spark, asked, schema, 1), j.read_readings(spark, folder, max_files=1))
+    got = run(spark, stream, tmp_path).cache()
+    assert set(r["state"] for r in got.collect()) >= {"matched", "late reading"}
+    merged = o.merged_outcomes(got, spark.createDataFrame(predictions, schema), spark.createDataFrame(readings, schemas.READINGS))
+    assert rows(merged, "decision_ts", "actual", "error") == [(at(0), 70.0, -5.0), (at(25), 64.0, 1.0), (at(30), 64.0, 2.0), (at(140), 5.0, 1.0)]
+
+
+def test_heartbeat_follows_the_data(spark, tmp_path):
+    data = [(1, at(m), "a", "1") for m in (0, 5, 9)] + [(2, at(m), "a", "1") for m in (1, 8, 30)] + [(1, at(60), "a", "1"), (2, at(61), "a", "1"), (-1, at(900), "t", None)]
+    folder = landed(spark, tmp_path, data, schemas.READINGS, 9)
+    got = run(spark, o.heartbeat(j.read_readings(spark, folder, max_files=1)), tmp_path).filter("site_id > 0")
+    assert rows(got.filter("not late"), "site_id", "status", "last_ts", "n_rows") == sorted([
+        (1, "alive", at(0), 1), (1, "stale", at(9), 3), (1, "alive", at(60), 4), (1, "stale", at(60), 4),
+        (2, "alive", at(1), 1), (2, "stale", at(8), 2), (2, "alive", at(30), 3), (2, "stale", at(30), 3), (2, "alive", at(61), 4), (2, "stale", at(61), 4),
+    ])

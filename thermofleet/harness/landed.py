@@ -6,11 +6,8 @@ from pyspark.sql import functions as F
 
 from thermofleet.harness import views as v
 from thermofleet.harness.registry import query
-from thermofleet.harness.series import ROUND5
-from thermofleet.harness.tables import _dims, _entity_states
 from thermofleet.session import scratch_path
 from thermofleet.sources import dims, params, runs
-from thermofleet.streaming import jobs as j
 
 SITE_SQL = "'site' || (l_suppkey % 16)"
 PART = f"WITH p AS (SELECT {SITE_SQL} || '_s' || (l_partkey % 8) AS sensor, 'e' || (l_partkey % 12) AS effector, 'd' || (l_partkey % 5) AS device, l_suppkey % 16 AS site_id, l_quantity, l_discount, l_linenumber FROM lineitem)"
@@ -79,14 +76,3 @@ def schedule_tiers(spark, sf):
         lo.alias("min"), hi.alias("max"), empty.alias("backup"), *[F.lit(None).cast("double").alias(c) for c in ("cold_penalty", "hot_penalty", "weight")])
     out = dims.schedule_table(raw)
     return out.select("site_id", "seq", "start_hour", "pref_lo", "pref_hi", "acc_lo", "acc_hi", "backup_lo", "backup_hi")
-
-
-@query("stream_state_ingest", f"""WITH {v.STATES}, n AS (SELECT name, unnest(CASE name WHEN 'purchase' THEN ['purchase_temp', 'purchase_target', 'purchase_action'] WHEN 'signup' THEN ['signup_mode'] ELSE [name] END) AS column_name FROM (SELECT DISTINCT name FROM states_v))
-SELECT DISTINCT site_id, column_name AS name, epoch_us({ROUND5}) AS ts_us FROM states_v JOIN n USING (name)""")
-def stream_state_ingest(spark, sf):
-    """States land as JSON lines and become readings on five-minute keys."""
-    landed, out, state = (scratch_path(spark, x) for x in ("states", "ingested", "ingest-state"))
-    _entity_states(spark, sf).write.json(landed)
-    stream = j.ingest(j.read_states(spark, landed, max_files=10_000), _dims(spark, sf))
-    j.run_available(stream.select("site_id", "ts", "name", "value"), out, state)
-    return spark.read.parquet(out).select("site_id", "name", v.us("ts").alias("ts_us"))

@@ -1,22 +1,19 @@
-"""Structured Streaming jobs.
+"""Structured Streaming sources, sinks, and jobs on Spark's own windows.
 
-Late rows are dropped 15 minutes behind the watermark unless the caller says otherwise; `with_open_windows`,
-`with_open_sessions` and `with_late_keys` merge what was dropped, and `late_windows` counts it. Every job keeps its
-state keyed by site and name, so state size follows the number of series and not the number of rows. What one
-series can bring into one micro-batch is bounded by the files per trigger (16 unless the caller says otherwise).
+Spark drops what comes behind the watermark (15 minutes unless the caller says otherwise) from the windows and sessions
+here; the jobs of `streaming.ordered` hand such rows out instead, to be merged. State is keyed by site and name. Files per
+trigger (16 unless the caller says otherwise) bound what a micro-batch brings.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from thermofleet import schemas
-from thermofleet.functions.timekeys import add_seconds, round5, seconds_between
+from thermofleet.functions.timekeys import add_seconds, round5
 from thermofleet.sources.readings import READING_KEY
 from thermofleet.sources.states import states_to_readings
 
@@ -74,178 +71,14 @@ def gap_sessions(readings: DataFrame, by: Sequence[str] = ("site_id", "name"), g
     ).drop("w")
 
 
-def with_open_windows(closed: DataFrame, readings: DataFrame) -> DataFrame:
-    """Rollup windows a stream has closed, and in batch from the same rows those still open at its end and those that
-    lost late rows. What a stream counts of a window is part of its rows, so an equal number means all of them."""
-    return _mended(closed, rollup(readings), ["site_id", "name", "ts", "n_rows"])
-
-
-def late_windows(closed: DataFrame, readings: DataFrame) -> DataFrame:
-    """The rows a stream's closed time has lost, as `n_late` per window: of windows up to the newest closed one, short or missing."""
-    newest = closed.agg(F.max("ts").alias("__newest"))
-    seen = closed.select("site_id", "name", "ts", (-F.col("n_rows")).alias("n_late"))
-    every = rollup(readings).select("site_id", "name", "ts", F.col("n_rows").alias("n_late"))
-    sums = every.unionByName(seen).groupBy("site_id", "name", "ts").agg(F.sum("n_late").alias("n_late")).filter("n_late > 0")
-    return sums.join(newest, F.col("ts") <= F.col("__newest")).drop("__newest")
-
-
-def with_open_sessions(closed: DataFrame, readings: DataFrame, by: Sequence[str], gap: str) -> DataFrame:
-    """Sessions a stream has closed, and in batch from the same rows those still open and those that late rows lengthen,
-    join or begin."""
-    return _mended(closed, gap_sessions(readings, by, gap), [*by, "start_ts", "end_ts", "n_rows"])
-
-
-def with_late_keys(written: DataFrame, readings: DataFrame, keys: Sequence[str] = READING_KEY) -> DataFrame:
-    """First writes of a stream, and the keys whose rows were all late (their rows are told apart by nothing: any one)."""
-    late = _without(readings.select(*written.columns), written, keys)
-    return written.unionByName(late.dropDuplicates(list(keys)))
-
-
-def _without(rows: DataFrame, others: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows that have no equal, nulls too, in `others`."""
-    other = others.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
-    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    return rows.join(other, same, "left_anti")
-
-
-def _mended(closed: DataFrame, every: DataFrame, same: Sequence[str]) -> DataFrame:
-    """`closed` where it equals `every` in the columns `same`, and the rest of `every`."""
-    wrong = _without(closed, every, same)
-    return _without(closed, wrong, same).unionByName(_without(every, closed, same))
-
-
-def _key_schema(df: DataFrame, by: Sequence[str]) -> str:
-    types = dict(df.dtypes)
-    return ", ".join(f"{k} {types[k]}" for k in by)
-
-
-def change_only(readings: DataFrame, by: Sequence[str] = ("site_id", "name"), ts: str = "ts") -> DataFrame:
-    """Rows whose value differs from the previous one of their series, the last value being the state.
-
-    Within a micro-batch a series is ordered by time; its size there is bounded by the files per trigger.
-    """
-    keys = list(by)
-    schema = f"{_key_schema(readings, keys)}, {ts} timestamp, value string"
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get if state.exists else None
-        seen = state.exists
-        rows = pd.concat(list(parts)).sort_values(ts, kind="stable")
-        value = rows["value"].astype(object).where(rows["value"].notna(), None)
-        before = value.shift(1)
-        before.iloc[0] = last[0] if seen else None
-        keep = ~((value == before) | (value.isna() & before.isna()))
-        if not seen:
-            keep.iloc[0] = True
-        state.update((value.iloc[-1],))
-        yield rows.loc[keep.to_numpy(), [*keys, ts, "value"]]
-
-    narrow = readings.select(*keys, F.col(ts), F.col("value").cast("string").alias("value"))
-    return narrow.groupBy(*keys).applyInPandasWithState(step, schema, "value string", "append", GroupStateTimeout.NoTimeout)
-
-
-def cooldown(alerts: DataFrame, by: Sequence[str], cooldown_seconds: int, at: str = "raised_at", late: str = LATE) -> DataFrame:
-    """Alerts to send: the first of a key, then the first one a cooldown after the last send.
-
-    The last send time is the state; it expires once the watermark has passed its cooldown.
-    """
-    keys = list(by)
-    schema = f"{_key_schema(alerts, keys)}, {at} timestamp"
-    wait = pd.Timedelta(seconds=cooldown_seconds)
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        sent = []
-        for when in pd.concat(list(parts))[at].sort_values():
-            if last is None or when - last >= wait:
-                sent.append(when)
-                last = when
-        micros = int(last.value // 1_000)
-        state.update((micros,))
-        expiry = micros // 1_000 + cooldown_seconds * 1_000
-        state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([(*key, w) for w in sent], columns=[*keys, at])
-
-    return (
-        alerts.withWatermark(at, late)
-        .select(*keys, at)
-        .groupBy(*keys)
-        .applyInPandasWithState(step, schema, "last_sent bigint", "append", GroupStateTimeout.EventTimeTimeout)
-    )
-
-
-def heartbeat(readings: DataFrame, by: Sequence[str] = ("site_id",), silent_ms: int = 600_000, ts: str = "ts") -> DataFrame:
-    """One `stale` row when a site has been silent for ten minutes of processing time, one `alive` row per batch
-    in which it reports."""
-    keys = list(by)
-    schema = f"{_key_schema(readings, keys)}, status string, last_ts timestamp, n_rows bigint"
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        columns = [*keys, "status", "last_ts", "n_rows"]
-        if state.hasTimedOut:
-            last, rows = state.get
-            state.remove()
-            yield pd.DataFrame([(*key, "stale", pd.Timestamp(last, unit="us"), rows)], columns=columns)
-            return
-        last, rows = state.get if state.exists else (None, 0)
-        for part in parts:
-            newest = int(part[ts].max().value // 1_000)
-            last = newest if last is None else max(last, newest)
-            rows += len(part)
-        state.update((last, rows))
-        state.setTimeoutDuration(silent_ms)
-        yield pd.DataFrame([(*key, "alive", pd.Timestamp(last, unit="us"), rows)], columns=columns)
-
-    return readings.select(*keys, ts).groupBy(*keys).applyInPandasWithState(
-        step, schema, "last_ts bigint, n_rows bigint", "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
-
-
-def outcome_candidates(predictions: DataFrame, readings: DataFrame, tolerance_seconds: int = 600, late: str = LATE) -> DataFrame:
-    """Stream-stream interval join: predictions `(site_id, decision_ts, sensor, horizon, wanted_ts, predicted)`
-    with readings of the same site and sensor within the tolerance of the wanted time.
-
-    Only readings that close are ever paired, so the join holds a few rows per prediction; `nearest_candidate`
-    reduces them to one.
-    """
-    p = predictions.withWatermark("wanted_ts", late).alias("p")
-    r = readings.select(
-        F.col("site_id").alias("r_site"), F.col("name").alias("r_name"), F.col("ts").alias("r_ts"),
-        F.col("value").try_cast("double").alias("actual"),
-    ).withWatermark("r_ts", late)
-    span = F.expr(f"INTERVAL {tolerance_seconds} SECONDS")
-    near = (
-        (F.col("p.site_id") == F.col("r_site"))
-        & (F.col("p.sensor") == F.col("r_name"))
-        & (F.col("r_ts") >= F.col("p.wanted_ts") - span)
-        & (F.col("r_ts") <= F.col("p.wanted_ts") + span)
-    )
-    return p.join(r, near).select("p.*", "r_ts", "actual")
-
-
-def nearest_candidate(candidates: DataFrame) -> DataFrame:
-    """The closest reading per prediction (earlier on a tie), as outcome rows; used inside `foreachBatch`."""
-    gap = F.abs(seconds_between(F.col("r_ts"), F.col("wanted_ts")))
-    picked = candidates.groupBy("site_id", "decision_ts", "sensor", "horizon", "predicted").agg(
-        F.min_by("actual", F.struct(gap, F.col("r_ts"))).alias("actual")
-    )
-    return picked.withColumn("error", F.round(F.col("predicted") - F.col("actual"), 3))
-
-
-def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "append", single_batch: bool = False) -> None:
-    """Process what has landed so far into parquet and stop.
-
-    A job with a processing-time timeout never runs out of batches, so it takes `single_batch`.
-    """
+def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
+    """Process what has landed so far into parquet and stop; the next call goes on from there."""
     query = (
         stream.writeStream.format("parquet")
         .option("path", out)
         .option("checkpointLocation", checkpoint)
         .outputMode(mode)
-        .trigger(**({"once": True} if single_batch else {"availableNow": True}))
+        .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-PARTS = ["series", "tables", "formulas", "planning", "decided", "alerts", "fits", "streams", "learning", "landed"]
+PARTS = ["series", "tables", "formulas", "planning", "decided", "alerts", "fits", "streams", "learning", "landed", "days"]
 
 
 def load():

@@ -194,6 +194,22 @@ def test_dense_stretches_are_cut_by_rows(spark, small_ranges, spread):
             assert got[d[2]] == (seen, i + 1, ahead[i])
 
 
+@pytest.mark.parametrize("copies", [False, True])
+def test_left_rows_of_one_instant_are_cut(spark, small_ranges, copies):
+    """Most left rows lie at one instant, or are copies of one row: no range holds much more than its share, the match is right."""
+    left = [(1, at(600), 0 if copies else i) for i in range(4_000)] + [(k, at(i), 5_000 + i) for i, k in enumerate([1, 2] * 200)]
+    right = [(1, at(599), "x"), (1, at(600), "y"), (1, at(601), "z"), (2, at(3), "w")]
+    lefts = spark.createDataFrame(left, "k bigint, ts timestamp, id bigint")
+    rights = spark.createDataFrame(right, "k bigint, ts timestamp, v string")
+    merged = a._merge(lefts, rights, ["k"], "ts", "ts", ["v"], (), True)
+    fullest = a._track(["k"], ()).chunked(merged).groupBy("k", "__chunk").count().agg(F.max("count")).first()[0]
+    assert fullest <= len(left) / 6
+    found = a.asof(lefts, rights, ["k"], ["v"]).filter("ts = timestamp'" + str(at(600)) + "'").groupBy("k", "right_v").count()
+    assert rows(found) == [(1, "y", 4_000)]
+    near = a.nearest(lefts, rights, ["k"], ["v"]).filter("ts = timestamp'" + str(at(600)) + "'").groupBy("k", "right_v").count()
+    assert rows(near) == [(1, "y", 4_000)]
+
+
 def test_ticks_of_one_key_lie_in_many_partitions(spark):
     s = spark.createDataFrame([(1, at(0)), (1, at(2_000))], "k bigint, ts timestamp")
     ticks = g.grid(s, ["k"], 1)

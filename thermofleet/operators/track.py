@@ -21,6 +21,7 @@ CHUNK = "__chunk"
 BLOCK = "__block"
 HOME = "__home"
 POSITION = "__position"
+EACH = "__each"
 
 
 @dataclass(frozen=True)
@@ -36,11 +37,13 @@ class Track:
         """Add the number of the row's range, or keep the one an earlier step left.
 
         Ranges hold about as many rows as Spark puts in a shuffle partition; rows of one key in one range are one chunk.
+        A number per row comes last in the order of the cut, so that rows of one instant, equal ones too, are cut like others.
         """
         if CHUNK in df.columns:
             return df
-        dealt = df.repartitionByRange(*self.by, *self.order()).withColumn(CHUNK, F.spark_partition_id().cast("bigint"))
-        return cut_lineage(dealt)
+        numbered_rows = df.withColumn(EACH, F.monotonically_increasing_id())
+        dealt = numbered_rows.repartitionByRange(*self.by, *self.order(), EACH).withColumn(CHUNK, F.spark_partition_id().cast("bigint"))
+        return cut_lineage(dealt.drop(EACH))
 
     def order(self) -> list[Column]:
         return [F.col(c) for c in (self.ts, *self.tie)]

@@ -4,37 +4,78 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thermofleet.functions.timekeys import add_seconds, hour_in_window
-from thermofleet.operators.asof import asof
-from thermofleet.session import cut_lineage
+from thermofleet.functions.timekeys import hour_in_window
+from thermofleet.operators.track import CHUNK, Track
+
+LONG_AGO = -(1 << 62)
+
+
+def _outline(times: np.ndarray, waits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a range of alerts: the next send after each (its length for none), and a table of breakpoints.
+
+    The table says what the range does to a key that is silent until `s`: the first breakpoint at or after `s` has the time
+    until which the key is silent behind the range. Alerts whose chains of sends meet share one breakpoint.
+    """
+    after = np.searchsorted(times, times + waits)
+    until = (times + waits).tolist()
+    for k in range(len(times) - 1, -1, -1):
+        if after[k] < len(times):
+            until[k] = until[after[k]]
+    until = np.array(until, np.int64)
+    ends = np.flatnonzero(np.append(until[1:] != until[:-1], True))
+    return after, times[ends], until[ends]
 
 
 def sent_times(alerts: DataFrame, by: Sequence[str], cooldown_seconds: Column | int, at: str = "raised_at") -> DataFrame:
     """Send times per key: the first alert, then always the first one at least a cooldown after the last send.
 
-    The rule looks sequential, but the alert that would follow a send depends only on its time, so every alert
-    gets one pointer (a forward as-of). The chain from each key's first alert is then walked by doubling: one
-    join per power of two, so a key with a million sends needs twenty rounds and no task scans a whole key.
+    The rule looks sequential, but a range of alerts acts on a key only through the time until which it is silent. Each range
+    is outlined by itself as a table of breakpoints, a key's outlines are gone through one after the other, which tells every
+    range where it starts, and the ranges then mark their sends, again each by itself. A key brings to one task only its
+    outlines; they hold no more rows per range than there are alerts within one cooldown.
     """
     wait = F.lit(cooldown_seconds) if isinstance(cooldown_seconds, int) else cooldown_seconds
-    times = alerts.groupBy(*by, at).agg(F.max(wait).alias("__wait"))
-    probes = times.withColumn("__from", add_seconds(F.col(at), F.col("__wait")))
-    linked = asof(probes, times, by, [], left_ts="__from", right_ts=at, direction="forward", prefix="next_")
-    hop = cut_lineage(linked.filter(F.col("next_ts").isNotNull()).select(*by, at, "next_ts"))
-    reached = cut_lineage(times.groupBy(*by).agg(F.min(at).alias(at)))
-    while True:
-        found = reached.join(hop, [*by, at]).select(*by, F.col("next_ts").alias(at))
-        found = cut_lineage(found)
-        if found.isEmpty():
-            return reached
-        reached = reached.unionByName(found)
-        ahead = hop.select(*by, F.col(at).alias("next_ts"), F.col("next_ts").alias("__far"))
-        hop = cut_lineage(
-            hop.join(ahead, [*by, "next_ts"]).select(*by, at, F.col("__far").alias("next_ts"))
-        )
+    times = alerts.groupBy(*by, at).agg((F.max(wait).cast("bigint") * 1_000_000).alias("__wait"))
+    track, keys = Track(tuple(by), at), [*by, CHUNK]
+    rows = track.chunked(times).select(*keys, F.unix_micros(F.col(at)).alias("__t"), "__wait")
+    types = dict(rows.dtypes)
+    head = ", ".join(f"{k} {types[k]}" for k in keys)
+
+    def outline(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("__t")
+        _, start, until = _outline(frame["__t"].to_numpy(np.int64), frame["__wait"].to_numpy(np.int64))
+        return pd.DataFrame({**dict(zip(keys, key, strict=True)), "__t": start, "__until": until})
+
+    def follow(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        silent, entries = LONG_AGO, []
+        for chunk, own in frame.sort_values([CHUNK, "__t"]).groupby(CHUNK, sort=True):
+            entries.append((*key, chunk, silent))
+            hit = np.searchsorted(own["__t"].to_numpy(), silent)
+            if hit < len(own):
+                silent = int(own["__until"].iloc[hit])
+        return pd.DataFrame(entries, columns=[*keys, "__silent"])
+
+    def mark(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("__t")
+        stamps = frame["__t"].to_numpy(np.int64)
+        after, _, _ = _outline(stamps, frame["__wait"].to_numpy(np.int64))
+        k, sent = int(np.searchsorted(stamps, frame["__silent"].iloc[0])), []
+        while k < len(stamps):
+            sent.append(stamps[k])
+            k = int(after[k])
+        return pd.DataFrame({**dict(zip(keys, key, strict=True)), "__t": np.array(sent, np.int64)})
+
+    outlines = rows.groupBy(*keys).applyInPandas(outline, f"{head}, __t bigint, __until bigint")
+    entries = outlines.groupBy(*by).applyInPandas(follow, f"{head}, __silent bigint")
+    own = entries.select(*[F.col(k).alias(f"__e{k}") for k in keys], "__silent")
+    met = rows.join(own, [F.col(k).eqNullSafe(F.col(f"__e{k}")) for k in keys]).select(*keys, "__t", "__wait", "__silent")
+    marked = met.groupBy(*keys).applyInPandas(mark, f"{head}, __t bigint")
+    return marked.select(*by, F.timestamp_micros("__t").alias(at))
 
 
 def cooldown_scan(alerts: DataFrame, by: Sequence[str], cooldown_seconds: Column | int, at: str = "raised_at",

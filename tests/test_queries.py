@@ -28,7 +28,7 @@ def test_queries_are_listed_without_a_session():
     out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120)
     assert out.returncode == 0, out.stderr
     assert set(SQL) <= set(QUERIES) and set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(QUERIES) - set(SQL) == {"bootstrap_cv", "fit_health", "gbt_errors"}
+    assert set(QUERIES) - set(SQL) == {"fit_health", "gbt_errors"}
 
 
 def test_workers_import_the_package_from_anywhere(tmp_path, sf):

@@ -167,3 +167,18 @@ def test_approximate_stats(spark):
     exact, rough = table_stats(df).first(), table_stats(df, approximate=True).first()
     assert exact.n_timestamps == 10 and exact.n_names == 3 and exact.n_rows == rough.n_rows == 60
     assert rough.n_timestamps == pytest.approx(10, abs=1)
+
+
+def test_upsert_rewrites_touched_days_once(spark, tmp_path):
+    import os
+
+    path = str(tmp_path / "t")
+    schema = "site_id bigint, ts timestamp, v bigint, arrival bigint"
+    first = spark.createDataFrame([(1, at(0), 1, 0), (1, at(1_500), 2, 0), (2, at(3_000), 3, 0), (2, at(3_000), 4, 1)], schema)
+    assert readings.upsert_days(first, path, ["site_id", "ts"], 1, "arrival")
+    kept = {f: os.path.getmtime(f"{path}/dt=2026-01-01/{f}") for f in os.listdir(f"{path}/dt=2026-01-01")}
+    second = spark.createDataFrame([(1, at(1_500), 9, 0), (3, at(1_600), 5, 0), (3, at(9_000), 6, 0)], schema)
+    assert readings.upsert_days(second, path, ["site_id", "ts"], 2, "arrival")
+    assert not readings.upsert_days(second.withColumn("v", F.lit(0).cast("bigint")), path, ["site_id", "ts"], 2, "arrival")
+    assert rows(spark.read.parquet(path), "site_id", "ts", "v") == [(1, at(0), 1), (1, at(1_500), 9), (2, at(3_000), 4), (3, at(1_600), 5), (3, at(9_000), 6)]
+    assert kept == {f: os.path.getmtime(f"{path}/dt=2026-01-01/{f}") for f in os.listdir(f"{path}/dt=2026-01-01")}

@@ -22,20 +22,19 @@ def _augmented(part: pd.DataFrame) -> np.ndarray:
     return np.column_stack([x, np.ones(len(part)), part["y"].to_numpy(dtype=float)])
 
 
-def _uniform(key: np.ndarray, replicate: int) -> np.ndarray:
-    """Repeatable uniforms from a row hash and a replicate number (64-bit mixing)."""
-    with np.errstate(over="ignore"):
-        z = key.astype(np.uint64) + np.uint64((replicate + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        z = z ^ (z >> np.uint64(31))
-    return (z >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+def draws(replicates: int, blocks: int) -> np.ndarray:
+    """How often each replicate draws each block: `blocks` draws with replacement, in 32-bit integer steps that SQL can share.
 
-
-def _poisson_one(u: np.ndarray) -> np.ndarray:
-    """Poisson(1) counts by inverse distribution: the bootstrap weight of a row."""
-    terms = np.exp(-1.0) / np.cumprod(np.concatenate([[1.0], np.arange(1.0, 16.0)]))
-    return np.searchsorted(np.cumsum(terms), u).astype(float)
+    Draw j of replicate r mixes x = r * blocks + j + 1 as x * 2654435761, x ^ (x >> 15), x * 2246822519, x ^ (x >> 13), all
+    modulo 2 ** 32, and takes the block x % blocks.
+    """
+    x = np.arange(1, replicates * blocks + 1, dtype=np.uint64)
+    low = np.uint64(0xFFFFFFFF)
+    for factor, shift in ((2_654_435_761, 15), (2_246_822_519, 13)):
+        x = x * np.uint64(factor) & low
+        x ^= x >> np.uint64(shift)
+    drawn = (x % np.uint64(blocks)).astype(np.int64).reshape(replicates, blocks)
+    return np.stack([np.bincount(row, minlength=blocks) for row in drawn]).astype(float)
 
 
 def _whole(half: Column) -> Column:
@@ -50,16 +49,11 @@ def _whole(half: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), d * d - 1), cell)
 
 
-def gram(rows: DataFrame, by: Sequence[str], replicates: int = 0, seed: int = 42) -> DataFrame:
-    """`(by, [replicate,] g array<double>)` from rows `(by, x array<double>, y[, row_hash])`.
-
-    With `replicates`, rows need a `row_hash` and each replicate weighs every row by a Poisson(1) count drawn
-    from that hash, so a recomputed task draws the same counts.
-    """
+def gram(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """`(by, g array<double>)` from rows `(by, x array<double>, y)`."""
     keys = list(by)
     types = dict(rows.dtypes)
-    out_schema = ", ".join(f"{k} {types[k]}" for k in keys) + (", replicate int" if replicates else "") + ", g array<double>"
-    out_names = keys + (["replicate"] if replicates else []) + ["g"]
+    out_schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", g array<double>"
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple, np.ndarray] = {}
@@ -67,28 +61,20 @@ def gram(rows: DataFrame, by: Sequence[str], replicates: int = 0, seed: int = 42
         def emit() -> pd.DataFrame:
             data = [(*k, m[np.triu_indices(len(m))]) for k, m in held.items()]
             held.clear()
-            return pd.DataFrame(data, columns=out_names)
+            return pd.DataFrame(data, columns=[*keys, "g"])
 
         for batch in batches:
             if batch.empty:
                 continue
             for key, part in batch.groupby(keys, sort=False, dropna=False):
                 z = _augmented(part)
-                if not replicates:
-                    held[key] = held.get(key, 0.0) + z.T @ z
-                    continue
-                base = part["row_hash"].to_numpy(dtype=np.int64)
-                for r in range(replicates):
-                    w = _poisson_one(_uniform(base, seed * 1_000 + r))
-                    held[(*key, r)] = held.get((*key, r), 0.0) + (z * w[:, None]).T @ z
+                held[key] = held.get(key, 0.0) + z.T @ z
             if len(held) >= HELD:
                 yield emit()
         if held:
             yield emit()
 
-    groups = keys + (["replicate"] if replicates else [])
-    narrow = rows.select(*keys, "x", "y", *(["row_hash"] if replicates else []))
-    cells = narrow.mapInPandas(partial, out_schema).select(*groups, F.posexplode("g").alias("cell", "v"))
-    summed = cells.groupBy(*groups, "cell").agg(F.sum("v").alias("v"))
+    cells = rows.select(*keys, "x", "y").mapInPandas(partial, out_schema).select(*keys, F.posexplode("g").alias("cell", "v"))
+    summed = cells.groupBy(*keys, "cell").agg(F.sum("v").alias("v"))
     ordered = F.sort_array(F.collect_list(F.struct("cell", "v")))
-    return summed.groupBy(*groups).agg(F.transform(ordered, lambda c: c["v"]).alias("g")).withColumn("g", _whole(F.col("g")))
+    return summed.groupBy(*keys).agg(F.transform(ordered, lambda c: c["v"]).alias("g")).withColumn("g", _whole(F.col("g")))

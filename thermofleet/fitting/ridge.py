@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thermofleet.fitting.gram import gram
+from thermofleet.fitting.gram import draws, gram
 
 SCALED_PREFIXES = ("solar_", "adv_")
 OPTIONAL_PREFIX = "adv_"
@@ -166,31 +166,32 @@ def holdout(design: DataFrame, fits: DataFrame, by: Sequence[str] = ("site_id",
 
 
 def bootstrap_cv(design: DataFrame, fits: DataFrame, features: Sequence[str], by: Sequence[str] = ("site_id", "sensor"),
-                 replicates: int = 50, seed: int = 42, min_rows: int = 500) -> DataFrame:
-    """Spread over mean of every coefficient across resamples (0 where the mean is about zero)."""
+                 replicates: int = 50, blocks: int = 32, min_rows: int = 500, block: Column | None = None) -> DataFrame:
+    """Mean and spread of every coefficient over block resamples, and spread over mean (0 where the mean is about zero).
+
+    Rows are dealt into blocks by `block` (from 0 on), or by a hash of their key. One matrix per group and block goes through the
+    shuffle; a replicate draws blocks with replacement and weighs their matrices, so the number of replicates moves no data.
+    """
     keys = list(by)
-    hashed = design.withColumn("row_hash", F.xxhash64(*keys, "ts")).join(
-        fits.filter(F.col("n") >= min_rows).select(*keys), keys, "left_semi"
-    )
-    grams = gram(hashed, keys, replicates, seed).join(fits.select(*keys, "lam", "scale"), keys)
-    types = dict(grams.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", replicate int, beta array<double>"
+    place = block if block is not None else F.pmod(F.xxhash64(*keys, "ts"), F.lit(blocks))
+    dealt = design.withColumn("__block", place.cast("int")).join(fits.filter(F.col("n") >= min_rows).select(*keys), keys, "left_semi")
+    held = gram(dealt, [*keys, "__block"]).groupBy(*keys).agg(F.collect_list(F.struct("__block", "g")).alias("blocks")).join(fits.select(*keys, "lam", "scale"), keys)
+    types = dict(held.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", feature string, mean_beta double, sd_beta double, cv double"
+    weights, names = draws(replicates, blocks), list(features)
 
     def refit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for record in batch.itertuples(index=False):
-                xtx, xty, *_ = _unpack(record.g)
-                beta, _ = _solve(xtx, xty, np.asarray(record.scale), record.lam)
-                rows.append((*[getattr(record, k) for k in keys], record.replicate, beta.tolist()))
+                size = len(record.blocks[0]["g"])
+                cells = np.zeros((blocks, size))
+                for own in record.blocks:
+                    cells[own["__block"]] = own["g"]
+                betas = np.stack([_solve(*_unpack(g)[:2], np.asarray(record.scale), record.lam)[0] for g in weights @ cells])
+                for name, mean, spread in zip(names, betas.mean(axis=0), betas.std(axis=0), strict=True):
+                    rows.append((*[getattr(record, k) for k in keys], name, mean, spread, spread / abs(mean) if abs(mean) > 1e-10 else 0.0))
             if rows:
-                yield pd.DataFrame(rows, columns=[*keys, "replicate", "beta"])
+                yield pd.DataFrame(rows, columns=[*keys, "feature", "mean_beta", "sd_beta", "cv"])
 
-    names = F.array(*[F.lit(n) for n in features])
-    drawn = grams.mapInPandas(refit, schema).select(
-        *keys, F.explode(F.arrays_zip(names.alias("feature"), F.col("beta"))).alias("c")
-    )
-    mean, spread = F.avg("c.beta"), F.stddev_pop("c.beta")
-    return drawn.groupBy(*keys, F.col("c.feature").alias("feature")).agg(
-        F.when(F.abs(mean) > 1e-10, spread / F.abs(mean)).otherwise(0.0).alias("cv")
-    )
+    return held.mapInPandas(refit, schema)

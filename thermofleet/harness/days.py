@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from thermofleet.harness import views as v
 from thermofleet.harness.registry import query
+from thermofleet.operators import sketches as sk
 from thermofleet.operators.daily import DailySeries
 from thermofleet.session import scratch_path
+from thermofleet.sources.readings import upsert_days
 
 ROWS = f"WITH {v.READINGS}, x AS (SELECT site_id, name, ts, event_id, CASE WHEN event_id % 5 <> 0 THEN floor(value / 50) END AS value FROM readings_v)"
 OVER = "PARTITION BY site_id, name ORDER BY ts, event_id"
@@ -61,3 +63,35 @@ t AS (SELECT site_id, name, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS
 SELECT t.site_id, t.name, epoch_us(t.ts) AS ts_us, k.value FROM t ASOF LEFT JOIN k ON t.site_id = k.site_id AND t.name = k.name AND t.ts >= k.ts""")
 def daily_grid(spark, sf):
     return _by_parts(spark, sf, lambda s, r, p: s.gridded(r, p, v.HOUR)).select("site_id", "name", v.us("ts").alias("ts_us"), "value")
+
+
+@query("upsert_batches", f"""WITH {v.READINGS}, u AS (SELECT site_id, ts, event_id, CASE WHEN event_id % 6 = 0 THEN value + 1 WHEN event_id % 3 = 0 THEN value * 2 ELSE value END AS value FROM readings_v)
+SELECT site_id, epoch_us(ts) AS ts_us, event_id, value FROM u""")
+def upsert_batches(spark, sf):
+    """Batch 1 lands everything, batch 2 updates a third, of which a half twice; batch 2 comes again and changes nothing."""
+    path = scratch_path(spark, "upserts")
+    rows = v.readings(spark, sf).select("site_id", "ts", "event_id", "value")
+    third = rows.filter(F.col("event_id") % 3 == 0).withColumns({"value": F.col("value") * 2, "arrival": F.lit(1)})
+    again = rows.filter(F.col("event_id") % 6 == 0).withColumns({"value": F.col("value") + 1, "arrival": F.lit(2)})
+    upsert_days(rows, path, ["site_id", "ts", "event_id"], 1)
+    upsert_days(third.unionByName(again), path, ["site_id", "ts", "event_id"], 2, "arrival")
+    upsert_days(third.withColumn("value", F.lit(0.0)), path, ["site_id", "ts", "event_id"], 2, "arrival")
+    return spark.read.parquet(path).select("site_id", v.us("ts").alias("ts_us"), "event_id", "value")
+
+
+@query("sketched_stats", f"""WITH {v.READINGS}, r AS (SELECT * FROM readings_v WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-25')
+SELECT site_id, count(*) AS n_rows, count(DISTINCT event_id) AS n_items, min(value) AS least, max(value) AS greatest, true AS items_near, true AS ranks_near FROM r GROUP BY 1""")
+def sketched_stats(spark, sf):
+    """Sketches of days merged for a span, held against the exact numbers: distinct counts within 8 %, ranks within 3 %."""
+    rows = v.readings(spark, sf)
+    days = sk.day_sketches(rows, ["site_id"], F.col("event_id"), F.col("value"))
+    found = sk.merged(days, ["site_id"], (0.25, 0.75), "2024-01-03", "2024-01-24").drop("n_rows", "least", "greatest")
+    span = rows.filter(F.col("ts").cast("date").between(F.lit("2024-01-03").cast("date"), F.lit("2024-01-24").cast("date")))
+    low, high = F.col("quantiles")[0], F.col("quantiles")[1]
+    exact = span.join(found.select("site_id", low.alias("q1"), high.alias("q3")), "site_id").groupBy("site_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("event_id").alias("exact_items"), F.min("value").alias("least"), F.max("value").alias("greatest"),
+        *[F.avg((F.col("value") < F.col(q)).cast("double")).alias(f"below_{q}") for q in ("q1", "q3")], *[F.avg((F.col("value") <= F.col(q)).cast("double")).alias(f"upto_{q}") for q in ("q1", "q3")])
+    near = lambda q, rank: (F.col(f"below_{q}") <= rank + 0.03) & (F.col(f"upto_{q}") >= rank - 0.03)
+    return exact.join(found.select("site_id", "n_items"), "site_id").select(
+        "site_id", "n_rows", F.col("exact_items").alias("n_items"), "least", "greatest",
+        (F.abs(F.col("n_items") - F.col("exact_items")) <= F.greatest(0.08 * F.col("exact_items"), F.lit(2))).alias("items_near"), (near("q1", 0.25) & near("q3", 0.75)).alias("ranks_near"))

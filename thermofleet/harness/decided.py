@@ -242,6 +242,21 @@ def site_bundle(spark, sf):
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
+@query("site_bundles", f"""WITH {v.READINGS}, t AS (SELECT DISTINCT site_id, ts AS target FROM readings_v WHERE name = 'error'), d AS (SELECT * FROM readings_v WHERE name = 'purchase'),
+a AS (SELECT t.site_id, t.target, d.event_id, d.ts <= t.target AS past, row_number() OVER (PARTITION BY t.site_id, t.target, d.ts <= t.target ORDER BY abs(epoch_us(d.ts) - epoch_us(t.target))) AS n FROM t JOIN d ON d.site_id = t.site_id)
+SELECT 'readings' AS part, t.site_id, epoch_us(target) AS target_us, event_id FROM t JOIN readings_v r ON r.site_id = t.site_id AND r.ts >= t.target - INTERVAL 14 HOUR AND r.ts <= t.target
+UNION ALL SELECT 'around', site_id, epoch_us(target), event_id FROM a WHERE (past AND n <= 5) OR (NOT past AND n <= 2)
+UNION ALL SELECT 'decision', site_id, epoch_us(target), event_id FROM a WHERE past AND n = 1
+UNION ALL SELECT 'previous_state', site_id, epoch_us(target), epoch_us(last) FROM (SELECT t.site_id, t.target, max(d.ts) AS last FROM t JOIN d ON d.site_id = t.site_id AND d.ts < t.target GROUP BY 1, 2)""")
+def site_bundles(spark, sf):
+    """Bundles of every error's moment, all sites at once."""
+    r = v.readings(spark, sf)
+    targets = r.filter(F.col("name") == "error").select("site_id", F.col("ts").alias("target_ts"))
+    parts = bu.bundles(targets, r, _decisions(spark, sf))
+    ids = {p: df.select(F.lit(p).alias("part"), "site_id", v.us("target_ts").alias("target_us"), (v.us("last_decision_ts") if p == "previous_state" else F.col("event_id")).alias("event_id")) for p, df in parts.items()}
+    return ids["readings"].unionByName(ids["around"]).unionByName(ids["decision"]).unionByName(ids["previous_state"])
+
+
 @query("decision_rows", f"WITH {v.STATES} SELECT event_id, CASE WHEN k % 7 = 0 OR k % 11 = 0 OR k % 10 = 0 THEN true ELSE false END AS blocked, CASE WHEN abs((k - 50) / 100.0) >= 0.05 THEN round((k - 50) / 100.0 * 2, 3) END AS offset_view, CASE WHEN k % 10 = 0 THEN 'ineligible' END AS e9_reason FROM states_v WHERE name = 'purchase'")
 def decision_rows(spark, sf):
     d = _decisions(spark, sf)

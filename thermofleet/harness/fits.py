@@ -203,11 +203,26 @@ def holdout_rmse(spark, sf):
     return out.select("site_id", "sensor", *[v.r6(c).alias(c) for c in ("in_rmse", "out_rmse", "degradation")])
 
 
-@query("bootstrap_cv")
+BLOCKS, REPLICATES = 32, 50
+BOOTSTRAP = f"""WITH {SUMS.replace("value AS y FROM states_v)", f"value AS y, event_id % {BLOCKS} AS blk FROM states_v)")}, q AS (SELECT site_id, sensor, sqrt(bb / n - (sb / n) * (sb / n)) AS sd, 0.01 * n AS lam FROM m WHERE n >= 50),
+b AS (SELECT site_id, sensor, blk, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * y) AS ay, sum(b * y) AS "by" FROM z GROUP BY 1, 2, 3),
+x0 AS (SELECT (i // {BLOCKS}) AS rep, ((i + 1)::UBIGINT * 2654435761::UBIGINT) % 4294967296::UBIGINT AS x FROM range({BLOCKS * REPLICATES}) t(i)),
+x1 AS (SELECT rep, (xor(x, x >> 15) * 2246822519::UBIGINT) % 4294967296::UBIGINT AS x FROM x0),
+w AS (SELECT rep, (xor(x, x >> 13) % {BLOCKS}::UBIGINT)::BIGINT AS blk, CAST(count(*) AS DOUBLE) AS w FROM x1 GROUP BY 1, 2),
+g AS (SELECT site_id, sensor, rep, sum(w * aa) AS aa, sum(w * ab) AS ab, sum(w * bb) AS bb, sum(w * ay) AS ay, sum(w * "by") AS "by" FROM b JOIN w ON w.blk = b.blk GROUP BY 1, 2, 3),
+t AS (SELECT g.site_id, g.sensor, rep, aa, ay, sd, lam, ab / sd AS "B", bb / sd / sd AS "C", "by" / sd AS w FROM g JOIN q USING (site_id, sensor)),
+f AS (SELECT site_id, sensor, (("C" + lam) * ay - "B" * w) / ((aa + lam) * ("C" + lam) - "B" * "B") AS p, ((aa + lam) * w - "B" * ay) / ((aa + lam) * ("C" + lam) - "B" * "B") / sd AS r FROM t),
+c AS (SELECT site_id, sensor, 'lag_a' AS feature, avg(p) AS mean, stddev_pop(p) AS sd FROM f GROUP BY 1, 2 UNION ALL SELECT site_id, sensor, 'solar_b', avg(r), stddev_pop(r) FROM f GROUP BY 1, 2)
+SELECT site_id, sensor, feature, round(mean, 6) AS mean_beta, round(sd, 6) AS sd_beta, CASE WHEN abs(mean) > 0.01 THEN round(sd / abs(mean), 4) END AS cv FROM c"""
+
+
+@query("bootstrap_cv", BOOTSTRAP)
 def bootstrap_cv(spark, sf):
-    design = _two(spark, sf)
+    s = v.states(spark, sf)
+    design = s.select("site_id", F.col("name").alias("sensor"), "ts", F.array(F.col("k").cast("double"), F.hour("ts").cast("double")).alias("x"), F.col("value").alias("y"), "event_id")
     fits = rg.ridge(design, ["lag_a", "solar_b"], min_rows=20)
-    return rg.bootstrap_cv(design, fits, ["lag_a", "solar_b"], min_rows=50)
+    out = rg.bootstrap_cv(design, fits, ["lag_a", "solar_b"], min_rows=50, replicates=REPLICATES, blocks=BLOCKS, block=F.col("event_id") % BLOCKS)
+    return out.select("site_id", "sensor", "feature", v.r6("mean_beta").alias("mean_beta"), v.r6("sd_beta").alias("sd_beta"), F.when(F.abs("mean_beta") > 0.01, F.round("cv", 4)).alias("cv"))
 
 
 @query("fit_health")

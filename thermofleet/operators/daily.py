@@ -22,20 +22,11 @@ from thermofleet.operators import grid as g
 from thermofleet.operators import spans as sp
 from thermofleet.operators.asof import asof
 from thermofleet.operators.track import Track, carry, previous
+from thermofleet.sources.readings import partition_values
 
 PLAIN = ("first_ts", "last_ts", "known", "n_rows", "changes", "breaks", "run_start", "run_rows")
 
 
-def _path_days(spark: SparkSession, path: str) -> list[str]:
-    """The stored days, from folder names."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(where):
-        return []
-    names = [s.getPath().getName() for s in files.listStatus(where)]
-    return sorted(n.removeprefix("day=") for n in names if n.startswith("day="))
-
-
 @dataclass(frozen=True)
 class DailySeries:
     """Series of rows `by`, ordered by `(ts, *tie)`, with one `value`; edges and states lie under `path`.
@@ -52,7 +43,7 @@ class DailySeries:
     day: Callable[[Column], Column] = F.to_date
 
     def days(self, spark: SparkSession) -> list[str]:
-        return _path_days(spark, f"{self.path}/edges")
+        return partition_values(spark, f"{self.path}/edges", "day")
 
     def _track(self, *more: str) -> Track:
         return Track((*self.by, *more), self.ts, self.tie)
@@ -102,7 +93,7 @@ class DailySeries:
 
     def state_before(self, spark: SparkSession, day: str) -> DataFrame | None:
         """One row per key that has rows before the day; None if no day is stored before it."""
-        earlier = [d for d in _path_days(spark, f"{self.path}/states") if d < day]
+        earlier = [d for d in partition_values(spark, f"{self.path}/states", "day") if d < day]
         return spark.read.parquet(f"{self.path}/states/day={earlier[-1]}") if earlier else None
 
     def put(self, rows: DataFrame, day: str) -> list[str]:
@@ -110,7 +101,7 @@ class DailySeries:
         spark = rows.sparkSession
         own = self.edges(self.rows_of(rows, day))
         own.drop("day").write.mode("overwrite").parquet(f"{self.path}/edges/day={day}")
-        changed, states = [], set(_path_days(spark, f"{self.path}/states"))
+        changed, states = [], set(partition_values(spark, f"{self.path}/states", "day"))
         for d in (x for x in self.days(spark) if x >= day):
             changed.append(d)
             edge, before = spark.read.parquet(f"{self.path}/edges/day={d}"), self.state_before(spark, d)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from thermofleet.functions.timekeys import as_timestamp
 from thermofleet.operators.spans import keep_first, keep_last
+from thermofleet.session import scratch_path
 
 READING_KEY = ("site_id", "ts", "name")
 
@@ -73,11 +74,49 @@ def upsert_by_key(base: DataFrame, updates: DataFrame, keys: Sequence[str], arri
     return base.join(updates.select(*keys), list(keys), "left_anti").unionByName(updates, allowMissingColumns=True)
 
 
+def upsert_days(updates: DataFrame, path: str, keys: Sequence[str], batch: int, arrival: str | None = None, ts: str = "ts") -> bool:
+    """Upsert into a table partitioned by day (`dt`), copy on write: only the days that the updates touch are read and rewritten.
+
+    Keys include the time, so equal keys have equal days. A batch enters the ledger beside the table after its days are
+    written: a batch that comes again is left out (False), and one that was broken off writes the same rows once more.
+    """
+    spark, ledger = updates.sparkSession, f"{path}/_batches"
+    seen = spark.createDataFrame([], "batch bigint") if not path_exists(spark, ledger) else spark.read.parquet(ledger)
+    if not seen.filter(F.col("batch") == batch).isEmpty():
+        return False
+    dated = updates.withColumn("dt", F.to_date(ts))
+    days = [r[0] for r in dated.select("dt").distinct().collect()]  # a batch touches few days
+    stored = spark.read.parquet(path) if partition_values(spark, path, "dt") else None
+    if stored is None:
+        base = dated.drop(*([arrival] if arrival else [])).limit(0)
+    else:
+        base = stored.filter(F.col("dt").isin(days) | (F.col("dt").isNull() if None in days else F.lit(False)))
+    merged = upsert_by_key(base, dated, [*keys, "dt"], arrival)
+    staged = scratch_path(spark, "upsert")  # Spark does not overwrite a folder it reads from
+    merged.write.parquet(staged)
+    replace_partitions(spark.read.schema(merged.schema).parquet(staged), path)
+    spark.range(1).select(F.lit(batch).cast("bigint").alias("batch"), F.lit(len(days)).alias("n_days")).write.mode("append").parquet(ledger)
+    return True
+
+
 def replace_partitions(df: DataFrame, path: str, partition: str = "dt") -> None:
     """Rewrite only the partitions present in `df`."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def partition_values(spark: SparkSession, path: str, column: str) -> list[str]:
+    """The values of a partition column that have a folder, in order."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in files.listStatus(where)] if files.exists(where) else []
+    return sorted(n.partition("=")[2] for n in names if n.startswith(f"{column}="))
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

@@ -76,3 +76,39 @@ def schedule_tiers(spark, sf):
         lo.alias("min"), hi.alias("max"), empty.alias("backup"), *[F.lit(None).cast("double").alias(c) for c in ("cold_penalty", "hot_penalty", "weight")])
     out = dims.schedule_table(raw)
     return out.select("site_id", "seq", "start_hour", "pref_lo", "pref_hi", "acc_lo", "acc_hi", "backup_lo", "backup_hi")
+
+
+EFFECTOR_DOCS = "e AS (SELECT p_partkey % 16 AS site_id, 'e' || p_partkey AS name, p_size, CASE p_size % 3 WHEN 0 THEN 0.0 WHEN 1 THEN p_size / 4.0 END AS plain FROM part)"
+
+
+def _effectors(spark, sf):
+    """Effector documents, landed and read back: cost absent, one number, or one per mode."""
+    size = F.col("p_size")
+    text = lambda x: x.cast("double").cast("string")
+    raw = v.table(spark, sf, "part").select(
+        (F.col("p_partkey") % 16).alias("site_id"), F.concat(F.lit("e"), F.col("p_partkey").cast("string")).alias("name"), F.lit("trajectory").alias("control_type"),
+        F.when(size % 2 == 0, F.lit("manual")).alias("mode_control"), F.when(size % 5 == 0, size + 60).alias("max_lag_minutes"), F.when(size % 4 == 0, F.array(size % 24, (size + 3) % 24)).alias("mode_hold_window"),
+        F.when(size % 3 == 1, text(size / 4)).when(size % 3 == 2, F.to_json(F.create_map(F.lit("heat"), size / 2.0, F.lit("cool"), size.cast("double")))).alias("energy_cost"))
+    path = scratch_path(spark, "effectors")
+    raw.write.json(path)
+    return dims.effector_table(spark.read.schema(dims.EFFECTORS_RAW).json(path))
+
+
+@query("effector_costs", f"""WITH {EFFECTOR_DOCS}, c AS (SELECT *, unnest(CASE p_size % 3 WHEN 2 THEN ['heat', 'cool'] ELSE [''] END) AS mode FROM e)
+SELECT site_id, name, CASE WHEN p_size % 2 = 0 THEN 'manual' ELSE 'automatic' END AS mode_control, CAST(CASE WHEN p_size % 5 = 0 THEN p_size + 60 ELSE 90 END AS INTEGER) AS max_lag_minutes,
+CASE WHEN p_size % 4 = 0 THEN p_size % 24 END AS hold_start, mode, CASE mode WHEN 'heat' THEN p_size / 2.0 WHEN 'cool' THEN CAST(p_size AS DOUBLE) ELSE plain END AS cost FROM c""")
+def effector_costs(spark, sf):
+    return _effectors(spark, sf).select("site_id", "name", "mode_control", "max_lag_minutes", "hold_start", F.explode("energy_cost").alias("mode", "cost"))
+
+
+@query("column_catalog", f"""WITH {EFFECTOR_DOCS} SELECT site_id, name || s.x AS column_name, CASE WHEN s.x IN ('_temp', '_target') THEN 'REAL' ELSE 'TEXT' END AS storage FROM e CROSS JOIN (VALUES ('_temp'), ('_target'), ('_mode'), ('_action')) s(x)
+UNION SELECT user_id % 16, event_type, 'REAL' FROM events""")
+def column_catalog(spark, sf):
+    return dims.column_catalog(_effectors(spark, sf), v.readings(spark, sf).select("site_id", "name"))
+
+
+@query("state_encodings", """SELECT 'p' || (p_size % 7) AS owner, p_type AS label, CAST(max(p_size) AS DOUBLE) AS code FROM part GROUP BY 1, 2""")
+def state_encodings(spark, sf):
+    part = v.table(spark, sf, "part")
+    docs = part.select(F.concat(F.lit("p"), (F.col("p_size") % 7).cast("string")).alias("owner"), F.create_map("p_type", F.col("p_size").cast("double")).alias("labels"))
+    return dims.encoding_table(docs)

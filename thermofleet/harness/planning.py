@@ -216,22 +216,6 @@ def coarse_advisory(spark, sf):
     return o.coarse_advisory(_advice(spark, sf)).select("site_id", "device", "action", "return_step")
 
 
-# the caller's choice of grid per site: all combinations, the coarse ones, or hold alone
-GRID = "CASE WHEN site_id % 64 = 0 THEN 'full' WHEN site_id % 8 = 1 THEN 'coarse' ELSE 'hold' END"
-
-
-@query("advisory_cross", f"""WITH {ADVICE}, g AS (SELECT *, {GRID} AS grid FROM adv),
-k AS (SELECT * FROM g WHERE action = 'hold' OR grid = 'full' OR (grid = 'coarse' AND ((is_active AND transition_step = 0) OR (NOT is_active AND return_step = 12)))),
-n AS (SELECT *, row_number() OVER (PARTITION BY site_id, device ORDER BY action <> 'hold', transition_step, return_step) - 1 AS option_no, count(*) OVER (PARTITION BY site_id, device) AS size FROM k),
-d AS (SELECT DISTINCT site_id, device, size FROM n),
-z AS (SELECT site_id, device, size, CAST(round(exp(coalesce(sum(ln(size)) OVER (PARTITION BY site_id ORDER BY device DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS stride, CAST(round(exp(sum(ln(size)) OVER (PARTITION BY site_id))) AS BIGINT) AS total FROM d),
-c AS (SELECT site_id, device, size, stride, unnest(range(total)) AS combo_id FROM z)
-SELECT n.site_id, grid, combo_id, n.device, action, transition_step, return_step FROM c JOIN n ON n.site_id = c.site_id AND n.device = c.device AND n.option_no = (c.combo_id // c.stride) % c.size""")
-def advisory_cross(spark, sf):
-    combos = o.cross_advisory(_advice(spark, sf), F.expr(GRID))
-    return combos.select("site_id", "grid", "combo_id", "device", "action", "transition_step", "return_step")
-
-
 def cross_sql(kept: str) -> str:
     """All combinations of the kept options of every site."""
     return f"""WITH {ADVICE}, k AS (SELECT * FROM adv WHERE {kept}),

@@ -69,33 +69,31 @@ def load_schedules(spark: SparkSession, site_id: int, schedules: Iterable[Mappin
     return schedule_table(spark.createDataFrame(rows, SCHEDULE_RAW), backup_margin)
 
 
-def load_effectors(spark: SparkSession, site_id: int, effectors: Mapping[str, Mapping[str, Any]]) -> DataFrame:
-    """Energy cost is one number or one per mode; a plain number is stored under the empty mode name."""
-    rows = []
-    for name, cfg in effectors.items():
-        cost = cfg.get("energy_cost", 0.0)
-        cost = {k: float(v) for k, v in cost.items()} if isinstance(cost, Mapping) else {"": float(cost)}
-        hold = cfg.get("mode_hold_window") or (None, None)
-        rows.append(
-            (
-                site_id, name, cfg.get("entity_id"), cfg["control_type"], cfg.get("mode_control", "automatic"),
-                list(cfg.get("supported_modes", [])), int(cfg.get("max_lag_minutes", 90)), cost,
-                list(cfg.get("depends_on", [])), float(cfg.get("proportional_band", 1.0)), hold[0], hold[1],
-                cfg.get("temp_sensor"), cfg.get("state_device"),
-            )
-        )
-    return spark.createDataFrame(rows, EFFECTORS)
+EFFECTORS_RAW = EFFECTORS.replace("energy_cost map<string,double>", "energy_cost string").replace("hold_start int, hold_end int", "mode_hold_window array<int>")
+
+
+def effector_table(raw: DataFrame) -> DataFrame:
+    """Effectors with defaults. Energy cost is JSON text, one number or one per mode; a plain number is stored under the empty
+    mode name, and without cost it is zero."""
+    plain = F.create_map(F.lit(""), F.coalesce(F.col("energy_cost").try_cast("double"), F.lit(0.0)))
+    cost = F.when(F.col("energy_cost").startswith("{"), F.from_json("energy_cost", "map<string,double>")).otherwise(plain)
+    none = F.array().cast("array<string>")
+    return raw.select(
+        "site_id", "name", "entity_id", "control_type", F.coalesce("mode_control", F.lit("automatic")).alias("mode_control"),
+        F.coalesce("supported_modes", none).alias("supported_modes"), F.coalesce("max_lag_minutes", F.lit(90)).alias("max_lag_minutes"),
+        cost.alias("energy_cost"), F.coalesce("depends_on", none).alias("depends_on"), F.coalesce("proportional_band", F.lit(1.0)).alias("proportional_band"),
+        F.try_element_at("mode_hold_window", F.lit(1)).alias("hold_start"), F.try_element_at("mode_hold_window", F.lit(2)).alias("hold_end"), "temp_sensor", "state_device",
+    )
 
 
-def load_encodings(spark: SparkSession, encodings: Mapping[str, Mapping[str, float]]) -> DataFrame:
-    rows = [(owner, str(label), float(code)) for owner, table in encodings.items() for label, code in table.items()]
-    return spark.createDataFrame(rows, "owner string, label string, code double")
+def encoding_table(raw: DataFrame) -> DataFrame:
+    """Rows `(owner, label, code)` of landed documents `(owner, labels map<string,double>)`; a label told twice keeps its greatest code."""
+    rows = raw.select("owner", F.explode("labels").alias("label", "code"))
+    return rows.groupBy("owner", "label").agg(F.max("code").alias("code"))
 
 
-def column_catalog(sensors: Iterable[str], effectors: Iterable[str], environment: Iterable[str]) -> dict[str, str]:
-    """Column name to storage type."""
-    catalog = {name: "REAL" for name in sensors}
-    for name in effectors:
-        catalog.update({f"{name}_temp": "REAL", f"{name}_target": "REAL", f"{name}_mode": "TEXT", f"{name}_action": "TEXT"})
-    catalog.update({name: "REAL" for name in environment})
-    return catalog
+def column_catalog(effectors: DataFrame, sensors: DataFrame) -> DataFrame:
+    """Columns of a site's wide table with their storage type: four per effector, one per sensor (`site_id, name`)."""
+    kinds = F.create_map(*[F.lit(x) for kind, of in (("REAL", ("_temp", "_target")), ("TEXT", ("_mode", "_action"))) for suffix in of for x in (suffix, kind)])
+    own = effectors.select("site_id", "name", F.explode(kinds).alias("suffix", "storage")).select("site_id", F.concat("name", "suffix").alias("column_name"), "storage")
+    return own.unionByName(sensors.select("site_id", F.col("name").alias("column_name"), F.lit("REAL").alias("storage"))).distinct()

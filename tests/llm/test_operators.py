@@ -52,13 +52,36 @@ def test_line_dedup(docs, pairs, none):
 
 
 def test_line_runs_are_merged_by_levels(spark):
-    held = lines.LineRuns(fan_in=2)
+    held = lines.LineRuns(fan_in=2, buckets=3)
     for k in range(5):
-        batch = spark.createDataFrame([(k, x) for x in ("every", f"only{k}")], "doc_id long, line string").select("doc_id", lines.key_hash(F.col("line")).alias("h"))
+        batch = spark.createDataFrame([(k, x) for x in ("every", f"only{k}")], "doc_id long, line string").select("doc_id", lines.key_hash(F.col("line")).alias("h")).select("doc_id", "h.*")
         fresh = {r["fresh"] for r in held.add(batch).collect()}
         assert fresh == ({True} if k == 0 else {True, False})
     assert [len(level) for level in held.levels] == [1, 0, 1]
-    assert [tuple(r)[1:] for r in held.repeated(5).collect()] == [(5, 4)]
+    assert [tuple(r)[2:] for r in held.repeated(5).collect()] == [(5, 4)]
+    homes = [r["a"] for run in held.tables() for r in run.collect()]
+    assert len(homes) == len(set(homes)) == 6  # every hash has one home, so the joins with the runs decide the counts
+    held.levels[-1] = []
+    assert held.repeated(1).count() == 1
+
+
+def test_line_runs_do_not_move(spark):
+    held = lines.LineRuns(fan_in=9, buckets=3)
+    batch = spark.createDataFrame([(1, 5, 6), (2, 7, 8)], "doc_id long, a long, b long")
+    held.add(batch)
+    merged = held._both(*[held.tables()[0]] * 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in merged
+
+
+def test_line_dedup_with_hot_rows(spark):
+    """A third of the rows without id, a third copies of one row."""
+    line = "a line that is long enough to be dropped when many hold it"
+    rows = [(None, f"{line}\nrow {k} of those without id, {k} times over and over") for k in range(40)]
+    rows += [(7, f"{line}\nthe same again and again in every one of the copies")] * 40 + [(k, f"x{k}\n{line}") for k in range(10, 50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    same(lines.without_lines(df), ["doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256)], brute.line_dedup(rows))
+    dealt = [r["n"] for r in lines.line_hashes(df).groupBy("batch").agg(F.count("*").alias("n")).collect()]
+    assert max(dealt) <= 2 * min(dealt)
 
 
 def test_quality(docs, pairs, none):

@@ -1,25 +1,32 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-Documents arrive in batches. A batch's line hashes, one row per hash, are anti-joined with the runs (what remains is new)
-and semi-joined (what remains is known and adds to its counts); both go out as one sorted run of level 0. As soon as a
-level holds `fan_in` runs they are merged into one run of the next level, so the number of runs stays logarithmic.
+Documents arrive in batches. A batch's line hashes, one row per hash, are merge-joined with the runs: a hash without partner is
+new and goes out as a sorted run of level 0, so every hash has its home in exactly one run; a hash that a run holds leaves only
+an addition to its counts. As soon as a level holds `fan_in` runs they are merged into one run of the next level, so the number
+of runs stays logarithmic. Runs are bucketed by hash: batches move to them, they do not move, and merging two moves nothing.
+What a line's key counts for is read from its home and the additions.
 
 A line's key is the line without blanks at its ends and with A-Z lower-cased; keys are compared by two 64-bit hashes.
-Documents are rows: two rows of one doc_id count as two documents, and both keep the line if that id is the largest.
-A null text is one empty line. A null doc_id counts as a document that is smaller than any other. An empty table gives an
-empty result; other columns are ignored.
+Documents are rows: two rows of one doc_id count as two documents, and both keep the line if that id is the largest. Rows are
+told apart by doc_id and text, equal rows lose the same lines. A null text is one empty line. A null doc_id counts as a document
+that is smaller than any other. A very long text is split in the task that reads it. An empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from thermofleet.llm.tables import BLANKS, plain_lower, stored
+from thermofleet.llm.tables import BLANKS, bucketed, plain_lower, stored
 
 MIN_CHARS = 40  # shorter keys are never dropped
 MIN_DOCS = 5  # documents that must hold a key
 BATCHES = 4
 FAN_IN = 2
+HASH = ["a", "b"]  # of a line's key
+LEAST_BUCKETS, MOST_BUCKETS, BUCKET_KEYS = 16, 1 << 16, 1 << 21  # keys of a bucket, about
 
 
 def line_key(line: Column) -> Column:
@@ -39,73 +46,87 @@ def split_lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def row_key() -> list[Column]:
+    """What tells rows apart: doc_id and two hashes of the text."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("text"), text).alias("t2")]
+
+
 def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES) -> DataFrame:
-    """One row per document and distinct key that is long enough: batch, doc_id, h."""
+    """One row per document and distinct key that is long enough: batch, the row's key, a, b. Rows are dealt into batches by
+    their place, so no doc_id and no group of copies fills one; store the result, a second reading may deal otherwise."""
     keys = F.array_distinct(F.array_compact(F.transform(split_lines(F.col("text")), lambda x: _hash_or_null(x, min_chars))))
-    return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"), F.col("doc_id").cast("long").alias("doc_id"), F.explode(keys).alias("h"))
+    dealt = docs.select((F.monotonically_increasing_id() % batches).cast("int").alias("batch"), *row_key(), keys.alias("keys"))
+    return dealt.select("batch", "doc_id", "t1", "t2", F.explode("keys").alias("h")).select("batch", "doc_id", "t1", "t2", "h.a", "h.b")
 
 
 class LineRuns:
-    """The runs: per level a list of stored tables (h, n_docs, last_doc), each sorted by h within its files."""
+    """The runs: per level a list of stored tables (a, b, n_docs, last_doc) sorted by hash within their buckets, no hash in two of
+    them; and the additions to the counts of hashes that a run held already."""
 
-    def __init__(self, fan_in: int = FAN_IN):
-        self.fan_in, self.levels = fan_in, [[]]
+    def __init__(self, fan_in: int = FAN_IN, buckets: int = LEAST_BUCKETS):
+        self.fan_in, self.buckets, self.levels, self.additions = fan_in, buckets, [[]], []
 
     def tables(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
-    def _merged(self, runs: list[DataFrame]) -> DataFrame:
-        every = runs[0]
-        for run in runs[1:]:
-            every = every.unionByName(run)
-        return every.groupBy("h").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
-
     def add(self, batch: DataFrame) -> DataFrame:
-        """Add a batch (doc_id, h) and return its run, with `fresh` telling keys that no earlier run held."""
-        own = batch.groupBy("h").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
-        if held := self.tables():
-            # the runs' keys meet the batch's in one merge: no partner in any run means new
-            known = self._merged(held).select("h")
-            new = own.join(known, "h", "left_anti").withColumn("fresh", F.lit(True))
-            own = new.unionByName(own.join(known, "h", "left_semi").withColumn("fresh", F.lit(False)))
-        else:
-            own = own.withColumn("fresh", F.lit(True))
-        run = stored(own.sortWithinPartitions("h"), "line-run")
-        self.levels[0].append(run.drop("fresh"))
+        """Add a batch (doc_id, a, b) and return its hashes with counts; `fresh` tells those that no run held."""
+        own = batch.repartition(self.buckets, *HASH).groupBy(*HASH).agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
+        own = own.withColumn("fresh", F.lit(True))
+        for run in self.tables():  # no partner in any run means new
+            own = own.join(run.select(*HASH, F.lit(True).alias("_held")), HASH, "left")
+            own = own.withColumn("fresh", F.col("fresh") & F.col("_held").isNull()).drop("_held")
+        found = bucketed(own, HASH, self.buckets, "line_run")
+        self.levels[0].append(found.where("fresh").drop("fresh"))
+        self.additions.append(found.where("NOT fresh").drop("fresh"))
         self._compact()
-        return run
+        return found
 
     def _compact(self) -> None:
         for k, level in enumerate(self.levels):
             if len(level) >= self.fan_in:
-                merged = stored(self._merged(level).sortWithinPartitions("h"), "line-run")
+                merged = reduce(self._both, level)
                 self.levels[k] = []
                 if k + 1 == len(self.levels):
                     self.levels.append([])
-                self.levels[k + 1].append(merged)
+                self.levels[k + 1].append(bucketed(merged, HASH, self.buckets, "line_run"))
+
+    def _both(self, one: DataFrame, other: DataFrame) -> DataFrame:
+        """The rows of two runs, which have no hash in common, merged bucket by bucket."""
+        sides = [run.select(*HASH, F.col("n_docs").alias(f"n{k}"), F.col("last_doc").alias(f"d{k}")) for k, run in enumerate((one, other))]
+        return sides[0].join(sides[1], HASH, "full").select(*HASH, F.coalesce("n0", "n1").alias("n_docs"), F.coalesce("d0", "d1").alias("last_doc"))
 
     def repeated(self, min_docs: int) -> DataFrame:
-        """Keys that at least `min_docs` documents hold, with the largest of them."""
-        return self._merged(self.tables()).where(F.col("n_docs") >= min_docs)
+        """Hashes that at least `min_docs` documents hold, with the largest of them: homes and what was added to them."""
+        more = reduce(DataFrame.unionByName, self.additions).groupBy(*HASH).agg(F.sum("n_docs").alias("more"), F.max("last_doc").alias("later"))
+        found = []
+        for run in self.tables():
+            both = run.join(more, HASH, "left")
+            found.append(both.select(*HASH, (F.col("n_docs") + F.coalesce("more", F.lit(0))).alias("n_docs"), F.greatest("last_doc", "later").alias("last_doc")).where(F.col("n_docs") >= min_docs))
+        return reduce(DataFrame.unionByName, found)
 
 
 def dropped_keys(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
-    """Per document that loses lines: doc_id and the hashes of the keys it loses."""
+    """Per document that loses lines: its key and the hashes it loses."""
     lines = stored(line_hashes(docs, min_chars, batches), "lines", partition_by="batch")
-    runs = LineRuns()
+    buckets = min(max(LEAST_BUCKETS, lines.count() // BUCKET_KEYS), MOST_BUCKETS)
+    runs = LineRuns(buckets=buckets)
     for b in range(batches):
         runs.add(lines.where(F.col("batch") == b))
     hot = stored(runs.repeated(min_docs), "hot-lines")
-    lost = lines.join(hot.select("h", "last_doc"), "h").where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
-    return lost.groupBy("doc_id").agg(F.collect_set("h").alias("lost"))
+    lost = lines.join(hot.select(*HASH, "last_doc"), HASH).where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
+    return lost.groupBy("doc_id", "t1", "t2").agg(F.collect_set(F.struct(*HASH)).alias("lost"))
 
 
 def without_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
     """The documents with all their columns, plus n_lines, n_dropped and kept_text (which replace columns of these names)."""
-    lost = dropped_keys(docs, min_chars, min_docs, batches).select(F.col("doc_id").alias("_id"), F.col("lost").alias("_lost"))
-    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")]
-    rows = docs.select(F.struct(*own).alias("_doc"), F.col("doc_id").cast("long").alias("_doc_id"), F.coalesce("text", F.lit("")).alias("_text"))
-    both = rows.join(lost, F.col("_doc_id").eqNullSafe(F.col("_id")), "left")
+    lost = dropped_keys(docs, min_chars, min_docs, batches).select(*[F.col(c).alias(f"_l{c}") for c in ("doc_id", "t1", "t2")], F.col("lost").alias("_lost"))
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")]
+    key = [c.alias(f"_k{k}") for k, c in enumerate(row_key())]
+    rows = docs.select(F.struct(*own).alias("_doc"), *key, F.coalesce("text", F.lit("")).alias("_text"))
+    same = (F.col("_k1") == F.col("_lt1")) & (F.col("_k2") == F.col("_lt2")) & F.col("_k0").eqNullSafe(F.col("_ldoc_id"))
+    both = rows.join(lost, same, "left")
     lines = split_lines(F.col("_text"))
     kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("_lost"), _hash_or_null(x, min_chars)), F.lit(False)))
     both = both.withColumn("_kept", F.when(F.col("_lost").isNotNull(), kept))

@@ -3,7 +3,7 @@ import random
 import pytest
 
 CLASHES = """length piece start ids spans kept kept_text n_words n_lines n_dropped score base_score size shard slot version virtual_slot block
-tokens weight fp u v node root label key chunk part payload h lost batch rank round router page _doc _id _key _copy _text _stay""".split()
+tokens weight fp u v node root label key chunk part payload h lost batch rank round router page _uid _salt _place _doc _id _key _copy _text _stay""".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES)
 
 

@@ -354,3 +354,42 @@ def test_mixed_documents_keep_columns_and_repeat_rows(docs, rows, none):
     counts = Counter((r["doc_id"], r["text"], r["source"]) for r in got.collect())
     assert set(counts) == {(d, t, s) for d, t, _, s in rows} and max(counts.values()) >= 2
     assert mixing.mixed_documents(none).count() == 0
+
+
+def hot_rows():
+    """A third of the rows without id, a third copies of one row, and the rest."""
+    return [(None, f"row {k} of those without an id " + "word " * (k % 50)) for k in range(300)] + [(7, "the same text again and again " * 5)] * 300 + [(k, f"x{k} " * 20) for k in range(10, 310)]
+
+
+@pytest.fixture(scope="module")
+def hot(spark):
+    return spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in hot_rows()], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+
+
+def test_hot_rows_are_sharded_evenly(hot):
+    rows = shards.sharded(hot, shards=6).collect()
+    size = Counter()
+    for r in rows:
+        size[r["shard"]] += r["size"]
+    assert len(rows) == 900 and max(size.values()) <= 1.05 * min(size.values())
+    for shard in size:
+        assert sorted(r["slot"] for r in rows if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in rows)))
+    assert Counter((r["doc_id"], r["size"]) for r in rows) == Counter((d, len(t.encode()) + 8) for d, t in hot_rows())
+    slots = Counter(r["virtual_slot"] for r in rows if r["doc_id"] == 7)
+    assert max(slots.values()) <= 6
+
+
+def test_hot_rows_are_mixed_and_packed(hot):
+    again = mixing.mixed_documents(hot, max_repeats=1.0)
+    assert Counter((r["doc_id"], r["text"]) for r in again.collect()) == Counter(hot_rows())
+    packed = packing.packed_documents(hot, queries.tokenizer_path(), 256).collect()
+    assert len(packed) >= 900 and Counter(r["doc_id"] for r in packed if r["piece"] == 0) == Counter(d for d, _ in hot_rows())
+    by = defaultdict(list)
+    for r in packed:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for own in by.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 256

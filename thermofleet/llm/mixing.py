@@ -18,6 +18,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from thermofleet.llm.ranks import with_salt
 from thermofleet.llm.tables import n_words, stored
 
 BUCKET_ROWS = 4_096  # rows of a source that one group of the running sum holds, about
@@ -80,22 +81,25 @@ def _uniform(*parts: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 11) / F.lit(float(1 << 53))
 
 
-def mixed(docs: DataFrame, target_entropy: float | None = None, max_repeats: float = MAX_REPEATS, total: float | None = None, seed: int = 0) -> DataFrame:
+def mixed(docs: DataFrame, target_entropy: float | None = None, max_repeats: float = MAX_REPEATS, total: float | None = None, seed: int = 0, uid: str | None = None) -> DataFrame:
     """Rows (_row_key, source, block, mix_at, tokens): which document is shown in which block, and where in the mix.
 
-    _row_key is a struct of doc_id and the text's hash.
+    _row_key is a struct of doc_id, the text's hash and the number of the row (column `uid` of `docs`, or one of its own). A row's
+    place depends on doc_id and text; rows that repeat both are told apart by their number.
     """
-    rows = docs.select(
-        F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")).alias("_row_key"),
+    number = F.col(uid) if uid else F.monotonically_increasing_id()
+    rows = stored(docs.select(
+        F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"), number.cast("long").alias("_uid"),
         F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("tokens"),
-    )
-    rows = stored(rows, "mix-rows")
+    ), "mix-texts")
+    key = F.struct(F.col("_id").alias("doc_id"), F.col("_hash").alias("text_hash"), F.col("_uid").alias("uid"))
+    rows = stored(with_salt(rows, ["_id", "_hash"]).select(key.alias("_row_key"), "source", "tokens", F.xxhash64("_id", "_hash", "_salt").alias("_place")), "mix-rows")
     sources = stored(rows.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n_rows")), "mix-sources")
     alpha = exponent(sources, target_entropy, max_repeats)
     plan = stored(budgets(sources, alpha, total), "mix-budgets").select(F.col("source").alias("_s"), F.col("tokens").alias("_total"), "n_rows", "weight", "blocks")
     shown = rows.join(plan, F.col("source").eqNullSafe(F.col("_s")))
     shown = shown.withColumn("block", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil("blocks") - 1, F.lit(0)).cast("int"))))
-    shown = shown.withColumn("u", _uniform(F.lit(seed), F.col("block"), F.col("_row_key")))
+    shown = shown.withColumn("u", _uniform(F.lit(seed), F.col("block"), F.col("_place")))
     shown = shown.withColumn("last", F.col("block") + 1 > F.col("blocks"))
     place = ((F.col("block") + F.col("u")) / F.greatest("blocks", F.lit(1e-9))).alias("mix_at")
     whole = shown.where(~F.col("last")).select("_row_key", "source", "weight", "block", place, "tokens")
@@ -114,13 +118,8 @@ def mixed(docs: DataFrame, target_entropy: float | None = None, max_repeats: flo
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix with their own columns, each as often as its source's budget shows it."""
-    shown = mixed(docs, **options).groupBy("_row_key").agg(F.count(F.lit(1)).alias("_times"))
-    keyed = docs.select(
-        F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")).alias("_key"), F.struct("*").alias("_doc")
-    )
-    copies = Window.partitionBy("_key")
-    keyed = keyed.withColumn("_copy", F.row_number().over(copies.orderBy(F.lit(0)))).withColumn("_copies", F.count(F.lit(1)).over(copies))
-    both = keyed.join(shown, F.col("_key").eqNullSafe(F.col("_row_key")))
-    # equal rows share their showings evenly
-    times = F.floor(F.col("_times") / F.col("_copies")) + F.when(F.col("_copy") <= F.col("_times") % F.col("_copies"), 1).otherwise(0)
-    return both.withColumn("_n", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select("_doc.*")
+    held = stored(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.monotonically_increasing_id().alias("_uid")), "mix-documents")
+    shown = mixed(held.select("_doc.doc_id", "_doc.text", "_doc.source", "_uid"), uid="_uid", **options)
+    times = shown.groupBy(F.col("_row_key.uid").alias("_shown")).agg(F.count(F.lit(1)).cast("int").alias("_times"))
+    both = held.join(times, F.col("_uid") == F.col("_shown"))
+    return both.withColumn("_n", F.explode(F.array_repeat(F.lit(1), F.col("_times")))).select("_doc.*")

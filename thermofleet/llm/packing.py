@@ -194,18 +194,20 @@ def best_fit_plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int
 
 
 def packed(parts: DataFrame, size: int = SEQUENCE) -> DataFrame:
-    """Add sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32 and more). `parts` must be stored."""
+    """Add sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32 and more). `parts` must be stored, with a
+    number `_uid` for each piece."""
     spark = parts.sparkSession
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `size` rows
     buckets = max(1, -(-max(counts.values(), default=0) // BUCKET_ROWS))
-    own = parts.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    # a number per stored piece, so that neither a null id nor copies of a document fill a bucket
+    own = parts.withColumn("_bucket", F.pmod(F.xxhash64("_uid"), F.lit(buckets)))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = own.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("n")).select(
         F.col("length").alias("_l"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base")
     )
-    rank = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1
+    rank = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("_uid")) - 1
     numbered = own.withColumn("_rank", rank).join(base, (F.col("length") == F.col("_l")) & (F.col("_bucket") == F.col("_b")))
-    numbered = numbered.withColumn("_number", F.col("_base") + F.col("_rank")).drop("_bucket", "_rank", "_l", "_b", "_base")
+    numbered = numbered.withColumn("_number", F.col("_base") + F.col("_rank")).drop("_bucket", "_rank", "_l", "_b", "_base", "_uid")
     # the plan's size depends on the sequence size alone, so it may go to every task
     plan = np.array(sorted(best_fit_plan(counts, size)) or np.zeros((0, 5)), np.int64)
     shared = spark.sparkContext.broadcast(plan)
@@ -228,4 +230,5 @@ def packed(parts: DataFrame, size: int = SEQUENCE) -> DataFrame:
 
 
 def packed_documents(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE, with_ids: bool = True) -> DataFrame:
-    return packed(stored(pieces(docs, tokenizer_path, size, with_ids), "pieces"), size)
+    numbered = pieces(docs, tokenizer_path, size, with_ids).withColumn("_uid", F.monotonically_increasing_id())
+    return packed(stored(numbered, "pieces"), size)

@@ -32,3 +32,12 @@ def numbered(rows: DataFrame, group: Sequence[str], order: Sequence[Column], nam
         total: F.first(total).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
     })
     return counted.where(F.col("_start").isNull()).drop("_tie", "_range", "_start")
+
+
+def with_salt(rows: DataFrame, keys: Sequence[str], uid: str = "_uid", name: str = "_salt") -> DataFrame:
+    """`rows` with a number that tells rows of equal keys apart: 0 where the keys occur once, else a hash of `uid`, a number per
+    row that is written down. What is hashed together with it depends on content alone but for repeated rows, which are alike."""
+    same = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*[F.col(k).alias(f"_s{i}") for i, k in enumerate(keys)])
+    met = [F.col(k).eqNullSafe(F.col(f"_s{i}")) for i, k in enumerate(keys)]
+    both = rows.join(same.withColumn("_many", F.lit(True)), met, "left")
+    return both.withColumn(name, F.when(F.col("_many"), F.xxhash64(uid)).otherwise(F.lit(0).cast("long"))).select(*rows.columns, name)

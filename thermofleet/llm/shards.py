@@ -4,14 +4,17 @@ Records hash into a fixed number of slots; bytes and rows are summed per slot; a
 slot lies in. Only the map (one row per slot, whatever the data) is edited when shards are balanced or added, so a
 record's slot never changes. Everything is DataFrame expressions; the largest thing in one task is the slot table.
 
-Nulls: a null text has no bytes, a null id hashes like any value. Repeated rows each get a place of their own. An empty
-table gives an empty result. Other columns of the input are ignored.
+A record's slot is a hash of its id and its text. Rows that repeat both are dealt over the slots by a number of their own, so
+neither a null id nor a group of copies fills a slot. Nulls: a null text has no bytes, a null id hashes like any value. Repeated
+rows each get a place of their own; ties in a slot's order are equal rows. A very long text is one record. An empty table gives
+an empty result. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from thermofleet.llm.ranks import with_salt
 from thermofleet.llm.tables import stored
 
 SLOTS = 8_192  # virtual slots, fixed for the life of a data set
@@ -19,14 +22,16 @@ ROW_BYTES = 8  # what the id of a record adds to the bytes of its text
 
 
 def sized(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """One row per record: doc_id, size, text_crc32 and its virtual slot. The text goes no further than this."""
+    """One stored row per record: doc_id, size, text_crc32 and its virtual slot. The text goes no further than this."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
+    rows = stored(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.pmod(F.xxhash64(F.col("doc_id")), F.lit(slots)).cast("int").alias("virtual_slot"),
-    )
+        F.xxhash64(text).alias("_text"), F.monotonically_increasing_id().alias("_uid"),
+    ), "shard-texts")
+    slot = F.pmod(F.xxhash64("doc_id", "_text", "_salt"), F.lit(slots)).cast("int")
+    return stored(with_salt(rows, ["doc_id", "_text"]).select("doc_id", "size", "text_crc32", slot.alias("virtual_slot")), "shard-rows")
 
 
 def slot_sizes(rows: DataFrame) -> DataFrame:
@@ -107,7 +112,7 @@ def placed(rows: DataFrame, sizes: DataFrame, slot_map: DataFrame) -> DataFrame:
 
 def sharded(docs: DataFrame, shards: int = 24, slots: int = SLOTS) -> DataFrame:
     """Every record with its shard and place; the map is stored as version 0."""
-    rows = stored(sized(docs, slots), "shard-rows")
+    rows = sized(docs, slots)
     sizes = stored(slot_sizes(rows), "slot-sizes")
     slot_map = stored(first_map(sizes, shards, slots), "slot-map")
     return placed(rows, sizes, slot_map)

@@ -52,7 +52,7 @@ def test_line_dedup(docs, pairs, none):
 
 
 def test_line_runs_are_merged_by_levels(spark):
-    held = lines.LineRuns(fan_in=2, buckets=3)
+    held = lines.LineRuns(spark, fan_in=2)
     for k in range(5):
         batch = spark.createDataFrame([(k, x) for x in ("every", f"only{k}")], "doc_id long, line string").select("doc_id", lines.key_hash(F.col("line")).alias("h")).select("doc_id", "h.*")
         fresh = {r["fresh"] for r in held.add(batch).collect()}
@@ -66,7 +66,7 @@ def test_line_runs_are_merged_by_levels(spark):
 
 
 def test_line_runs_do_not_move(spark):
-    held = lines.LineRuns(fan_in=9, buckets=3)
+    held = lines.LineRuns(spark, fan_in=9)
     batch = spark.createDataFrame([(1, 5, 6), (2, 7, 8)], "doc_id long, a long, b long")
     held.add(batch)
     merged = held._both(*[held.tables()[0]] * 2)._jdf.queryExecution().executedPlan().toString()

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from thermofleet.llm.tables import BLANKS, bucketed, plain_lower, stored
 
@@ -26,7 +26,7 @@ MIN_DOCS = 5  # documents that must hold a key
 BATCHES = 4
 FAN_IN = 2
 HASH = ["a", "b"]  # of a line's key
-LEAST_BUCKETS, MOST_BUCKETS, BUCKET_KEYS = 16, 1 << 16, 1 << 21  # keys of a bucket, about
+MOST_BUCKETS = 1 << 16  # Spark takes no more than 100,000
 
 
 def line_key(line: Column) -> Column:
@@ -64,15 +64,17 @@ class LineRuns:
     """The runs: per level a list of stored tables (a, b, n_docs, last_doc) sorted by hash within their buckets, no hash in two of
     them; and the additions to the counts of hashes that a run held already."""
 
-    def __init__(self, fan_in: int = FAN_IN, buckets: int = LEAST_BUCKETS):
-        self.fan_in, self.buckets, self.levels, self.additions = fan_in, buckets, [[]], []
+    def __init__(self, spark: SparkSession, fan_in: int = FAN_IN):
+        # as many buckets as a shuffle has partitions: a batch comes out of its shuffle as it is stored, one file a bucket
+        self.buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_BUCKETS)
+        self.fan_in, self.levels, self.additions = fan_in, [[]], []
 
     def tables(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Add a batch (doc_id, a, b) and return its hashes with counts; `fresh` tells those that no run held."""
-        own = batch.repartition(self.buckets, *HASH).groupBy(*HASH).agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
+        own = batch.groupBy(*HASH).agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
         own = own.withColumn("fresh", F.lit(True))
         for run in self.tables():  # no partner in any run means new
             own = own.join(run.select(*HASH, F.lit(True).alias("_held")), HASH, "left")
@@ -110,8 +112,7 @@ class LineRuns:
 def dropped_keys(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
     """Per document that loses lines: its key and the hashes it loses."""
     lines = stored(line_hashes(docs, min_chars, batches), "lines", partition_by="batch")
-    buckets = min(max(LEAST_BUCKETS, lines.count() // BUCKET_KEYS), MOST_BUCKETS)
-    runs = LineRuns(buckets=buckets)
+    runs = LineRuns(docs.sparkSession)
     for b in range(batches):
         runs.add(lines.where(F.col("batch") == b))
     hot = stored(runs.repeated(min_docs), "hot-lines")

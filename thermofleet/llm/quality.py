@@ -4,7 +4,8 @@ Each rule is a Boolean expression that rejects a document. On a bounded sample e
 counted; the cascade then asks the rules in falling order of rejection per cost and stops at the first that rejects. The
 order only changes how much work is done, never the verdict, so a differently timed sample gives the same result.
 
-Null and empty texts have no words and are rejected. Equal rows get equal verdicts. An empty table gives an empty result.
+A rule takes what is counted already from the columns that hold it; the words of a text are split once for all rules. Very long
+texts are split in the task that reads them. Null and empty texts have no words and are rejected. Equal rows get equal verdicts. An empty table gives an empty result.
 Columns of the input with the names of the metrics are not touched: metrics are columns of `measured` alone.
 """
 
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -81,24 +83,46 @@ def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def too_repetitive() -> Column:
+@dataclass(frozen=True)
+class Facts:
+    """What rules look at: taken from the text where they are not given as columns that hold them already."""
+
+    words: Column | None = None
+    n_words: Column | None = None
+    symbols: Column | None = None
+    letters: Column | None = None
+
+    def word_list(self) -> Column:
+        return word_list() if self.words is None else self.words
+
+    def count(self) -> Column:
+        return F.size(self.word_list()) if self.n_words is None else self.n_words
+
+    def n_symbols(self) -> Column:
+        return n_symbols() if self.symbols is None else self.symbols
+
+    def word_chars(self) -> Column:
+        return word_chars() if self.letters is None else self.letters
+
+
+def too_repetitive(facts: Facts) -> Column:
     def verdict(words: Column) -> Column:
         return _bound(window_hashes(words), lambda hashes: 100 * repeated_words(hashes) > 20 * F.size(words))
 
-    return _bound(word_list(), verdict)
+    return _bound(facts.word_list(), verdict)
 
 
 # name -> expression that is true where the rule rejects
-RULES: dict[str, Callable[[], Column]] = {
-    "few_words": lambda: F.size(word_list()) < MIN_WORDS,
+RULES: dict[str, Callable[[Facts], Column]] = {
+    "few_words": lambda f: f.count() < MIN_WORDS,
     "repetitive": too_repetitive,
-    "symbols": lambda: 5 * n_symbols() > F.size(word_list()),
-    "shouting": lambda: 4 * (F.char_length(_text()) - _without(UPPER)) > word_chars(),
-    "long_words": lambda: word_chars() > 40 * F.greatest(F.size(word_list()), F.lit(1)),
+    "symbols": lambda f: 5 * f.n_symbols() > f.count(),
+    "shouting": lambda f: 4 * (F.char_length(_text()) - _without(UPPER)) > f.word_chars(),
+    "long_words": lambda f: f.word_chars() > 40 * F.greatest(f.count(), F.lit(1)),
 }
 
 
-def cascade_order(docs: DataFrame, rules: dict[str, Callable[[], Column]] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[str]:
+def cascade_order(docs: DataFrame, rules: dict[str, Callable[[Facts], Column]] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[str]:
     """Rule names by rejected share per second, both taken on a sample of at most about `sample_rows` documents."""
     total = docs.count()
     share = min(1.0, sample_rows / max(total, 1))
@@ -113,23 +137,26 @@ def cascade_order(docs: DataFrame, rules: dict[str, Callable[[], Column]] = RULE
     idle = min(run(F.char_length("text") < 0)[0] for _ in range(2))
     found = {}
     for name, rule in rules.items():
-        tries = [run(rule()) for _ in range(2)]
+        tries = [run(rule(Facts())) for _ in range(2)]
         found[name] = tries[0][1] / max(min(t for t, _ in tries) - idle, 1e-3)
     return sorted(rules, key=lambda name: (-found[name], name))
 
 
-def rejected_by(order: list[str], rules: dict[str, Callable[[], Column]] = RULES) -> Column:
+def rejected_by(order: list[str], rules: dict[str, Callable[[Facts], Column]] = RULES, facts: Facts = Facts()) -> Column:
     """Name of the first rule of the cascade that rejects, null if none does; later rules are not evaluated."""
     verdict = None
     for name in order:
-        hit = F.coalesce(rules[name](), F.lit(False))
+        hit = F.coalesce(rules[name](facts), F.lit(False))
         verdict = F.when(hit, F.lit(name)) if verdict is None else verdict.when(hit, F.lit(name))
     return verdict
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The documents that no rule rejects, with their own columns."""
-    return docs.where(rejected_by(cascade_order(docs)).isNull())
+    order = cascade_order(docs)
+    # one split for all rules that look at words
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "text", word_list().alias("_words"))
+    return held.where(rejected_by(order, facts=Facts(words=F.col("_words"))).isNull()).select("_doc.*")
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -138,7 +165,8 @@ def measured(docs: DataFrame) -> DataFrame:
     The rules that the base metrics already decide are answered from them; the cascade asks only the others.
     """
     order = cascade_order(docs)
-    rest = rejected_by([name for name in order if name not in ("few_words", "repetitive")])
+    given = Facts(n_words=F.col("n_words"), symbols=F.col("n_symbols"), letters=F.col("word_chars"))
+    rest = rejected_by([name for name in order if name not in ("few_words", "repetitive")], facts=given)
     step = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", word_list().alias("_words"))
     step = step.withColumn("_hashes", window_hashes(F.col("_words")))
     step = step.select(

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from thermofleet.fitting import gains as g
 from thermofleet.fitting import ridge as rg
 from thermofleet.fitting.gram import gram
 from thermofleet.fitting.pipeline import fit_sites
-from thermofleet.fitting.prepare import Effector, Layout, prepare, uncontrolled_segments, with_place, with_sun
+from thermofleet.fitting.prepare import Effector, Layout, design, prepare, uncontrolled_segments, with_place, with_sun
 from thermofleet.fitting.tau import POINTS, first_grid, fit_segments, sealed_and_ventilated, sensor_taus
 from thermofleet.harness import views as v
 from thermofleet.harness.registry import query
@@ -203,6 +205,30 @@ def holdout_rmse(spark, sf):
     return out.select("site_id", "sensor", *[v.r6(c).alias(c) for c in ("in_rmse", "out_rmse", "degradation")])
 
 
+DESIGN_LAYOUT = Layout(sensors=["view"], effectors=[Effector("unit", "unit_mode", {"low": 0.5, "high": 1.0}, 30)], environment={"window": "window", "blind": "shade"}, zone="America/Phoenix")
+DESIGN_LAGS = [f"lag_unit_{bin_label(start, end)}" for start, end in lag_bins(30)]
+DESIGN = f"""WITH {v.STATES}, n AS (SELECT site_id, CAST(count(*) FILTER (WHERE k % 2 = 0) AS DOUBLE) AS w, CAST(count(*) FILTER (WHERE k % 5 = 0) AS DOUBLE) AS b FROM states_v GROUP BY 1),
+r AS (SELECT s.*, k - value AS gap, CASE WHEN n.w >= 50 AND k % 2 = 0 THEN 1.0 ELSE 0.0 END AS win, CASE WHEN n.b >= 50 AND k % 5 = 0 THEN 1.0 ELSE 0.0 END AS blind,
+(date_part('hour', l) + date_part('minute', l) / 60.0) * {2 * math.pi / 24!r} AS a FROM (SELECT *, ts - INTERVAL 7 HOUR AS l FROM states_v) s JOIN n ON n.site_id = s.site_id WHERE k % 11 <> 0)
+SELECT site_id, name AS sensor, epoch_us(ts) AS ts_us, {", ".join(f"round(k * {i + 1} / 10.0, 6) AS {c}" for i, c in enumerate(DESIGN_LAGS))},
+round(gap * gap * sign(gap), 6) AS weather_dt2, round(CASE WHEN k % 3 <> 0 THEN k ELSE 0 END * gap, 6) AS weather_wind_dt, round(k / 7.0, 6) AS weather_dtout_dt,
+round(sin(a), 6) AS tod_sin1, round(cos(a), 6) AS tod_cos1, round(sin(2 * a), 6) AS tod_sin2, round(cos(2 * a), 6) AS tod_cos2,
+round(win * gap, 6) AS adv_tau_window, round(k / 100.0, 6) AS solar_elev, round(blind * k / 100.0, 6) AS adv_solar_blind, round(value / 8.0 - gap / (40.0 + site_id), 6) AS y FROM r"""
+
+
+@query("design_rows", DESIGN)
+def design_rows(spark, sf):
+    """Regression rows with every kind of feature; a row without a rate is left out."""
+    k = F.col("k").cast("double")
+    rows = v.states(spark, sf).select(
+        "site_id", F.col("name").alias("sensor"), "ts", F.col("value").alias("temp"), k.alias("outdoor_best"), (k / 7).alias("outdoor_rate"), F.when(F.col("k") % 3 != 0, k).alias("wind_speed"),
+        (k / 100).alias("solar"), F.when(F.col("k") % 11 != 0, F.col("value") / 8).alias("rate"), (F.col("k") % 2 == 0).cast("double").alias("window"), (F.col("k") % 5 == 0).cast("double").alias("blind"),
+        *[(k * (i + 1) / 10).alias(c) for i, c in enumerate(DESIGN_LAGS)])
+    taus = rows.select("site_id", "sensor").distinct().withColumn("tau_base", F.col("site_id") + 40.0)
+    out, features = design(rows, taus, DESIGN_LAYOUT)
+    return out.select("site_id", "sensor", v.us("ts").alias("ts_us"), *[F.round(F.col("x")[i], 6).alias(c) for i, c in enumerate(features)], v.r6("y").alias("y"))
+
+
 BLOCKS, REPLICATES = 32, 50
 BOOTSTRAP = f"""WITH {SUMS.replace("value AS y FROM states_v)", f"value AS y, event_id % {BLOCKS} AS blk FROM states_v)")}, q AS (SELECT site_id, sensor, sqrt(bb / n - (sb / n) * (sb / n)) AS sd, 0.01 * n AS lam FROM m WHERE n >= 50),
 b AS (SELECT site_id, sensor, blk, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * y) AS ay, sum(b * y) AS "by" FROM z GROUP BY 1, 2, 3),

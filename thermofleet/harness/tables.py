@@ -265,25 +265,20 @@ def flatten_nested(spark, sf):
     return rs.flatten_map2(nested, "m", "name", "hour", "value").withColumn("day", F.col("day").cast("string"))
 
 
-@query("transpose_nested", CELLS + "SELECT site_id, day, hour, count(*) AS n_names, max(value) AS top, min(name) AS first_name FROM c GROUP BY 1, 2, 3")
+@query("transpose_nested", CELLS + "SELECT site_id, day, hour, name, value FROM c")
 def transpose_nested(spark, sf):
-    rows = _hour_cells(spark, sf)
-    out = rs.transpose_map(rows, ["site_id", "day"], "name", "hour", "value", "by_name")
-    return out.select("site_id", F.col("day").cast("string").alias("day"), "hour", F.size("by_name").cast("bigint").alias("n_names"),
-                      F.array_max(F.map_values("by_name")).alias("top"), F.array_min(F.map_keys("by_name")).alias("first_name"))
+    out = rs.transpose_map(_hour_cells(spark, sf), ["site_id", "day"], "name", "hour", "value", "by_name")
+    return out.select("site_id", F.col("day").cast("string").alias("day"), "hour", F.explode("by_name").alias("name", "value"))
 
 
-@query("nest_outcomes", CELLS + "SELECT site_id, day, count(*) AS n, count(DISTINCT name) AS n_sensors, CAST(max(hour) AS VARCHAR) AS last_hour FROM (SELECT * FROM c) GROUP BY 1, 2")
+@query("nest_outcomes", CELLS + "SELECT site_id, day, name AS sensor, lpad(CAST(hour AS VARCHAR), 2, '0') AS horizon, value AS predicted, value / 2 AS actual, hour * 0.5 AS error FROM c")
 def nest_outcomes(spark, sf):
     rows = _hour_cells(spark, sf).select(
         "site_id", F.col("day").alias("decision_ts"), F.col("name").alias("sensor"), F.lpad(F.col("hour").cast("string"), 2, "0").alias("horizon"),
-        F.col("value").alias("predicted"), F.col("value").alias("actual"), F.lit(0.0).alias("error"),
+        F.col("value").alias("predicted"), (F.col("value") / 2).alias("actual"), (F.col("hour") * F.lit(0.5)).alias("error"),
     )
-    nested = rs.nest_outcomes(rows)
-    sizes = F.aggregate(F.map_values("outcomes"), F.lit(0), lambda acc, m: acc + F.size(m))
-    last = F.array_max(F.flatten(F.transform(F.map_values("outcomes"), lambda m: F.map_keys(m))))
-    return nested.select("site_id", F.col("decision_ts").cast("string").alias("day"), sizes.cast("bigint").alias("n"),
-                         F.size("outcomes").cast("bigint").alias("n_sensors"), last.cast("int").cast("string").alias("last_hour"))
+    by_sensor = rs.nest_outcomes(rows).select("site_id", F.col("decision_ts").cast("string").alias("day"), F.explode("outcomes").alias("sensor", "horizons"))
+    return by_sensor.select("site_id", "day", "sensor", F.explode("horizons").alias("horizon", "o")).select("site_id", "day", "sensor", "horizon", "o.*")
 
 
 # ── lookups ────────────────────────────────────────────────────────────────

@@ -1,7 +1,7 @@
 """Streaming jobs over events that land in several runs, some of them late; every run goes on from the state of the last.
 
-A row lands with its half of the month, every seventh one run later, when its time has long passed. A tick of no site lands
-last and moves the watermark past everything, so that the streams close what they hold.
+A row lands with its half of the month; every seventh of the first half lands with the second, when its time has long passed.
+A tick of no site lands last and moves the watermark past everything, so that the streams close what they hold.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from thermofleet.streaming import jobs as j
 from thermofleet.streaming import ordered as o
 
 LANDED = "site_id bigint, ts timestamp, name string, value double, event_id bigint"
-RUNS = 3
+RUNS = 2
 DAYS = 15  # of events a run brings
 TICK = -1  # the site that only ticks
 FIRST_DAY = 19_723  # 2024-01-01
@@ -28,13 +28,22 @@ R = f"WITH {v.READINGS}"
 
 
 def _run_of(ts, late):
-    part = F.least(F.floor((F.unix_date(F.to_date(ts)) - FIRST_DAY) / DAYS), F.lit(RUNS - 2))
-    return F.greatest(part, F.lit(0)) + F.when(late, 1).otherwise(0)
+    part = F.greatest(F.floor((F.unix_date(F.to_date(ts)) - FIRST_DAY) / DAYS), F.lit(0)) + F.when(late, 1).otherwise(0)
+    return F.least(part, F.lit(RUNS - 1))
+
+
+def _take_up(spark, stream, out, state, last):
+    """Run what has landed; only behind the last run a batch without rows follows, for what the watermark has closed."""
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", str(last).lower())
+    try:
+        j.run_available(stream, out, state)
+    finally:
+        spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
 
 
 def judged(slot_us: int, ts: str = "ts") -> str:
     """SQL: readings with `late`, told by the watermark their run began with (15 minutes behind all earlier runs)."""
-    return f"""landed_v AS (SELECT site_id, name, value, event_id, {ts} AS ts, least(greatest(floor((epoch_us(r.ts) // 86400000000 - {FIRST_DAY}) / {DAYS}.0), 0), {RUNS - 2}) + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS run FROM readings_v r),
+    return f"""landed_v AS (SELECT site_id, name, value, event_id, {ts} AS ts, least(greatest(floor((epoch_us(r.ts) // 86400000000 - {FIRST_DAY}) / {DAYS}.0), 0) + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END, {RUNS - 1}) AS run FROM readings_v r),
 mark_v AS (SELECT run, max(max(epoch_ms(ts))) OVER (ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 900000 AS w FROM landed_v GROUP BY run),
 judged_v AS (SELECT l.*, coalesce((epoch_us(ts) // {slot_us} + 1) * {slot_us} <= w * 1000, false) AS late FROM landed_v l JOIN mark_v USING (run))"""
 
@@ -49,7 +58,7 @@ def _through(spark, rows, schema, run, job, label):
         part = placed.filter(F.col("__run") == k).select(tick.columns)
         (part if k < RUNS - 1 else part.unionByName(tick)).write.mode("append").parquet(landed)
         stream = job(j.read_readings(spark, landed, schema, max_files=1_000_000))
-        j.run_available(stream, out, state)
+        _take_up(spark, stream, out, state, k == RUNS - 1)
     return spark.read.schema(stream.schema).parquet(out).filter(F.col("site_id") != TICK)
 
 
@@ -157,6 +166,6 @@ def stream_state_ingest(spark, sf):
         placed.filter(F.col("__run") == k).drop("__run").write.mode("append").json(landed)
         readings = states_to_readings(j.read_states(spark, landed, max_files=1_000_000), _dims(spark, sf)).withColumn("ts", round5(F.col("ts")))
         stream = o.first_writes(readings, F.lit(k))
-        j.run_available(stream, out, state)
+        _take_up(spark, stream, out, state, k == RUNS - 1)
     written = o.merged_first_writes(spark.read.schema(stream.schema).parquet(out))
     return written.select("site_id", "name", v.us("ts").alias("ts_us"))

@@ -1,3 +1,4 @@
+import itertools
 import random
 from datetime import timedelta
 
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import at, rows
 from thermofleet.decisions import backfill as b
+from thermofleet.operators import lookup as lk
 from thermofleet.plans import comfort as c
 from thermofleet.plans import options as o
 from thermofleet.plans import scoring as s
@@ -220,3 +222,57 @@ def test_override_classes(spark):
     assert {r.device: r["at"] for r in kept.collect()}["old"] == at(600)
     assert dict(rows(ov.classify_devices(desired, seen, last, now(), force=True), "device", "result"))["moved"] == "applied"
     assert sum(r.n for r in ov.result_counts(out).collect()) == 6
+
+
+def test_combinations_are_unfolded_without_lists_per_combination(spark):
+    """A row is made from a number and a list: nothing above the unfolding walks a key's owners for each combination."""
+    opts = [(site, f"d{d}", k, f"a{k}") for site in (1, 2) for d in range(3) for k in range(d + 2)]
+    df = spark.createDataFrame(opts, "site_id bigint, device string, option_no bigint, action string")
+    out = lk.combination_table(df, ["site_id"], "device", "combo_id")
+    want = sorted((site, i, f"d{d}", c[d], f"a{c[d]}") for site in (1, 2) for i, c in enumerate(itertools.product(range(2), range(3), range(4))) for d in range(3))
+    assert rows(out, "site_id", "combo_id", "device", "option_no", "action") == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[:plan.index("RepartitionByExpression")]
+    assert "lambdafunction" not in above
+    wide = lk.combination_rows(df, ["site_id"], "device", "combo_id")
+    assert rows(wide.select("site_id", "combo_id", F.explode("choices").alias("c")).select("site_id", "combo_id", "c.*")) == want
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_plans_with_dependents_equal_the_spelled_out_product(spark, seed):
+    """Random houses, also with a parent that is no owner, two parents and dependents without `off`."""
+    rnd = random.Random(seed)
+    own = [(f"t{i}", "trajectory", ["off", "heating"], []) for i in range(2)] + [("b", "binary", ["off", "low"], [])]
+    kids = [(f"k{i}", "binary", rnd.choice([["low", "off", "high"], ["high"], ["off", "low"]]), rnd.sample(["t0", "t1", "b", "gone"], rnd.choice([1, 2]))) for i in range(3)]
+    e = spark.createDataFrame([(1, *x) for x in own + kids] + [(2, *own[0])], "site_id bigint, name string, control_type string, supported_modes array<string>, depends_on array<string>")
+    options = o.timed_options(e)
+    numbered = {}
+    for r in o.option_numbers(options).collect():
+        numbered.setdefault((r.site_id, r.effector), []).append((r.option_no, r["mode"], r.delay_steps))
+    want = []
+    for site, names, more in ((1, [x[0] for x in own], kids), (2, ["t0"], [])):
+        names = sorted(names)
+        per = 1
+        for k in more:
+            per *= len(k[2])
+        for base, combo in enumerate(itertools.product(*[sorted(numbered[site, n]) for n in names])):
+            on = {n for n, (_, mode, delay) in zip(names, combo, strict=True) if mode != "off" and delay == 0}
+            lists = []
+            for name, _, modes, parents in more:
+                ordered = [m for m in modes if m == "off"] + [m for m in modes if m != "off"]
+                free = ordered if set(parents) <= on else ["off"]
+                lists.append([(name, ordered.index(m) if m in ordered else -1, m) for m in free])
+            for i, extra in enumerate(itertools.product(*lists)):
+                want += [(site, base * per + i, n, c[0], c[1]) for n, c in zip(names, combo, strict=True)]
+                want += [(site, base * per + i, *x) for x in extra]
+    plans = o.expand_plans(options, e.filter(F.size("depends_on") > 0))
+    assert rows(plans, "site_id", "plan_id", "effector", "option_no", "mode") == sorted(want)
+
+
+def test_plan_expansion_counts_without_sorting_rows(spark, sf):
+    """Modes are numbers while they are aggregated; as strings every row would be sorted."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["plan_expansion"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    top = plan[:plan.index("Generate")]
+    assert "SortAggregate" not in top and top.count("HashAggregate") >= 4

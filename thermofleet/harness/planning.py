@@ -95,6 +95,9 @@ def energy_cost(spark, sf):
 
 
 # ── options: every part is a site with up to four effectors ────────────────
+MODES = ["heating", "high", "low", "off"]  # of _part_effectors
+
+
 def _part_effectors(spark, sf):
     p = v.table(spark, sf, "part")
 
@@ -140,9 +143,13 @@ def plan_expansion(spark, sf):
     e = _part_effectors(spark, sf)
     options = o.timed_options(e, _blocked_parts(spark, sf))
     plans = o.expand_plans(options, e.filter(F.size("depends_on") > 0))
-    pick = {f"m{i + 1}": F.coalesce(F.max(F.when(F.col("effector") == n, F.col("mode"))), F.lit("none")) for i, n in enumerate(["t1", "b1", "x1", "x2"])}
+    # modes as numbers in their order: their maximum is kept in place, strings would be sorted row by row
+    named = F.array(*[F.lit(m) for m in MODES])
+    number = F.array_position(named, F.col("mode"))
+    pick = {f"m{i + 1}": F.max(F.when(F.col("effector") == n, number)) for i, n in enumerate(["t1", "b1", "x1", "x2"])}
     per = plans.groupBy("site_id", "plan_id").agg(*[x.alias(k) for k, x in pick.items()])
-    return per.groupBy("site_id", *pick).agg(F.count(F.lit(1)).alias("n_plans"))
+    counted = per.groupBy("site_id", *pick).agg(F.count(F.lit(1)).alias("n_plans"))
+    return counted.withColumns({k: F.when(F.col(k).isNull(), "none").otherwise(F.get(named, (F.col(k) - 1).cast("int"))) for k in pick})
 
 
 @query("combination_numbers", f"""WITH {OPTIONS}, n AS (SELECT site_id, effector, count(*) AS n FROM opts GROUP BY 1, 2) SELECT site_id, CAST(round(exp(sum(ln(n)))) AS BIGINT) AS n_plans, CAST(round(exp(sum(ln(n)))) AS BIGINT) * count(*) AS n_rows FROM n GROUP BY 1""")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thermofleet.functions.timekeys import hour_in_window
-from thermofleet.operators.lookup import PAGE, combination_rows, combination_table, drop_keys, numbered_choices, spread_pages, with_effect
+from thermofleet.operators.lookup import PAGE, combination_pages, combination_table, drop_keys, numbered_choices, option_index, spread_pages, with_effect
 
 # Start delays, run lengths and return times in 5-minute steps; the horizon is six hours.
 DELAYS = (0, 12, 24)
@@ -163,9 +163,9 @@ def expand_plans(options: DataFrame, dependents: DataFrame | None = None) -> Dat
     """All plans as long rows `(site_id, plan_id, effector, option_no, mode, …)`; plan 0 is all off.
 
     `dependents` are effectors `(site_id, name, supported_modes, depends_on)` that vary only where all their
-    parents run from the start; elsewhere they are off. Plans of independent effectors are numbered first; each
-    is one row (a handful of choices) that its dependents widen in place, so combinations that cannot occur are never
-    generated and nothing is joined or gathered per plan.
+    parents run from the start; elsewhere they are off. Plans of independent effectors are numbered first. What the dependents
+    may do is listed once per page for each set of them that may run; a plan looks up its set and is widened in place, so
+    combinations that cannot occur are never generated and nothing is joined or gathered per plan.
     """
     numbered = option_numbers(options)
     if dependents is None:
@@ -177,32 +177,55 @@ def expand_plans(options: DataFrame, dependents: DataFrame | None = None) -> Dat
     )
     kid = F.struct(F.col("name").alias("kid"), off_first.alias("modes"), F.col("depends_on").alias("parents"))
     kids = dependents.groupBy("site_id").agg(F.sort_array(F.collect_list(kid)).alias("kids"))
-    joined = combination_rows(numbered, ["site_id"], "effector", "base_id", kids).withColumn(
+    pages = combination_pages(numbered, ["site_id"], "effector", kids).withColumn(
         "kids", F.coalesce("kids", F.array().cast("array<struct<kid:string,modes:array<string>,parents:array<string>>>"))
     )
-    started = F.transform(
-        F.filter("choices", lambda c: (c["mode"] != "off") & (c["delay_steps"] == 0)), lambda c: c["effector"]
-    )
-    joined = joined.withColumn("started", started)
+    zero = F.lit(0).cast("bigint")
+    bits = lambda ready: F.aggregate(F.transform("kids", ready), zero, lambda n, r: n * 2 + F.when(r, 1).otherwise(0))
+
+    def allows(o: Column, c: Column) -> Column:
+        """The dependents, one bit each, that an option leaves able to run."""
+        starts = (c["mode"] != "off") & (c["delay_steps"] == 0)
+        return bits(lambda k: F.coalesce(starts, F.lit(False)) | ~F.exists(k["parents"], lambda p: p.eqNullSafe(o["owner"])))
+
+    # parents that are no owner here never start
+    known = bits(lambda k: F.size(F.array_except(k["parents"], F.transform("__owners", lambda o: o["owner"]))) == 0)
+    owners = F.transform("__owners", lambda o: F.struct(
+        o["list"].alias("list"), o["size"].alias("size"), o["stride"].alias("stride"), F.transform(o["list"], lambda c: allows(o, c)).alias("allows")))
     row = "array<struct<effector:string,option_no:bigint,mode:string,target:double,delay_steps:int,duration_steps:int>>"
 
-    def widen(combos: Column, k: Column) -> Column:
-        ready = F.size(F.array_except(k["parents"], F.col("started"))) == 0
-        modes = F.when(ready, k["modes"]).otherwise(F.array(F.lit("off")))
-        return F.flatten(
-            F.transform(combos, lambda done: F.transform(modes, lambda m: F.array_append(done, F.struct(
-                k["kid"].alias("effector"), (F.array_position(k["modes"], m) - 1).alias("option_no"), m.alias("mode"),
-                F.lit(None).cast("double").alias("target"), F.lit(0).alias("delay_steps"),
-                F.lit(None).cast("int").alias("duration_steps"),
-            ))))
-        )
+    def widened(able: Column) -> Column:
+        """What the dependents may do where those with a bit in `able` may run: an array of combinations."""
+
+        def widen(done: Column, k: Column, i: Column) -> Column:
+            ready = F.call_function("div", able, F.pow(F.lit(2), F.size("kids") - 1 - i).cast("bigint")) % 2 == 1
+            modes = F.when(ready, k["modes"]).otherwise(F.array(F.lit("off")))
+            return F.flatten(
+                F.transform(done, lambda d: F.transform(modes, lambda m: F.array_append(d, F.struct(
+                    k["kid"].alias("effector"), (F.array_position(k["modes"], m) - 1).alias("option_no"), m.alias("mode"),
+                    F.lit(None).cast("double").alias("target"), F.lit(0).alias("delay_steps"),
+                    F.lit(None).cast("int").alias("duration_steps"),
+                ))))
+            )
+
+        placed = F.transform("kids", lambda k, i: F.struct(k.alias("k"), i.alias("i")))
+        return F.aggregate(placed, F.array(F.array().cast(row)), lambda done, p: widen(done, p["k"], p["i"]))
 
-    combos = F.aggregate("kids", F.array(F.array().cast(row)), widen)
     per_base = F.aggregate("kids", F.lit(1).cast("bigint"), lambda n, k: n * F.size(k["modes"]))
-    spread = joined.select("site_id", "base_id", "choices", per_base.alias("per_base"), F.posexplode(combos).alias("kid_id", "extra"))
-    whole = F.concat(F.col("choices").cast(row), F.col("extra"))
+    patterns = F.sequence(zero, F.pow(F.lit(2), F.size("kids")).cast("bigint") - 1)
+    pages = pages.select(
+        "site_id", "__first", "__last", owners.alias("__slots"), known.alias("__known"), per_base.alias("__per_base"),
+        F.transform(patterns, widened).alias("__combos"),
+    )
+    base = F.col("base_id")
+    able = F.aggregate("__slots", F.col("__known"), lambda n, o: n.bitwiseAND(F.get(o["allows"], option_index(base, o))))
+    joined = pages.withColumn("base_id", F.explode(F.sequence("__first", "__last"))).select(
+        "site_id", "base_id", "__per_base", F.transform("__slots", lambda o: F.get(o["list"], option_index(base, o))).alias("choices"),
+        F.get("__combos", able.cast("int")).alias("combos"),
+    )
+    spread = joined.select("site_id", "base_id", "choices", "__per_base", F.posexplode("combos").alias("kid_id", "extra"))
     return spread.select(
-        "site_id", (F.col("base_id") * F.col("per_base") + F.col("kid_id")).alias("plan_id"), F.explode(whole).alias("c")
+        "site_id", (base * F.col("__per_base") + F.col("kid_id")).alias("plan_id"), F.explode(F.concat("choices", "extra")).alias("c")
     ).select("site_id", "plan_id", "c.*")
 
 

@@ -276,3 +276,18 @@ def test_plan_expansion_counts_without_sorting_rows(spark, sf):
     plan = entry.queries()["plan_expansion"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     top = plan[:plan.index("Generate")]
     assert "SortAggregate" not in top and top.count("HashAggregate") >= 4
+
+
+def test_temperatures_of_many_plans_are_dealt_out(spark, monkeypatch):
+    """Plans that unfold much are not merged into one task, and every cell is there, with and without an effect."""
+    monkeypatch.setattr(s, "CELLS", 500, raising=False)
+    options = [(site, plan, f"e{e}", (plan + e) % 3) for site in (1, 2, 3) for plan in range(60) for e in range(2)]
+    base = [(site, f"s{k}", step, 60.0 + k + site) for site in (1, 2) for k in range(3) for step in (12, 24)]
+    effect = {(site, f"e{e}", n, f"s{k}", 12): 0.25 * (site + e + n + k) for site in (1, 2, 3) for e in range(2) for n in (1, 2) for k in range(4)}
+    out = s.additive_predictions(
+        spark.createDataFrame(options, "site_id bigint, plan_id bigint, effector string, option_no bigint"),
+        spark.createDataFrame(base, "site_id bigint, sensor string, step int, base_temp double"),
+        spark.createDataFrame([(*k, v) for k, v in effect.items()], "site_id bigint, effector string, option_no bigint, sensor string, step int, delta double"))
+    want = sorted((site, plan, sensor, step, temp + sum(effect.get((site, f"e{e}", (plan + e) % 3, sensor, step), 0.0) for e in range(2))) for site, sensor, step, temp in base for plan in range(60))
+    assert rows(out, "site_id", "plan_id", "sensor", "step", "temp") == want
+    assert sum(n > 0 for n in out.rdd.mapPartitions(lambda it: [sum(1 for _ in it)]).collect()) > 2

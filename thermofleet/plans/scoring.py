@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from thermofleet.functions.labels import step_label
 from thermofleet.operators.aggregates import median
+from thermofleet.operators.lookup import MAX_PARTITIONS
 from thermofleet.operators.spans import top_k
 from thermofleet.plans.comfort import PLANNING_WEIGHTS, comfort_cost, row_cost, weight_of
 from thermofleet.plans.options import HORIZON
@@ -58,6 +59,9 @@ def plan_energy(plan_options: DataFrame, effectors: DataFrame, current: DataFram
     return option_energy(plan_options, effectors, current).groupBy(*by).agg(F.sum("energy_cost").alias("energy_cost"))
 
 
+CELLS = 2_000_000  # predicted temperatures and effects that one partition unfolds, at most about
+
+
 def additive_predictions(plan_options: DataFrame, baseline: DataFrame, marginals: DataFrame,
                          by: Sequence[str] = ("site_id", "plan_id")) -> DataFrame:
     """Predicted temperature = baseline + sum of the chosen options' effects.
@@ -65,12 +69,17 @@ def additive_predictions(plan_options: DataFrame, baseline: DataFrame, marginals
     `marginals` has `(site_id, effector, option_no, sensor, step, delta)` and may leave out zero effects.
     """
     none = F.lit(None).cast("double")
-    effects = plan_options.select(*by, "effector", "option_no").join(marginals, ["site_id", "effector", "option_no"])
-    effects = effects.select(*by, "sensor", "step", none.alias("base_temp"), "delta")
-    # one array per site (its sensors and steps), so the join carries a row per plan and unfolds in place
-    start = baseline.groupBy("site_id").agg(F.collect_list(F.struct("sensor", "step", "base_temp")).alias("__base"))
-    plans = plan_options.select(*by).distinct().join(start, ["site_id"]).select(*by, F.explode("__base").alias("b"))
-    both = plans.select(*by, "b.sensor", "b.step", "b.base_temp", none.alias("delta")).unionByName(effects)
+    key = ["site_id", "effector", "option_no"]
+    # cells stay in arrays (a site's sensors and steps, an option's effects) until a plan's rows are together
+    start = baseline.groupBy("site_id").agg(F.collect_list(F.struct("sensor", "step", "base_temp", none.alias("delta"))).alias("__cells"))
+    felt = marginals.groupBy(*key).agg(F.collect_list(F.struct("sensor", "step", none.alias("base_temp"), "delta")).alias("__cells"))
+    plans = plan_options.select(*by).distinct().join(start, ["site_id"]).select(*by, "__cells")
+    effects = plan_options.select(*by, "effector", "option_no").join(felt, key).select(*by, "__cells")
+    # a site's options with all its cells are more than what unfolds: that many partitions, not merged again at run time
+    chosen = plan_options.groupBy("site_id").agg(F.count(F.lit(1)).alias("__n"))
+    cells = chosen.join(start, ["site_id"]).agg(F.sum(F.col("__n") * F.size("__cells"))).first()[0] or 0
+    parts = int(min(cells // CELLS + 1, MAX_PARTITIONS))
+    both = plans.unionByName(effects).repartition(parts, *by).select(*by, F.explode("__cells").alias("c")).select(*by, "c.*")
     summed = both.groupBy(*by, "sensor", "step").agg(F.max("base_temp").alias("base_temp"), F.sum("delta").alias("delta"))
     return summed.filter(F.col("base_temp").isNotNull()).select(
         *by, "sensor", "step", (F.col("base_temp") + F.coalesce("delta", F.lit(0.0))).alias("temp")

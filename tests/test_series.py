@@ -227,3 +227,29 @@ def test_durbin_watson_white_and_correlated(spark):
     got = dict(rows(sp.durbin_watson(spark.createDataFrame(data, "k string, ts timestamp, e double"), Track(("k",)), "e")))
     assert got["white"] == pytest.approx(2.0, abs=0.15)
     assert got["ar"] < 1
+
+
+def test_ranges_of_a_large_table_hold_a_fixed_number_of_rows(spark, monkeypatch):
+    """Twice the rows are twice the ranges, not ranges of twice the size, and looks across their borders stay exact."""
+    from thermofleet.operators import track as tr
+    from thermofleet.operators.asof import nearest
+
+    monkeypatch.setattr(tr, "LARGE", 500, raising=False)
+    monkeypatch.setattr(tr, "RANGE_ROWS", 100, raising=False)
+    for n in (1_000, 2_000):
+        df = spark.range(n).selectExpr("id % 2 AS k", "timestamp_seconds((id * 7919) % 5000) AS ts", "id")
+        cut = tr.Track(("k",), "ts", ("id",)).chunked(df)
+        sizes = [c for c in cut.rdd.mapPartitions(lambda it: [sum(1 for _ in it)]).collect() if c]
+        assert sum(sizes) == n and len(sizes) >= n // 200 and max(sizes) < 400
+        got = {r.id: r.p for r in tr.numbered(df, tr.Track(("k",), "ts", ("id",)), "p").collect()}
+        for k in (0, 1):
+            mine = sorted((i * 7919 % 5000, i) for i in range(n) if i % 2 == k)
+            assert [got[i] for _, i in mine] == list(range(1, len(mine) + 1))
+    left = df.selectExpr("k", "timestamp_seconds(unix_seconds(ts) + 30) AS ts", "id")
+    right = df.filter("id % 5 = 0").dropDuplicates(["k", "ts"]).selectExpr("k", "ts", "id AS other")
+    found = {r.id: r.right_ts for r in nearest(left, right, ["k"], ["other"], tolerance_seconds=60).collect()}
+    times = {k: sorted({i * 7919 % 5000 for i in range(0, n, 5) if i % 2 == k}) for k in (0, 1)}
+    for i in range(n):
+        at = i * 7919 % 5000 + 30
+        best = min(times[i % 2], key=lambda t: (abs(t - at), t))
+        assert (None if found[i] is None else int(found[i].timestamp())) == (best if abs(best - at) <= 60 else None)

@@ -227,6 +227,92 @@ def test_outcomes_take_the_nearest_reading(spark, tmp_path):
     assert rows(merged, "decision_ts", "actual", "error") == [(at(0), 70.0, -5.0), (at(25), 64.0, 1.0), (at(30), 64.0, 2.0), (at(140), 5.0, 1.0)]
 
 
+class Held:
+    """State kept in memory, reads of lists and values counted."""
+
+    def __init__(self):
+        self.rows, self.reads, self.timers = [], 0, set()
+        self.appendValue, self.clear = self.rows.append, self.rows.clear
+
+    getListState = getValueState = lambda self, *_: Held()
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def get(self):
+        self.reads += 1
+        return iter(self.rows[:])
+
+    def put(self, rows):
+        self.rows[:] = rows
+
+
+class One(Held):
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        return self.rows[0]
+
+    def update(self, row):
+        self.rows[:] = [row]
+
+
+class Handle(Held):
+    def getListState(self, *_):
+        self.blocks = Held()
+        return self.blocks
+
+    def getValueState(self, *_):
+        return One()
+
+
+class Clock:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):
+        return self.at // 1_000
+
+
+def test_timers_of_one_watermark_read_the_waiting_rows_once():
+    waits, handle = o._Outcomes(["site_id", "sensor", "decision", "horizon", "predicted", "actual", "state", "at"], o.MINUTE, 600 * o.MINUTE), Handle()
+    waits.init(handle)
+    hour, times = 60 * o.MINUTE, [k * o.MINUTE for k in range(40)]
+    for t in times:
+        asked = {"at": [[t]], "value": [[None]], "more": [[f"{t}|1h|2.0"]], "decision": [[t]], "horizon": [["1h"]], "predicted": [[2.0]]}
+        list(waits.handleInputRows((1, "a"), iter([pd.DataFrame(asked)]), Clock(0)))
+    seen = {"at": [[20 * o.MINUTE, hour]], "value": [["5.0", "6.0"]], "more": [[None, None]], "decision": [[0, 0]], "horizon": [[None, None]], "predicted": [[None, None]]}
+    list(waits.handleInputRows((1, "a"), iter([pd.DataFrame(seen)]), Clock(0)))
+    assert len(handle.timers) > 1
+    out = [f for _ in handle.timers for f in waits.handleExpiredTimer((1, "a"), Clock(2 * hour), None)]
+    told = pd.concat(out).sort_values("decision")
+    assert handle.blocks.reads == 1
+    assert told["decision"].tolist() == times and told["actual"].tolist() == [5.0] * 40
+    assert list(handle.blocks.get()) == []
+
+
+def test_rows_reach_the_state_in_lists(spark, tmp_path):
+    """One row of the state's input holds many readings of a key; none is lost, also without a key or a value."""
+    data = [(k % 3 if k % 3 else None, at(k / 60), "a" if k % 2 else None, str(k) if k % 5 else None) for k in range(3_000)]
+    r = spark.createDataFrame(data, schemas.READINGS).coalesce(1)
+    lists = o._listed(o._keyed(r, ["site_id", "name"], "ts", o.LATE, F.col("value")), ["site_id", "name"])
+    assert lists.count() == 12 and lists.agg(F.max(F.size("at"))).first()[0] <= o.LIST_ROWS
+    back = lists.select("site_id", "name", F.explode(F.arrays_zip("at", "value")).alias("x")).select("site_id", "name", F.timestamp_micros("x.at").alias("ts"), "x.value")
+    assert back.count() == 3_000 and back.exceptAll(r.select("site_id", "name", "ts", "value")).count() == 0
+
+
+def test_copies_of_a_prediction_meet_an_offer_once(spark):
+    asked = spark.createDataFrame([(1, at(0), "a", "1h", at(60), 65.0)] * 300, "site_id bigint, decision_ts timestamp, sensor string, horizon string, wanted_ts timestamp, predicted double")
+    seen = spark.createDataFrame([(1, at(61), "a", "60")] * 300, schemas.READINGS)
+    told = asked.drop("wanted_ts").withColumns({"actual": F.lit(60.0), "state": F.lit("matched"), "at_ts": F.lit(at(61))})
+    merged = o.merged_outcomes(told, asked, seen)
+    plan = merged._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    below = plan[next(k for k, line in enumerate(plan) if "Join Inner" in line) + 1]
+    assert "Aggregate" in below
+    assert rows(merged, "actual", "error") == [(60.0, 5.0)]
+
+
 def test_heartbeat_follows_the_data(spark, tmp_path):
     data = [(1, at(m), "a", "1") for m in (0, 5, 9)] + [(2, at(m), "a", "1") for m in (1, 8, 30)] + [(1, at(60), "a", "1"), (2, at(61), "a", "1"), (-1, at(900), "t", None)]
     folder = landed(spark, tmp_path, data, schemas.READINGS, 9)

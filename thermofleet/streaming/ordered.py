@@ -17,7 +17,9 @@ from bisect import bisect_left
 from collections.abc import Iterable, Iterator, Sequence
 from heapq import merge
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -28,6 +30,7 @@ from thermofleet.operators.track import Track, carry
 
 LATE = "15 minutes"
 FRAME_ROWS = 4_096
+LIST_ROWS = 256
 MINUTE = 60_000_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -41,8 +44,23 @@ def _blocks(*columns: list) -> Iterator[tuple]:
         yield tuple(c[k:k + FRAME_ROWS] for c in columns)
 
 
+def _packed(rows: pd.DataFrame, types: dict[str, str]) -> bytes:
+    """Rows as one compressed Arrow batch."""
+    batch = pa.record_batch([pa.array(rows[c], type=pa.type_for_alias(t), from_pandas=True) for c, t in types.items()], names=list(types))
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as writer:
+        writer.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(block: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(block).read_pandas()
+
+
 class _Framed(StatefulProcessor):
-    """Output in frames of bounded size."""
+    """Output in frames of bounded size; input in lists (`_listed`) of `COLUMNS`, or rows."""
+
+    COLUMNS: tuple[str, ...] = ()
 
     def __init__(self, columns: Sequence[str], slot: int):
         self.columns, self.slot = list(columns), slot
@@ -59,6 +77,9 @@ class _Framed(StatefulProcessor):
                 held = []
         yield pd.DataFrame(held, columns=self.columns)
 
+    def flat(self, part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({c: np.concatenate(part[c].tolist()) for c in self.COLUMNS}) if part["at"].dtype == object else part
+
     def wake(self, at: int) -> None:
         """Set a timer for the end of the slot that holds `at`."""
         self.handle.registerTimer((at // self.slot + 1) * self.slot // 1_000)
@@ -81,6 +102,7 @@ class InOrder(_Framed):
     """
 
     CARRY = "at bigint"
+    COLUMNS = ("at", "value", "more")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -89,7 +111,7 @@ class InOrder(_Framed):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         due = self.due(timerValues)
-        for part in rows:
+        for part in map(self.flat, rows):
             value, more = (part[c].astype(object).where(part[c].notna(), None) for c in ("value", "more"))
             every = sorted(zip(part["at"].tolist(), value, more, strict=True), key=_order)
             kept = bisect_left(every, due, key=lambda r: r[0])
@@ -212,50 +234,111 @@ class _Beats(InOrder):
         return "late", at, 1, True
 
 
-class _Outcomes(InOrder):
-    """`more` tells predictions (decision time, horizon, predicted) from readings (null). Only the reading before a wanted
-    time and the one after it can be the nearest, so a key carries its last reading and the predictions that wait."""
+class _Outcomes(_Framed):
+    """Readings have a value, predictions (at: the time they want) have none. Only the reading before a wanted time and the one
+    after it can be the nearest, so a key carries its last reading and the predictions that wait. Rows wait as Arrow blocks, each
+    in order of time; of the timers that run out under one watermark the first takes all rows that are due and looks them up at
+    once in the ordered readings."""
 
-    CARRY = "last bigint, actual double, wanted array<bigint>, asked array<string>, best array<bigint>, found array<double>"
+    CARRY = "last bigint, actual double, waiting binary"
+    BLOCK = {"at": "int64", "value": "string", "decision": "int64", "horizon": "string", "predicted": "float64"}
+    COLUMNS = tuple(BLOCK)
 
     def __init__(self, columns, slot, tolerance: int):
         super().__init__(columns, slot)
         self.tolerance = tolerance
 
-    def take(self, row, carried):
-        (at, value, more), (last, actual, *lists) = row, carried or (None, None, [], [], [], [])
-        if more is None:  # readings come before predictions of their instant
-            out = []
-            for wanted, asked, best, found in zip(*lists, strict=True):
-                nearer = at - wanted <= self.tolerance and (best is None or at - wanted < wanted - best)
-                out.append(self.row(asked, *((at, float(value)) if nearer else (best, found))))
-            return [r for r in out if r], (at, float(value), [], [], [], [])
-        if last is not None and last == at:
-            return [self.row(more, at, actual)], carried
-        near = last is not None and at - last <= self.tolerance
-        new = at, more, last if near else None, actual if near else None
-        return [], (last, actual, *([*old, x] for old, x in zip(lists, new, strict=True)))
-
-    def passed(self, due, carried):
-        if carried is None:
-            return [], None
-        waiting = list(zip(*carried[2:], strict=True))
-        out = [self.row(asked, best, found) for wanted, asked, best, found in waiting if wanted + self.tolerance < due]
-        left = [list(c) for c in zip(*(w for w in waiting if w[0] + self.tolerance >= due), strict=True)]
-        return [r for r in out if r], (*carried[:2], *(left or [[], [], [], []]))
-
-    def wake_at(self, carried):
-        return min(carried[2]) + self.tolerance if carried[2] else None
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.blocks = handle.getListState("blocks", "block binary")
+        self.carried = handle.getValueState("carried", self.CARRY)
+        self.over = handle.getValueState("over", "at bigint")
 
-    def row(self, asked: str, at: int | None, actual: float | None) -> tuple | None:
-        decision, horizon, predicted = asked.split("|")
-        return None if at is None else (int(decision), horizon, float(predicted), actual, "matched", at)
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        due = self.due(timerValues)
+        for part in map(self.flat, rows):
+            every = self.sorted(part[list(self.BLOCK)])
+            kept = int(every["at"].searchsorted(due))
+            yield from self.late(key, every.iloc[:kept])
+            if kept < len(every):
+                self.hold(every.iloc[kept:])
+                self.wake(int(every["at"].iloc[kept]))
 
-    def late_row(self, at, value, more):
-        if more is None:
-            return None, None, None, float(value), "late reading", at
-        decision, horizon, predicted = more.split("|")
-        return int(decision), horizon, float(predicted), None, "late prediction", at
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due = self.due(timerValues)
+        if self.over.exists() and self.over.get()[0] >= due:
+            return
+        self.over.update((due,))
+        ready, rest = [], []
+        for (block,) in self.blocks.get():
+            held = _unpacked(block)
+            cut = int(held["at"].searchsorted(due))
+            ready.append(held.iloc[:cut])
+            if cut < len(held):
+                rest.append((int(held["at"].iloc[cut]), held.iloc[cut:] if cut else block))
+        if any(len(part) for part in ready):
+            self.blocks.clear()
+            for _, block in rest:
+                if isinstance(block, bytes):
+                    self.blocks.appendValue((block,))
+                else:
+                    self.hold(block)
+            if rest:
+                self.wake(min(at for at, _ in rest))
+        yield from self.taken(key, ready, due)
+
+    def hold(self, rows: pd.DataFrame) -> None:
+        for k in range(0, len(rows), FRAME_ROWS):
+            self.blocks.appendValue((_packed(rows.iloc[k:k + FRAME_ROWS], self.BLOCK),))
+
+    def sorted(self, rows):
+        every = rows.iloc[rows["at"].to_numpy().argsort(kind="stable")]
+        at, value = every["at"].to_numpy(), every["value"].fillna("").to_numpy()
+        if ((at[1:] == at[:-1]) & (value[1:] != value[:-1])).any():  # readings of one instant go by value
+            every = every.assign(__text=value).sort_values(["at", "__text"], kind="stable").drop(columns="__text")
+        return every
+
+    def late(self, key, rows):
+        seen = rows["value"].notna()
+        readings, asked = rows[seen], rows[~seen]
+        yield from self.told(key, readings.assign(decision=None, horizon=None, predicted=None), readings["value"].astype(float), "late reading", readings["at"])
+        yield from self.told(key, asked, None, "late prediction", asked["at"])
+
+    def taken(self, key, blocks, due):
+        last, actual, waiting = self.carried.get() if self.carried.exists() else (None, None, None)
+        if last is None and waiting is None and not any(len(b) for b in blocks):
+            return
+        rows = self.sorted(pd.concat(blocks)) if blocks else pd.DataFrame(columns=list(self.BLOCK))
+        seen = rows["value"].notna()
+        at, value = rows.loc[seen, "at"].to_numpy("int64"), rows.loc[seen, "value"].to_numpy().astype(float)
+        if last is not None:
+            at, value = np.append(last, at), np.append(np.nan if actual is None else actual, value)
+        asked = rows[~seen]
+        if waiting is not None:
+            asked = pd.concat([_unpacked(waiting), asked]) if len(asked) else _unpacked(waiting)
+        wanted, far = asked["at"].to_numpy("int64"), self.tolerance + 1
+        after = at.searchsorted(wanted, side="right")
+        back, ahead = np.full(len(wanted), far), np.full(len(wanted), far)
+        has_back, has_ahead = after > 0, after < len(at)
+        back[has_back] = np.minimum(wanted[has_back] - at[after[has_back] - 1], far)
+        ahead[has_ahead] = np.minimum(at[after[has_ahead]] - wanted[has_ahead], far)
+        settled = has_ahead | (back == 0) | (wanted + self.tolerance < due)
+        found = settled & (np.minimum(back, ahead) < far)
+        pick = np.where(ahead < back, after, after - 1)[found]
+        yield from self.told(key, asked[found], value[pick], "matched", at[pick])
+        left = asked[~settled]
+        if len(at):
+            last, actual = int(at[-1]), None if np.isnan(value[-1]) else float(value[-1])
+        self.carried.update((last, actual, _packed(left, self.BLOCK) if len(left) else None))
+        if len(left):
+            self.wake(int(left["at"].min()) + self.tolerance)
+
+    def told(self, key: tuple, rows: pd.DataFrame, actual, state: str, at) -> Iterator[pd.DataFrame]:
+        out = rows[["decision", "horizon", "predicted"]].assign(actual=actual, state=state, at=at)
+        for k, (name, of) in enumerate(zip(self.columns, key, strict=False)):
+            out.insert(k, name, of)
+        for k in range(0, len(out), FRAME_ROWS):
+            yield out.iloc[k:k + FRAME_ROWS].reset_index(drop=True)
 
 
 class _Rollup(_Framed):
@@ -333,8 +416,35 @@ def _keyed(rows: DataFrame, by: Sequence[str], ts: str, late: str, value: Column
     return marked.select(*by, F.unix_micros(F.col(ts)).alias("at"), (empty if value is None else value.cast("string")).alias("value"), (empty if more is None else more).alias("more"), *[c.alias(k) for k, c in extra.items()])
 
 
+def _listed(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The rows of a key that lie in one Arrow batch as lists of at most `LIST_ROWS`, column by column: Spark hands rows to the
+    state's worker one by one, lists cross as they are."""
+    by = list(by)
+    schema = ", ".join(f"`{c}` {t}" if c in by else f"`{c}` array<{t}>" for c, t in rows.dtypes)
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code = np.zeros(batch.num_rows, dtype=np.int64)
+            for c in by:
+                each = batch.column(c).dictionary_encode(null_encoding="encode")
+                code = np.unique(code * len(each.dictionary) + each.indices.to_numpy(), return_inverse=True)[1]
+            order = code.argsort(kind="stable")
+            first = np.searchsorted(code[order], np.arange(code.max() + 1))
+            inside = np.arange(len(order)) - first[code[order]]
+            cuts = np.flatnonzero(inside % LIST_ROWS == 0)
+            dealt, offsets = batch.take(pa.array(order)), pa.array(np.append(cuts, len(order)), type=pa.int32())
+            columns = [dealt.column(c).take(pa.array(cuts)) if c in by else pa.ListArray.from_arrays(offsets, dealt.column(c)) for c in batch.schema.names]
+            yield pa.record_batch(columns, names=batch.schema.names)
+
+    return rows.mapInArrow(lists, schema)
+
+
 def _run(rows: DataFrame, by: Sequence[str], processor: type, out: str, *args) -> DataFrame:
     types = dict(rows.dtypes)
+    if processor.COLUMNS:
+        rows = _listed(rows, by)
     schema = f"{', '.join(f'{k} {types[k]}' for k in by)}, {out}"
     columns = [c.strip().split()[0] for c in schema.split(",")]
     return rows.groupBy(*by).transformWithStateInPandas(processor(columns, *args), schema, "Append", "EventTime")
@@ -385,12 +495,11 @@ def outcomes(predictions: DataFrame, readings: DataFrame, tolerance_seconds: int
     """Predictions `(site_id, decision_ts, sensor, horizon, wanted_ts, predicted)` with the nearest reading of their site and
     sensor within the tolerance, the earlier of two equally near: state `matched` with the reading's time, actual and error, or
     `late prediction` and `late reading` with its own time (`at_ts`) for rows that came too late to take part."""
-    asked = F.concat_ws("|", F.unix_micros("decision_ts").cast("string"), "horizon", F.col("predicted").cast("string"))
-    wanted = predictions.select("site_id", "sensor", F.col("wanted_ts").alias("__ts"), F.lit(None).cast("double").alias("__value"), asked.alias("__more"))
     number = F.col("value").try_cast("double")
-    seen = readings.filter(number.isNotNull()).select("site_id", F.col("name").alias("sensor"), F.col("ts").alias("__ts"), number.alias("__value"), F.lit(None).cast("string").alias("__more"))
+    wanted = predictions.select("site_id", "sensor", F.col("wanted_ts").alias("__ts"), F.lit(None).cast("double").alias("__value"), F.unix_micros("decision_ts").alias("decision"), "horizon", F.col("predicted").cast("double").alias("predicted"))
+    seen = readings.filter(number.isNotNull()).select("site_id", F.col("name").alias("sensor"), F.col("ts").alias("__ts"), number.alias("__value"), F.lit(0).cast("bigint").alias("decision"), F.lit(None).cast("string").alias("horizon"), F.lit(None).cast("double").alias("predicted"))
     by = ["site_id", "sensor"]
-    rows = _keyed(wanted.unionByName(seen), by, "__ts", late, F.col("__value"), F.col("__more"))
+    rows = _keyed(wanted.unionByName(seen), by, "__ts", late, F.col("__value"), **{c: F.col(c) for c in ("decision", "horizon", "predicted")})
     out = _run(rows, by, _Outcomes, "decision bigint, horizon string, predicted double, actual double, state string, at bigint", slot, tolerance_seconds * 1_000_000)
     return out.select(
         "site_id", F.timestamp_micros("decision").alias("decision_ts"), "sensor", "horizon", "predicted", "actual",
@@ -443,7 +552,9 @@ def merged_outcomes(rows: DataFrame, predictions: DataFrame, readings: DataFrame
     found = [nearest(predictions, behind, **look), nearest(late, every, **look)]
     again = [f.filter(F.col("r_ts").isNotNull()).select(*key, "r_ts", F.col("r_actual").alias("actual")) for f in found]
     offers = matched.unionByName(again[0]).unionByName(again[1])
-    wanted = predictions.select(*key, "wanted_ts", "predicted")
+    # copies of a prediction meet copies of an offer once; both sides lie by key from here on
+    offers = offers.repartition(*key).dropDuplicates()
+    wanted = predictions.select(*key, "wanted_ts", "predicted").repartition(*key).dropDuplicates()
     gap = F.abs(seconds_between(F.col("r_ts"), F.col("wanted_ts")))
     out = offers.join(wanted, key).groupBy(*key, "predicted").agg(F.min_by("actual", F.struct(gap, F.col("r_ts"))).alias("actual"))
     return out.withColumn("error", F.round(F.col("predicted") - F.col("actual"), 3))

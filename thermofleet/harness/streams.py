@@ -146,8 +146,9 @@ def _predictions(rows):
 @query("stream_outcomes", R + """, p AS (SELECT site_id, name, ts AS dts, ts + INTERVAL 1 HOUR AS wanted, value FROM readings_v), c AS (SELECT p.*, r.value AS actual, row_number() OVER (PARTITION BY p.site_id, p.name, p.dts ORDER BY abs(epoch_us(r.ts) - epoch_us(p.wanted)), r.ts) AS n FROM p JOIN readings_v r ON r.site_id = p.site_id AND r.name = p.name AND abs(epoch_us(r.ts) - epoch_us(p.wanted)) <= 3600000000)
 SELECT site_id, name AS sensor, epoch_us(dts) AS decision_us, actual, round(value - actual, 3) AS error FROM c WHERE n = 1""")
 def stream_outcomes(spark, sf):
-    """The stream picks and evicts; late predictions and late readings are matched again, nothing else."""
-    out = _events(spark, sf, lambda s: o.outcomes(_predictions(s.filter(F.col("site_id") >= 0)), s.withColumn("value", F.coalesce("value", F.lit(0.0))), 3600, slot=60 * o.MINUTE), "outcomes")
+    """The stream picks and evicts; late predictions and late readings are matched again, nothing else. Only the tick gets a
+    value; a reading without one takes no part."""
+    out = _events(spark, sf, lambda s: o.outcomes(_predictions(s.filter(F.col("site_id") >= 0)), s.withColumn("value", F.when(F.col("site_id") == TICK, 0.0).otherwise(F.col("value"))), 3600, slot=60 * o.MINUTE), "outcomes")
     r = v.readings(spark, sf)
     found = o.merged_outcomes(out, _predictions(r), r, 3600)
     return found.select("site_id", "sensor", v.us("decision_ts").alias("decision_us"), "actual", "error")

@@ -500,6 +500,7 @@ def outcomes(predictions: DataFrame, readings: DataFrame, tolerance_seconds: int
     seen = readings.filter(number.isNotNull()).select("site_id", F.col("name").alias("sensor"), F.col("ts").alias("__ts"), number.alias("__value"), F.lit(0).cast("bigint").alias("decision"), F.lit(None).cast("string").alias("horizon"), F.lit(None).cast("double").alias("predicted"))
     by = ["site_id", "sensor"]
     rows = _keyed(wanted.unionByName(seen), by, "__ts", late, F.col("__value"), **{c: F.col(c) for c in ("decision", "horizon", "predicted")})
+    rows = rows.filter(F.col("site_id").isNotNull())  # what has no site has no partner
     out = _run(rows, by, _Outcomes, "decision bigint, horizon string, predicted double, actual double, state string, at bigint", slot, tolerance_seconds * 1_000_000)
     return out.select(
         "site_id", F.timestamp_micros("decision").alias("decision_ts"), "sensor", "horizon", "predicted", "actual",

@@ -1,5 +1,6 @@
 """Each operator against its plain version on messy rows, on the smallest tables, and on an empty table."""
 
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from llm import brute
 from pyspark.sql import functions as F
 
-from thermofleet.llm import components, lines, mixing, nearest, packing, quality, queries, scoring, shards, simhash, substrings, suffixes
+from thermofleet.llm import components, lines, mixing, nearest, packing, quality, queries, scoring, shards, simhash, substrings, suffixes, tables
 
 
 def same(df, columns, expected):
@@ -155,6 +156,22 @@ def test_links_of_close_fingerprints_are_whole(spark):
     assert sorted(map(sorted, ours.values())) == sorted(map(sorted, theirs.values()))
 
 
+@pytest.mark.parametrize("whole", [simhash.groups, simhash.one_of_each])
+def test_exploded_keys_are_not_sent_to_every_task(spark, docs, monkeypatch, whole):
+    """An exploded table counts as small as the table before, so the joins on its keys must not be left to that size."""
+    plans = []
+
+    def held(df, label, **more):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return tables.stored(df, label, **more)
+
+    monkeypatch.setattr(simhash, "stored", held)
+    monkeypatch.setattr(components, "stored", held)
+    whole(docs)
+    joins = [j for p in plans for j in re.findall(r"(\w+Join) \[key#", p)]
+    assert joins and set(joins) == {"SortMergeJoin"}  # with pivots, with key labels, with probes
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (7, 7)], "u long, v long")
     got = dict(tuple(r) for r in components.connected(edges).collect())

@@ -108,11 +108,15 @@ def chain_holds(a: Column, b: Column, key: Column) -> Column:
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """Links (u, v) between distinct fingerprints (column fp) that give the components of all links at four bits or fewer."""
+    """Links (u, v) between distinct fingerprints (column fp) that give the components of all links at four bits or fewer.
+
+    Spark takes an exploded table for as small as the table before, and would send a side of millions of keys through the driver
+    as long as the fingerprints are few megabytes; the joins on keys are sort-merge joins whatever the sizes.
+    """
     index = fps.select("fp", F.explode(index_keys(F.col("fp"))).alias("key"))
     pivots = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[F.min_by("fp", F.xxhash64("fp", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)])
     pivots = stored(pivots.where("n > 1").select("key", F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("pivots")), "pivots")
-    near = index.join(pivots, "key").select("fp", F.explode("pivots").alias("v")).where((F.col("fp") != F.col("v")) & (distance(F.col("fp"), F.col("v")) <= MAX_BITS))
+    near = index.join(pivots.hint("merge"), "key").select("fp", F.explode("pivots").alias("v")).where((F.col("fp") != F.col("v")) & (distance(F.col("fp"), F.col("v")) <= MAX_BITS))
     first = stored(near.select(F.col("fp").alias("u"), "v").distinct(), "pivot-links")
 
     labels = connected(first)
@@ -120,10 +124,10 @@ def links(fps: DataFrame) -> DataFrame:
     named = stored(named, "named")
     index = named.select("fp", "label", F.explode(index_keys(F.col("fp"))).alias("key"))
     spans = stored(index.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")), "key-labels")
-    asked = named.select("fp", "label", F.explode(probe_keys(F.col("fp"))).alias("key")).join(spans, "key")
+    asked = named.select("fp", "label", F.explode(probe_keys(F.col("fp"))).alias("key")).join(spans.hint("merge"), "key")
     asked = asked.where((F.col("lo") != F.col("label")) | (F.col("hi") != F.col("label")))
     asked = stored(asked.select("key", F.col("fp").alias("u"), F.col("label").alias("lu")), "probes")
-    pairs = asked.join(index.select("key", F.col("fp").alias("v"), F.col("label").alias("lv")), "key")
+    pairs = asked.hint("merge").join(index.select("key", F.col("fp").alias("v"), F.col("label").alias("lv")), "key")
     pairs = pairs.where((F.col("lu") != F.col("lv")) & chain_holds(F.col("u"), F.col("v"), F.col("key")) & (distance(F.col("u"), F.col("v")) <= MAX_BITS))
     return first.unionByName(pairs.select("u", "v").distinct())
 

@@ -74,6 +74,15 @@ def test_line_runs_do_not_move(spark):
     assert "Exchange" not in merged
 
 
+def test_line_runs_are_not_sent_to_every_task(docs, monkeypatch):
+    """A run's stored size is a fraction of what it takes as a broadcast table: batches are merge-joined with it whatever its size."""
+    plans = []
+    monkeypatch.setattr(lines, "bucketed", lambda df, *how: plans.append(df._jdf.queryExecution().executedPlan().toString()) or tables.bucketed(df, *how))
+    lines.dropped_keys(docs)
+    met = [p for p in plans if "Join" in p]
+    assert met and not [p for p in met if "BroadcastHashJoin" in p]
+
+
 def test_line_dedup_with_hot_rows(spark):
     """A third of the rows without id, a third copies of one row."""
     line = "a line that is long enough to be dropped when many hold it"

@@ -77,7 +77,7 @@ class LineRuns:
         own = batch.groupBy(*HASH).agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
         own = own.withColumn("fresh", F.lit(True))
         for run in self.tables():  # no partner in any run means new
-            own = own.join(run.select(*HASH, F.lit(True).alias("_held")), HASH, "left")
+            own = own.join(run.select(*HASH, F.lit(True).alias("_held")).hint("merge"), HASH, "left")  # runs stay where they are
             own = own.withColumn("fresh", F.col("fresh") & F.col("_held").isNull()).drop("_held")
         found = bucketed(own, HASH, self.buckets, "line_run")
         self.levels[0].append(found.where("fresh").drop("fresh"))
